@@ -29,11 +29,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _zero_safe_round(sql: str) -> str:
+    """Wrap every round(...) as (round(...) + 0.0) so a rounded −0.0 becomes 0.0, as in Spark."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while True:
+            c = sql[k]
+            if c == "(":
+                depth += 1
+            elif c == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = _zero_safe_round(sql[j + 6:k])
+        out.append(sql[i:j] + "(round(" + inner + ") + 0.0::DOUBLE)")
+        i = k + 1
+
+
 def query(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = _zero_safe_round(sql)
         return fn
     return deco
 
@@ -294,3 +321,316 @@ def q_vocab_targets(spark, d):
 @query("training_examples", S.with_corpus("SELECT CAST(coalesce(sum(freq), 0) AS BIGINT) AS examples FROM targets"))
 def q_training_examples(spark, d):
     return CO.training_examples(build_vocabulary(docs(spark, d), CFG, STOPS).targets)
+
+
+# ================================================================ vectors & search
+
+from wordloom.functions import vectors as V  # noqa: E402
+from wordloom.operators import model as MD  # noqa: E402
+from wordloom.operators import sampling as SP  # noqa: E402
+from wordloom.operators import search as SR  # noqa: E402
+
+MODEL_SQL = S.model_ctes(CFG.hidden, CFG.seed)
+QWORDS_SQL = QUERY_LINES_SQL + ",\n" + MODEL_SQL + ",\n" + S.qstatus_ctes()
+
+
+def corpus_model(spark, d, with_targets=True):
+    vb = build_vocabulary(docs(spark, d), CFG, STOPS, with_targets=with_targets)
+    mi, mo = MD.init_weights(vb.vocab, CFG)
+    return vb, mi, mo
+
+
+def query_status(spark, d, vb):
+    """Q3: status of every query line: shape | stop | filtered | oov | ok, plus idx."""
+    q = query_words(spark, d)
+    shape = T.word_shape_ok(F.col("word"))
+    stop = ~T.not_stop(F.col("word"), STOPS)
+    q = VC.in_filtered(q, vb.removed)
+    q = q.join(vb.vocab.select("word", "idx"), "word", "left")
+    status = (F.when(~shape, "shape").when(stop, "stop").when(F.col("filtered"), "filtered")
+              .when(F.col("idx").isNull(), "oov").otherwise("ok"))
+    return q.select("item_id", "line_no", "word", status.alias("status"), "idx")
+
+
+def valid_qids(spark, d, vb):
+    return query_status(spark, d, vb).where(F.col("status") == "ok").select("idx").distinct()
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def embeddings(spark, d):
+    e = table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("idx"), V.as_double(F.col("embedding")).alias("vec"), "label")
+
+
+@query("init_weights", S.with_corpus(
+    "SELECT 'in' AS layer, idx, word, list_transform(vec, lambda x: round(x, 6)) AS vec FROM model_in "
+    "UNION ALL SELECT 'out', idx, word, list_transform(vec, lambda x: round(x, 6)) FROM model_out", MODEL_SQL))
+def q_init_weights(spark, d):
+    vb, mi, mo = corpus_model(spark, d, with_targets=False)
+    f = lambda m, name: m.select(F.lit(name).alias("layer"), "idx", "word", V.round_vec(F.col("vec")).alias("vec"))
+    return f(mi, "in").unionByName(f(mo, "out"))
+
+
+@query("l2_normalize", S.with_corpus(
+    "SELECT idx, list_transform(vec, lambda x: round(x / sqrt(list_dot_product(vec, vec)), 6)) AS vec FROM model_in",
+    MODEL_SQL))
+def q_l2_normalize(spark, d):
+    vb, mi, mo = corpus_model(spark, d, with_targets=False)
+    return mi.select("idx", V.round_vec(V.l2_normalize(F.col("vec"))).alias("vec"))
+
+
+_PAIR_VEC_SQL = """
+SELECT t.center_idx, t.context_idx, {expr} AS {name}
+FROM targets t JOIN model_in a ON a.idx = t.center_idx JOIN {other} b ON b.idx = t.context_idx"""
+
+
+@query("dot_scores", S.with_corpus(_PAIR_VEC_SQL.format(
+    expr="round(list_dot_product(a.vec, b.vec), 6)", name="score", other="model_out"), MODEL_SQL))
+def q_dot_scores(spark, d):
+    vb, mi, mo = corpus_model(spark, d)
+    t = vb.targets.select("center_idx", "context_idx")
+    j = t.join(mi.select(F.col("idx").alias("center_idx"), F.col("vec").alias("a")), "center_idx") \
+        .join(mo.select(F.col("idx").alias("context_idx"), F.col("vec").alias("b")), "context_idx")
+    return j.select("center_idx", "context_idx", r6(V.dot(F.col("a"), F.col("b"))).alias("score"))
+
+
+@query("sigmoid", S.with_corpus(_PAIR_VEC_SQL.format(
+    expr="round(1.0 / (1.0 + exp(-list_dot_product(a.vec, b.vec))), 6)", name="prob", other="model_out"), MODEL_SQL))
+def q_sigmoid(spark, d):
+    vb, mi, mo = corpus_model(spark, d)
+    t = vb.targets.select("center_idx", "context_idx")
+    j = t.join(mi.select(F.col("idx").alias("center_idx"), F.col("vec").alias("a")), "center_idx") \
+        .join(mo.select(F.col("idx").alias("context_idx"), F.col("vec").alias("b")), "context_idx")
+    return j.select("center_idx", "context_idx", r6(V.sigmoid(V.dot(F.col("a"), F.col("b")))).alias("prob"))
+
+
+@query("cosine_similarity", S.with_corpus(_PAIR_VEC_SQL.format(
+    expr="round(list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))), 6)",
+    name="cosine", other="model_in"), MODEL_SQL))
+def q_cosine_similarity(spark, d):
+    vb, mi, mo = corpus_model(spark, d)
+    t = vb.targets.select("center_idx", "context_idx")
+    j = t.join(mi.select(F.col("idx").alias("center_idx"), F.col("vec").alias("a")), "center_idx") \
+        .join(mi.select(F.col("idx").alias("context_idx"), F.col("vec").alias("b")), "context_idx")
+    return j.select("center_idx", "context_idx", r6(V.cosine(F.col("a"), F.col("b"))).alias("cosine"))
+
+
+@query("query_skip", S.with_corpus("SELECT item_id, line_no, word, status, idx FROM qstatus", QWORDS_SQL))
+def q_query_skip(spark, d):
+    vb = build_vocabulary(docs(spark, d), CFG, STOPS, with_targets=False)
+    return query_status(spark, d, vb)
+
+
+@query("similar_words", S.with_corpus(r"""
+SELECT qid, qw.word AS word, CAST(r - 1 AS BIGINT) AS rank, iid, iw.word AS similar, round(score, 6) AS score
+FROM (SELECT q.idx AS qid, m.idx AS iid,
+             list_dot_product(a.vec, m.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(m.vec, m.vec))) AS score,
+             row_number() OVER (PARTITION BY q.idx ORDER BY
+               list_dot_product(a.vec, m.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(m.vec, m.vec))) DESC, m.idx) AS r
+      FROM qids q JOIN model_in a ON a.idx = q.idx, model_in m) s
+JOIN vocab qw ON qw.idx = s.qid JOIN vocab iw ON iw.idx = s.iid
+WHERE r BETWEEN 2 AND 6""", QWORDS_SQL))
+def q_similar_words(spark, d):
+    vb, mi, mo = corpus_model(spark, d, with_targets=False)
+    top = SR.similar_items(mi.select("idx", "vec"), valid_qids(spark, d, vb), CFG.predictions)
+    w = vb.vocab.select("idx", "word")
+    return top.join(w.select(F.col("idx").alias("qid"), "word"), "qid") \
+        .join(w.select(F.col("idx").alias("iid"), F.col("word").alias("similar")), "iid") \
+        .select("qid", "word", F.col("rank").cast("bigint").alias("rank"), "iid", "similar", r6(F.col("score")).alias("score"))
+
+
+_LOGITS_SQL = r"""
+logits AS (SELECT q.idx AS qid, m.idx AS iid, list_dot_product(a.vec, m.vec) AS score
+           FROM qids q JOIN model_in a ON a.idx = q.idx, model_out m),
+lse AS (SELECT qid, max(score) + ln(sum(exp(score - mx))) AS log_norm
+        FROM (SELECT qid, score, max(score) OVER (PARTITION BY qid) AS mx FROM logits) GROUP BY qid)"""
+
+
+@query("context_scores", S.with_corpus("SELECT qid, iid, round(score, 6) AS score FROM logits",
+                                       QWORDS_SQL + "," + _LOGITS_SQL))
+def q_context_scores(spark, d):
+    vb, mi, mo = corpus_model(spark, d, with_targets=False)
+    return SR.context_scores(mi, mo, valid_qids(spark, d, vb)).select("qid", "iid", r6(F.col("score")).alias("score"))
+
+
+@query("softmax", S.with_corpus(
+    "SELECT l.qid, l.iid, round(exp(l.score - z.log_norm), 10) AS prob FROM logits l JOIN lse z ON z.qid = l.qid",
+    QWORDS_SQL + "," + _LOGITS_SQL))
+def q_softmax(spark, d):
+    vb, mi, mo = corpus_model(spark, d, with_targets=False)
+    return SR.softmax(mi, mo, valid_qids(spark, d, vb)).select("qid", "iid", F.round("prob", 10).alias("prob"))
+
+
+_PREDICT_SQL = _LOGITS_SQL + r""",
+pred AS (
+  SELECT l.qid, l.iid, CAST(row_number() OVER (PARTITION BY l.qid ORDER BY l.score DESC, l.iid) AS BIGINT) AS rank,
+         exp(l.score - z.log_norm) AS prob
+  FROM logits l JOIN lse z ON z.qid = l.qid WHERE l.iid <> l.qid),
+predk AS (
+  SELECT p.qid, p.iid, p.rank, p.prob, (t.center_idx IS NOT NULL) AS ok
+  FROM pred p LEFT JOIN targets t ON t.center_idx = p.qid AND t.context_idx = p.iid WHERE p.rank <= 5)"""
+
+
+@query("context_predict", S.with_corpus("SELECT qid, iid, rank, round(prob, 9) AS prob, ok FROM predk",
+                                        QWORDS_SQL + "," + _PREDICT_SQL))
+def q_context_predict(spark, d):
+    vb, mi, mo = corpus_model(spark, d)
+    p = SR.context_predict(mi, mo, valid_qids(spark, d, vb), vb.targets, CFG.predictions)
+    return p.select("qid", "iid", F.col("rank").cast("bigint").alias("rank"), F.round("prob", 9).alias("prob"), "ok")
+
+
+@query("precision_at_1", S.with_corpus(r"""
+SELECT count(*) AS evaluated, CAST(coalesce(sum(CAST(ok AS BIGINT)), 0) AS BIGINT) AS hits,
+       round(100.0 * sum(CAST(ok AS BIGINT)) / nullif(count(*), 0), 6) AS precision,
+       coalesce(100.0 * sum(CAST(ok AS BIGINT)) / nullif(count(*), 0) > 50.0, false) AS passed
+FROM predk WHERE rank = 1""", QWORDS_SQL + "," + _PREDICT_SQL))
+def q_precision_at_1(spark, d):
+    vb, mi, mo = corpus_model(spark, d)
+    p = SR.context_predict(mi, mo, valid_qids(spark, d, vb), vb.targets, CFG.predictions)
+    return SR.precision_at_1(p).withColumn("precision", r6(F.col("precision")))
+
+
+@query("orthant_counts", r"""
+SELECT CAST(j AS BIGINT) AS dim, CAST(sum(CASE WHEN x < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative,
+       CAST(sum(CASE WHEN x < 0 THEN 0 ELSE 1 END) AS BIGINT) AS non_negative
+FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS j FROM (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings))
+GROUP BY j""")
+def q_orthant_counts(spark, d):
+    return SR.orthant_counts(embeddings(spark, d))
+
+
+@query("vector_length_check", r"""
+SELECT CAST(min(len(embedding)) AS BIGINT) AS min_len, CAST(max(len(embedding)) AS BIGINT) AS max_len,
+       min(len(embedding)) = max(len(embedding)) AS consistent FROM embeddings""")
+def q_vector_length_check(spark, d):
+    return SR.vector_length_check(embeddings(spark, d))
+
+
+@query("similar_sentences", r"""
+WITH e AS (SELECT vec_id AS idx, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+n AS (SELECT count(*) AS n FROM e),
+s AS (SELECT a.idx AS qid, b.idx AS iid,
+             list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))) AS score
+      FROM e a, e b WHERE a.idx <> b.idx),
+r AS (SELECT qid, iid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, iid) AS rank FROM s)
+SELECT qid, iid, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM r, n WHERE rank <= least(n.n - 1, 5)""")
+def q_similar_sentences(spark, d):
+    e = embeddings(spark, d)
+    n = e.count()
+    k = min(n - 1, CFG.predictions)
+    top = SR.blocked_scores(e.select(F.col("idx").alias("qid"), "vec"), e.select(F.col("idx").alias("iid"), "vec"),
+                            k, "cosine", exclude_self=True)
+    return top.select("qid", "iid", F.col("rank").cast("bigint").alias("rank"), r6(F.col("score")).alias("score"))
+
+
+# ================================================================ sampling
+
+@query("unigram_table", S.with_corpus(r"""
+SELECT idx, CAST(coalesce(sum(freq) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lo,
+       CAST(sum(freq) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS hi
+FROM vocab"""))
+def q_unigram_table(spark, d):
+    vb = build_vocabulary(docs(spark, d), CFG, STOPS, with_targets=False)
+    return SP.unigram_table(vb.vocab)
+
+
+_RANGES_SQL = r"""
+ranges AS (SELECT idx, CAST(coalesce(sum(freq) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lo,
+                  CAST(sum(freq) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS hi FROM vocab),
+tot AS (SELECT sum(freq) AS total, count(*) AS n FROM vocab),
+negs AS (
+  SELECT center_idx, context_idx, tf, ck FROM (
+    SELECT center_idx, context_idx, unnest(range(freq)) AS tf FROM targets)
+  CROSS JOIN range(1, 25) c(ck))"""
+
+
+@query("unigram_literal", S.with_corpus(r"""
+SELECT s.slot, s.slot - r.lo AS k FROM (SELECT unnest(range((SELECT n FROM tot))) AS slot) s
+JOIN ranges r ON s.slot >= r.lo AND s.slot < r.hi""", _RANGES_SQL))
+def q_unigram_literal(spark, d):
+    vb = build_vocabulary(docs(spark, d), CFG, STOPS, with_targets=False)
+    return SP.unigram_literal_table(vb.vocab, vb.vocab.count())
+
+
+@query("unigram_draw", S.with_corpus(r"""
+SELECT r.idx AS k, count(*) AS draws
+FROM (SELECT CAST(floor(""" + S.u("neg", "0", "center_idx", "context_idx", "tf", "ck") + r""" * (SELECT total FROM tot)) AS BIGINT) AS slot FROM negs) d
+JOIN ranges r ON d.slot >= r.lo AND d.slot < r.hi GROUP BY r.idx""", _RANGES_SQL))
+def q_unigram_draw(spark, d):
+    vb = build_vocabulary(docs(spark, d), CFG, STOPS)
+    n = SP.negatives(vb.targets, vb.vocab, CFG.with_(sampler="unigram"))
+    return n.groupBy("k").agg(F.count(F.lit(1)).alias("draws"))
+
+
+_REORDER_SQL = r"""
+reorder AS (
+  SELECT CAST(CASE WHEN p % 2 = 0 THEN c + p // 2 ELSE ((c - (p + 1) // 2) % n + n) % n END AS BIGINT) AS slot,
+         CAST(p + 1 AS BIGINT) AS rank, idx, word, freq
+  FROM (SELECT idx, word, freq, row_number() OVER (ORDER BY freq DESC, word) - 1 AS p FROM vocab),
+       (SELECT count(*) AS n, count(*) // 2 + count(*) % 2 - 1 AS c FROM vocab))"""
+
+
+@query("center_out_reorder", S.with_corpus("SELECT slot, rank, idx, word, freq FROM reorder", _REORDER_SQL))
+def q_center_out_reorder(spark, d):
+    vb = build_vocabulary(docs(spark, d), CFG, STOPS, with_targets=False)
+    return SP.center_out_reorder(vb.vocab)
+
+
+def _tdnd_sql(resample: bool) -> str:
+    keys = ("0", "center_idx", "context_idx", "tf", "ck")
+    raw = (f"CAST(round(0.0::DOUBLE + (1.0::DOUBLE + sqrt(-2.0::DOUBLE * ln({S.u('tdnd1', *keys, open0=True)})) * "
+           f"cos({2.0 * 3.141592653589793!r}::DOUBLE * {S.u('tdnd2', *keys)}) * 0.25::DOUBLE) * 0.5::DOUBLE * "
+           f"CAST((SELECT n FROM tot) - 1 AS DOUBLE)) AS BIGINT)")
+    if not resample:
+        return f"SELECT {raw} AS value FROM negs"
+    res = f"CAST(floor({S.u('tdnd3', *keys)} * CAST((SELECT n FROM tot) - 1 AS DOUBLE) + 0.0::DOUBLE) AS BIGINT)"
+    return (f"SELECT CASE WHEN v < 0 OR v > (SELECT n FROM tot) - 1 THEN {res} ELSE v END AS slot "
+            f"FROM (SELECT *, {raw} AS v FROM negs)")
+
+
+@query("tdnd_draw", S.with_corpus(f"SELECT value, count(*) AS draws FROM ({_tdnd_sql(False)}) GROUP BY value",
+                                  _RANGES_SQL))
+def q_tdnd_draw(spark, d):
+    vb = build_vocabulary(docs(spark, d), CFG, STOPS)
+    v = vb.vocab.count()
+    keys = [F.lit(0), F.col("center_idx"), F.col("context_idx"), F.col("tf"), F.col("ck")]
+    from wordloom.functions.hashing import uniform, uniform_open0
+    dr = SP.example_draws(vb.targets, CFG).where(F.col("ck") > 0)
+    raw = SP.tdnd_raw(uniform_open0(CFG.seed, "tdnd1", *keys), uniform(CFG.seed, "tdnd2", *keys), 0, v - 1)
+    return dr.select(raw.alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("draws"))
+
+
+@query("tdnd_resample", S.with_corpus(
+    f"SELECT r.idx AS k, count(*) AS draws FROM ({_tdnd_sql(True)}) d JOIN reorder r ON r.slot = d.slot GROUP BY r.idx",
+    _RANGES_SQL + "," + _REORDER_SQL))
+def q_tdnd_resample(spark, d):
+    vb = build_vocabulary(docs(spark, d), CFG, STOPS)
+    n = SP.negatives(vb.targets, vb.vocab, CFG.with_(sampler="tdnd"))
+    return n.groupBy("k").agg(F.count(F.lit(1)).alias("draws"))
+
+
+@query("sgns_loss", S.with_corpus(r"""
+SELECT CAST(sum(CASE WHEN ck = 0 THEN 1 ELSE 0 END) AS BIGINT) AS examples,
+       round(sum(CASE WHEN x >= 0 THEN ln(1 + exp(-x)) ELSE -x + ln(1 + exp(x)) END), 4) AS loss
+FROM (SELECT ck, CASE WHEN ck = 0 THEN e ELSE -e END AS x FROM (
+  SELECT s.ck, list_dot_product(a.vec, b.vec) AS e
+  FROM (SELECT center_idx, context_idx AS k, 0 AS ck FROM (SELECT center_idx, context_idx, unnest(range(freq)) AS tf FROM targets)
+        UNION ALL
+        SELECT d.center_idx, r.idx AS k, 1 AS ck FROM (
+          SELECT center_idx, CAST(floor(""" + S.u("neg", "0", "center_idx", "context_idx", "tf", "ck") + r""" * (SELECT total FROM tot)) AS BIGINT) AS slot FROM negs) d
+        JOIN ranges r ON d.slot >= r.lo AND d.slot < r.hi) s
+  JOIN model_in a ON a.idx = s.center_idx JOIN model_out b ON b.idx = s.k))""",
+    _RANGES_SQL + ",\n" + MODEL_SQL))
+def q_sgns_loss(spark, d):
+    vb, mi, mo = corpus_model(spark, d)
+    rows = SP.sample_rows(vb.targets, vb.vocab, CFG.with_(sampler="unigram"))
+    return SP.sgns_loss(rows, mi, mo).select("examples", F.round("loss", 4).alias("loss"))
+
+
+@query("sampler_vs_vocab", None)
+def q_sampler_vs_vocab(spark, d):
+    vb = build_vocabulary(docs(spark, d), CFG, STOPS, with_targets=False)
+    return SP.sampler_vs_vocab(vb.vocab, CFG)

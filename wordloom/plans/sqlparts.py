@@ -81,3 +81,30 @@ def with_corpus(select: str, extra_ctes: str = "", **kw) -> str:
     if extra_ctes:
         ctes = ctes + ",\n" + extra_ctes
     return "WITH " + ctes + "\n" + select
+
+
+def u(stream: str, *keys: str, seed: int = 0, open0: bool = False) -> str:
+    from wordloom.functions.hashing import sql_uniform
+    return sql_uniform(seed, stream, *keys, open0=open0)
+
+
+def model_ctes(hidden: int = 50, seed: int = 0) -> str:
+    """model_in / model_out: hash-seeded Xavier rows over ``vocab``."""
+    def m(stream):
+        return (f"SELECT idx, word, list_transform(range(0, {hidden}), lambda j: "
+                f"({u(stream, 'idx', 'j', seed=seed)} * 2.0::DOUBLE - 1.0::DOUBLE) * "
+                f"sqrt(2.0::DOUBLE / CAST(nv.n + nv.n AS DOUBLE))) AS vec FROM vocab, nv")
+    return (f"nv AS (SELECT count(*) AS n FROM vocab),\n"
+            f"model_in AS ({m('ih')}),\nmodel_out AS ({m('ho')})")
+
+
+def qstatus_ctes() -> str:
+    return rf"""qstatus AS (
+  SELECT q.item_id, q.line_no, q.word,
+    CASE WHEN NOT regexp_full_match(q.word, '[a-z-]{{3,}}') THEN 'shape'
+         WHEN list_contains({stops_sql()}, q.word) THEN 'stop'
+         WHEN q.word IN (SELECT word FROM removed) THEN 'filtered'
+         WHEN v.idx IS NULL THEN 'oov' ELSE 'ok' END AS status,
+    v.idx
+  FROM qwords q LEFT JOIN vocab v ON v.word = q.word),
+qids AS (SELECT DISTINCT idx FROM qstatus WHERE status = 'ok')"""
