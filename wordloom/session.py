@@ -68,3 +68,25 @@ def materialize(df, spark: SparkSession, name: str):
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``wordloom`` importable in Python workers (as ``--py-files`` does).
+
+    Zips the package once per SparkContext into the shared folder and
+    registers it with ``addPyFile``.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = tempfile.mkdtemp(prefix="run-pkg-", dir="/tmp")
+    archive = shutil.make_archive(os.path.join(base, "wordloom"), "zip",
+                                  root_dir=os.path.dirname(pkg), base_dir="wordloom")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
