@@ -634,3 +634,249 @@ def q_sgns_loss(spark, d):
 def q_sampler_vs_vocab(spark, d):
     vb = build_vocabulary(docs(spark, d), CFG, STOPS, with_targets=False)
     return SP.sampler_vs_vocab(vb.vocab, CFG)
+
+
+# ================================================================ sentences & Q/A
+
+from wordloom.functions.dist import normal_cdf_sql  # noqa: E402
+from wordloom.operators import analytics as AN  # noqa: E402
+from wordloom.operators import qa as QA  # noqa: E402
+from wordloom.operators import sentences as SE  # noqa: E402
+from wordloom.sources.corpus import conversation_qa_lines  # noqa: E402
+
+_LINES_SQL = r"""
+lines AS (SELECT doc_id, CAST(generate_subscripts(arr, 1) - 1 AS BIGINT) AS line_no, unnest(arr) AS line
+          FROM (SELECT doc_id, string_split(text, chr(10)) AS arr FROM documents)),
+lw AS (SELECT doc_id, line_no, """ + S.clean(S.lower("t")) + r""" AS word
+       FROM (SELECT doc_id, line_no, unnest(list_filter(regexp_split_to_array(""" + S.clean(S.lower("line")) + \
+    r""", '""" + S.D + r"""+'), lambda x: x <> '')) AS t FROM lines)),
+sx AS (SELECT doc_id, line_no, j, sum(x) AS s FROM (
+         SELECT w.doc_id, w.line_no, unnest(m.vec) AS x, generate_subscripts(m.vec, 1) AS j
+         FROM lw w JOIN model_in m ON m.word = w.word) GROUP BY doc_id, line_no, j),
+sl AS (SELECT doc_id, line_no, list(s ORDER BY j) AS s FROM sx GROUP BY doc_id, line_no),
+sentvec AS (
+  SELECT l.doc_id, l.line_no,
+         CASE WHEN sl.s IS NULL OR list_dot_product(sl.s, sl.s) = 0 THEN NULL
+              ELSE list_transform(sl.s, lambda x: x / sqrt(list_dot_product(sl.s, sl.s))) END AS vec
+  FROM lines l LEFT JOIN sl ON sl.doc_id = l.doc_id AND sl.line_no = l.line_no)"""
+
+
+def sentence_vectors(spark, d):
+    vb, mi, mo = corpus_model(spark, d, with_targets=False)
+    lines = SC.read_corpus(docs(spark, d)).select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
+    return SE.encode_sentences(lines, mi, ["doc_id", "line_no"], "line", CFG)
+
+
+@query("encode_sentences", S.with_corpus(
+    "SELECT doc_id, line_no, list_transform(vec, lambda x: round(x, 6)) AS vec FROM sentvec",
+    MODEL_SQL + "," + _LINES_SQL))
+def q_encode_sentences(spark, d):
+    return sentence_vectors(spark, d).select("doc_id", "line_no", V.round_vec(F.col("vec")).alias("vec"))
+
+
+@query("encode_sentence", S.with_corpus(r"""
+SELECT b.item_id, CASE WHEN s.s IS NULL OR list_dot_product(s.s, s.s) = 0 THEN NULL
+       ELSE list_transform(s.s, lambda x: round(x / sqrt(list_dot_product(s.s, s.s)), 6)) END AS vec
+FROM benchmark b LEFT JOIN (
+  SELECT item_id, list(s ORDER BY j) AS s FROM (
+    SELECT item_id, j, sum(x) AS s FROM (
+      SELECT w.item_id, unnest(m.vec) AS x, generate_subscripts(m.vec, 1) AS j
+      FROM (SELECT item_id, """ + S.clean(S.lower("t")) + r""" AS word FROM (
+              SELECT item_id, unnest(list_filter(regexp_split_to_array(regexp_replace(text, '[\r\n]', ' ', 'g'), '""" +
+    S.D + r"""+'), lambda x: x <> '')) AS t FROM benchmark)) w
+      JOIN model_in m ON m.word = w.word) GROUP BY item_id, j) GROUP BY item_id) s ON s.item_id = b.item_id""",
+    MODEL_SQL))
+def q_encode_sentence(spark, d):
+    """Each benchmark item as one sentence (its line breaks read as spaces)."""
+    vb, mi, mo = corpus_model(spark, d, with_targets=False)
+    b = table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", "[\\r\\n]", " ").alias("text"))
+    return SE.encode_sentence(b, mi, ["item_id"], "text", CFG).select(
+        "item_id", V.round_vec(F.col("vec")).alias("vec"))
+
+
+@query("write_sentence_vectors", S.with_corpus(
+    "SELECT doc_id, line_no, CASE WHEN vec IS NULL THEN array_to_string(list_transform(range(0, 50), lambda j: 'nan'), chr(9)) "
+    "ELSE array_to_string(list_transform(vec, lambda x: printf('%.6f', x)), chr(9)) END AS line FROM sentvec",
+    MODEL_SQL + "," + _LINES_SQL))
+def q_write_sentence_vectors(spark, d):
+    return SE.sentence_tsv_lines(sentence_vectors(spark, d), ["doc_id", "line_no"], CFG.hidden)
+
+
+def qa_lines(spark, d):
+    return conversation_qa_lines(table(spark, d, "conversations"))
+
+
+@query("zip_questions_answers", r"""
+SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer
+FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+WHERE u.role = 'user'""")
+def q_zip_questions_answers(spark, d):
+    c = table(spark, d, "conversations")
+    u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
+    a = c.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
+                                                     F.col("text").alias("answer"))
+    return u.join(a, ["conv_id", "turn"])
+
+
+@query("read_qa_corpus", "WITH " + S.QA_CTES + "\nSELECT conv_id, turn, line FROM qal")
+def q_read_qa_corpus(spark, d):
+    return qa_lines(spark, d)
+
+
+@query("qa_clean", "WITH " + S.QA_CTES + "\nSELECT conv_id, turn, regexp_replace(" + S.lower("line") +
+       r", '[^\w\s|\x08=~>]', '', 'g') AS line FROM qal")
+def q_qa_clean(spark, d):
+    return qa_lines(spark, d).withColumn("line", T.qa_clean(F.col("line")))
+
+
+@query("collapse_letter_runs", "WITH " + S.QA_CTES + "\nSELECT conv_id, turn, line FROM qac")
+def q_collapse_letter_runs(spark, d):
+    return QA.clean_qa_lines(qa_lines(spark, d))
+
+
+@query("split_qa", "WITH " + S.QA_CTES + "\nSELECT conv_id, turn, question, answer FROM qas")
+def q_split_qa(spark, d):
+    return QA.split_qa(QA.clean_qa_lines(qa_lines(spark, d)))
+
+
+@query("whitespace_tokens", "WITH " + S.QA_CTES + r"""
+SELECT conv_id, turn, CAST(generate_subscripts(ws, 1) - 1 AS BIGINT) AS pos, unnest(ws) AS token
+FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(question, '\s+'), lambda x: x <> '') AS ws FROM qas)""")
+def q_whitespace_tokens(spark, d):
+    qa = QA.split_qa(QA.clean_qa_lines(qa_lines(spark, d)))
+    return qa.select("conv_id", "turn", F.posexplode(T.whitespace_tokens(F.col("question"))).alias("pos", "token")) \
+        .select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "token")
+
+
+@query("encode_questions", S.with_corpus(r"""
+SELECT q.conv_id, q.turn, q.question, q.answer,
+       list_transform(e.s, lambda x: round(x / sqrt(list_dot_product(e.s, e.s)), 6)) AS vec
+FROM qas q JOIN (
+  SELECT conv_id, turn, list(s ORDER BY j) AS s FROM (
+    SELECT conv_id, turn, j, sum(x) AS s FROM (
+      SELECT t.conv_id, t.turn, unnest(m.vec) AS x, generate_subscripts(m.vec, 1) AS j
+      FROM (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(question, '\s+'), lambda x: x <> '')) AS word
+            FROM qas) t
+      JOIN (SELECT word, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec FROM model_in) m
+        ON m.word = t.word) GROUP BY conv_id, turn, j) GROUP BY conv_id, turn) e
+  ON e.conv_id = q.conv_id AND e.turn = q.turn
+WHERE list_bool_or(list_transform(e.s, lambda x: x <> 0))""", MODEL_SQL, pre=S.QA_CTES.strip(), table="qdocs"))
+def q_encode_questions(spark, d):
+    enc, vocab, mi = QA.qa_pipeline(table(spark, d, "conversations"), CFG, STOPS, epochs=0)
+    return enc.select("conv_id", "turn", "question", "answer", V.round_vec(F.col("vec")).alias("vec"))
+
+
+@query("write_qa_encoded", None)
+def q_write_qa_encoded(spark, d):
+    enc, vocab, mi = QA.qa_pipeline(table(spark, d, "conversations"), CFG, STOPS, epochs=0)
+    return QA.qa_encoded_lines(enc, ["conv_id", "turn"])
+
+
+@query("export_bundle", None)
+def q_export_bundle(spark, d):
+    from wordloom.session import scratch_path
+    path = scratch_path(spark, "bundle")
+    QA.qa_pipeline(table(spark, d, "conversations"), CFG, STOPS, epochs=0, bundle_path=path)
+    rows = [(p, spark.read.parquet(f"{path}/{p}").count()) for p in ("corpus_enc", "vocab", "embed")]
+    return spark.createDataFrame(rows, "part string, rows long")
+
+
+@query("qa_pipeline", None)
+def q_qa_pipeline(spark, d):
+    """P3 with 2 training epochs on the questions before encoding."""
+    enc, vocab, mi = QA.qa_pipeline(table(spark, d, "conversations"), CFG, STOPS, epochs=2)
+    return enc
+
+
+# ================================================================ I/O renderings
+
+@query("write_vocab", S.with_corpus("SELECT idx, word || chr(9) || CAST(freq AS VARCHAR) AS line FROM vocab"))
+def q_write_vocab(spark, d):
+    from wordloom.sources.io import vocab_tsv_lines
+    return vocab_tsv_lines(build_vocabulary(docs(spark, d), CFG, STOPS, with_targets=False).vocab)
+
+
+@query("write_filtered", S.with_corpus(r"""
+SELECT CAST(row_number() OVER (ORDER BY CASE WHEN reason = 'high' THEN 0 ELSE 1 END, freq, word) - 1 AS BIGINT) AS pos,
+       word || chr(9) || CAST(freq AS VARCHAR) AS line FROM removed"""))
+def q_write_filtered(spark, d):
+    from wordloom.sources.io import filtered_tsv_lines
+    return filtered_tsv_lines(build_vocabulary(docs(spark, d), CFG, STOPS, with_targets=False).removed)
+
+
+@query("save_weights", S.with_corpus(
+    "SELECT 'in' AS layer, idx, array_to_string(list_transform(vec, lambda x: printf('%.6f', x / sqrt(list_dot_product(vec, vec)))), chr(9)) AS line FROM model_in "
+    "UNION ALL SELECT 'out', idx, array_to_string(list_transform(vec, lambda x: printf('%.6f', x)), chr(9)) FROM model_out",
+    MODEL_SQL))
+def q_save_weights(spark, d):
+    vb, mi, mo = corpus_model(spark, d, with_targets=False)
+    return MD.weights_tsv_lines(mi, True).select(F.lit("in").alias("layer"), "idx", "line").unionByName(
+        MD.weights_tsv_lines(mo, False).select(F.lit("out").alias("layer"), "idx", "line"))
+
+
+@query("load_weights", S.with_corpus(
+    "SELECT idx, word, list_transform(vec, lambda x: round(round(x / sqrt(list_dot_product(vec, vec)), 6), 6)) AS vec FROM model_in",
+    MODEL_SQL))
+def q_load_weights(spark, d):
+    """S7 + J5: w_ih written as the TSV text file, read back, zipped to the vocabulary by row number."""
+    from wordloom.session import scratch_path
+    vb, mi, mo = corpus_model(spark, d, with_targets=False)
+    path = scratch_path(spark, "weights")
+    MD.save_weights(mi, mo, path, tsv=True)
+    back = MD.load_weights_tsv(spark, f"{path}/weights-ih.tsv", vb.vocab)
+    return back.select("idx", "word", V.round_vec(F.col("vec")).alias("vec"))
+
+
+@query("zip_vocab_weights", S.with_corpus("SELECT v.idx, v.word, list_transform(m.vec, lambda x: round(x, 6)) AS vec "
+                                          "FROM vocab v JOIN model_in m ON m.idx = v.idx", MODEL_SQL))
+def q_zip_vocab_weights(spark, d):
+    vb, mi, mo = corpus_model(spark, d, with_targets=False)
+    return QA.zip_vocab_weights(vb.vocab, mi).select("idx", "word", V.round_vec(F.col("vec")).alias("vec"))
+
+
+# ================================================================ distributions
+
+@query("discrete_normal_pmf", S.with_corpus(
+    "SELECT cell, round(CASE WHEN cell = 0 THEN yhi WHEN cell = n - 1 THEN 1.0 - ylo ELSE yhi - ylo END, 9) AS prob_folded, "
+    "round(yhi - ylo, 9) AS prob FROM (SELECT cell, n, " +
+    normal_cdf_sql("-4.0 + cell * (8.0 / (n - 1)) - (8.0 / (n - 1)) / 2") + " AS ylo, " +
+    normal_cdf_sql("-4.0 + cell * (8.0 / (n - 1)) + (8.0 / (n - 1)) / 2") + " AS yhi "
+    "FROM (SELECT unnest(range(n)) AS cell, n FROM (SELECT count(*) AS n FROM vocab)))"))
+def q_discrete_normal_pmf(spark, d):
+    """Discrete normal over the V sampler slots, cells on [m − 4s, m + 4s] (the TDND range)."""
+    v = build_vocabulary(docs(spark, d), CFG, STOPS, with_targets=False).vocab
+    n = v.count()
+    cells = v.select(F.col("idx").alias("cell"))
+    p = AN.discrete_normal_pmf(cells, n, 0.0, 1.0, span=4.0)
+    return p.select("cell", F.round("prob_folded", 9).alias("prob_folded"), F.round("prob", 9).alias("prob"))
+
+
+@query("empirical_distribution", r"""
+SELECT l_quantity AS value, count(*) AS n, round(count(*) * 100.0 / (SELECT count(l_quantity) FROM lineitem), 6) AS pct,
+       (SELECT min(l_quantity) FROM lineitem) AS min_value, (SELECT max(l_quantity) FROM lineitem) AS max_value
+FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY l_quantity""")
+def q_empirical_distribution(spark, d):
+    e = AN.empirical_distribution(table(spark, d, "lineitem"), "l_quantity")
+    return e.withColumn("pct", r6(F.col("pct")))
+
+
+@query("normal_fit", r"""
+SELECT 'events.value' AS source, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events
+UNION ALL
+SELECT 'lineitem.l_quantity', count(l_quantity), round(avg(l_quantity), 6), round(stddev_pop(l_quantity), 6) FROM lineitem""")
+def q_normal_fit(spark, d):
+    a = AN.normal_fit(table(spark, d, "events"), "value").select(F.lit("events.value").alias("source"), "*")
+    b = AN.normal_fit(table(spark, d, "lineitem"), "l_quantity").select(F.lit("lineitem.l_quantity").alias("source"), "*")
+    return a.unionByName(b).select("source", "n", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"))
+
+
+@query("histogram", r"""
+WITH mm AS (SELECT min(l_quantity) AS mn, max(l_quantity) AS mx, CAST(max(l_quantity) AS BIGINT) AS nb FROM lineitem),
+c AS (SELECT CAST(least(floor((l_quantity - mm.mn) / ((mm.mx - mm.mn) / mm.nb)), mm.nb - 1) AS BIGINT) AS bin, count(*) AS n
+      FROM lineitem, mm WHERE l_quantity IS NOT NULL GROUP BY 1)
+SELECT b.bin, round(mm.mn + b.bin * ((mm.mx - mm.mn) / mm.nb), 6) AS lo, round(mm.mn + (b.bin + 1) * ((mm.mx - mm.mn) / mm.nb), 6) AS hi,
+       coalesce(c.n, 0) AS n
+FROM (SELECT unnest(range((SELECT nb FROM mm))) AS bin) b CROSS JOIN mm LEFT JOIN c ON c.bin = b.bin""")
+def q_histogram(spark, d):
+    h = AN.histogram(table(spark, d, "lineitem"), "l_quantity")
+    return h.select("bin", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "n")

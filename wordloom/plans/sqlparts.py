@@ -76,8 +76,10 @@ targets AS (
 """
 
 
-def with_corpus(select: str, extra_ctes: str = "", **kw) -> str:
+def with_corpus(select: str, extra_ctes: str = "", pre: str = "", **kw) -> str:
     ctes = corpus_ctes(**kw)
+    if pre:
+        ctes = pre + ",\n" + ctes
     if extra_ctes:
         ctes = ctes + ",\n" + extra_ctes
     return "WITH " + ctes + "\n" + select
@@ -108,3 +110,31 @@ def qstatus_ctes() -> str:
     v.idx
   FROM qwords q LEFT JOIN vocab v ON v.word = q.word),
 qids AS (SELECT DISTINCT idx FROM qstatus WHERE status = 'ok')"""
+
+
+COLLAPSE_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def collapse_sql(x: str) -> str:
+    """RE2 has no back-references: one replace per letter, as the shell loop does."""
+    for c in COLLAPSE_LETTERS:
+        x = f"regexp_replace({x}, '{c}{{3,}}', '{c}{c}', 'g')"
+    return x
+
+
+QA_CTES = r"""
+qal AS (
+  SELECT u.conv_id, u.turn,
+         regexp_replace(u.text, '[\r\n]+', ' ', 'g') || ' =~=~> ' || regexp_replace(a.text, '[\r\n]+', ' ', 'g') AS line
+  FROM conversations u JOIN conversations a
+    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+  WHERE u.role = 'user'),
+qac AS (
+  SELECT conv_id, turn, """ + collapse_sql(
+    "regexp_replace(" + lower("line") + r", '[^\w\s|\x08=~>]', '', 'g')") + r""" AS line FROM qal),
+qas AS (
+  SELECT conv_id, turn,
+         regexp_replace(regexp_extract(line, '^(.*) =~=~>', 1), ' =~=~>', '', 'g') AS question,
+         regexp_replace(regexp_extract(line, '(=~=~>.*)$', 1), '=~=~> ', '', 'g') AS answer
+  FROM qac WHERE regexp_matches(line, '^.* =~=~>') AND regexp_matches(line, '=~=~>')),
+qdocs AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS doc_id, question AS text FROM qas)"""
