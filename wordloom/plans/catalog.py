@@ -880,3 +880,79 @@ FROM (SELECT unnest(range((SELECT nb FROM mm))) AS bin) b CROSS JOIN mm LEFT JOI
 def q_histogram(spark, d):
     h = AN.histogram(table(spark, d, "lineitem"), "l_quantity")
     return h.select("bin", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "n")
+
+
+# ================================================================ training (rows-only checks)
+
+from wordloom.operators import train as TR  # noqa: E402
+from wordloom.plans.actions import Pipeline  # noqa: E402
+
+
+def trainer(spark, d, cfg=CFG):
+    vb = build_vocabulary(docs(spark, d), cfg, STOPS)
+    return vb, TR.SGNSTrainer(vb.vocab, vb.targets, cfg)
+
+
+@query("sgns_epoch", None)
+def q_sgns_epoch(spark, d):
+    """One epoch from the initial weights → the updated input layer."""
+    vb, tr = trainer(spark, d)
+    st = tr.epoch(tr.init(), 0)
+    return st.model_in
+
+
+@query("train", None)
+def q_train(spark, d):
+    """The full default run (10 epochs, unigram sampler) → per-epoch losses."""
+    vb, tr = trainer(spark, d)
+    tr.train()
+    return tr.loss_report()
+
+
+@query("loss_report", None)
+def q_loss_report(spark, d):
+    """Loss curves of the two samplers side by side (3 epochs each)."""
+    out = None
+    for sampler in ("unigram", "tdnd"):
+        vb, tr = trainer(spark, d, CFG.with_(sampler=sampler))
+        tr.train(3)
+        r = tr.loss_report()
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@query("checkpoint_epoch", None)
+def q_checkpoint_epoch(spark, d):
+    """The per-epoch model tables written by 2 epochs: (epoch, layer, rows)."""
+    vb, tr = trainer(spark, d)
+    tr.train(2)
+    rows = [(ep, layer, spark.read.parquet(f"{tr.dir}/epoch={ep}/{layer}").count())
+            for ep in range(3) for layer in ("in", "out")]
+    return spark.createDataFrame(rows, "epoch int, layer string, rows long")
+
+
+@query("parse_loss_log", None)
+def q_parse_loss_log(spark, d):
+    """The textual loss log of a 3-epoch run parsed back into (epoch, loss, pct)."""
+    vb, tr = trainer(spark, d)
+    tr.train(3)
+    lines = spark.createDataFrame(list(enumerate(tr.log_lines)), "line_no int, line string")
+    return TR.parse_loss_log(lines)
+
+
+def _actions(spark, d, actions, epochs):
+    qw = query_words(spark, d).select("word")
+    p = Pipeline(docs(spark, d), qw, CFG.with_(epochs=epochs), STOPS)
+    return p.run(actions)
+
+
+@query("evaluate", None)
+def q_evaluate(spark, d):
+    """P4 after 3 epochs: context predictions of every valid query word."""
+    return _actions(spark, d, "TRAIN,TEST", 3)["context"]
+
+
+@query("run_actions", None)
+def q_run_actions(spark, d):
+    """TRAIN,SAVE,LOAD,TEST (3 epochs) → precision@1 of the reloaded model."""
+    return _actions(spark, d, "TRAIN,SAVE,LOAD,TEST", 3)["precision"]
