@@ -22,22 +22,21 @@ def _chunks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
 
 
 def sentences(docs: DataFrame, cfg: Config = Config(), stops: list[str] | None = None,
-              text_col: str = "text", id_col: str = "doc_id", keep_empty: bool = False,
-              stem_map: DataFrame | None = None) -> DataFrame:
+              text_col: str = "text", id_col: str = "doc_id", keep_empty: bool = False) -> DataFrame:
     """(doc_id, sid, n_raw, words) — kept words of each sentence, in order.
 
     ``sid`` increments after every token whose last byte ends a sentence,
     also when that token itself is dropped (T7).  Sentences never cross
-    documents.  With ``stem_map`` (word → stem, see :mod:`wordloom.operators.stem`)
-    the stem replaces each cleaned token before the shape and stop checks.
+    documents.  With ``cfg.stem`` the Porter stem replaces each cleaned token
+    before the shape and stop checks (:mod:`wordloom.operators.stem`).
     """
     ch = _chunks(docs, text_col, id_col)
     toks = T.tokenize(F.col("chunk"))
     cleaned = F.transform(toks, lambda t: T.word_clean(t, cfg.strip_all))
     out = ch.select("doc_id", "sid", F.size(toks).alias("n_raw"), cleaned.alias("cleaned"))
-    if stem_map is not None:
+    if cfg.stem:
         from wordloom.operators.stem import apply_stems
-        out = apply_stems(out, stem_map)
+        out = apply_stems(out, "cleaned")
     stop_list = stops if cfg.stop else None
     shaped = F.filter(F.col("cleaned"), lambda w: T.word_shape_ok(w))
     if stop_list:

@@ -956,3 +956,20 @@ def q_evaluate(spark, d):
 def q_run_actions(spark, d):
     """TRAIN,SAVE,LOAD,TEST (3 epochs) → precision@1 of the reloaded model."""
     return _actions(spark, d, "TRAIN,SAVE,LOAD,TEST", 3)["precision"]
+
+
+# ================================================================ stemming
+
+from wordloom.operators import stem as ST  # noqa: E402
+
+
+@query("stem_vocabulary", None)
+def q_stem_vocabulary(spark, d):
+    """T4 job over distinct words: (stem, freq, words) of the unstemmed word counts."""
+    return ST.stem_vocabulary(VC.word_freq(sents(spark, d)))
+
+
+@query("stemmed_vocab", None)
+def q_stemmed_vocab(spark, d):
+    """T4 in the tokeniser (stemming on): the indexed vocabulary of stems."""
+    return build_vocabulary(docs(spark, d), CFG.with_(stem=True), STOPS, with_targets=False).vocab

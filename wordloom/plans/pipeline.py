@@ -35,11 +35,7 @@ def build_vocabulary(docs: DataFrame, cfg: Config = Config(), stops: list[str] |
                      id_col: str = "doc_id") -> VocabBuild:
     """Corpus → kept tokens → counts → filters → indexed vocabulary (+ targets)."""
     spark = docs.sparkSession
-    stem_map = None
-    if cfg.stem:
-        from wordloom.operators.stem import stem_map_for
-        stem_map = stem_map_for(docs, cfg, text_col, id_col)
-    sents = TK.sentences(docs, cfg, stops, text_col=text_col, id_col=id_col, stem_map=stem_map)
+    sents = TK.sentences(docs, cfg, stops, text_col=text_col, id_col=id_col)
     wf = materialize(VC.word_freq(sents), spark, "word_freq")
     v_raw = wf.count()
     kept, removed = VC.vocab_filter(wf, cfg, v_raw)
