@@ -2,13 +2,15 @@
 
 Per epoch:
 
-1. The example table (center, context, repetition chunk) is range-partitioned
-   on (center_idx, context_idx) once and kept as parquet: each partition owns
-   a contiguous run of centers, like the original's threads own index ranges,
-   and a center with a huge context list is split over several partitions
-   (its updates then merge as deltas, step 3).  Large target frequencies are
-   cut into chunks of ``REP_CHUNK`` repetitions so no row carries unbounded work.
-2. ``mapInPandas`` runs the original update order inside each partition with
+1. The example table (center, context, repetition chunk) is cut once into
+   ``part``s of equal work along the (center_idx, context_idx) order and kept
+   as parquet: each part owns a contiguous run of centers, like the
+   original's threads own index ranges, and a center with a huge context list
+   is split over several parts (its updates then merge as deltas, step 3).
+   Large target frequencies are cut into chunks of ``REP_CHUNK`` repetitions
+   so no row carries unbounded work.  The split is computed from ranks and a
+   prefix sum, so it is the same on every run.
+2. ``groupBy(part).applyInPandas`` runs the original update order inside each part with
    numpy: per center normalise w_ih[p]; per (context, repetition) draw 24
    negatives, compute g = α(σ(e) − label), accumulate δ_ih, update w_ho rows,
    then w_ih[p] −= δ_ih / context_max.  The output layer is read whole by each
@@ -23,7 +25,7 @@ Per epoch:
 
 Negatives come from a counter-based hash of (seed, epoch, center, context,
 repetition, sample), so a retried task draws exactly the same numbers.
-With one partition this is the original single-thread order.
+With one part this is the original single-thread order.
 """
 
 from __future__ import annotations
@@ -43,6 +45,7 @@ from wordloom.functions import vectors as V
 from wordloom.session import materialize, scratch_path, ship_package
 
 REP_CHUNK = 64
+WORK_PER_PART = 1 << 21      # examples per part: bounds one group's memory and time
 LOG_TS = "%d-%m-%Y %H:%M:%S"
 
 
@@ -255,7 +258,13 @@ class TrainState:
 
 
 def example_table(targets: DataFrame, cfg: Config, partitions: int) -> DataFrame:
-    """(center_idx, context_idx, tf0, nrep, context_max), range-partitioned and sorted."""
+    """(center_idx, context_idx, tf0, nrep, context_max, part).
+
+    ``part`` cuts the (center, context, repetition) order into ``partitions``
+    runs of equal work (Σ nrep): a deterministic, balanced split in which a
+    center with a huge context list spans several parts.
+    """
+    from wordloom.operators.ranking import dense_index, prefix_sum
     cm = targets.groupBy("center_idx").agg(F.count(F.lit(1)).alias("context_max"))
     t = targets.select("center_idx", "context_idx", "freq").join(cm, "center_idx")
     chunks = F.sequence(F.lit(0), F.floor((F.col("freq") - 1) / REP_CHUNK).cast("int"))
@@ -263,8 +272,12 @@ def example_table(targets: DataFrame, cfg: Config, partitions: int) -> DataFrame
     t = t.select("center_idx", "context_idx", (F.col("_c") * REP_CHUNK).cast("bigint").alias("tf0"),
                  F.least(F.lit(REP_CHUNK), F.col("freq") - F.col("_c") * REP_CHUNK).cast("bigint").alias("nrep"),
                  F.col("context_max").cast("bigint").alias("context_max"))
-    keys = ["center_idx", "context_idx", "tf0"]
-    return t.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
+    ranked = dense_index(t, [F.col("center_idx"), F.col("context_idx"), F.col("tf0")], "_r")
+    cum = prefix_sum(ranked, "_r", "nrep", "_w")
+    total = t.agg(F.sum("nrep")).first()[0] or 1
+    partitions = max(partitions, math.ceil(total / WORK_PER_PART))
+    part = F.least(F.floor(F.col("_w") * F.lit(partitions) / F.lit(total)), F.lit(partitions - 1)).cast("int")
+    return cum.withColumn("part", part).drop("_r", "_w")
 
 
 def sampler_table(vocab: DataFrame, cfg: Config, v: int) -> DataFrame:
@@ -284,14 +297,14 @@ def sampler_table(vocab: DataFrame, cfg: Config, v: int) -> DataFrame:
 
 
 def _kernel(path_in, path_out, path_tab, v, h, n_tab, cfg, epoch, alpha, update):
-    def fn(batches):
+    def fn(part: pd.DataFrame) -> pd.DataFrame:
         w_in = _cached(("in", path_in), lambda: read_matrix(path_in, v, h))
-        w_out = _cached(("out", path_out), lambda: read_matrix(path_out, v, h)).copy()
-        table = _cached(("tab", path_tab), lambda: read_vector(path_tab, "val", n_tab))
         start_out = _cached(("out", path_out), lambda: read_matrix(path_out, v, h))
+        table = _cached(("tab", path_tab), lambda: read_vector(path_tab, "val", n_tab))
+        w_out = start_out.copy()
+        part = part.sort_values(["center_idx", "context_idx", "tf0"], kind="stable")
         runner = PartitionRunner(w_in, w_out, table, cfg, epoch, alpha, update)
-        for b in batches:
-            runner.feed(b)
+        runner.feed(part)
         in_rows, loss, ex = runner.finish()
         out_kind, out_idx, out_vec = ["loss"], [-1], [np.zeros(1)]
         out_loss, out_n = [loss], [ex]
@@ -303,8 +316,8 @@ def _kernel(path_in, path_out, path_tab, v, h, n_tab, cfg, epoch, alpha, update)
             for k in touched:
                 out_kind.append("out"); out_idx.append(int(k)); out_vec.append(w_out[k] - start_out[k])
                 out_loss.append(0.0); out_n.append(0)
-        yield pd.DataFrame({"kind": out_kind, "idx": np.asarray(out_idx, dtype=np.int64),
-                            "vec": out_vec, "loss": out_loss, "n": np.asarray(out_n, dtype=np.int64)})
+        return pd.DataFrame({"kind": out_kind, "idx": np.asarray(out_idx, dtype=np.int64),
+                             "vec": out_vec, "loss": out_loss, "n": np.asarray(out_n, dtype=np.int64)})
     return fn
 
 
@@ -358,7 +371,7 @@ class SGNSTrainer:
     def _pass(self, st: TrainState, epoch: int, alpha: float, update: bool) -> DataFrame:
         fn = _kernel(self._file_path(st.model_in), self._file_path(st.model_out), self.tab_path,
                      self.v, self.h, self.n_tab, self.cfg, epoch, alpha, update)
-        return self.examples.mapInPandas(fn, KERNEL_SCHEMA)
+        return self.examples.groupBy("part").applyInPandas(fn, KERNEL_SCHEMA)
 
     def loss(self, st: TrainState, epoch: int = -1) -> tuple[float, int]:
         """E6 with the task kernel (no updates): (loss, examples)."""
@@ -418,7 +431,8 @@ class SGNSTrainer:
 def sgns_epoch_join(tr: SGNSTrainer, st: TrainState, epoch: int, alpha: float):
     """Epoch for models above the per-task limit: every sample row joins its two
     vectors, gradients are computed as column expressions from the epoch-start
-    weights (a synchronous step) and summed per index."""
+    weights (a synchronous step) and averaged per index.  The reported loss is
+    measured at the epoch-start weights."""
     from wordloom.operators import sampling as SP
     ex = tr.examples.select("center_idx", "context_idx", (F.col("tf0") + F.col("nrep")).alias("freq"),
                             "context_max").groupBy("center_idx", "context_idx", "context_max").agg(
@@ -437,7 +451,10 @@ def sgns_epoch_join(tr: SGNSTrainer, st: TrainState, epoch: int, alpha: float):
                    F.transform("vo", lambda x: -x * F.col("g") / F.col("context_max")).alias("vec"))
     dout = j.select(F.lit("out").alias("kind"), F.col("k").alias("idx"),
                     F.transform("vi", lambda x: -x * F.col("g")).alias("vec"))
-    d = din.unionByName(dout).groupBy("kind", "idx").agg(V.sum_vectors(F.col("vec")).alias("d"))
+    # a synchronous step: each row moves by the mean of its single-example updates
+    d = din.unionByName(dout).groupBy("kind", "idx").agg(
+        V.sum_vectors(F.col("vec")).alias("s"), F.count(F.lit(1)).alias("cnt"))
+    d = d.select("kind", "idx", F.transform("s", lambda x: x / F.col("cnt")).alias("d"))
     return d, loss
 
 
