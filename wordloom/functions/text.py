@@ -93,12 +93,13 @@ def sentence_end(token: Column) -> Column:
     return F.substring(token, -1, 1).isin(*list(SENTENCE_DELIMITERS))
 
 
-def word_clean(token: Column, strip_all: bool = False) -> Column:
+def word_clean(token: Column, strip_all: bool = False, lowered: bool = False) -> Column:
     """Lowercase, then strip exactly one trailing sentence byte.
 
-    ``strip_all=True`` strips every trailing sentence byte instead.
+    ``strip_all=True`` strips every trailing sentence byte instead;
+    ``lowered=True`` when the text was already lowercased as a whole.
     """
-    low = word_lower(token)
+    low = token if lowered else word_lower(token)
     if strip_all:
         return F.regexp_replace(low, SENT_CLASS + "+\\z", "")
     return F.when(sentence_end(low), F.substring(low, F.lit(1), F.length(low) - 1)).otherwise(low)
@@ -110,21 +111,10 @@ def word_shape_ok(word: Column) -> Column:
 
 
 def not_stop(word: Column, stops: list[str] | None) -> Column:
-    """T6 as an expression over a literal list (small lists)."""
+    """T6 as an expression over a literal list (``isin`` becomes a hash-set lookup)."""
     if not stops:
         return F.lit(True)
-    return ~F.array_contains(F.array(*[F.lit(s) for s in sorted(set(stops))]), word)
-
-
-def kept_words(chunk: Column, stops: list[str] | None = None, strip_all: bool = False,
-               stem_map: Column | None = None) -> Column:
-    """T8 inside one sentence chunk: clean → shape → stop, order preserved."""
-    cleaned = F.transform(tokenize(chunk), lambda t: word_clean(t, strip_all))
-    shaped = F.filter(cleaned, lambda w: word_shape_ok(w))
-    if stops:
-        lit = F.array(*[F.lit(s) for s in sorted(set(stops))])
-        return F.filter(shaped, lambda w: ~F.array_contains(lit, w))
-    return shaped
+    return ~word.isin(*sorted(set(stops)))
 
 
 def window_pairs(words: Column, context: int = 4) -> Column:

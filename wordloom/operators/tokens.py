@@ -14,11 +14,20 @@ from wordloom.config import Config
 from wordloom.functions import text as T
 
 
-def _chunks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, sid, chunk) — chunk in byte view; sid counts every sentence end."""
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.posexplode(T.split_sentences(T.as_lines(T.byte_view(F.col(text_col))))).alias("sid", "chunk"))
+def _chunks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
+            lower: bool = False) -> DataFrame:
+    """(doc_id, sid, chunk) — chunk in byte view; sid counts every sentence end.
+
+    ``lower=True`` lowercases (ASCII) the whole text first: case never
+    affects delimiters or sentence bytes, so each token is then clean-ready.
+    """
+    from wordloom.sources.tables import spread
+    docs = spread(docs, id_col)
+    t = T.byte_view(F.col(text_col))
+    if lower:
+        t = T.word_lower(t)
+    return docs.select(F.col(id_col).alias("doc_id"),
+                       F.posexplode(T.split_sentences(T.as_lines(t))).alias("sid", "chunk"))
 
 
 def sentences(docs: DataFrame, cfg: Config = Config(), stops: list[str] | None = None,
@@ -30,9 +39,9 @@ def sentences(docs: DataFrame, cfg: Config = Config(), stops: list[str] | None =
     documents.  With ``cfg.stem`` the Porter stem replaces each cleaned token
     before the shape and stop checks (:mod:`wordloom.operators.stem`).
     """
-    ch = _chunks(docs, text_col, id_col)
+    ch = _chunks(docs, text_col, id_col, lower=True)
     toks = T.tokenize(F.col("chunk"))
-    cleaned = F.transform(toks, lambda t: T.word_clean(t, cfg.strip_all))
+    cleaned = F.transform(toks, lambda t: T.word_clean(t, cfg.strip_all, lowered=True))
     out = ch.select("doc_id", "sid", F.size(toks).alias("n_raw"), cleaned.alias("cleaned"))
     if cfg.stem:
         from wordloom.operators.stem import apply_stems
@@ -40,8 +49,7 @@ def sentences(docs: DataFrame, cfg: Config = Config(), stops: list[str] | None =
     stop_list = stops if cfg.stop else None
     shaped = F.filter(F.col("cleaned"), lambda w: T.word_shape_ok(w))
     if stop_list:
-        lit = F.array(*[F.lit(s) for s in sorted(set(stop_list))])
-        kept = F.filter(shaped, lambda w: ~F.array_contains(lit, w))
+        kept = F.filter(shaped, lambda w: T.not_stop(w, stop_list))
     else:
         kept = shaped
     out = out.select("doc_id", "sid", "n_raw", kept.alias("words"))
@@ -52,6 +60,8 @@ def sentences(docs: DataFrame, cfg: Config = Config(), stops: list[str] | None =
 
 def _doc_tokens(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """(doc_id, pos, sid, tok) — every raw token (byte view) with its sentence id."""
+    from wordloom.sources.tables import spread
+    docs = spread(docs, id_col)
     chunks = T.split_sentences(T.as_lines(T.byte_view(F.col(text_col))))
     arr = F.flatten(F.transform(chunks, lambda c, i: F.transform(
         T.tokenize(c), lambda t: F.struct(i.alias("sid"), t.alias("tok")))))

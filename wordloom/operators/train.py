@@ -277,7 +277,21 @@ def example_table(targets: DataFrame, cfg: Config, partitions: int) -> DataFrame
     total = t.agg(F.sum("nrep")).first()[0] or 1
     partitions = max(partitions, math.ceil(total / WORK_PER_PART))
     part = F.least(F.floor(F.col("_w") * F.lit(partitions) / F.lit(total)), F.lit(partitions - 1)).cast("int")
-    return cum.withColumn("part", part).drop("_r", "_w")
+    labels = partition_labels(targets.sparkSession, partitions)
+    out = cum.withColumn("part", part).drop("_r", "_w").join(F.broadcast(labels), "part")
+    return out, partitions
+
+
+def partition_labels(spark, n: int) -> DataFrame:
+    """(part, pl): an int label per part such that ``repartition(n, "pl")`` sends
+    part i to partition i (Spark's own Murmur3 hash, as the exchange uses it)."""
+    for span in (64, 1024, 16384):
+        c = F.col("id").cast("int")
+        m = spark.range(n * span).select(c.alias("pl"), F.pmod(F.hash(c), F.lit(n)).alias("part")) \
+            .groupBy("part").agg(F.min("pl").alias("pl"))
+        if m.count() == n:
+            return m.select(F.col("part").cast("int").alias("part"), "pl")
+    raise RuntimeError("no hash label found for every partition")
 
 
 def sampler_table(vocab: DataFrame, cfg: Config, v: int) -> DataFrame:
@@ -338,7 +352,8 @@ class SGNSTrainer:
         self.dir = model_dir or scratch_path(self.spark, "model")
         p = partitions or cfg.train_partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.partitions = p
-        self.examples = materialize(example_table(targets, cfg, p), self.spark, "examples")
+        ex, self.parts = example_table(targets, cfg, p)
+        self.examples = materialize(ex, self.spark, "examples")
         tab = materialize(sampler_table(vocab, cfg, self.v), self.spark, "sampler")
         self.tab_path = self._file_path(tab)
         self.n_tab = tab.count()
@@ -371,7 +386,9 @@ class SGNSTrainer:
     def _pass(self, st: TrainState, epoch: int, alpha: float, update: bool) -> DataFrame:
         fn = _kernel(self._file_path(st.model_in), self._file_path(st.model_out), self.tab_path,
                      self.v, self.h, self.n_tab, self.cfg, epoch, alpha, update)
-        return self.examples.groupBy("part").applyInPandas(fn, KERNEL_SCHEMA)
+        # one part per task: explicit repartition (not coalesced by AQE) on labels that
+        # hash to distinct partitions; the groupBy then needs no further exchange
+        return self.examples.repartition(self.parts, "pl").groupBy("pl").applyInPandas(fn, KERNEL_SCHEMA)
 
     def loss(self, st: TrainState, epoch: int = -1) -> tuple[float, int]:
         """E6 with the task kernel (no updates): (loss, examples)."""

@@ -12,3 +12,13 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-redistribute on ``key`` only when the scan yields fewer partitions than
+    the cluster can run at once (e.g. one large row group); a large input that
+    already arrives as many splits is left alone, so no extra shuffle at scale."""
+    sc = df.sparkSession.sparkContext
+    if df.rdd.getNumPartitions() < sc.defaultParallelism:
+        return df.repartition(sc.defaultParallelism, key)
+    return df
