@@ -113,10 +113,9 @@ def sample_rows(targets: DataFrame, vocab: DataFrame, cfg: Config = Config(), ep
 
 def sgns_loss(rows: DataFrame, model_in: DataFrame, model_out: DataFrame) -> DataFrame:
     """Σ −ln σ(±w_ih[p]·w_ho[k]) over sample rows (+ for ck = 0, − for negatives)."""
-    wi = model_in.select(F.col("idx").alias("center_idx"), F.col("vec").alias("vi"))
-    wo = model_out.select(F.col("idx").alias("k"), F.col("vec").alias("vo"))
-    e = rows.join(wi, "center_idx").join(wo, "k").withColumn("e", V.dot(F.col("vi"), F.col("vo")))
-    term = V.log_sigmoid_neg(F.when(F.col("ck") == 0, F.col("e")).otherwise(-F.col("e")))
+    from wordloom.operators.scoring import pair_scores
+    e = pair_scores(rows.select("center_idx", "k", "ck"), model_in, model_out, "center_idx", "k", "dot")
+    term = V.log_sigmoid_neg(F.when(F.col("ck") == 0, F.col("score")).otherwise(-F.col("score")))
     return e.agg(F.sum(F.when(F.col("ck") == 0, 1).otherwise(0)).cast("bigint").alias("examples"),
                  F.sum(term).alias("loss"))
 

@@ -257,6 +257,11 @@ class TrainState:
     model_out: DataFrame
 
 
+def load_state(spark, path: str) -> TrainState:
+    """A saved epoch: (idx, word, vec) per layer."""
+    return TrainState(path, spark.read.parquet(f"{path}/layer=in"), spark.read.parquet(f"{path}/layer=out"))
+
+
 def example_table(targets: DataFrame, cfg: Config, partitions: int) -> DataFrame:
     """(center_idx, context_idx, tf0, nrep, context_max, part).
 
@@ -353,7 +358,7 @@ class SGNSTrainer:
         p = partitions or cfg.train_partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.partitions = p
         ex, self.parts = example_table(targets, cfg, p)
-        self.examples = materialize(ex, self.spark, "examples")
+        self.examples = self._bucketed(ex)
         tab = materialize(sampler_table(vocab, cfg, self.v), self.spark, "sampler")
         self.tab_path = self._file_path(tab)
         self.n_tab = tab.count()
@@ -361,6 +366,16 @@ class SGNSTrainer:
         self.log_lines: list[str] = []
         self.init_loss = None
 
+    def _bucketed(self, ex: DataFrame) -> DataFrame:
+        """Write the example table bucketed by part label (one bucket per part) in
+        the shared folder: every epoch then groups co-located rows, no shuffle."""
+        import uuid
+        name = f"wordloom_examples_{uuid.uuid4().hex[:12]}"
+        ex.write.bucketBy(self.parts, "pl").sortBy("center_idx", "context_idx", "tf0") \
+            .option("path", scratch_path(self.spark, "examples")).saveAsTable(name)
+        self.examples_table = name
+        return self.spark.table(name)
+
     @staticmethod
     def _file_path(df: DataFrame) -> str:
         files = df.inputFiles()
@@ -378,17 +393,19 @@ class SGNSTrainer:
         return self._write(0, mi.select("idx", "word", "vec"), mo.select("idx", "word", "vec"))
 
     def _write(self, epoch: int, mi: DataFrame, mo: DataFrame) -> TrainState:
+        """Both layers of epoch ``epoch`` in one job, as ``<dir>/epoch=<n>/layer=in|out``."""
         path = f"{self.dir}/epoch={epoch}"
-        mi.write.mode("overwrite").parquet(f"{path}/in")
-        mo.write.mode("overwrite").parquet(f"{path}/out")
-        return TrainState(path, self.spark.read.parquet(f"{path}/in"), self.spark.read.parquet(f"{path}/out"))
+        both = mi.select(F.lit("in").alias("layer"), "idx", "word", "vec").unionByName(
+            mo.select(F.lit("out").alias("layer"), "idx", "word", "vec"))
+        both.write.mode("overwrite").partitionBy("layer").parquet(path)
+        return load_state(self.spark, path)
 
     def _pass(self, st: TrainState, epoch: int, alpha: float, update: bool) -> DataFrame:
         fn = _kernel(self._file_path(st.model_in), self._file_path(st.model_out), self.tab_path,
                      self.v, self.h, self.n_tab, self.cfg, epoch, alpha, update)
-        # one part per task: explicit repartition (not coalesced by AQE) on labels that
-        # hash to distinct partitions; the groupBy then needs no further exchange
-        return self.examples.repartition(self.parts, "pl").groupBy("pl").applyInPandas(fn, KERNEL_SCHEMA)
+        # one part per task: the table is bucketed on labels that hash to distinct
+        # buckets, so the groupBy reads co-located buckets without an exchange
+        return self.examples.groupBy("pl").applyInPandas(fn, KERNEL_SCHEMA)
 
     def loss(self, st: TrainState, epoch: int = -1) -> tuple[float, int]:
         """E6 with the task kernel (no updates): (loss, examples)."""
@@ -440,9 +457,10 @@ class SGNSTrainer:
         return st
 
     def loss_report(self) -> DataFrame:
-        """(model, epoch, loss, pct)."""
-        rows = [(self.cfg.sampler, r["epoch"], float(r["loss"]), float(r["pct"])) for r in self.losses]
-        return self.spark.createDataFrame(rows, "model string, epoch int, loss double, pct double")
+        """E9 + E5: (model, epoch, alpha, loss, pct); alpha is the rate the epoch trained with."""
+        rows = [(self.cfg.sampler, r["epoch"], self.cfg.learning_rate(r["epoch"] - 1) if r["epoch"] > 0 else None,
+                 float(r["loss"]), float(r["pct"])) for r in self.losses]
+        return self.spark.createDataFrame(rows, "model string, epoch int, alpha double, loss double, pct double")
 
 
 def sgns_epoch_join(tr: SGNSTrainer, st: TrainState, epoch: int, alpha: float):

@@ -390,32 +390,32 @@ FROM targets t JOIN model_in a ON a.idx = t.center_idx JOIN {other} b ON b.idx =
 @query("dot_scores", S.with_corpus(_PAIR_VEC_SQL.format(
     expr="round(list_dot_product(a.vec, b.vec), 6)", name="score", other="model_out"), MODEL_SQL))
 def q_dot_scores(spark, d):
+    from wordloom.operators.scoring import pair_scores
     vb, mi, mo = corpus_model(spark, d)
     t = vb.targets.select("center_idx", "context_idx")
-    j = t.join(mi.select(F.col("idx").alias("center_idx"), F.col("vec").alias("a")), "center_idx") \
-        .join(mo.select(F.col("idx").alias("context_idx"), F.col("vec").alias("b")), "context_idx")
-    return j.select("center_idx", "context_idx", r6(V.dot(F.col("a"), F.col("b"))).alias("score"))
+    return pair_scores(t, mi, mo, "center_idx", "context_idx", "dot").select(
+        "center_idx", "context_idx", r6(F.col("score")).alias("score"))
 
 
 @query("sigmoid", S.with_corpus(_PAIR_VEC_SQL.format(
     expr="round(1.0 / (1.0 + exp(-list_dot_product(a.vec, b.vec))), 6)", name="prob", other="model_out"), MODEL_SQL))
 def q_sigmoid(spark, d):
+    from wordloom.operators.scoring import pair_scores
     vb, mi, mo = corpus_model(spark, d)
     t = vb.targets.select("center_idx", "context_idx")
-    j = t.join(mi.select(F.col("idx").alias("center_idx"), F.col("vec").alias("a")), "center_idx") \
-        .join(mo.select(F.col("idx").alias("context_idx"), F.col("vec").alias("b")), "context_idx")
-    return j.select("center_idx", "context_idx", r6(V.sigmoid(V.dot(F.col("a"), F.col("b")))).alias("prob"))
+    return pair_scores(t, mi, mo, "center_idx", "context_idx", "sigmoid").select(
+        "center_idx", "context_idx", r6(F.col("score")).alias("prob"))
 
 
 @query("cosine_similarity", S.with_corpus(_PAIR_VEC_SQL.format(
     expr="round(list_dot_product(a.vec, b.vec) / (sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec))), 6)",
     name="cosine", other="model_in"), MODEL_SQL))
 def q_cosine_similarity(spark, d):
+    from wordloom.operators.scoring import pair_scores
     vb, mi, mo = corpus_model(spark, d)
     t = vb.targets.select("center_idx", "context_idx")
-    j = t.join(mi.select(F.col("idx").alias("center_idx"), F.col("vec").alias("a")), "center_idx") \
-        .join(mi.select(F.col("idx").alias("context_idx"), F.col("vec").alias("b")), "context_idx")
-    return j.select("center_idx", "context_idx", r6(V.cosine(F.col("a"), F.col("b"))).alias("cosine"))
+    return pair_scores(t, mi, mi, "center_idx", "context_idx", "cosine").select(
+        "center_idx", "context_idx", r6(F.col("score")).alias("cosine"))
 
 
 @query("query_skip", S.with_corpus("SELECT item_id, line_no, word, status, idx FROM qstatus", QWORDS_SQL))
@@ -630,8 +630,22 @@ def q_sgns_loss(spark, d):
     return SP.sgns_loss(rows, mi, mo).select("examples", F.round("loss", 4).alias("loss"))
 
 
-@query("sampler_vs_vocab", None)
+def _n10_sql() -> str:
+    raw = ("CAST(round(0.0::DOUBLE + (1.0::DOUBLE + sqrt(-2.0::DOUBLE * ln(" + S.u("n10a", "i", open0=True) + ")) * "
+           "cos(" + repr(2.0 * 3.141592653589793) + "::DOUBLE * " + S.u("n10b", "i") + ") * 0.25::DOUBLE) * 0.5::DOUBLE * "
+           "CAST((SELECT n FROM tot) AS DOUBLE)) AS BIGINT)")
+    res = "CAST(floor(" + S.u("n10c", "i") + " * CAST((SELECT n FROM tot) AS DOUBLE) + 0.0::DOUBLE) AS BIGINT)"
+    return ("d AS (SELECT CASE WHEN v < 0 OR v > (SELECT n FROM tot) THEN " + res + " ELSE v END AS slot FROM "
+            "(SELECT i, " + raw + " AS v FROM (SELECT unnest(range(CAST((SELECT total FROM tot) AS BIGINT))) AS i))),\n"
+            "c AS (SELECT slot, count(*) AS draws FROM d GROUP BY slot)")
+
+
+@query("sampler_vs_vocab", S.with_corpus(
+    "SELECT coalesce(r.slot, c.slot) AS slot, CAST(coalesce(r.freq, 0) AS BIGINT) AS freq, "
+    "CAST(coalesce(c.draws, 0) AS BIGINT) AS draws FROM reorder r FULL OUTER JOIN c ON c.slot = r.slot",
+    _RANGES_SQL + "," + _REORDER_SQL + ",\n" + _n10_sql()))
 def q_sampler_vs_vocab(spark, d):
+    """Reordered vocabulary frequencies vs Σfreq TDND draws on [0, n], per slot."""
     vb = build_vocabulary(docs(spark, d), CFG, STOPS, with_targets=False)
     return SP.sampler_vs_vocab(vb.vocab, CFG)
 
@@ -926,7 +940,7 @@ def q_checkpoint_epoch(spark, d):
     """The per-epoch model tables written by 2 epochs: (epoch, layer, rows)."""
     vb, tr = trainer(spark, d)
     tr.train(2)
-    rows = [(ep, layer, spark.read.parquet(f"{tr.dir}/epoch={ep}/{layer}").count())
+    rows = [(ep, layer, spark.read.parquet(f"{tr.dir}/epoch={ep}/layer={layer}").count())
             for ep in range(3) for layer in ("in", "out")]
     return spark.createDataFrame(rows, "epoch int, layer string, rows long")
 
