@@ -70,11 +70,12 @@ def vocab_targets(und: DataFrame, vocab: DataFrame) -> DataFrame:
     va = vocab.select(F.col("word").alias("a"), F.col("idx").alias("a_idx"))
     vb = vocab.select(F.col("word").alias("b"), F.col("idx").alias("b_idx"))
     kept = und.join(va, "a").join(vb, "b")
-    fwd = kept.select(F.col("a_idx").alias("center_idx"), F.col("a").alias("center"),
-                      F.col("b_idx").alias("context_idx"), F.col("b").alias("context"), "freq")
-    bwd = kept.select(F.col("b_idx").alias("center_idx"), F.col("b").alias("center"),
-                      F.col("a_idx").alias("context_idx"), F.col("a").alias("context"), "freq")
-    return fwd.unionByName(bwd)
+    both = F.explode(F.array(
+        F.struct(F.col("a_idx").alias("center_idx"), F.col("a").alias("center"),
+                 F.col("b_idx").alias("context_idx"), F.col("b").alias("context")),
+        F.struct(F.col("b_idx").alias("center_idx"), F.col("b").alias("center"),
+                 F.col("a_idx").alias("context_idx"), F.col("a").alias("context"))))
+    return kept.select(both.alias("t"), "freq").select("t.*", "freq")
 
 
 def training_examples(targets: DataFrame) -> DataFrame:
