@@ -1,8 +1,9 @@
 """P2 build_vocabulary and friends: compose the operators into the corpus plan.
 
-Tables that later steps reuse (vocabulary, undirected pair counts) are
-written to the shared checkpoint folder once, so a lost executor re-reads
-them instead of re-tokenising the corpus.
+Tables that later steps reuse (word counts, the frozen rank tables behind
+the high filter and the index, undirected pair counts) are written to the
+shared checkpoint folder once, so a lost executor re-reads them instead of
+re-tokenising the corpus.
 """
 
 from __future__ import annotations
@@ -39,8 +40,9 @@ def build_vocabulary(docs: DataFrame, cfg: Config = Config(), stops: list[str] |
     wf = materialize(VC.word_freq(sents), spark, "word_freq")
     v_raw = wf.count()
     kept, removed = VC.vocab_filter(wf, cfg, v_raw)
-    removed = materialize(removed, spark, "removed")
-    vocab = materialize(VC.vocab_index(kept), spark, "vocab")
+    # both derive from written tables only (word counts, frozen rank tables), so
+    # they stay lazy: re-reading them is as cheap as writing them again
+    vocab = VC.vocab_index(kept)
     vb = VocabBuild(sents, wf, v_raw, removed, vocab)
     if with_targets:
         vb.und = materialize(CO.undirected_counts(sents, cfg), spark, "pairs")
