@@ -92,3 +92,15 @@ def test_single_partition_equals_sequential_reference(spark, docs1):
     assert np.allclose(a_out, b_out)
     for p in ref_in:
         assert np.allclose(in_rows[p][1], ref_in[p])
+
+
+def test_lane_mode_is_deterministic_and_learns(spark, docs1):
+    cfg = Config(sampler="unigram_literal", lanes=8)
+    vb = build_vocabulary(docs1, cfg, None)
+    runs = []
+    for _ in range(2):
+        tr = SGNSTrainer(vb.vocab, vb.targets, cfg, partitions=4)
+        tr.train(2)
+        runs.append([round(x["loss"], 6) for x in tr.losses])
+    assert runs[0] == runs[1]
+    assert runs[0][2] < runs[0][1] < runs[0][0]

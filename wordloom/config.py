@@ -50,6 +50,7 @@ class Config:
     # execution
     seed: int = 0
     supersteps_per_epoch: int = 1
+    lanes: int = 1                   # center streams per part advanced in lock-step (1 = exact order)
     combine: str = "sum"             # how partition deltas of w_ho combine: sum | mean
     train_partitions: int = 0        # 0 = spark.sql.shuffle.partitions
     model_broadcast_limit: int = 512 * 1024 * 1024   # bytes of w_ho read whole per task

@@ -146,6 +146,9 @@ class PartitionRunner:
         dup = np.any(srt[:, 1:] == srt[:, :-1], axis=1)
         self.examples += len(P)
         label = self.label
+        if self.update and cfg.lanes > 1 and len(P) > 1:
+            self._feed_lanes(P, KS, CM, dup)
+            return
         if not self.update:
             for i in range(len(P)):
                 p = int(P[i])
@@ -157,38 +160,111 @@ class PartitionRunner:
                 e = w_out[KS[i]] @ self.w
                 self.loss += float(np.logaddexp(0.0, -self.sign * e).sum())
             return
-        loss = 0.0
+        # logits are kept and the loss is summed once per batch, off the hot loop
+        E = np.empty((len(P), ns))
         w = self.w
+        w_in = self.w_in
         for i in range(len(P)):
             p = P[i]
             if p != self.cur:
                 self.w = w
                 self._close()
                 self.cur = p
-                self.w0 = self.w_in[p] / np.sqrt(np.dot(self.w_in[p], self.w_in[p]))
+                self.w0 = w_in[p] / np.sqrt(np.dot(w_in[p], w_in[p]))
                 w = self.w0.copy()
             ks = KS[i]
             if not dup[i]:
                 Wk = w_out[ks]
                 e = Wk @ w
-                s = 1.0 / (1.0 + np.exp(-e))
-                loss -= math.log(max(s[0], 1e-300)) + float(np.log(np.maximum(1.0 - s[1:], 1e-300)).sum())
-                g = alpha * (s - label)
+                E[i] = e
+                g = 1.0 / (1.0 + np.exp(-e))
+                g -= label
+                g *= alpha
                 delta = g @ Wk
-                w_out[ks] = Wk - np.outer(g, w)
+                Wk -= np.outer(g, w)
+                w_out[ks] = Wk
             else:       # a repeated index: keep the strictly sequential order
                 delta = np.zeros(h)
                 for j in range(ns):
                     k = ks[j]
                     e = float(w_out[k] @ w)
-                    sj = 1.0 / (1.0 + math.exp(-e))
-                    loss -= math.log(max(sj if j == 0 else 1.0 - sj, 1e-300))
-                    g = alpha * (sj - label[j])
+                    E[i, j] = e
+                    g = alpha * (1.0 / (1.0 + math.exp(-e)) - label[j])
                     delta += g * w_out[k]
                     w_out[k] -= g * w
             w = w - delta / CM[i]
         self.w = w
-        self.loss += loss
+        self.loss += float(np.logaddexp(0.0, -self.sign * E).sum())
+
+    def _feed_lanes(self, P, KS, CM, dup):
+        """L contiguous center ranges advanced in lock-step, like lock-free threads
+        over static index ranges: one batched step handles one example per lane;
+        output-layer updates of all lanes are scatter-added (colliding rows get
+        every lane's update), each lane keeps its own input vector."""
+        cfg, w_out, alpha, label = self.cfg, self.w_out, self.alpha, self.label
+        n, ns = KS.shape
+        h = w_out.shape[1]
+        L = min(cfg.lanes, n)
+        cuts = [0]
+        for l in range(1, L):
+            c = max(int(l * n / L), cuts[-1] + 1)
+            while c < n and P[c] == P[c - 1]:
+                c += 1
+            if c < n:
+                cuts.append(c)
+        starts = np.asarray(cuts)
+        lens = np.diff(np.append(starts, n))
+        L = len(starts)
+        # the first lane continues the center the previous batch ended with
+        W = np.zeros((L, h))
+        W0 = np.zeros((L, h))
+        cur = np.full(L, -1, dtype=np.int64)
+        if self.cur >= 0 and P[0] == self.cur:
+            W[0], W0[0], cur[0] = self.w, self.w0, self.cur
+        elif self.cur >= 0:
+            self._close()
+        self.cur = -1
+        E = np.empty((n, ns))
+        w_in = self.w_in
+        for t in range(int(lens.max())):
+            act = np.nonzero(lens > t)[0]
+            rows = starts[act] + t
+            p = P[rows]
+            sw = np.nonzero(p != cur[act])[0]
+            for j in sw:                       # lanes moving to a new center
+                l = act[j]
+                if cur[l] >= 0:
+                    self.in_rows[int(cur[l])] = (W0[l].copy(), W[l].copy())
+                q = int(p[j])
+                W0[l] = w_in[q] / np.sqrt(np.dot(w_in[q], w_in[q]))
+                W[l] = W0[l]
+                cur[l] = q
+            ks = KS[rows]
+            Wk = w_out[ks]                               # (A, ns, h)
+            w = W[act]
+            e = np.matmul(Wk, w[:, :, None])[:, :, 0]
+            E[rows] = e
+            g = 1.0 / (1.0 + np.exp(-e))
+            g -= label
+            g *= alpha
+            delta = np.matmul(g[:, None, :], Wk)[:, 0, :]
+            upd = (g[:, :, None] * w[:, None, :]).reshape(-1, h)
+            flat = ks.ravel()
+            order = np.argsort(flat, kind="stable")
+            sk = flat[order]
+            first = np.empty(len(sk), dtype=bool)
+            first[0] = True
+            np.not_equal(sk[1:], sk[:-1], out=first[1:])
+            if first.all():
+                w_out[flat] -= upd                       # every row once: plain update
+            else:                                        # colliding rows: sum their updates
+                starts_u = np.flatnonzero(first)
+                w_out[sk[starts_u]] -= np.add.reduceat(upd[order], starts_u, axis=0)
+            W[act] = w - delta / CM[rows][:, None]
+        for l in range(L):
+            if cur[l] >= 0:
+                self.in_rows[int(cur[l])] = (W0[l].copy(), W[l].copy())
+        self.loss += float(np.logaddexp(0.0, -self.sign * E).sum())
 
     def finish(self):
         self._close()
