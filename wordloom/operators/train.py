@@ -64,28 +64,45 @@ def _mix(x):
         return x ^ (x >> np.uint64(31))
 
 
-def hash_u(seed, stream, *keys):
-    """Counter-based uniform in [0, 1) from integer keys (numpy arrays broadcast)."""
+def hash_key(seed, stream, *keys):
+    """uint64 key mixed from integer keys (numpy arrays broadcast)."""
     with np.errstate(over="ignore"):
         h = _mix(np.uint64(seed) * _G + np.uint64(stream))
         for k in keys:
             h = _mix(h ^ (np.asarray(k).astype(np.uint64) + _G))
+    return h
+
+
+def hash_u(seed, stream, *keys):
+    """Counter-based uniform in [0, 1) from integer keys (numpy arrays broadcast)."""
+    h = hash_key(seed, stream, *keys)
+    return (h >> np.uint64(11)).astype(np.float64) * (1.0 / 9007199254740992.0)
+
+
+def _u_from(base, ck):
+    """Uniforms for sample numbers ``ck`` of examples whose key is ``base``."""
+    with np.errstate(over="ignore"):
+        h = _mix(base ^ (np.asarray(ck).astype(np.uint64) * _G))
     return (h >> np.uint64(11)).astype(np.float64) * (1.0 / 9007199254740992.0)
 
 
 def draw_negatives(sampler: str, table: np.ndarray, v: int, seed: int, epoch: int,
                    p, c, tf, ck) -> np.ndarray:
-    """Vectorised N2/N4/N5 draws; ``table`` is the sampler's lookup array."""
+    """Vectorised N2/N4/N5 draws; ``table`` is the sampler's lookup array.
+
+    Each example (epoch, center, context, repetition) is hashed once; every
+    sample number ``ck`` then costs one more mixing round.
+    """
     if sampler == "unigram":
         total = int(table[-1])
-        slot = np.floor(hash_u(seed, 1, epoch, p, c, tf, ck) * total).astype(np.int64)
+        slot = np.floor(_u_from(hash_key(seed, 1, epoch, p, c, tf), ck) * total).astype(np.int64)
         return np.searchsorted(table, slot, side="right").astype(np.int64)
     if sampler == "unigram_literal":
-        slot = np.floor(hash_u(seed, 1, epoch, p, c, tf, ck) * (v - 1)).astype(np.int64)
+        slot = np.floor(_u_from(hash_key(seed, 1, epoch, p, c, tf), ck) * (v - 1)).astype(np.int64)
         return table[slot]
-    u1 = 1.0 - hash_u(seed, 2, epoch, p, c, tf, ck)       # (0, 1]
-    u2 = hash_u(seed, 3, epoch, p, c, tf, ck)
-    u3 = hash_u(seed, 4, epoch, p, c, tf, ck)
+    u1 = 1.0 - _u_from(hash_key(seed, 2, epoch, p, c, tf), ck)       # (0, 1]
+    u2 = _u_from(hash_key(seed, 3, epoch, p, c, tf), ck)
+    u3 = _u_from(hash_key(seed, 4, epoch, p, c, tf), ck)
     y = np.sqrt(-2.0 * np.log(u1)) * np.cos(2.0 * math.pi * u2)
     x = 0.0 + (1.0 + y * 0.25) * 0.5 * (v - 1)
     raw = np.sign(x) * np.floor(np.abs(x) + 0.5)            # C round(): half away from zero
@@ -416,6 +433,33 @@ def _kernel(path_in, path_out, path_tab, v, h, n_tab, cfg, epoch, alpha, update)
     return fn
 
 
+COMBINE_BLOCK = 2048
+
+
+def combine_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sum epoch-start rows and delta rows of one block of indices (numpy)."""
+    layer = pdf["layer"].iloc[0]
+    if layer == "loss":
+        return pd.DataFrame({"layer": ["loss"], "idx": [-1], "word": [None], "vec": [[0.0]],
+                             "loss": [float(pdf["loss"].sum())]})
+    idx = pdf["idx"].to_numpy(np.int64)
+    uniq, inv = np.unique(idx, return_inverse=True)
+    M = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+    is_base = pdf["base"].to_numpy(bool)
+    if layer == "in":                         # deltas apply to the normalised start row
+        n = np.linalg.norm(M[is_base], axis=1, keepdims=True)
+        M[is_base] = M[is_base] / np.where(n > 0, n, 1.0)
+    S = np.zeros((len(uniq), M.shape[1]))
+    np.add.at(S, inv, M)
+    vecs = list(S)
+    if layer == "in":
+        n = np.linalg.norm(S, axis=1)
+        vecs = [row / nn if nn > 0 else None for row, nn in zip(S, n)]
+    words = pdf.loc[is_base, ["idx", "word"]].drop_duplicates("idx").set_index("idx")["word"]
+    return pd.DataFrame({"layer": layer, "idx": uniq, "word": words.reindex(uniq).to_numpy(),
+                         "vec": vecs, "loss": 0.0})
+
+
 KERNEL_SCHEMA = "kind string, idx long, vec array<double>, loss double, n long"
 
 
@@ -492,6 +536,8 @@ class SGNSTrainer:
     def epoch(self, st: TrainState, epoch: int) -> TrainState:
         """E7 + E10: one epoch, written to ``epoch=<n+1>``."""
         alpha = self.cfg.learning_rate(epoch)
+        if self.fits_task() and self.cfg.combine == "sum":
+            return self._epoch_one_job(st, epoch, alpha)
         if self.fits_task():
             out = self._pass(st, epoch, alpha, True)
             d = out.groupBy("kind", "idx").agg(
@@ -500,8 +546,7 @@ class SGNSTrainer:
             d = materialize(d, self.spark, "deltas")
             loss = float(d.where("kind = 'loss'").agg(F.sum("loss")).first()[0] or 0.0)
             d = d.where("kind <> 'loss'")
-            if self.cfg.combine == "mean":
-                d = d.withColumn("d", F.transform("d", lambda x: x / F.col("parts")))
+            d = d.withColumn("d", F.transform("d", lambda x: x / F.col("parts")))
         else:
             d, loss = sgns_epoch_join(self, st, epoch, alpha)
         din = d.where("kind = 'in'").select("idx", F.col("d").alias("din"))
@@ -517,6 +562,29 @@ class SGNSTrainer:
         self._record(epoch + 1, loss)
         return nst
 
+    def _epoch_one_job(self, st: TrainState, epoch: int, alpha: float) -> TrainState:
+        """Kernel, delta sum and model write as one job: epoch-start rows and the
+        kernel's delta rows are grouped by (layer, block of COMBINE_BLOCK indices),
+        summed with numpy (input layer: normalised start + Σ deltas, normalised
+        again, as every save does); the loss is its own group; the result is
+        written once, partitioned by layer."""
+        out = self._pass(st, epoch, alpha, True).select(
+            F.col("kind").alias("layer"), "idx", F.lit(None).cast("string").alias("word"), "vec", "loss",
+            F.lit(False).alias("base"))
+        base = st.model_in.select(F.lit("in").alias("layer"), "idx", "word", "vec", F.lit(0.0).alias("loss"),
+                                  F.lit(True).alias("base")) \
+            .unionByName(st.model_out.select(F.lit("out").alias("layer"), "idx", "word", "vec",
+                                             F.lit(0.0).alias("loss"), F.lit(True).alias("base")))
+        rows = base.unionByName(out).withColumn("blk", F.floor(F.col("idx") / COMBINE_BLOCK))
+        agg = rows.groupBy("layer", "blk").applyInPandas(
+            combine_block, "layer string, idx long, word string, vec array<double>, loss double")
+        path = f"{self.dir}/epoch={epoch + 1}"
+        agg.write.mode("overwrite").partitionBy("layer").parquet(path)
+        loss = float(self.spark.read.parquet(f"{path}/layer=loss").agg(F.sum("loss")).first()[0] or 0.0)
+        nst = load_state(self.spark, path)
+        self._record(epoch + 1, loss)
+        return nst
+
     def _record(self, epoch: int, loss: float):
         pct = 100.0 if self.init_loss in (None, 0) else loss / self.init_loss * 100
         self.losses.append({"epoch": epoch, "loss": loss, "pct": pct})
