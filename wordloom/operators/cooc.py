@@ -40,6 +40,19 @@ def undirected_counts(sents: DataFrame, cfg: Config = Config()) -> DataFrame:
     return p.select(a.alias("a"), b.alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("freq"))
 
 
+def fused_counts(sents: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Word counts and undirected pair counts from ONE pass over the sentences.
+
+    Rows (a, b, freq): b NULL → word count of a; b set → count of the pair
+    a < b.  One scan, one tokenisation, one map-side-combined shuffle.
+    """
+    words = F.transform(F.col("words"), lambda w: F.struct(w.alias("a"), F.lit(None).cast("string").alias("b")))
+    pairs = F.transform(T.window_pairs(F.col("words"), cfg.context), lambda p: F.struct(
+        F.least(p["center"], p["ctx"]).alias("a"), F.greatest(p["center"], p["ctx"]).alias("b")))
+    return sents.select(F.explode(F.concat(words, pairs)).alias("r")).select("r.a", "r.b") \
+        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("freq"))
+
+
 def mirror(und: DataFrame) -> DataFrame:
     """(a,b,f) → both (center=a, context=b) and (center=b, context=a)."""
     return und.select(F.col("a").alias("center"), F.col("b").alias("context"), "freq").unionByName(

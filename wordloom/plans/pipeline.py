@@ -37,7 +37,13 @@ def build_vocabulary(docs: DataFrame, cfg: Config = Config(), stops: list[str] |
     """Corpus → kept tokens → counts → filters → indexed vocabulary (+ targets)."""
     spark = docs.sparkSession
     sents = TK.sentences(docs, cfg, stops, text_col=text_col, id_col=id_col)
-    wf = materialize(VC.word_freq(sents), spark, "word_freq")
+    if with_targets:
+        # one pass over the corpus for both word and pair counts
+        counts = materialize(CO.fused_counts(sents, cfg), spark, "counts")
+        wf = counts.where(F.col("b").isNull()).select(F.col("a").alias("word"), "freq")
+        und = counts.where(F.col("b").isNotNull())
+    else:
+        wf = materialize(VC.word_freq(sents), spark, "word_freq")
     v_raw = wf.count()
     kept, removed = VC.vocab_filter(wf, cfg, v_raw)
     # both derive from written tables only (word counts, frozen rank tables), so
@@ -45,6 +51,6 @@ def build_vocabulary(docs: DataFrame, cfg: Config = Config(), stops: list[str] |
     vocab = VC.vocab_index(kept)
     vb = VocabBuild(sents, wf, v_raw, removed, vocab)
     if with_targets:
-        vb.und = materialize(CO.undirected_counts(sents, cfg), spark, "pairs")
-        vb.targets = CO.vocab_targets(vb.und, vocab)
+        vb.und = und
+        vb.targets = CO.vocab_targets(und, vocab)
     return vb
