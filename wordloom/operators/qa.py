@@ -26,11 +26,10 @@ def split_qa(lines: DataFrame, col: str = "line") -> DataFrame:
 def encode_questions(qa: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
     """Q12: Σ vectors of whitespace tokens found in the vocabulary; rows whose sum
     is all-zero are dropped; the rest L2-normalised; the answer stays attached."""
-    toks = qa.select(*keys, F.explode(T.whitespace_tokens(F.col("question"))).alias("word"))
-    sums = toks.join(model.select("word", "vec"), "word").groupBy(*keys).agg(
-        V.sum_vectors(F.col("vec")).alias("s"))
-    nz = sums.where(F.exists("s", lambda x: x != 0.0))
-    return qa.join(nz, keys).select(*keys, "question", "answer", V.l2_normalize(F.col("s")).alias("vec"))
+    from wordloom.operators.sentences import encode_words
+    rows = qa.select(*keys, T.whitespace_tokens(F.col("question")).alias("words"))
+    enc = encode_words(rows, model, keys, drop_zero=True)
+    return qa.join(enc, keys).select(*keys, "question", "answer", "vec")
 
 
 def qa_encoded_lines(enc: DataFrame, keys: list[str]) -> DataFrame:
