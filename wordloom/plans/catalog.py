@@ -335,9 +335,11 @@ QWORDS_SQL = QUERY_LINES_SQL + ",\n" + MODEL_SQL + ",\n" + S.qstatus_ctes()
 
 
 def corpus_model(spark, d, with_targets=True):
+    from wordloom.session import materialize
     vb = build_vocabulary(docs(spark, d), CFG, STOPS, with_targets=with_targets)
     mi, mo = MD.init_weights(vb.vocab, CFG)
-    return vb, mi, mo
+    # hash-initialised layers are written once, not recomputed by every consumer
+    return vb, materialize(mi, spark, "init-in"), materialize(mo, spark, "init-out")
 
 
 def query_status(spark, d, vb):
