@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from wordloom.config import Config
 from wordloom.functions import text as T
-from wordloom.functions import vectors as V
 
 
 def clean_qa_lines(lines: DataFrame, col: str = "line") -> DataFrame:
