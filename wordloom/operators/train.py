@@ -433,7 +433,12 @@ def _kernel(path_in, path_out, path_tab, v, h, n_tab, cfg, epoch, alpha, update)
     return fn
 
 
-COMBINE_BLOCK = 2048
+COMBINE_ROWS = 1 << 20       # rows one combine group may hold (start rows + deltas of all parts)
+
+
+def combine_block_width(parts: int) -> int:
+    """Indices per combine group so that (parts + 1) rows per index stay ≤ COMBINE_ROWS."""
+    return max(1, min(2048, COMBINE_ROWS // (parts + 1)))
 
 
 def combine_block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -564,7 +569,8 @@ class SGNSTrainer:
 
     def _epoch_one_job(self, st: TrainState, epoch: int, alpha: float) -> TrainState:
         """Kernel, delta sum and model write as one job: epoch-start rows and the
-        kernel's delta rows are grouped by (layer, block of COMBINE_BLOCK indices),
+        kernel's delta rows are grouped by (layer, block of indices; at most
+        COMBINE_ROWS rows per group whatever the part count),
         summed with numpy (input layer: normalised start + Σ deltas, normalised
         again, as every save does); the loss is its own group; the result is
         written once, partitioned by layer."""
@@ -575,7 +581,8 @@ class SGNSTrainer:
                                   F.lit(True).alias("base")) \
             .unionByName(st.model_out.select(F.lit("out").alias("layer"), "idx", "word", "vec",
                                              F.lit(0.0).alias("loss"), F.lit(True).alias("base")))
-        rows = base.unionByName(out).withColumn("blk", F.floor(F.col("idx") / COMBINE_BLOCK))
+        rows = base.unionByName(out).withColumn(
+            "blk", F.floor(F.col("idx") / combine_block_width(self.parts)))
         agg = rows.groupBy("layer", "blk").applyInPandas(
             combine_block, "layer string, idx long, word string, vec array<double>, loss double")
         path = f"{self.dir}/epoch={epoch + 1}"
