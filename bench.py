@@ -48,10 +48,12 @@ def main():
     train_s = time.time() - t0
     times["train_10_epochs"] = round(train_s, 3)
     out = {
-        "metric": "total_sec",
-        "value": round(sum(times.values()), 3),
+        # the reference publishes one kind of number: the time of 10 training epochs
+        "metric": "sgns_10_epochs_sec",
+        "value": round(train_s, 3),
         "unit": "sec",
         "queries": times,
+        "total_sec": round(sum(times.values()), 3),
         "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
         "train_examples_per_epoch": examples,
         "train_examples_per_sec": round(examples * C.CFG.epochs / train_s, 1),
