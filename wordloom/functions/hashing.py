@@ -2,7 +2,8 @@
 engine and every task retry (``rand()`` would resample on recompute).
 
 u = first 48 bits of md5("seed:stream:k1:k2:…") / 2^48, in [0, 1).
-``uniform_open0`` gives (0, 1] for logarithms.
+``uniform_open0`` gives (0, 1] for logarithms.  ``uniform_vector`` draws n
+uniforms for one key from SHA-256 digests, five 48-bit values per digest.
 """
 
 from __future__ import annotations
@@ -38,3 +39,30 @@ def sql_uniform(seed, stream: str, *keys: str, open0: bool = False) -> str:
     parts = ", ".join([f"'{seed}'", f"'{stream}'"] + [f"CAST({k} AS VARCHAR)" for k in keys])
     h = f"('0x' || substr(md5(concat_ws(':', {parts})), 1, 12))::BIGINT"
     return f"(({h} + 1)::DOUBLE / 281474976710656.0)" if open0 else f"({h}::DOUBLE / 281474976710656.0)"
+
+
+PER_DIGEST = 5
+
+
+def uniform_vector(seed, stream: str, n: int, *keys) -> Column:
+    """array of n uniforms in [0, 1): digest g = sha256("seed:stream:k…:g") holds
+    components 5g … 5g+4 as consecutive 12-hex-digit groups (each digest is
+    computed once, then split)."""
+    groups = (n + PER_DIGEST - 1) // PER_DIGEST
+    digests = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)),
+                          lambda g: F.sha2(_key(seed, stream, *keys, g), 256))
+    parts = F.transform(digests, lambda d: F.transform(
+        F.sequence(F.lit(0), F.lit(PER_DIGEST - 1)),
+        lambda s: F.conv(d.substr(s * 12 + 1, F.lit(12)), 16, 10).cast("bigint").cast("double") / F.lit(TWO48)))
+    return F.slice(F.flatten(parts), 1, n)
+
+
+def sql_uniform_vector(seed, stream: str, n: int, *keys: str) -> str:
+    """DuckDB twin of :func:`uniform_vector` (keys are SQL expressions)."""
+    groups = (n + PER_DIGEST - 1) // PER_DIGEST
+    parts = ", ".join([f"'{seed}'", f"'{stream}'"] + [f"CAST({k} AS VARCHAR)" for k in keys])
+    digests = (f"list_transform(range(0, {groups}), lambda g: "
+               f"sha256(concat_ws(':', {parts}, CAST(g AS VARCHAR))))")
+    return (f"list_transform(range(0, {n}), lambda j: "
+            f"('0x' || substr(({digests})[j // {PER_DIGEST} + 1], (j % {PER_DIGEST}) * 12 + 1, 12))::BIGINT::DOUBLE"
+            f" / 281474976710656.0)")

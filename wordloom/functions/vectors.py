@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wordloom.functions.hashing import uniform
 
 
 def as_double(vec: Column) -> Column:
@@ -50,11 +49,12 @@ def round_vec(a: Column, digits: int = 6) -> Column:
 
 
 def xavier_vector(seed, stream: str, idx: Column, hidden: int, n: Column | int) -> Column:
-    """U(−1,1)·sqrt(2/(n+n)) per component, hash-seeded by (stream, idx, j)."""
+    """U(−1,1)·sqrt(2/(n+n)) per component, hash-seeded by (stream, idx)."""
+    from wordloom.functions.hashing import uniform_vector
     nn = F.lit(n) if not isinstance(n, Column) else n
     scale = F.sqrt(F.try_divide(F.lit(2.0), (nn + nn).cast("double")))
-    return F.transform(F.sequence(F.lit(0), F.lit(hidden - 1)),
-                       lambda j: (uniform(seed, stream, idx, j) * F.lit(2.0) - F.lit(1.0)) * scale)
+    return F.transform(uniform_vector(seed, stream, hidden, idx),
+                       lambda u: (u * F.lit(2.0) - F.lit(1.0)) * scale)
 
 
 def sum_vectors(vec: Column) -> Column:

@@ -92,9 +92,11 @@ def u(stream: str, *keys: str, seed: int = 0, open0: bool = False) -> str:
 
 def model_ctes(hidden: int = 50, seed: int = 0) -> str:
     """model_in / model_out: hash-seeded Xavier rows over ``vocab``."""
+    from wordloom.functions.hashing import sql_uniform_vector
+
     def m(stream):
-        return (f"SELECT idx, word, list_transform(range(0, {hidden}), lambda j: "
-                f"({u(stream, 'idx', 'j', seed=seed)} * 2.0::DOUBLE - 1.0::DOUBLE) * "
+        return (f"SELECT idx, word, list_transform({sql_uniform_vector(seed, stream, hidden, 'idx')}, lambda x: "
+                f"(x * 2.0::DOUBLE - 1.0::DOUBLE) * "
                 f"sqrt(2.0::DOUBLE / CAST(nv.n + nv.n AS DOUBLE))) AS vec FROM vocab, nv")
     return (f"nv AS (SELECT count(*) AS n FROM vocab),\n"
             f"model_in AS ({m('ih')}),\nmodel_out AS ({m('ho')})")
