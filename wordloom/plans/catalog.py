@@ -334,12 +334,13 @@ MODEL_SQL = S.model_ctes(CFG.hidden, CFG.seed)
 QWORDS_SQL = QUERY_LINES_SQL + ",\n" + MODEL_SQL + ",\n" + S.qstatus_ctes()
 
 
-def corpus_model(spark, d, with_targets=True):
+def corpus_model(spark, d, with_targets=True, out_layer=True):
+    """Vocabulary plus the hash-initialised layers, each written once (not recomputed
+    by every consumer); ``out_layer=False`` when a query only reads the input layer."""
     from wordloom.session import materialize
     vb = build_vocabulary(docs(spark, d), CFG, STOPS, with_targets=with_targets)
     mi, mo = MD.init_weights(vb.vocab, CFG)
-    # hash-initialised layers are written once, not recomputed by every consumer
-    return vb, materialize(mi, spark, "init-in"), materialize(mo, spark, "init-out")
+    return vb, materialize(mi, spark, "init-in"), (materialize(mo, spark, "init-out") if out_layer else None)
 
 
 def query_status(spark, d, vb):
@@ -380,7 +381,7 @@ def q_init_weights(spark, d):
     "SELECT idx, list_transform(vec, lambda x: round(x / sqrt(list_dot_product(vec, vec)), 6)) AS vec FROM model_in",
     MODEL_SQL))
 def q_l2_normalize(spark, d):
-    vb, mi, mo = corpus_model(spark, d, with_targets=False)
+    vb, mi, mo = corpus_model(spark, d, with_targets=False, out_layer=False)
     return mi.select("idx", V.round_vec(V.l2_normalize(F.col("vec"))).alias("vec"))
 
 
@@ -414,7 +415,7 @@ def q_sigmoid(spark, d):
     name="cosine", other="model_in"), MODEL_SQL))
 def q_cosine_similarity(spark, d):
     from wordloom.operators.scoring import pair_scores
-    vb, mi, mo = corpus_model(spark, d)
+    vb, mi, mo = corpus_model(spark, d, out_layer=False)
     t = vb.targets.select("center_idx", "context_idx")
     return pair_scores(t, mi, mi, "center_idx", "context_idx", "cosine").select(
         "center_idx", "context_idx", r6(F.col("score")).alias("cosine"))
@@ -436,7 +437,7 @@ FROM (SELECT q.idx AS qid, m.idx AS iid,
 JOIN vocab qw ON qw.idx = s.qid JOIN vocab iw ON iw.idx = s.iid
 WHERE r BETWEEN 2 AND 6""", QWORDS_SQL))
 def q_similar_words(spark, d):
-    vb, mi, mo = corpus_model(spark, d, with_targets=False)
+    vb, mi, mo = corpus_model(spark, d, with_targets=False, out_layer=False)
     top = SR.similar_items(mi.select("idx", "vec"), valid_qids(spark, d, vb), CFG.predictions)
     w = vb.vocab.select("idx", "word")
     return top.join(w.select(F.col("idx").alias("qid"), "word"), "qid") \
@@ -678,7 +679,7 @@ sentvec AS (
 
 
 def sentence_vectors(spark, d):
-    vb, mi, mo = corpus_model(spark, d, with_targets=False)
+    vb, mi, mo = corpus_model(spark, d, with_targets=False, out_layer=False)
     lines = SC.read_corpus(docs(spark, d)).select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "line")
     return SE.encode_sentences(lines, mi, ["doc_id", "line_no"], "line", CFG)
 
@@ -704,7 +705,7 @@ FROM benchmark b LEFT JOIN (
     MODEL_SQL))
 def q_encode_sentence(spark, d):
     """Each benchmark item as one sentence (its line breaks read as spaces)."""
-    vb, mi, mo = corpus_model(spark, d, with_targets=False)
+    vb, mi, mo = corpus_model(spark, d, with_targets=False, out_layer=False)
     b = table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", "[\\r\\n]", " ").alias("text"))
     return SE.encode_sentence(b, mi, ["item_id"], "text", CFG).select(
         "item_id", V.round_vec(F.col("vec")).alias("vec"))
@@ -846,7 +847,7 @@ def q_load_weights(spark, d):
 @query("zip_vocab_weights", S.with_corpus("SELECT v.idx, v.word, list_transform(m.vec, lambda x: round(x, 6)) AS vec "
                                           "FROM vocab v JOIN model_in m ON m.idx = v.idx", MODEL_SQL))
 def q_zip_vocab_weights(spark, d):
-    vb, mi, mo = corpus_model(spark, d, with_targets=False)
+    vb, mi, mo = corpus_model(spark, d, with_targets=False, out_layer=False)
     return QA.zip_vocab_weights(vb.vocab, mi).select("idx", "word", V.round_vec(F.col("vec")).alias("vec"))
 
 
