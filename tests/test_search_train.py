@@ -43,8 +43,21 @@ def test_training_is_deterministic_and_learns(spark, docs1):
     assert losses[0][2] < losses[0][1] < losses[0][0]
 
 
+def test_targeted_delivery_equals_whole_model(spark, docs1):
+    """Above the size limit each part gets only the rows it touches — same result."""
+    vb = build_vocabulary(docs1, Config(), None)
+    runs = []
+    for cfg in (Config(), Config(model_broadcast_limit=0, targeted_work_per_part=10 ** 9)):
+        tr = SGNSTrainer(vb.vocab, vb.targets, cfg, partitions=4)
+        st = tr.train(2)
+        runs.append(([x["loss"] for x in tr.losses], {r.idx: r.vec for r in st.model_in.collect()}))
+    assert tr.parts == 4 and not tr.fits_task()
+    assert runs[0][0] == runs[1][0]
+    assert all(np.allclose(runs[0][1][k], runs[1][1][k], atol=1e-12) for k in runs[0][1])
+
+
 def test_join_form_epoch_runs(spark, docs1):
-    cfg = Config(model_broadcast_limit=0)      # force the large-model path
+    cfg = Config(model_broadcast_limit=0, large_model="join")      # force the join-form path
     vb = build_vocabulary(docs1, cfg, None)
     tr = SGNSTrainer(vb.vocab, vb.targets, cfg, partitions=4)
     assert not tr.fits_task()

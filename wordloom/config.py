@@ -53,13 +53,17 @@ class Config:
     lanes: int = 1                   # center streams per part advanced in lock-step (1 = exact order)
     combine: str = "sum"             # how partition deltas of w_ho combine: sum | mean
     train_partitions: int = 0        # 0 = spark.sql.shuffle.partitions
-    model_broadcast_limit: int = 512 * 1024 * 1024   # bytes of w_ho read whole per task
+    model_broadcast_limit: int = 512 * 1024 * 1024   # bytes of both layers read whole per task
+    large_model: str = "targeted"    # above the limit: "targeted" row delivery or "join" step
+    targeted_work_per_part: int = 0  # examples per part in targeted mode (0 = from the limit)
 
     def __post_init__(self):
         if self.sampler not in SAMPLERS:
             raise ValueError(f"sampler must be one of {SAMPLERS}, got {self.sampler!r}")
         if self.window < 2:
             raise ValueError("window must be >= 2")
+        if self.large_model not in ("targeted", "join"):
+            raise ValueError("large_model must be 'targeted' or 'join'")
         if self.combine not in ("sum", "mean"):
             raise ValueError("combine must be 'sum' or 'mean'")
 

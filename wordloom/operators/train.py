@@ -123,8 +123,12 @@ class PartitionRunner:
     task-local copy); ``in_rows`` maps center → (normalised start, final).
     """
 
-    def __init__(self, w_in, w_out, table, cfg: Config, epoch: int, alpha: float, update: bool = True):
+    def __init__(self, w_in, w_out, table, cfg: Config, epoch: int, alpha: float, update: bool = True,
+                 in_ids=None, out_ids=None, v: int | None = None):
         self.w_in, self.w_out, self.table = w_in, w_out, table
+        # targeted mode: w_in / w_out hold only the rows with these sorted global ids
+        self.in_ids, self.out_ids = in_ids, out_ids
+        self.v = v if v is not None else w_out.shape[0]
         self.cfg, self.epoch, self.alpha, self.update = cfg, epoch, alpha, update
         ns = cfg.samples
         self.label = np.zeros(ns)
@@ -140,9 +144,16 @@ class PartitionRunner:
         if self.cur >= 0:
             self.in_rows[self.cur] = (self.w0, self.w)
 
+    def _in_row(self, p):
+        """Input vector of global center ``p`` (local row in targeted mode)."""
+        if self.in_ids is None:
+            return self.w_in[p]
+        return self.w_in[int(np.searchsorted(self.in_ids, p))]
+
     def feed(self, rows: pd.DataFrame):
         cfg, w_out, alpha = self.cfg, self.w_out, self.alpha
-        v, h = w_out.shape
+        h = w_out.shape[1]
+        v = self.v
         ns = cfg.samples
         R = rows["nrep"].to_numpy(np.int64)
         if len(R) == 0:
@@ -159,6 +170,8 @@ class PartitionRunner:
         KS[:, 0] = C
         KS[:, 1:] = draw_negatives(cfg.sampler, self.table, v, cfg.seed, self.epoch,
                                    P[:, None], C[:, None], TF[:, None], ck)
+        if self.out_ids is not None:        # global → local rows (same order, same duplicates)
+            KS = np.searchsorted(self.out_ids, KS)
         srt = np.sort(KS, axis=1)
         dup = np.any(srt[:, 1:] == srt[:, :-1], axis=1)
         self.examples += len(P)
@@ -172,7 +185,8 @@ class PartitionRunner:
                 if p != self.cur:
                     self._close()
                     self.cur = p
-                    self.w0 = self.w_in[p] / np.sqrt(np.dot(self.w_in[p], self.w_in[p]))
+                    wp = self._in_row(p)
+                    self.w0 = wp / np.sqrt(np.dot(wp, wp))
                     self.w = self.w0
                 e = w_out[KS[i]] @ self.w
                 self.loss += float(np.logaddexp(0.0, -self.sign * e).sum())
@@ -180,14 +194,14 @@ class PartitionRunner:
         # logits are kept and the loss is summed once per batch, off the hot loop
         E = np.empty((len(P), ns))
         w = self.w
-        w_in = self.w_in
         for i in range(len(P)):
             p = P[i]
             if p != self.cur:
                 self.w = w
                 self._close()
                 self.cur = p
-                self.w0 = w_in[p] / np.sqrt(np.dot(w_in[p], w_in[p]))
+                wp = self._in_row(p)
+                self.w0 = wp / np.sqrt(np.dot(wp, wp))
                 w = self.w0.copy()
             ks = KS[i]
             if not dup[i]:
@@ -253,7 +267,8 @@ class PartitionRunner:
                 if cur[l] >= 0:
                     self.in_rows[int(cur[l])] = (W0[l].copy(), W[l].copy())
                 q = int(p[j])
-                W0[l] = w_in[q] / np.sqrt(np.dot(w_in[q], w_in[q]))
+                wq = self._in_row(q)
+                W0[l] = wq / np.sqrt(np.dot(wq, wq))
                 W[l] = W0[l]
                 cur[l] = q
             ks = KS[rows]
@@ -355,7 +370,8 @@ def load_state(spark, path: str) -> TrainState:
     return TrainState(path, spark.read.parquet(f"{path}/layer=in"), spark.read.parquet(f"{path}/layer=out"))
 
 
-def example_table(targets: DataFrame, cfg: Config, partitions: int) -> DataFrame:
+def example_table(targets: DataFrame, cfg: Config, partitions: int,
+                  work_per_part: int = WORK_PER_PART) -> DataFrame:
     """(center_idx, context_idx, tf0, nrep, context_max, part).
 
     ``part`` cuts the (center, context, repetition) order into ``partitions``
@@ -373,7 +389,7 @@ def example_table(targets: DataFrame, cfg: Config, partitions: int) -> DataFrame
     ranked = dense_index(t, [F.col("center_idx"), F.col("context_idx"), F.col("tf0")], "_r")
     cum = prefix_sum(ranked, "_r", "nrep", "_w")
     total = t.agg(F.sum("nrep")).first()[0] or 1
-    partitions = max(partitions, math.ceil(total / WORK_PER_PART))
+    partitions = max(partitions, math.ceil(total / work_per_part))
     part = F.least(F.floor(F.col("_w") * F.lit(partitions) / F.lit(total)), F.lit(partitions - 1)).cast("int")
     labels = partition_labels(targets.sparkSession, partitions)
     out = cum.withColumn("part", part).drop("_r", "_w").join(F.broadcast(labels), "part")
@@ -465,6 +481,65 @@ def combine_block(pdf: pd.DataFrame) -> pd.DataFrame:
                          "vec": vecs, "loss": 0.0})
 
 
+def _expand(rows: pd.DataFrame):
+    """(center, context, repetition) per example of a part's sorted rows."""
+    R = rows["nrep"].to_numpy(np.int64)
+    rep_row = np.repeat(np.arange(len(R)), R)
+    start = np.repeat(np.cumsum(R) - R, R)
+    P = rows["center_idx"].to_numpy(np.int64)[rep_row]
+    C = rows["context_idx"].to_numpy(np.int64)[rep_row]
+    TF = rows["tf0"].to_numpy(np.int64)[rep_row] + (np.arange(len(rep_row)) - start)
+    return P, C, TF
+
+
+def _needs(path_tab, v, n_tab, cfg, epoch):
+    """Targeted mode, pass 1: the input rows (centers) and output rows (contexts and
+    every negative the kernel will draw) one part touches."""
+    def fn(part: pd.DataFrame) -> pd.DataFrame:
+        table = _cached(("tab", path_tab), lambda: read_vector(path_tab, "val", n_tab))
+        P, C, TF = _expand(part)
+        neg = draw_negatives(cfg.sampler, table, v, cfg.seed, epoch, P[:, None], C[:, None], TF[:, None],
+                             np.arange(1, cfg.samples)[None, :])
+        cs = np.unique(P)
+        ks = np.unique(np.concatenate([C, neg.ravel()]))
+        pl = int(part["pl"].iloc[0])
+        return pd.DataFrame({"pl": np.full(len(cs) + len(ks), pl, dtype=np.int32),
+                             "layer": ["in"] * len(cs) + ["out"] * len(ks),
+                             "idx": np.concatenate([cs, ks]).astype(np.int64)})
+    return fn
+
+
+def _kernel_targeted(path_tab, v, h, n_tab, cfg, epoch, alpha, update=True):
+    """Targeted mode, pass 2: the kernel on the part's delivered rows only."""
+    def fn(ex: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"kind": pd.Series([], dtype=str), "idx": pd.Series([], dtype="int64"),
+                              "vec": pd.Series([], dtype=object), "loss": pd.Series([], dtype=float),
+                              "n": pd.Series([], dtype="int64")})
+        if len(ex) == 0:
+            return empty
+        table = _cached(("tab", path_tab), lambda: read_vector(path_tab, "val", n_tab))
+        ex = ex.sort_values(["center_idx", "context_idx", "tf0"], kind="stable")
+        rin = rows[rows["layer"] == "in"].sort_values("idx")
+        rout = rows[rows["layer"] == "out"].sort_values("idx")
+        in_ids = rin["idx"].to_numpy(np.int64)
+        out_ids = rout["idx"].to_numpy(np.int64)
+        w_in = np.stack(rin["vec"].to_numpy()).astype(np.float64)
+        start = np.stack(rout["vec"].to_numpy()).astype(np.float64)
+        w_out = start.copy()
+        runner = PartitionRunner(w_in, w_out, table, cfg, epoch, alpha, update, in_ids, out_ids, v)
+        runner.feed(ex)
+        in_rows, loss, n = runner.finish()
+        kind, idx, vec, ls, ns_ = ["loss"], [-1], [np.zeros(1)], [loss], [n]
+        for p, (w0, w1) in (in_rows.items() if update else ()):
+            kind.append("in"); idx.append(int(p)); vec.append(w1 - w0); ls.append(0.0); ns_.append(0)
+        for k in (np.nonzero(np.any(w_out != start, axis=1))[0] if update else ()):
+            kind.append("out"); idx.append(int(out_ids[k])); vec.append(w_out[k] - start[k])
+            ls.append(0.0); ns_.append(0)
+        return pd.DataFrame({"kind": kind, "idx": np.asarray(idx, dtype=np.int64), "vec": vec,
+                             "loss": ls, "n": np.asarray(ns_, dtype=np.int64)})
+    return fn
+
+
 KERNEL_SCHEMA = "kind string, idx long, vec array<double>, loss double, n long"
 
 
@@ -482,7 +557,12 @@ class SGNSTrainer:
         self.dir = model_dir or scratch_path(self.spark, "model")
         p = partitions or cfg.train_partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.partitions = p
-        ex, self.parts = example_table(targets, cfg, p)
+        work = WORK_PER_PART
+        if not self.fits_task() and cfg.large_model == "targeted":
+            # a part's delivered rows (≤ samples per example) must fit the limit
+            work = cfg.targeted_work_per_part or max(
+                1000, cfg.model_broadcast_limit // (cfg.samples * self.h * 8 * 2))
+        ex, self.parts = example_table(targets, cfg, p, work)
         self.examples = self._bucketed(ex)
         tab = materialize(sampler_table(vocab, cfg, self.v), self.spark, "sampler")
         self.tab_path = self._file_path(tab)
@@ -510,7 +590,8 @@ class SGNSTrainer:
         return self.v * self.h * 8
 
     def fits_task(self) -> bool:
-        return 2 * self.model_bytes() + self.n_tab * 8 <= self.cfg.model_broadcast_limit
+        n_tab = getattr(self, "n_tab", self.v)
+        return 2 * self.model_bytes() + n_tab * 8 <= self.cfg.model_broadcast_limit
 
     def init(self) -> TrainState:
         from wordloom.operators.model import init_weights
@@ -532,16 +613,28 @@ class SGNSTrainer:
         # buckets, so the groupBy reads co-located buckets without an exchange
         return self.examples.groupBy("pl").applyInPandas(fn, KERNEL_SCHEMA)
 
+    def _pass_targeted(self, st: TrainState, epoch: int, alpha: float, update: bool = True) -> DataFrame:
+        """Deliver to each part only the rows it touches, then run the kernel on them."""
+        needs = self.examples.groupBy("pl").applyInPandas(
+            _needs(self.tab_path, self.v, self.n_tab, self.cfg, epoch), "pl int, layer string, idx long")
+        model = st.model_in.select(F.lit("in").alias("layer"), "idx", "vec").unionByName(
+            st.model_out.select(F.lit("out").alias("layer"), "idx", "vec"))
+        rows = needs.join(model, ["layer", "idx"])
+        fn = _kernel_targeted(self.tab_path, self.v, self.h, self.n_tab, self.cfg, epoch, alpha, update)
+        return self.examples.groupBy("pl").cogroup(rows.groupBy("pl")).applyInPandas(fn, KERNEL_SCHEMA)
+
     def loss(self, st: TrainState, epoch: int = -1) -> tuple[float, int]:
         """E6 with the task kernel (no updates): (loss, examples)."""
-        r = self._pass(st, epoch, 0.0, False).where("kind = 'loss'").agg(
+        passed = self._pass(st, epoch, 0.0, False) if self.fits_task() else \
+            self._pass_targeted(st, epoch, 0.0, False)
+        r = passed.where("kind = 'loss'").agg(
             F.sum("loss").alias("l"), F.sum("n").alias("n")).first()
         return float(r["l"] or 0.0), int(r["n"] or 0)
 
     def epoch(self, st: TrainState, epoch: int) -> TrainState:
         """E7 + E10: one epoch, written to ``epoch=<n+1>``."""
         alpha = self.cfg.learning_rate(epoch)
-        if self.fits_task() and self.cfg.combine == "sum":
+        if self.cfg.combine == "sum" and (self.fits_task() or self.cfg.large_model == "targeted"):
             return self._epoch_one_job(st, epoch, alpha)
         if self.fits_task():
             out = self._pass(st, epoch, alpha, True)
@@ -574,7 +667,8 @@ class SGNSTrainer:
         summed with numpy (input layer: normalised start + Σ deltas, normalised
         again, as every save does); the loss is its own group; the result is
         written once, partitioned by layer."""
-        out = self._pass(st, epoch, alpha, True).select(
+        passed = self._pass(st, epoch, alpha, True) if self.fits_task() else self._pass_targeted(st, epoch, alpha)
+        out = passed.select(
             F.col("kind").alias("layer"), "idx", F.lit(None).cast("string").alias("word"), "vec", "loss",
             F.lit(False).alias("base"))
         base = st.model_in.select(F.lit("in").alias("layer"), "idx", "word", "vec", F.lit(0.0).alias("loss"),
