@@ -39,7 +39,6 @@ class Config:
     high_ratio: float = 0.01
     predictions: int = 5
     buckets: int = 10
-    invalid_index_max: int = 10
     # flags
     stop: bool = True
     low: bool = True
@@ -49,7 +48,6 @@ class Config:
     sampler: str = "unigram"         # one of SAMPLERS
     # execution
     seed: int = 0
-    supersteps_per_epoch: int = 1
     lanes: int = 1                   # center streams per part advanced in lock-step (1 = exact order)
     combine: str = "sum"             # how partition deltas of w_ho combine: sum | mean
     train_partitions: int = 0        # 0 = spark.sql.shuffle.partitions
