@@ -117,3 +117,12 @@ def test_lane_mode_is_deterministic_and_learns(spark, docs1):
         runs.append([round(x["loss"], 6) for x in tr.losses])
     assert runs[0] == runs[1]
     assert runs[0][2] < runs[0][1] < runs[0][0]
+
+
+def test_mean_combine_runs(spark, docs1):
+    cfg = Config(combine="mean")
+    vb = build_vocabulary(docs1, cfg, None)
+    tr = SGNSTrainer(vb.vocab, vb.targets, cfg, partitions=4)
+    st = tr.train(2)
+    assert st.model_in.count() == vb.vocab.count()
+    assert tr.losses[2]["loss"] < tr.losses[1]["loss"]
