@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.config import Config
@@ -30,7 +30,17 @@ def filter_high(wf: DataFrame, cfg: Config = Config(), v_raw: int | None = None)
     if v_raw is None:
         v_raw = wf.count()
     k = high_cut(v_raw, cfg)
-    ranked = dense_index(wf, [F.col("freq").desc(), F.col("word").desc()], "_r")
+    if k <= 0:
+        return wf.limit(0)
+    # cutoff frequency from the frequency histogram (one row per distinct
+    # frequency, far smaller than the vocabulary): only words at or above it
+    # can be among the k most frequent, so only they are sorted
+    hist = wf.groupBy("freq").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.orderBy(F.col("freq").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    cut = hist.withColumn("cum", F.sum("n").over(w)).where(F.col("cum") >= k) \
+        .agg(F.max("freq").alias("f")).first()["f"]
+    cand = wf.where(F.col("freq") >= cut) if cut is not None else wf
+    ranked = dense_index(cand, [F.col("freq").desc(), F.col("word").desc()], "_r")
     return ranked.where(F.col("_r") < k).drop("_r")
 
 
