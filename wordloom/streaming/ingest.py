@@ -3,8 +3,9 @@
 The original reads a finite corpus file to its end; a growing corpus (new
 document files landing in a folder) is the same computation run as a
 stream: every micro-batch is tokenised in-row exactly like the batch plan,
-and its word counts and undirected pair counts are appended to count
-tables.  ``word_freq`` / ``pair counts`` of the whole corpus are then one
+and its word counts and undirected pair counts (one fused pass) are written
+to a folder of their own per batch id, so a replayed batch overwrites
+rather than double-counts.  ``word_freq`` / ``pair counts`` of the whole corpus are then one
 ``groupBy(...).sum`` over those tables — partial counts never need the
 whole corpus in state, and a restarted query resumes from its checkpoint.
 """
@@ -18,7 +19,6 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from wordloom.config import Config
 from wordloom.operators import cooc as CO
 from wordloom.operators import tokens as TK
-from wordloom.operators import vocab as VC
 
 DOC_SCHEMA = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
 
@@ -35,11 +35,14 @@ def start_count_ingest(docs_stream: DataFrame, out_dir: str, checkpoint: str, cf
     """Start the query: each micro-batch appends its partial word and pair counts."""
 
     def batch(df: DataFrame, batch_id: int):
-        s = TK.sentences(df, cfg, stops)
-        VC.word_freq(s).withColumn("batch", F.lit(batch_id)).write.mode("append") \
-            .parquet(f"{out_dir}/word_counts")
-        CO.undirected_counts(s, cfg).withColumn("batch", F.lit(batch_id)).write.mode("append") \
-            .parquet(f"{out_dir}/pair_counts")
+        # one folder per micro-batch, overwritten: a batch replayed after a failure
+        # replaces its own output instead of counting twice
+        counts = CO.fused_counts(TK.sentences(df, cfg, stops), cfg).persist()
+        counts.where(F.col("b").isNull()).select(F.col("a").alias("word"), "freq") \
+            .write.mode("overwrite").parquet(f"{out_dir}/word_counts/batch={batch_id}")
+        counts.where(F.col("b").isNotNull()).write.mode("overwrite") \
+            .parquet(f"{out_dir}/pair_counts/batch={batch_id}")
+        counts.unpersist()
 
     w = docs_stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
