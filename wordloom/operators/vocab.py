@@ -85,18 +85,23 @@ def freq_rank(vocab: DataFrame) -> DataFrame:
 def freq_distribution(vocab: DataFrame, cfg: Config = Config(), v: int | None = None) -> DataFrame:
     """Frequencies sorted descending, read at 0, s, …, (B-2)s and V-1 (s = V div B).
 
-    Returns (sample, position, freq) with 1-based sample and position.
+    Returns (sample, position, freq) with 1-based sample and position.  Read
+    off the frequency histogram (one row per distinct frequency): the word at
+    rank r has the frequency whose cumulative block [lo, hi) contains r, so
+    the vocabulary itself is never sorted.
     """
     if v is None:
         v = vocab.count()
     b = cfg.buckets
     span = v // b
     pos = [(p, (v - 1) if p == b else (p - 1) * span) for p in range(1, b + 1)]
-    spark = vocab.sparkSession
-    positions = spark.createDataFrame(pos, "sample int, r long")
-    ranked = freq_rank(vocab).select((F.col("rank") - 1).alias("r"), "freq")
-    return positions.join(ranked, "r").select(
-        "sample", (F.col("r") + 1).alias("position"), "freq").orderBy("sample")
+    hist = vocab.groupBy("freq").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.orderBy(F.col("freq").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    h = hist.withColumn("hi", F.sum("n").over(w)).withColumn("lo", F.col("hi") - F.col("n"))
+    wanted = F.array(*[F.struct(F.lit(p).alias("sample"), F.lit(r).cast("bigint").alias("r")) for p, r in pos])
+    hits = F.filter(wanted, lambda x: (x["r"] >= F.col("lo")) & (x["r"] < F.col("hi")))
+    return h.select("freq", F.explode(hits).alias("x")).select(
+        F.col("x.sample").alias("sample"), (F.col("x.r") + 1).alias("position"), "freq").orderBy("sample")
 
 
 def rank_frequency(vocab: DataFrame) -> DataFrame:
