@@ -28,3 +28,13 @@ def test_stream_counts_equal_batch(spark):
     pc = ingest.pair_counts_from_counts(spark, out)
     und = CO.undirected_counts(s)
     assert pc.exceptAll(und).count() == 0 and und.exceptAll(pc).count() == 0
+
+
+def test_replayed_batch_is_not_counted_twice(spark):
+    docs = table(spark, SF1, "documents").select("doc_id", "text").where("doc_id < 50")
+    out = scratch_path(spark, "stream-replay")
+    ingest.write_batch_counts(docs, 0, out)
+    ingest.write_batch_counts(docs, 0, out)          # the same batch again after a failure
+    once = VC.word_freq(TK.sentences(docs, Config(), None))
+    got = ingest.word_freq_from_counts(spark, out)
+    assert got.exceptAll(once).count() == 0 and once.exceptAll(got).count() == 0

@@ -30,19 +30,24 @@ def read_documents_stream(spark: SparkSession, folder: str, schema: StructType =
         .select("doc_id", "text")
 
 
+def write_batch_counts(df: DataFrame, batch_id: int, out_dir: str, cfg: Config = Config(),
+                       stops: list[str] | None = None) -> None:
+    """One micro-batch: fused word/pair counts into folders of its own, overwritten,
+    so a batch replayed after a failure replaces its output instead of counting twice."""
+    counts = CO.fused_counts(TK.sentences(df, cfg, stops), cfg).persist()
+    counts.where(F.col("b").isNull()).select(F.col("a").alias("word"), "freq") \
+        .write.mode("overwrite").parquet(f"{out_dir}/word_counts/batch={batch_id}")
+    counts.where(F.col("b").isNotNull()).write.mode("overwrite") \
+        .parquet(f"{out_dir}/pair_counts/batch={batch_id}")
+    counts.unpersist()
+
+
 def start_count_ingest(docs_stream: DataFrame, out_dir: str, checkpoint: str, cfg: Config = Config(),
                        stops: list[str] | None = None, available_now: bool = False):
-    """Start the query: each micro-batch appends its partial word and pair counts."""
+    """Start the query: each micro-batch writes its partial word and pair counts."""
 
     def batch(df: DataFrame, batch_id: int):
-        # one folder per micro-batch, overwritten: a batch replayed after a failure
-        # replaces its own output instead of counting twice
-        counts = CO.fused_counts(TK.sentences(df, cfg, stops), cfg).persist()
-        counts.where(F.col("b").isNull()).select(F.col("a").alias("word"), "freq") \
-            .write.mode("overwrite").parquet(f"{out_dir}/word_counts/batch={batch_id}")
-        counts.where(F.col("b").isNotNull()).write.mode("overwrite") \
-            .parquet(f"{out_dir}/pair_counts/batch={batch_id}")
-        counts.unpersist()
+        write_batch_counts(df, batch_id, out_dir, cfg, stops)
 
     w = docs_stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
