@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import decontaminate, langid, packing
+from wordloom.llm import decontaminate, langid, packing, substrings
 from wordloom.llm.frames import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,21 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_substring_dedup", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g
+             FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)),
+     rep AS (SELECT doc_id, i FROM win WHERE g IN (SELECT g FROM win GROUP BY g HAVING count(*) > 1)),
+     gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM rep) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_filter(w, lambda x, p: ps IS NULL OR NOT list_contains(ps, p)), ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)""")
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document left when passages of 35 words that occur twice or more are removed."""
+    found = substrings.remove_repeats(read(spark, sf_dir, "documents"), with_text=False)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @query("op5_language_id")
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from those whose id hash is not 2 modulo 4."""
