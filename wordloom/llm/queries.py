@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import decontaminate, langid, packing, substrings
+from wordloom.llm import decontaminate, jaccard, langid, packing, substrings
 from wordloom.llm.frames import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+@query("op3_jaccard_join")
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document: 5-word shingles, Jaccard similarity of 0.8 or more."""
+    return jaccard.groups(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("op5_language_id")
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from those whose id hash is not 2 modulo 4."""
