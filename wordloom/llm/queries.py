@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import decontaminate, jaccard, langid, packing, substrings
+from wordloom.llm import decontaminate, jaccard, langid, packing, pst, substrings
 from wordloom.llm.frames import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "lang_pred", "score")
 
 
+@query("op6_lm_scoring")
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a suffix tree learned from those whose id hash is not 2 modulo 7."""
+    found = pst.score(read(spark, sf_dir, "documents"), remainder("doc_id", 7) != 2)
+    return found.select(F.col("id").alias("doc_id"), F.coalesce(remainder("id", 7) == 2, F.lit(False)).alias("held_out"),
+                        "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op8_best_fit_packing")
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document (or piece of one) in a sequence of 512 to 8192 words."""
