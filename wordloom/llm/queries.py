@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import decontaminate, jaccard, langid, packing, pst, substrings
+from wordloom.llm import decontaminate, jaccard, langid, packing, pst, quality, substrings
 from wordloom.llm.frames import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,12 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query("op7_quality_rules")
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics of every document, and whether it passes the rules and its language's perplexity band."""
+    return quality.judge(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("op8_best_fit_packing")
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document (or piece of one) in a sequence of 512 to 8192 words."""
