@@ -65,4 +65,16 @@ def keep_rows(docs: DataFrame, decide: Callable[[pa.Array], "object"], text_col:
     return arrow_map(docs, fn, docs.schema)
 
 
-__all__ = ["NULL_ID", "arrow_map", "keep_rows", "keyed", "materialize", "read", "remainder", "texts", "unkey"]
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Equi-join on a long key of which either side may be an aggregate by that key.
+
+    Such a side is already dealt by the key, and the adaptive planner does not
+    split hot keys of a join that deals nothing.  The join is on a value derived
+    from the key, so both sides are dealt for it and hot keys of ``left`` are split.
+    """
+    derived = F.col(key).bitwiseXOR(F.lit(1))
+    joined = left.withColumn("_key", derived).join(right.select(derived.alias("_key"), *[c for c in right.columns if c != key]), "_key", how)
+    return joined.drop("_key")
+
+
+__all__ = ["NULL_ID", "arrow_map", "keep_rows", "keyed", "materialize", "read", "remainder", "split_join", "texts", "unkey"]

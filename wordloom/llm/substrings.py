@@ -15,8 +15,8 @@ that path ends in or above an internal node.
   before any text moves.  Groups of up to ``group`` suffixes fit in memory, and
   their suffixes travel with the words of their windows.  For larger groups
   (passages with very many copies) the prefix is lengthened to the window's
-  whole ``n`` words: those are the deep nodes themselves, counted by a
-  combining aggregation, so that no group is ever gathered.
+  whole ``n`` words: those are the deep nodes themselves, counted by combining
+  aggregations, so that no group is ever gathered.
 * **Subtrees.**  A task refines its groups level by level (``2 k`` words, then
   ``n``), dropping suffixes that are alone at a level; what is left at depth
   ``n`` lies below deep internal nodes.  Neighbouring deep windows of a document
@@ -42,8 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.arrays import Words, pieces, signed
-from wordloom.llm.frames import arrow_map, keyed, materialize, unkey
+from wordloom.llm.arrays import Words, mix, pieces, signed
+from wordloom.llm.frames import arrow_map, keyed, materialize, split_join, unkey
 from wordloom.session import ship_package
 
 WINDOW = 35
@@ -140,24 +140,40 @@ def _suffix_rows(docs: DataFrame, shared: DataFrame, n: int, k: int) -> DataFram
     return arrow_map(_with_text(docs, shared), fn, "prefix long, id long, first int, words string")
 
 
-def _window_rows(docs: DataFrame, shared: DataFrame, n: int, k: int) -> DataFrame:
-    """``(node, id, first)``: hash of the whole window for every window of the shared suffixes."""
+def _long_prefixes(docs: DataFrame, shared: DataFrame, n: int, k: int) -> DataFrame:
+    """``(id, first, last)``: word ranges of the repeats in groups too large to gather.
+
+    Suffixes whose windows have the same words are one context, counted by a
+    combining aggregation; only contexts are taken apart into windows.
+    """
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols = [[], [], []]
+        cols = [[], [], [], [], []]
         ids = np.asarray(batch.column(0))
         for p in pieces(batch.column(1)):
             w = Words(p)
-            row, _, first, _, windows = _marks(batch, w, p, k)
-            each = np.repeat(np.arange(len(row)), windows)
-            start = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(windows) - windows, windows)
-            good = start + n <= w.first[1:][row[each]]
-            start, each = start[good], each[good]
-            cols[0].append(signed(w.range_hash(start, start + n)))
-            cols[1].append(ids[p.lo + row[each]])
-            cols[2].append((start - w.first[:-1][row[each]]).astype(np.int32))
-        return pa.record_batch([pa.array(np.concatenate(c)) for c in cols], names=["node", "id", "first"])
-
-    return arrow_map(_with_text(docs, shared), fn, "node long, id long, first int")
+            row, _, first, at, windows = _marks(batch, w, p, k)
+            windows = np.minimum(windows, w.first[1:][row] - n + 1 - first)
+            start = np.repeat(first - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
+            cols[0].append(signed(mix(w.range_hash(first, first + windows + n - 1) + (at - first).astype(np.uint64))))
+            cols[1].append(ids[p.lo + row])
+            cols[2].append((first - w.first[:-1][row]).astype(np.int32))
+            cols[3].append(signed(w.range_hash(start, start + n)))
+            cols[4].append(windows)
+        context, own, first, node, windows = (np.concatenate(c) for c in cols)
+        nodes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(windows)]).astype(np.int32)), pa.array(node))
+        return pa.record_batch([pa.array(context), pa.array(own), pa.array(first), nodes], names=["context", "id", "first", "nodes"])
+
+    rows = arrow_map(_with_text(docs, shared), fn, "context long, id long, first int, nodes array<long>")
+    windows = rows.groupBy("context").agg(F.count(F.lit(1)).alias("size"), F.any_value("nodes").alias("nodes")) \
+        .select("context", "size", F.posexplode("nodes").alias("j", "node"))
+    deep = windows.groupBy("node").agg(F.sum("size").alias("size")).where("size > 1").select("node")
+    found = split_join(windows, deep, "node").groupBy("context").agg(F.sort_array(F.collect_set("j")).alias("js"))
+    whole = F.size("js") == F.element_at("js", -1) - F.element_at("js", 1) + 1
+    spans = F.when(whole, F.array(F.struct(F.element_at("js", 1).alias("j"), F.element_at("js", -1).alias("to")))) \
+        .otherwise(F.transform("js", lambda j: F.struct(j.alias("j"), j.alias("to"))))
+    spread = split_join(rows.select("context", "id", "first"), found.select("context", spans.alias("spans")), "context")
+    return spread.select("id", "first", F.inline("spans")).select("id", (F.col("first") + F.col("j")).alias("first"),
+                                                                  (F.col("first") + F.col("to") + n).alias("last"))
 
 
 def subtree(prefix: np.ndarray, words: pa.Array, n: int, k: int) -> list[tuple[int, int, int]]:
@@ -225,12 +241,9 @@ def repeats(docs: DataFrame, n: int = WINDOW, k: int = PREFIX, group: int = GROU
     ship_package(docs.sparkSession)
     rows = materialize(_anchor_rows(docs, n, k), docs.sparkSession, "anchors")
     sizes = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = rows.join(sizes, "prefix")
+    shared = split_join(rows, sizes, "prefix")
     in_groups = _repeats_in_groups(_suffix_rows(docs, shared.where(F.col("size") <= group), n, k), n, k)
-    nodes = _window_rows(docs, shared.where(F.col("size") > group), n, k)
-    deep = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("node")
-    long_prefixes = nodes.join(deep, "node").select("id", "first", (F.col("first") + n).alias("last"))
-    return in_groups.unionByName(long_prefixes)
+    return in_groups.unionByName(_long_prefixes(docs, shared.where(F.col("size") > group), n, k))
 
 
 def remove_repeats(docs: DataFrame, n: int = WINDOW, k: int = PREFIX, group: int = GROUP, id_col: str = "doc_id",
