@@ -19,7 +19,8 @@ Labelled rows are a bounded sample: per class the ``PER_CLASS`` of least id hash
 three quarters give token scores, one quarter the curve.  All documents are
 scored, over their whole texts.
 
-Tokens are runs of ASCII letters, digits and non-ASCII characters, lower-cased (A-Z).
+Tokens are runs of ASCII letters, digits and non-ASCII characters of the lower-cased
+text.  A word that scores nothing itself scores as its first bytes (``BEGINNINGS``).
 
 Defined cases: null, empty and tokenless texts have no passage and score as
 such; labels other than 0 and 1 are ignored, an id labelled both ways is toxic;
@@ -35,15 +36,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wordloom.llm.arrays import FOLD, LETTERS_DIGITS, Words, in_sorted, pieces, signed
+from wordloom.llm.arrays import FOLD, LETTERS_DIGITS, Words, in_sorted, mix, pieces, signed
 from wordloom.llm.frames import arrow_map, materialize
 
 PER_CLASS = 20_000
 PRIOR, STRENGTH = 0.5, 500.0
 Z, CAP, DRIFT = 3.0, 6.0, 0.4
+BEGINNINGS = (7, 5)
 EXPECTED = 0.05
 
 
+def beginnings(w: Words, n: int) -> np.ndarray:
+    """Hash of the first ``n`` bytes (up to 8) of each word longer than that; 0 for other words."""
+    eight = np.ndarray(shape=(max(len(w.data) - 7, 1),), dtype="<u8", buffer=np.ascontiguousarray(w.data), strides=(1,))
+    got = eight[w.start] & np.uint64((1 << 8 * n) - 1)
+    return np.where(w.end - w.start > n, mix(got ^ np.uint64(0xA24BAED4963EE407 + n)), np.uint64(0))
+
+
 def segments(values: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments ``(first, last exclusive, score)`` in one pass.
 
@@ -78,10 +87,16 @@ class Model:
         self.k = 1.0
         self.curve: np.ndarray | None = None
 
+    def token_score(self, h: np.ndarray) -> np.ndarray:
+        at = in_sorted(h, self.h)
+        return np.where(at >= 0, self.score[at] if len(self.h) else 0.0, 0.0)
+
     def passages(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, first word, last word exclusive, score) of the maximal segments of a piece's rows."""
-        at = in_sorted(w.hash, self.h)
-        s = np.where(at >= 0, self.score[at] if len(self.h) else 0.0, -DRIFT)
+        s = self.token_score(w.hash)
+        for n in BEGINNINGS:
+            s = np.where(s == 0, self.token_score(beginnings(w, n)), s)
+        s = np.where(s == 0, -DRIFT, s)
         up = s > 0
         rows, found = [], []
         for r in np.unique(w.row[up]):
@@ -157,7 +172,7 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_
     place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id"))
     own = own.withColumn("place", place).where(F.col("place") <= per_class) \
         .select("id", "toxic", (F.pmod(F.xxhash64("id", F.lit("curve")), F.lit(4)) == 0).alias("fit"))
-    t = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    t = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("text"))
     return t.join(F.broadcast(own), "id")
 
 
@@ -171,8 +186,14 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
         toxic, out = np.asarray(batch.column(2)), []
         for p in pieces(batch.column(1)):
             w = Words(p, LETTERS_DIGITS, FOLD)
-            pair = np.unique(np.stack([w.row.astype(np.uint64), w.hash]), axis=1) if len(w) else np.zeros((2, 0), np.uint64)
-            out.append(np.stack([pair[1], toxic[p.lo + pair[0].astype(np.int64)].astype(np.uint64)]))
+            h = np.concatenate([w.hash, *(beginnings(w, n) for n in BEGINNINGS)])
+            row = np.tile(w.row, 1 + len(BEGINNINGS))
+            h, row = h[h != 0], row[h != 0]
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            first = np.ones(len(h), dtype=bool)                     # a token counts once per document
+            first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            out.append(np.stack([h[first], toxic[p.lo + row[first]].astype(np.uint64)]))
         h, t = np.concatenate(out, axis=1)
         values, at = np.unique(h, return_inverse=True)
         y1 = np.bincount(at, weights=t.astype(float), minlength=len(values)).astype(np.int64)
@@ -226,7 +247,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         out = [m.probability(m.features(Words(p, LETTERS_DIGITS, FOLD))) for p in pieces(batch.column(1))]
         return pa.record_batch([batch.column(0), pa.array(np.concatenate(out))], names=["id", "score"])
 
-    return arrow_map(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")), fn,
+    return arrow_map(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("text")), fn,
                      "id long, score double")
 
 
@@ -245,5 +266,5 @@ def passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         row, *rest = (np.concatenate(c) for c in cols)
         return pa.record_batch([batch.column(0).take(pa.array(row)), *(pa.array(x) for x in rest)], names=["id", "first", "last", "score", "strength"])
 
-    return arrow_map(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")), fn,
+    return arrow_map(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("text")), fn,
                      "id long, first long, last long, score double, strength double")
