@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import decontaminate, jaccard, langid, packing, pst, quality, substrings, toxicity
+from wordloom.llm import decontaminate, jaccard, langid, lines, packing, pst, quality, substrings, toxicity
 from wordloom.llm.frames import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,32 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query("op4_line_dedup", r"""
+WITH l AS (SELECT doc_id, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS line_no, trim(unnest(a), ' ') AS line
+           FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
+     f AS (SELECT line, min({'id': doc_id, 'line_no': line_no}) AS first FROM l WHERE length(line) >= 20 GROUP BY line),
+     s AS (SELECT line, first, length(line) AS n, i, n // 3 AS q, n % 3 AS r FROM f, (SELECT unnest([0, 1, 2]) AS i)),
+     g AS (SELECT line, first, n, i, q * i + greatest(i - 3 + r, 0) AS p, q + CASE WHEN i + r >= 3 THEN 1 ELSE 0 END AS k FROM s),
+     seg AS (SELECT line, first, n, i, p, substr(line, p + 1, k) AS t FROM g),
+     sub AS (SELECT b.line, b.first, m AS n, i, substr(b.line, p + o + 1, k) AS t
+             FROM (SELECT line, first, length(line) AS n0, unnest(range(length(line) - 2, length(line) + 1)) AS m FROM f) b,
+                  LATERAL (SELECT i, (m // 3) * i + greatest(i - 3 + m % 3, 0) AS p, m // 3 + CASE WHEN i + m % 3 >= 3 THEN 1 ELSE 0 END AS k, o
+                           FROM (SELECT unnest([0, 1, 2]) AS i), (SELECT unnest([-2, -1, 0, 1, 2]) AS o))
+             WHERE p + o >= 0),
+     near AS (SELECT DISTINCT seg.line AS x, seg.first AS fx, sub.line AS y, sub.first AS fy FROM seg JOIN sub USING (n, i, t) WHERE seg.line <> sub.line),
+     ok AS (SELECT x, fx, y, fy, levenshtein(x, y) AS d FROM near WHERE levenshtein(x, y) <= 2),
+     e AS (SELECT line, min({'of': fe, 'd': d}) AS m FROM (SELECT x AS line, fy AS fe, d FROM ok WHERE fy < fx
+                                                           UNION ALL SELECT y, fx, d FROM ok WHERE fx < fy) GROUP BY line)
+SELECT doc_id, line_no, coalesce(m.of.id, first.id) AS of_doc_id, coalesce(m.of.line_no, first.line_no) AS of_line_no,
+       CAST(coalesce(m.d, 0) AS INTEGER) AS distance
+FROM l JOIN f USING (line) LEFT JOIN e USING (line)
+WHERE m IS NOT NULL OR doc_id <> first.id OR line_no <> first.line_no""")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat an earlier line, exactly or within two edits."""
+    found = lines.report(read(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id").withColumnRenamed("of_id", "of_doc_id")
+
+
 @query("op5_language_id")
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from those whose id hash is not 2 modulo 4."""
