@@ -42,7 +42,7 @@ from pyspark.sql.window import Window
 
 from wordloom.llm.arrays import FOLD, Words, mix, pieces, signed
 from wordloom.llm.components import components
-from wordloom.llm.frames import arrow_map, keyed, materialize, unkey
+from wordloom.llm.frames import arrow_map, keyed, materialize, split_join, unkey
 from wordloom.session import ship_package
 
 SHINGLE = 5
@@ -52,6 +52,7 @@ SKETCH_WORDS = 16
 MOST = 12                  # the longest multi-match
 VERIFY_COST = 20           # cost of a candidate, in postings
 LIST_BLOCK = 1024          # nodes of a posting list compared at once
+BITMAP_BITS = 21
 
 
 def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,24 +89,26 @@ def needed(size, threshold: int):
 
 
 def _profile(docs: DataFrame, n: int) -> DataFrame:
-    """Rows ``(kind, a, b, c)``: 0, id, set size, set key of every row; 1, bucket, count, - per task."""
+    """Rows ``(kind, a, b, c, sketch)``: 0, id, set size, set key, sketch of every row; 1, bucket, count per task."""
     ship_package(docs.sparkSession)
+    names = ["kind", "a", "b", "c", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
         for batch in batches:
-            size, key = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            size, key, marks = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
             for p in pieces(batch.column(1)):
                 h, offsets = shingles(Words(p, fold=FOLD), n)
                 size[p.lo:p.hi], key[p.lo:p.hi] = np.diff(offsets), signed(set_keys(h, offsets))
                 counts += np.bincount((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
-            yield pa.record_batch([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), pa.array(size), pa.array(key)],
-                                  names=["kind", "a", "b", "c"])
+                marks += [sketch(h[x:y]) for x, y in zip(offsets, offsets[1:])]
+            yield pa.record_batch([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), pa.array(size), pa.array(key),
+                                   pa.array(marks, pa.binary())], names=names)
         used = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(np.ones(len(used), np.int32)), pa.array(used), pa.array(counts[used]), pa.array(np.zeros(len(used), np.int64))],
-                              names=["kind", "a", "b", "c"])
+        yield pa.record_batch([pa.array(np.ones(len(used), np.int32)), pa.array(used), pa.array(counts[used]), pa.array(np.zeros(len(used), np.int64)),
+                               pa.nulls(len(used), pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "kind int, a long, b long, c long")
+    return docs.mapInArrow(run, "kind int, a long, b long, c long, sketch binary")
 
 
 def frequencies(profile: DataFrame) -> np.ndarray:
@@ -236,8 +239,38 @@ def _sketched(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFram
     return arrow_map(with_both.select("a", "b", "na", "nb", "sa", "sb"), fn, "a long, b long, gap long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _sets(docs: DataFrame, sizes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """``(k, hashes)``: the whole sets of the ``wanted`` nodes ``k``.
+
+    One document per node brings the set.  The documents are scanned where they
+    lie; a bitmap of fixed size over the wanted ids spares most others the
+    work, and only sets move.
+    """
+    spark = docs.sparkSession
+    owners = materialize(sizes.where("n > 0").join(wanted, "k", "left_semi").groupBy("k").agg(F.min("id").alias("id")), spark, "owners")
+    bucket = F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS))
+    live = np.zeros(1 << BITMAP_BITS, dtype=bool)
+    live[np.asarray(owners.select(bucket.alias("b")).distinct().toArrow()["b"].combine_chunks())] = True
+    shared = spark.sparkContext.broadcast(live)
+
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = batch.filter(pa.array(shared.value[np.asarray(batch.column(2))]))
+        key, hashes = [np.zeros(0, np.int64)], []
+        for p in pieces(batch.column(1)):
+            h, offsets = shingles(Words(p, fold=FOLD), n)
+            key.append(signed(set_keys(h, offsets)))
+            hashes += [h[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
+        return pa.record_batch([batch.column(0), pa.array(np.concatenate(key)), pa.array(hashes, pa.binary())], names=["id", "k", "hashes"])
+
+    found = arrow_map(docs.select("id", "text", bucket.alias("b")), fn, "id long, k long, hashes binary")
+    return materialize(found.join(owners, ["id", "k"], "left_semi").dropDuplicates(["k"]).select("k", "hashes"), spark, "sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, n: int, threshold: int) -> DataFrame:
     """The pairs ``(a, b)`` that link, by their whole sets."""
+    pairs = materialize(pairs.select("a", "b"), docs.sparkSession, "pairs")
+    sets = _sets(docs, sizes, pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), n)
+
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         good = []
         for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
@@ -259,47 +292,65 @@ def _across(lists: DataFrame, threshold: int) -> DataFrame:
     ``lists`` has ``h, i, j, half, k, n, l, root, sketch``: the rows of the
     blocks ``i <= j`` of list ``h``, sorted; at most two blocks are held.
     """
-    def solve(t: pa.Table) -> pa.RecordBatch | None:
+    def arrays(t: pa.Table):
         t = t.combine_chunks()
-        k, n, l, root, half = (np.asarray(t[c].combine_chunks()) for c in ("k", "n", "l", "root", "half"))
+        k, n, l, root = (np.asarray(t[c].combine_chunks()) for c in ("k", "n", "l", "root"))
         marks = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint64).reshape(len(k), -1)
-        same = t["i"][0].as_py() == t["j"][0].as_py()
-        left, right = np.flatnonzero(half == 0), np.flatnonzero(half == (0 if same else 1))
-        out = []
-        for x in left:
-            ok = right[(root[right] != root[x]) & (n[right].astype(np.int64) * 100 >= n[x] * np.int64(threshold))
-                       & (np.int64(n[x]) * 100 >= n[right].astype(np.int64) * threshold)]
-            if same:
-                ok = ok[ok > x]
-            if len(ok):
-                gap = np.bitwise_count(marks[ok] ^ marks[x]).sum(axis=1).astype(np.int64)
-                ok = ok[gap * (100 + threshold) <= (n[ok].astype(np.int64) + n[x]) * (100 - threshold)]
-            if len(ok):
-                out.append((np.minimum(k[ok], k[x]), np.maximum(k[ok], k[x]), np.minimum(l[ok], l[x])))
-        if not out:
-            return None
-        return pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b", "l"])
+        return k, n.astype(np.int64), l, root, marks
+
+    def likely(x: np.ndarray, y: np.ndarray, k, n, l, root, marks):
+        """The pairs of rows ``x, y`` across components that sizes and sketches allow."""
+        ok = (root[x] != root[y]) & (n[x] * 100 >= n[y] * threshold) & (n[y] * 100 >= n[x] * threshold)
+        x, y = x[ok], y[ok]
+        ok = np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1).astype(np.int64) * (100 + threshold) <= (n[x] + n[y]) * (100 - threshold)
+        x, y = x[ok], y[ok]
+        return np.minimum(k[x], k[y]), np.maximum(k[x], k[y]), np.minimum(l[x], l[y])
+
+    def inside(t: pa.Table, block: np.ndarray):
+        """Pairs within blocks, for all blocks of a batch together: rows 1, 2, ... apart."""
+        cols = arrays(t)
+        x, apart = np.arange(len(block)), 1
+        while len(x):
+            x = x[x + apart < len(block)]
+            x = x[block[x] == block[x + apart]]
+            yield likely(x, x + apart, *cols)
+            apart += 1
+
+    def between(t: pa.Table):
+        """Pairs between the two halves of one pair of blocks."""
+        cols = arrays(t)
+        half = np.asarray(t.combine_chunks()["half"].combine_chunks())
+        right = np.flatnonzero(half == 1)
+        for x in np.flatnonzero(half == 0):
+            yield likely(np.full(len(right), x), right, *cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def done(more):
-            out = solve(pa.Table.from_batches(more))
-            if out is not None:
-                yield out
-
+        def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            key = [np.asarray(t[c].combine_chunks()) for c in ("h", "i", "j")]
+            new = np.ones(t.num_rows, dtype=bool)
+            new[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])
+            block = np.cumsum(new)
+            one = key[1] == key[2]
+            parts = [inside(t.filter(pa.array(one)), block[one])]
+            parts += [between(t.filter(pa.array(block == b))) for b in np.unique(block[~one])]
+            for part in parts:
+                for a, b, l in part:
+                    if len(a):
+                        yield pa.record_batch([pa.array(a), pa.array(b), pa.array(l)], names=["a", "b", "l"])
+
+        rest: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([np.asarray(batch.column(c)) for c in range(3)])
-            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if held and any(held[-1].column(c)[0].as_py() != batch.column(c)[lo].as_py() for c in range(3)):
-                    yield from done(held)
-                    held = []
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from done(held)
+            key = [np.asarray(batch.column(c)) for c in range(3)]
+            last = np.flatnonzero((key[0] != key[0][-1]) | (key[1] != key[1][-1]) | (key[2] != key[2][-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0               # the last block may go on in the next batch
+            if cut or (rest and any(rest[-1].column(c)[-1].as_py() != key[c][0] for c in range(3))):
+                yield from solve(pa.Table.from_batches([*rest, batch.slice(0, cut)]))
+                rest = []
+            rest.append(batch.slice(cut))
+        if rest:
+            yield from solve(pa.Table.from_batches(rest))
 
     return lists.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "half", "k").mapInArrow(run, "a long, b long, l int")
 
@@ -312,24 +363,8 @@ def groups(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOLD, id_col
     sizes = profile.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("k"))
     lists = materialize(_shared_lists(_postings(t, n, threshold, frequencies(profile))), spark, "lists")
 
-    # the nodes that share a prefix shingle with another; one document of each brings its set
-    nodes = lists.select("k").distinct()
-    owners = sizes.where("n > 0").join(nodes, "k", "left_semi").groupBy("k").agg(F.min("id").alias("id"))
-
-    def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        key, hashes, sketches = [], [], []
-        for p in pieces(batch.column(1)):
-            h, offsets = shingles(Words(p, fold=FOLD), n)
-            key.append(signed(set_keys(h, offsets)))
-            own = [h[a:b] for a, b in zip(offsets, offsets[1:])]
-            hashes += [x.tobytes() for x in own]
-            sketches += [sketch(x) for x in own]
-        return pa.record_batch([pa.array(np.concatenate(key)), batch.column(2), pa.array(hashes, pa.binary()), pa.array(sketches, pa.binary())],
-                               names=["k", "wanted", "hashes", "sketch"])
-
-    sets = materialize(arrow_map(t.join(owners.select("id", F.col("k").alias("wanted")), "id").select("id", "text", "wanted"), sets_of,
-                                 "k long, wanted long, hashes binary, sketch binary").where("k = wanted").drop("wanted").dropDuplicates(["k"]), spark, "sets")
-    sketches = sets.select("k", "sketch")
+    nodes = profile.where("kind = 0 AND b > 0").select(F.col("c").alias("k"), "sketch").join(lists.select("k").distinct(), "k", "left_semi")
+    sketches = materialize(nodes.dropDuplicates(["k"]), spark, "sketches")
 
     # stars: every node against the pivots of its lists, and the likeliest of them verified
     stars = lists.where("k <> pk").where(_near("n", "pn", threshold)).groupBy(F.col("k").alias("a"), F.col("pk").alias("b")).agg(
@@ -337,7 +372,7 @@ def groups(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOLD, id_col
     stars = _sketched(stars.where("common >= l"), sketches, threshold)
     likeliest = Window.partitionBy("a").orderBy("gap", "b")
     first = stars.withColumn("place", F.row_number().over(likeliest)).where("place <= 3").select("a", "b")
-    links = materialize(_verified(first, sets, threshold), spark, "links")
+    links = materialize(_verified(first, t, sizes, n, threshold), spark, "links")
     roots = components(links)
 
     # the rest: all pairs across components in lists that hold several of them
@@ -350,12 +385,12 @@ def groups(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOLD, id_col
     dealt = parts.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("half"),
                          "k", "n", "l", "root").join(sketches, "k").select("h", "i", "j", "half", "k", "n", "l", "root", "sketch")
     rest = _across(dealt, threshold).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.min("l").alias("l")).where("common >= l")
-    more = materialize(_verified(rest, sets, threshold), spark, "links")
+    more = materialize(_verified(rest, t, sizes, n, threshold), spark, "links")
     roots = materialize(components(links.unionByName(more)), spark, "roots")
 
     rows = sizes.join(roots.withColumnRenamed("node", "k"), "k", "left").select("id", "n", F.coalesce("root", "k").alias("root"))
     named = rows.where("n > 0").groupBy("root").agg(F.min(unkey()).alias("least"))
-    return rows.join(named, "root", "left").select(unkey().alias("id"), F.col("n").alias("n_shingles"),
+    return split_join(rows, named, "root", "left").select(unkey().alias("id"), F.col("n").alias("n_shingles"),
                                                    F.when(F.col("n") > 0, F.col("least")).otherwise(unkey()).alias("component_id"))
 
 
