@@ -28,10 +28,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.frames import keyed, split_join, unkey
+from wordloom.llm.frames import keyed, materialize, unkey
 
 TAU = 2
 LEAST = 20
+BUCKET_BITS = 20
 
 
 def lines(docs: DataFrame, least: int) -> DataFrame:
@@ -104,31 +105,56 @@ def within(a: Column, b: Column, tau: int) -> Column:
     return F.when(F.abs(F.size(a) - F.size(b)) <= tau, F.aggregate(F.transform(b, equal_bits), start, step, least))
 
 
+def _bucket(h: str = "h") -> Column:
+    return F.pmod(F.col(h), F.lit(1 << BUCKET_BITS))
+
+
+def _buckets(rows: DataFrame) -> DataFrame:
+    """The buckets that hashes ``h`` fall in: at most ``2 ** BUCKET_BITS`` rows, so they may be broadcast."""
+    return F.broadcast(rows.select(_bucket().alias("bucket")).distinct())
+
+
+def candidates(own: DataFrame, repeated: DataFrame, tau: int) -> DataFrame:
+    """``(a, b)``: hashes of different lines that have a segment in common at places ``tau`` edits allow.
+
+    ``own`` has the lines ``(h, line, n)``, ``repeated`` the hashes of lines that
+    occur more than once.  Only lines in the buckets of those are made distinct;
+    the others post their keys from where they lie.
+    """
+    in_bucket = _bucket() == F.col("bucket")
+    once = own.join(_buckets(repeated), in_bucket, "left_anti").select("h", "line", "n")
+    more = own.join(_buckets(repeated), in_bucket, "left_semi").groupBy("h").agg(F.min("line").alias("line"), F.min("n").alias("n"))
+    distinct = once.unionByName(more)
+    index = distinct.select("h", F.explode(posted(tau, F.col("line"), F.col("n"))).alias("key"))
+    probe = distinct.select(F.col("h").alias("other"), F.explode(probes(tau, F.col("line"), F.col("n"))).alias("key"))
+    return index.join(probe, "key").where("h <> other").select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
+
+
 def duplicates(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
     """``(id, line_no, of_id, of_line_no, distance)`` of every line of ``(id, text)`` that goes, and the line it repeats."""
     if tau < 1 or least < 2 * (tau + 1):
         raise ValueError("tau must be at least 1, and lines long enough for segments of two characters")
-    own = lines(docs, least).withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64("line", F.lit(1)))
-    places = own.select("id", "line_no", "h", "g")
-    first = places.groupBy("h", "g").agg(F.min(F.struct("id", "line_no")).alias("first"))
-
-    line, n = F.col("line"), F.col("n")
-    index = own.select("h", F.explode(posted(tau, line, n)).alias("key")).distinct()
-    probe = own.select(F.col("h").alias("other"), F.explode(probes(tau, line, n)).alias("key")).distinct()
-    pairs = index.join(probe, "key").where("h <> other") \
-        .select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
+    spark = docs.sparkSession
+    own = lines(docs, least).withColumn("h", F.xxhash64("line"))
+    places = own.select("id", "line_no", "h", F.xxhash64("line", F.lit(1)).alias("g"))
+    first = materialize(places.groupBy("h", "g").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies")), spark, "firsts")
+
+    pairs = materialize(candidates(own, first.where("copies > 1"), tau), spark, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    texts = own.select("h", "line").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
-    chars = texts.select("h", F.split("line", "").alias("chars"))
+    texts = own.select("h", "line").join(_buckets(wanted), _bucket() == F.col("bucket"), "left_semi") \
+        .groupBy("h").agg(F.min("line").alias("line")).join(wanted, "h", "left_semi")
+    chars = materialize(texts.select("h", F.split("line", "").alias("chars")), spark, "candidates")
     near = pairs.join(chars.select(F.col("h").alias("a"), F.col("chars").alias("ca")), "a") \
         .join(chars.select(F.col("h").alias("b"), F.col("chars").alias("cb")), "b") \
         .select("a", "b", within(F.col("ca"), F.col("cb"), tau).alias("distance")).where("distance IS NOT NULL")
-    both = near.select("a", "b", "distance").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    firsts = first.groupBy("h").agg(F.min("first").alias("first"))
+    near = materialize(near, spark, "near")
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    firsts = first.join(both.select(F.col("a").alias("h")).distinct(), "h", "left_semi").groupBy("h").agg(F.min("first").alias("first"))
     earlier = both.join(firsts.select(F.col("h").alias("a"), "first"), "a").join(firsts.select(F.col("h").alias("b"), F.col("first").alias("of")), "b") \
         .where("of < first").groupBy(F.col("a").alias("h")).agg(F.min(F.struct("of", "distance")).alias("near"))
-    known = first.join(earlier, "h", "left").select("h", F.col("g").alias("g0"), "first", "near")
-    gone = split_join(places, known, "h").where("g = g0").where(F.col("near").isNotNull() | (F.struct("id", "line_no") != F.col("first")))
+    known = first.join(earlier, "h", "left").where("copies > 1 OR near IS NOT NULL").select("h", F.col("g").alias("g0"), "first", "near")
+    gone = places.join(_buckets(known), _bucket() == F.col("bucket"), "left_semi").join(known, "h").where("g = g0") \
+        .where(F.col("near").isNotNull() | (F.struct("id", "line_no") != F.col("first")))
     of = F.coalesce(F.col("near.of"), F.col("first"))
     return gone.select("id", "line_no", of["id"].alias("of_id"), of["line_no"].alias("of_line_no"), F.coalesce("near.distance", F.lit(0)).alias("distance"))
 
