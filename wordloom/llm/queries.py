@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import decontaminate, jaccard, langid, lines, packing, pst, quality, substrings, toxicity
+from wordloom.llm import decontaminate, jaccard, langid, licenses, lines, packing, pst, quality, substrings, toxicity
 from wordloom.llm.frames import read, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,36 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TEMPLATES = ", ".join(f"({_quoted(name)}, {i}, {_quoted(text)})" for name, own in licenses.TEMPLATES.items() for i, text in enumerate(own))
+_GRAMS = """list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"""
+_NORMAL = """list_filter(regexp_split_to_array(lower(body), '[^a-z0-9]+'), lambda x: x <> '')"""
+
+
+@query("op1_license_scan", f"""
+WITH p AS (SELECT license, template, {_GRAMS} AS g FROM (SELECT license, template, {_NORMAL} AS w
+                                                          FROM (VALUES {_TEMPLATES}) AS v(license, template, body))),
+     s AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls, regexp_split_to_array(text, '\\n[ \\t\\r]*(?:\\n[ \\t\\r]*)+') AS bs FROM documents),
+     pts AS (SELECT doc_id, 'line' AS unit, ls AS parts FROM s
+             UNION ALL SELECT doc_id, 'paragraph', list_filter(bs, lambda b: contains(b, chr(10))) FROM s WHERE len(ls) > 1
+             UNION ALL SELECT doc_id, 'text', [text] FROM s WHERE len(bs) > 1),
+     u AS (SELECT doc_id, unit, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS place, unnest(parts) AS body FROM pts),
+     n AS (SELECT doc_id, unit, place, {_GRAMS} AS g FROM (SELECT doc_id, unit, place, {_NORMAL} AS w FROM u)),
+     x AS (SELECT doc_id, unit, place, unnest(g) AS gram, len(g) AS n FROM n WHERE len(g) > 0),
+     y AS (SELECT license, template, unnest(g) AS gram, len(g) AS m FROM p),
+     d AS (SELECT doc_id, unit, place, license, template, 2.0::DOUBLE * count(*) / (n + m) AS dice FROM x JOIN y USING (gram)
+           GROUP BY doc_id, unit, place, license, template, n, m),
+     b AS (SELECT doc_id, unit, place, license, dice, row_number() OVER (PARTITION BY doc_id, unit, place ORDER BY dice DESC, license) AS r
+           FROM d WHERE dice >= 0.8)
+SELECT doc_id, unit, place, license, dice FROM b WHERE r = 1""")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, paragraphs and texts of the documents that are a licence notice or text, with the best licence."""
+    return licenses.scan(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("op2_substring_dedup", r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
      win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g
