@@ -65,6 +65,11 @@ def keep_rows(docs: DataFrame, decide: Callable[[pa.Array], "object"], text_col:
     return arrow_map(docs, fn, docs.schema)
 
 
+def hash_share(id_col: str, share: float | Column) -> Column:
+    """True for about ``share`` of the ids, chosen by their hash: a sample that needs no sorting."""
+    return F.pmod(F.xxhash64(F.col(id_col), F.lit("share")), F.lit(1 << 30)) < (F.lit(share) if isinstance(share, float) else share) * float(1 << 30)
+
+
 def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Equi-join on a long key of which either side may be an aggregate by that key.
 
@@ -77,4 +82,4 @@ def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     return joined.drop("_key")
 
 
-__all__ = ["NULL_ID", "arrow_map", "keep_rows", "keyed", "materialize", "read", "remainder", "split_join", "texts", "unkey"]
+__all__ = ["NULL_ID", "arrow_map", "hash_share", "keep_rows", "keyed", "materialize", "read", "remainder", "split_join", "texts", "unkey"]

@@ -13,13 +13,15 @@ symbols (a phrase ends with its block), and all blocks of an Arrow batch move
 through the automata in lock-step: one table look-up gives the next state and
 whether a phrase ended.
 
-Samples are bounded: per language the ``PER_LANGUAGE`` documents of least id
-hash, at most ``SAMPLE_CHARS`` characters, and ``TOTAL_CHARS`` over all
-languages; so are the automata broadcast (fewer than two states per symbol).
+Samples are bounded: the ``MOST_LANGUAGES`` languages with most labelled
+documents, about ``PER_LANGUAGE`` documents of each by id hash, at most
+``SAMPLE_CHARS`` characters of a language and ``TOTAL_CHARS`` of all; so are the
+automata broadcast (fewer than two states per symbol).
 
 Defined cases: null, empty and letterless texts give ``und`` and score 0, as
 does everything if no labelled text exists; null ids are kept and never learned
-from; ties go to the language first by name; repeated rows give one row each.
+from; ties go to the language with more labelled documents, then first by name;
+repeated rows give one row each.
 """
 
 from __future__ import annotations
@@ -28,14 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wordloom.llm.arrays import pieces, text_buffers
-from wordloom.llm.frames import arrow_map, keep_rows
+from wordloom.llm.frames import arrow_map, hash_share, keep_rows
 
 SAMPLE_CHARS = 32_768
 TOTAL_CHARS = 262_144
 PER_LANGUAGE = 64
+MOST_LANGUAGES = 256
 BLOCK = 1024
 UNKNOWN = "und"
 
@@ -87,7 +89,7 @@ class Model:
     """The languages' automata as one table: ``table[state + class]`` is the next state, doubled, plus phrase end."""
 
     def __init__(self, samples: dict[str, bytes]):
-        self.names = sorted(samples)
+        self.names = list(samples)
         used = sorted(set(b"".join(samples.values())))
         self.classes = np.zeros(256, dtype=np.int32)       # 0: a symbol in no sample
         self.classes[used] = np.arange(1, len(used) + 1)
@@ -154,15 +156,15 @@ class Model:
 
 def samples(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
             per_language: int = PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS) -> dict[str, bytes]:
-    """Bounded training text per language, from the rows where ``learn`` holds."""
+    """Bounded training text per language, most frequent first, from the rows where ``learn`` holds."""
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
                       F.col(f"`{lang_col}`").cast("string").alias("lang"), learn.alias("learn")) \
         .where("learn AND lang IS NOT NULL AND id IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = own.select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    n_langs = max(1, picked.select("lang").distinct().count())
-    chars = max(256, min(sample_chars, total_chars // n_langs))
-    got = own.join(F.broadcast(picked.select("id", "lang").distinct()), ["id", "lang"]) \
+    found = own.groupBy("lang").agg(F.countDistinct("id").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    rows = found.collect()
+    chars = max(256, min(sample_chars, total_chars // max(1, len(rows))))
+    shares = F.broadcast(found.select("lang", F.least(F.lit(1.0), per_language / F.col("n")).alias("share")))
+    got = own.join(shares, "lang").where(hash_share("id", F.col("share"))) \
         .select("lang", "id", F.lower(F.substring("text", 1, max(256, 4 * chars // per_language))).alias("text")) \
         .dropDuplicates(["lang", "id"]).toArrow().sort_by([("lang", "ascending"), ("id", "ascending")])
     out: dict[str, bytes] = {}
@@ -170,7 +172,7 @@ def samples(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: st
         if text:
             data, offsets = text_buffers(pa.array([text]))
             out[lang] = (out.get(lang, b"") + symbols(data, offsets)[0].tobytes() + b" ")[:chars]
-    return out
+    return {r["lang"]: out[r["lang"]] for r in rows if r["lang"] in out}
 
 
 def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

@@ -15,7 +15,7 @@
   significant ones, fitted on labelled documents that gave no token scores, turns
   them into a probability.
 
-Labelled rows are a bounded sample: per class the ``PER_CLASS`` of least id hash;
+Labelled rows are a bounded sample: about ``PER_CLASS`` of each class, by id hash;
 three quarters give token scores, one quarter the curve.  All documents are
 scored, over their whole texts.
 
@@ -34,10 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wordloom.llm.arrays import FOLD, LETTERS_DIGITS, Words, in_sorted, mix, pieces, signed
-from wordloom.llm.frames import arrow_map, materialize
+from wordloom.llm.frames import arrow_map, hash_share, materialize
 
 PER_CLASS = 20_000
 PRIOR, STRENGTH = 0.5, 500.0
@@ -169,8 +168,9 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_
     """``(id, text, toxic, fit)``: the bounded labelled sample; ``fit`` marks the documents that give the curve."""
     own = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("toxic"), learn.alias("learn"))
     own = own.where("learn AND id IS NOT NULL AND toxic IN (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("id"), "id"))
-    own = own.withColumn("place", place).where(F.col("place") <= per_class) \
+    found = dict(own.groupBy("toxic").count().collect())
+    share = {c: min(1.0, per_class / max(1, found.get(c, 0))) for c in (0, 1)}
+    own = own.where(F.when(F.col("toxic") == 1, hash_share("id", share[1])).otherwise(hash_share("id", share[0]))) \
         .select("id", "toxic", (F.pmod(F.xxhash64("id", F.lit("curve")), F.lit(4)) == 0).alias("fit"))
     t = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("text"))
     return t.join(F.broadcast(own), "id")
