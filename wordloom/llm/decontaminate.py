@@ -165,7 +165,7 @@ def clean_documents(docs: DataFrame, bench: DataFrame, text_col: str = "text", i
 def clean_spans(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     """``(id, text)`` with the hit words removed; other words as they stand, lower-cased, joined by one space."""
     found = scan(docs, bench, **options)
-    words = F.expr(r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
-                   r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+', 0)")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_extract_all(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
     kept = F.filter(words, lambda _, i: ~F.array_contains("hits", i))
     return found.select("id", F.when(F.size("hits") == 0, F.col("text")).otherwise(F.array_join(kept, " ")).alias("text"))
