@@ -89,6 +89,9 @@ def _anchor_rows(docs: DataFrame, n: int, k: int) -> DataFrame:
             w = Words(p)
             prefix, at, first, windows = anchors(w, n, k)
             row = w.row[at] if len(at) else at
+            context = mix(w.range_hash(first, first + windows + n - 1) + (at - first).astype(np.uint64)) ^ mix(row.astype(np.uint64))
+            once = np.sort(np.unique(context, return_index=True)[1])  # what a document repeats itself shows in the last pass
+            prefix, at, first, windows, row = (x[once] for x in (prefix, at, first, windows, row))
             base = w.first[:-1][row] if len(at) else at
             for have, more in zip(own, (signed(prefix), ids[p.lo + row], first - base, at - first, windows)):
                 have.append(more)
@@ -235,7 +238,10 @@ def _repeats_in_groups(suffixes: DataFrame, n: int, k: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, n: int = WINDOW, k: int = PREFIX, group: int = GROUP) -> DataFrame:
-    """``(id, first, last)``: word ranges, last exclusive, that windows occurring more than once cover; they may overlap."""
+    """``(id, first, last)``: word ranges, last exclusive, that windows found in several documents cover; they may overlap.
+
+    Of suffixes that a document repeats within itself, one is posted and found.
+    """
     if not 1 <= k <= n:
         raise ValueError("the prefix must have 1 to n words")
     ship_package(docs.sparkSession)
@@ -252,22 +258,42 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, k: int = PREFIX, group: int
     t = keyed(docs, id_col, text_col)
     spans = repeats(t, n, k, group).groupBy("id").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
+    def gone(w: Words, spans: list) -> np.ndarray:
+        """Mask of a piece's words that repeats cover: those in the spans, and windows a row has more than once."""
+        edge = np.zeros(len(w) + 1, dtype=np.int64)
+        at, h = w.windows(n)
+        if len(at):
+            own = mix(h ^ mix(w.row[at].astype(np.uint64)))
+            order = np.argsort(own, kind="stable")
+            same = own[order][1:] == own[order][:-1]
+            twice = np.zeros(len(at), dtype=bool)
+            twice[order[1:]] |= same
+            twice[order[:-1]] |= same
+            np.add.at(edge, at[twice], 1)
+            np.add.at(edge, at[twice] + n, -1)
+        for r, own in enumerate(spans):
+            if own.is_valid:
+                lo, hi = w.first[r], w.first[r + 1]
+                np.add.at(edge, np.minimum(lo + np.asarray(own.values.field(0)), hi), 1)
+                np.add.at(edge, np.minimum(lo + np.asarray(own.values.field(1)), hi), -1)
+        return np.cumsum(edge[:-1]) > 0
+
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_words, n_removed, sha, kept = [], [], [], []
-        for text, spans in zip(batch.column(1), batch.column(2)):
-            words = text.as_buffer().to_pybytes().split() if text.is_valid else []
-            n_words.append(len(words))
-            if spans.is_valid:
-                edge = np.zeros(len(words) + 1, dtype=np.int64)
-                flat = spans.values
-                np.add.at(edge, np.minimum(np.asarray(flat.field(0)), len(words)), 1)
-                np.add.at(edge, np.minimum(np.asarray(flat.field(1)), len(words)), -1)
-                words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
-            own = b" ".join(words)
-            n_removed.append(n_words[-1] - len(words))
-            sha.append(hashlib.sha256(own).hexdigest())
-            if with_text:
-                kept.append(own)
+        for p in pieces(batch.column(1)):
+            w, raw = Words(p), p.data.tobytes()
+            off = gone(w, [batch.column(2)[p.lo + r] for r in range(p.rows)])
+            for r in range(p.rows):
+                words = raw[p.offsets[r]:p.offsets[r + 1]].split()
+                mask = off[w.first[r]:w.first[r + 1]]
+                n_words.append(len(words))
+                n_removed.append(int(mask.sum()))
+                if n_removed[-1]:
+                    words = [words[i] for i in np.flatnonzero(~mask)]
+                own = b" ".join(words)
+                sha.append(hashlib.sha256(own).hexdigest())
+                if with_text:
+                    kept.append(own)
         cols = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())]
         if with_text:
             cols.append(pa.array(kept, pa.binary()).cast(pa.string()))
