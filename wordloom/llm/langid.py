@@ -8,7 +8,7 @@ few phrases.  The number of phrases, times log2 of the sample's length and by
 the number of symbols, estimates bits per symbol; the least wins.
 
 Symbols are the bytes of the lower-cased text with every run of ASCII
-non-letters as one separator.  Texts are parsed whole, in blocks of ``BLOCK``
+non-letters as one separator (none at the start).  Texts are parsed whole, in blocks of ``BLOCK``
 symbols (a phrase ends with its block), and all blocks of an Arrow batch move
 through the automata in lock-step: one table look-up gives the next state and
 whether a phrase ended.
@@ -43,7 +43,7 @@ UNKNOWN = "und"
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, offsets): separators (32) for runs of ASCII non-letters; bytes of letters as they are."""
+    """(symbols, offsets): separators (32) for runs of ASCII non-letters, none at the start; bytes of letters as they are."""
     sep = np.ones(256, dtype=bool)
     sep[65:91] = sep[97:123] = sep[128:] = False
     gap = sep[data]
@@ -86,7 +86,7 @@ def automaton(sample: bytes) -> list[dict[int, int]]:
 
 
 class Model:
-    """The languages' automata as one table: ``table[state + class]`` is the next state, doubled, plus phrase end."""
+    """The languages' automata as one table: ``table[state + class]`` is four times the next state, plus the phrases that end."""
 
     def __init__(self, samples: dict[str, bytes]):
         self.names = list(samples)
@@ -100,11 +100,12 @@ class Model:
             first = np.zeros(width, dtype=np.int64)
             for c, to in states[0].items():
                 first[self.classes[c]] = to
-            # no transition: the phrase ends, and the symbol begins the next one
-            t = np.tile((at + first * width) * 2 + 1, (len(states), 1))
+            # no transition: the phrase ends, and the symbol begins the next one; an unknown symbol is one itself
+            t = np.tile((at + first * width) * 4 + np.where(first > 0, 1, 2), (len(states), 1))
+            t[0] -= 1
             for s, own in enumerate(states):
                 for c, to in own.items():
-                    t[s, self.classes[c]] = (at + to * width) * 2
+                    t[s, self.classes[c]] = (at + to * width) * 4
             tables.append(t.astype(np.int32).ravel())
             self.start.append(at)
             at += len(states) * width
@@ -131,10 +132,11 @@ class Model:
             live = np.searchsorted(-z, -np.arange(int(z[0])), side="left")   # blocks longer than each step
             for step, k in enumerate(live.tolist()):
                 got = self.table[state[:, :k] + cls[s[:k] + step]]
-                ended[:, :k] += got & 1
-                state[:, :k] = got >> 1
+                ended[:, :k] += got & 3
+                state[:, :k] = got >> 2
+            ended += state != self.start[:, None]
             for lang in range(n_langs):
-                out[lang] += np.bincount(t, weights=ended[lang] + 1, minlength=n_texts)
+                out[lang] += np.bincount(t, weights=ended[lang], minlength=n_texts)
         return out
 
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

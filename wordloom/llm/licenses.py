@@ -86,7 +86,9 @@ def words(text: Column) -> Column:
 
 def bigrams(w: Column) -> Column:
     """Set of word bigrams; empty for fewer than two words."""
-    pairs = F.transform(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x))
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    both = F.arrays_zip(F.slice(w, 1, n).alias("a"), F.slice(w, 2, n).alias("b"))
+    pairs = F.transform(both, lambda x: F.concat(x["a"], F.lit(" "), x["b"]))
     return F.when(F.size(w) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
@@ -120,7 +122,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: Mapping[str,
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
     grams = template_bigrams(docs.sparkSession, templates)
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
     sizes = grams.agg(F.min("m"), F.max("m")).first()
     if sizes[0] is None:
         sizes = (1, 0)
