@@ -53,6 +53,8 @@ MOST = 12                  # the longest multi-match
 VERIFY_COST = 20           # cost of a candidate, in postings
 LIST_BLOCK = 1024          # nodes of a posting list compared at once
 BITMAP_BITS = 21
+LOW_LISTS = 8
+NO_LIST = (1 << 63) - 1
 
 
 def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -287,24 +289,33 @@ def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, n: int, thres
 
 
 def _across(lists: DataFrame, threshold: int) -> DataFrame:
-    """Pairs across components within posting lists, sizes and sketches allowing: ``a, b, l`` once per shared shingle.
+    """Pairs across components within posting lists, sizes and sketches allowing: ``a, b``.
 
-    ``lists`` has ``h, i, j, half, k, n, l, root, sketch``: the rows of the
-    blocks ``i <= j`` of list ``h``, sorted; at most two blocks are held.
+    ``lists`` has ``h, i, j, half, k, n, l, root, sketch, low``: the rows of the
+    blocks ``i <= j`` of list ``h``; at most two blocks are held.  ``low`` are the
+    node's least lists: a pair comes from the least list that both have among
+    them, so hardly any pair comes twice, and fails if both nodes' lists are
+    all known and too few are common.
     """
     def arrays(t: pa.Table):
         t = t.combine_chunks()
         k, n, l, root = (np.asarray(t[c].combine_chunks()) for c in ("k", "n", "l", "root"))
         marks = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint64).reshape(len(k), -1)
-        return k, n.astype(np.int64), l, root, marks
+        low = np.asarray(t["low"].combine_chunks().flatten()).reshape(len(k), -1)
+        return k, n.astype(np.int64), l, root, marks, low, np.asarray(t["h"].combine_chunks())
 
-    def likely(x: np.ndarray, y: np.ndarray, k, n, l, root, marks):
-        """The pairs of rows ``x, y`` across components that sizes and sketches allow."""
+    def likely(x: np.ndarray, y: np.ndarray, k, n, l, root, marks, low, h):
+        """The pairs of rows ``x, y`` across components that sizes and sketches allow and no lesser list of both has."""
         ok = (root[x] != root[y]) & (n[x] * 100 >= n[y] * threshold) & (n[y] * 100 >= n[x] * threshold)
         x, y = x[ok], y[ok]
         ok = np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1).astype(np.int64) * (100 + threshold) <= (n[x] + n[y]) * (100 - threshold)
         x, y = x[ok], y[ok]
-        return np.minimum(k[x], k[y]), np.maximum(k[x], k[y]), np.minimum(l[x], l[y])
+        both = (low[x][:, :, None] == low[y][:, None, :]) & (low[x] < NO_LIST)[:, :, None]
+        lesser = (both & (low[x] < h[x][:, None])[:, :, None]).any(axis=(1, 2))
+        known = (low[x][:, -1] == NO_LIST) & (low[y][:, -1] == NO_LIST)      # all lists of both nodes
+        few = known & (both.sum(axis=(1, 2)) < np.minimum(l[x], l[y]))
+        x, y = x[~lesser & ~few], y[~lesser & ~few]
+        return np.minimum(k[x], k[y]), np.maximum(k[x], k[y])
 
     def inside(t: pa.Table, block: np.ndarray):
         """Pairs within blocks, for all blocks of a batch together: rows 1, 2, ... apart."""
@@ -334,9 +345,9 @@ def _across(lists: DataFrame, threshold: int) -> DataFrame:
             parts = [inside(t.filter(pa.array(one)), block[one])]
             parts += [between(t.filter(pa.array(block == b))) for b in np.unique(block[~one])]
             for part in parts:
-                for a, b, l in part:
+                for a, b in part:
                     if len(a):
-                        yield pa.record_batch([pa.array(a), pa.array(b), pa.array(l)], names=["a", "b", "l"])
+                        yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
         rest: list[pa.RecordBatch] = []
         for batch in batches:
@@ -352,7 +363,7 @@ def _across(lists: DataFrame, threshold: int) -> DataFrame:
         if rest:
             yield from solve(pa.Table.from_batches(rest))
 
-    return lists.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "half", "k").mapInArrow(run, "a long, b long, l int")
+    return lists.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "half", "k").mapInArrow(run, "a long, b long")
 
 
 def groups(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,7 +374,9 @@ def groups(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOLD, id_col
     sizes = profile.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("k"))
     lists = materialize(_shared_lists(_postings(t, n, threshold, frequencies(profile))), spark, "lists")
 
-    nodes = profile.where("kind = 0 AND b > 0").select(F.col("c").alias("k"), "sketch").join(lists.select("k").distinct(), "k", "left_semi")
+    own = F.concat(F.array_sort(F.collect_set("h")), F.array_repeat(F.lit(NO_LIST), LOW_LISTS))
+    low = lists.groupBy("k").agg(F.slice(own, 1, LOW_LISTS).alias("low"))
+    nodes = profile.where("kind = 0 AND b > 0").select(F.col("c").alias("k"), "sketch").join(low, "k")
     sketches = materialize(nodes.dropDuplicates(["k"]), spark, "sketches")
 
     # stars: every node against the pivots of its lists, and the likeliest of them verified
@@ -383,8 +396,8 @@ def groups(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOLD, id_col
         .withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = parts.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("half"),
-                         "k", "n", "l", "root").join(sketches, "k").select("h", "i", "j", "half", "k", "n", "l", "root", "sketch")
-    rest = _across(dealt, threshold).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.min("l").alias("l")).where("common >= l")
+                         "k", "n", "l", "root").join(sketches, "k").select("h", "i", "j", "half", "k", "n", "l", "root", "sketch", "low")
+    rest = _across(dealt, threshold).distinct()
     more = materialize(_verified(rest, t, sizes, n, threshold), spark, "links")
     roots = materialize(components(links.unionByName(more)), spark, "roots")
 
