@@ -11,6 +11,8 @@ of the lines' first occurrences.  Shorter lines stay.
   places: segment ``i`` at most ``i - 1`` from its own place seen from the left, and
   ``tau + 1 - i`` seen from the right.  So each line probes, per length from its own
   down to ``tau`` less, a fixed list of substrings.
+* **Signatures.**  Candidates whose parities of hashed character pairs differ in
+  more than ``4 tau`` bits are further apart than ``tau`` edits and go first.
 * **Verification.**  A bit vector per number of errors holds the diagonals of the
   edit matrix within ``tau`` of the main one that can be reached; each character
   updates all diagonals at once.
@@ -70,6 +72,18 @@ def probes(tau: int, line: Column, n: Column) -> Column:
     return F.array(*out)
 
 
+def signature(chars: Column) -> Column:
+    """64 parities of hashed character pairs; an edit changes at most four of them."""
+    start = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("bits"))
+
+    def step(state: Column, c: Column) -> Column:
+        one = F.lit(1).cast("long")
+        at = F.pmod(F.xxhash64(state["last"], c), F.lit(64)).cast("int")
+        return F.struct(c.alias("last"), state["bits"].bitwiseXOR(F.call_function("shiftleft", one, at)).alias("bits"))
+
+    return F.aggregate(chars, start, step, lambda state: state["bits"])
+
+
 def within(a: Column, b: Column, tau: int) -> Column:
     """Edit distance of two character arrays if at most ``tau``, else null.
 
@@ -143,8 +157,12 @@ def duplicates(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     texts = own.select("h", "line").join(_buckets(wanted), _bucket() == F.col("bucket"), "left_semi") \
         .groupBy("h").agg(F.min("line").alias("line")).join(wanted, "h", "left_semi")
-    chars = materialize(texts.select("h", F.split("line", "").alias("chars")), spark, "candidates")
-    near = pairs.join(chars.select(F.col("h").alias("a"), F.col("chars").alias("ca")), "a") \
+    chars = F.split("line", "")
+    chars = materialize(texts.select("h", chars.alias("chars"), signature(chars).alias("bits")), spark, "candidates")
+    likely = pairs.join(chars.select(F.col("h").alias("a"), F.col("bits").alias("ba")), "a") \
+        .join(chars.select(F.col("h").alias("b"), F.col("bits").alias("bb")), "b") \
+        .where(F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) <= 4 * tau).select("a", "b")
+    near = likely.join(chars.select(F.col("h").alias("a"), F.col("chars").alias("ca")), "a") \
         .join(chars.select(F.col("h").alias("b"), F.col("chars").alias("cb")), "b") \
         .select("a", "b", within(F.col("ca"), F.col("cb"), tau).alias("distance")).where("distance IS NOT NULL")
     near = materialize(near, spark, "near")
