@@ -10,7 +10,8 @@ bigrams:  ``dice = 2 |A & B| / (|A| + |B|)``.
 the widest such range go before any bigram is made, and a unit meets a template
 only if the sizes allow it.  Bigrams meet by an equality join with the templates'
 bigrams, a fixed list that is broadcast; units and templates are never paired
-otherwise.
+otherwise.  The same bound gives a few words of which every match must contain
+one; texts and units without any go before they are split.
 
 Everything is DataFrame functions.
 
@@ -21,7 +22,11 @@ first by name; null ids are kept.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+import re
+from collections import Counter
+from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,6 +97,28 @@ def bigrams(w: Column) -> Column:
     return F.when(F.size(w) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
+def clues(templates: Mapping[str, list[str]], threshold: float) -> list[str]:
+    """Words of which every matching unit has one.
+
+    A match shares ``threshold m / (2 - threshold)`` of a template's ``m`` bigrams
+    at least.  Words are chosen until, in every template, fewer bigrams than
+    that have none of them.
+    """
+    grams = []
+    for text in (x for own in templates.values() for x in own):
+        w = [x for x in re.split("[^a-z0-9]+", text.lower()) if x]
+        pairs = set(zip(w, w[1:]))
+        grams.append((pairs, math.ceil(threshold * len(pairs) / (2 - threshold) - 1e-9)))
+    chosen: set[str] = set()
+    while True:
+        open_pairs = [p for pairs, need in grams if pairs and sum(not chosen & set(p) for p in pairs) >= max(1, need)
+                      for p in pairs if not chosen & set(p)]
+        if not open_pairs:
+            return sorted(chosen)
+        count = Counter(x for p in open_pairs for x in set(p))
+        chosen.add(max(count, key=lambda x: (min(len(x), 6), count[x], x)))
+
+
 def template_bigrams(spark: SparkSession, templates: Mapping[str, list[str]] = TEMPLATES) -> DataFrame:
     """``(license, template, m, gram)``: the bigrams of every template; ``m`` is their number."""
     rows = [(name, i, text) for name, texts in templates.items() for i, text in enumerate(texts)]
@@ -100,8 +127,8 @@ def template_bigrams(spark: SparkSession, templates: Mapping[str, list[str]] = T
     return t.select("license", "template", F.size("grams").alias("m"), F.explode("grams").alias("gram"))
 
 
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(row, id, unit, place, body)``: lines, paragraphs and the whole text, numbered from 0."""
+def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wanted: Callable[[Column], Column] = F.isnotnull) -> DataFrame:
+    """``(row, id, unit, place, body)``: lines, paragraphs and the whole text of wanted texts, numbered from 0."""
     text = F.col("text")
     t = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"),
                     F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -112,7 +139,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     F.struct(F.lit("paragraph").alias("unit"), F.when(several, F.filter(blocks, lambda b: F.contains(b, F.lit("\n")))).otherwise(
                         F.array().cast("array<string>")).alias("parts")),
                     F.struct(F.lit("text").alias("unit"), F.when(F.size(blocks) > 1, F.array(text)).otherwise(F.array().cast("array<string>")).alias("parts")))
-    t = t.where(text.isNotNull()).select("row", "id", F.explode(kinds).alias("k"))
+    t = t.where(text.isNotNull() & wanted(text)).select("row", "id", F.explode(kinds).alias("k"))
     return t.select("row", "id", "k.unit", F.posexplode("k.parts").alias("place", "body"))
 
 
@@ -126,7 +153,11 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: Mapping[str,
     sizes = grams.agg(F.min("m"), F.max("m")).first()
     if sizes[0] is None:
         sizes = (1, 0)
-    u = units(docs, id_col, text_col).withColumn("w", words(F.col("body"))).where(F.size("w") > low * sizes[0])
+    def hinted(text: Column) -> Column:
+        return reduce(lambda a, b: a | b, (F.contains(F.lower(text), F.lit(x)) for x in clues(templates, threshold)), F.lit(False))
+
+    u = units(docs, id_col, text_col, hinted).where(hinted(F.col("body")))
+    u = u.withColumn("w", words(F.col("body"))).where(F.size("w") > low * sizes[0])
     u = u.select("row", "id", "unit", "place", bigrams(F.col("w")).alias("grams")).withColumn("n", F.size("grams"))
     u = u.where(F.col("n").between(low * sizes[0], high * sizes[1]))
     hits = u.select("row", "id", "unit", "place", "n", F.explode("grams").alias("gram")).join(F.broadcast(grams), "gram") \

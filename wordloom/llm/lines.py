@@ -61,14 +61,14 @@ def posted(tau: int, line: Column, n: Column) -> Column:
 
 
 def probes(tau: int, line: Column, n: Column) -> Column:
-    """Keys of the substrings that can equal a segment of a line that is ``0 .. tau`` shorter."""
+    """``(key, even)``: keys of the substrings that can equal a segment of a line that is ``0 .. tau`` shorter; ``even`` for 0."""
     out = []
     for less in range(tau + 1):
         length = n - less
         for i in range(1, tau + 2):
             start, size = _segment(length, tau, i)
             lo, hi = max(-(i - 1), less - (tau + 1 - i)), min(i - 1, less + tau + 1 - i)
-            out += [_key(line, start + off, size, i, length) for off in range(lo, hi + 1)]
+            out += [F.struct(_key(line, start + off, size, i, length).alias("key"), F.lit(less == 0).alias("even")) for off in range(lo, hi + 1)]
     return F.array(*out)
 
 
@@ -140,8 +140,9 @@ def candidates(own: DataFrame, repeated: DataFrame, tau: int) -> DataFrame:
     more = own.join(_buckets(repeated), in_bucket, "left_semi").groupBy("h").agg(F.min("line").alias("line"), F.min("n").alias("n"))
     distinct = once.unionByName(more)
     index = distinct.select("h", F.explode(posted(tau, F.col("line"), F.col("n"))).alias("key"))
-    probe = distinct.select(F.col("h").alias("other"), F.explode(probes(tau, F.col("line"), F.col("n"))).alias("key"))
-    return index.join(probe, "key").where("h <> other").select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
+    probe = distinct.select(F.col("h").alias("other"), F.inline(probes(tau, F.col("line"), F.col("n"))))
+    # lines of one length find each other both ways; one is enough
+    return index.join(probe, "key").where("h < other OR (h > other AND NOT even)").select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct()
 
 
 def duplicates(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
