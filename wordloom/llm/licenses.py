@@ -33,6 +33,10 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
 
+# Function words, poor clues as most texts have them.
+COMMON = frozenset("a above all an and any as at be by either express for from if in is it no not of on or other otherwise out that the this to "
+                   "under use whether will with without you".split())
+
 # Published licence notices and texts, as their owners ask for them to be given.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.",
@@ -116,7 +120,7 @@ def clues(templates: Mapping[str, list[str]], threshold: float) -> list[str]:
         if not open_pairs:
             return sorted(chosen)
         count = Counter(x for p in open_pairs for x in set(p))
-        chosen.add(max(count, key=lambda x: (min(len(x), 6), count[x], x)))
+        chosen.add(max(count, key=lambda x: (x not in COMMON, min(len(x), 6), count[x], x)))
 
 
 def template_bigrams(spark: SparkSession, templates: Mapping[str, list[str]] = TEMPLATES) -> DataFrame:
