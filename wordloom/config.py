@@ -50,10 +50,10 @@ class Config:
     seed: int = 0
     lanes: int = 1                   # center streams per part advanced in lock-step (1 = exact order)
     combine: str = "sum"             # how partition deltas of w_ho combine: sum | mean
-    train_partitions: int = 0        # 0 = spark.sql.shuffle.partitions
+    train_partitions: int = 0        # least number of parts; 0 = as many as the examples ask for
     model_broadcast_limit: int = 512 * 1024 * 1024   # bytes of both layers read whole per task
     large_model: str = "targeted"    # above the limit: "targeted" row delivery or "join" step
-    targeted_work_per_part: int = 0  # examples per part in targeted mode (0 = from the limit)
+    targeted_work_per_part: int = 0  # examples per part (0 = the default)
 
     def __post_init__(self):
         if self.sampler not in SAMPLERS:

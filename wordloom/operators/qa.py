@@ -32,8 +32,8 @@ def encode_questions(qa: DataFrame, model: DataFrame, keys: list[str]) -> DataFr
 
 
 def qa_encoded_lines(enc: DataFrame, keys: list[str]) -> DataFrame:
-    """S11 text form: ``question [v0, v1, …] =~=~> answer``."""
-    vec = F.concat(F.lit("["), F.concat_ws(", ", F.transform("vec", lambda x: x.cast("string"))), F.lit("]"))
+    """S11 text form: ``question [v0, v1, …] =~=~> answer``, numbers with six decimals and no exponent."""
+    vec = F.concat(F.lit("["), F.concat_ws(", ", F.transform("vec", lambda x: F.format_string("%.6f", F.round(x, 6) + 0.0))), F.lit("]"))
     return enc.select(*keys, F.concat_ws(" ", F.trim(F.col("question")), vec, F.lit("=~=~>"),
                                          F.trim(F.col("answer"))).alias("line"))
 

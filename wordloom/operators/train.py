@@ -45,7 +45,7 @@ from wordloom.functions import vectors as V
 from wordloom.session import materialize, scratch_path, ship_package
 
 REP_CHUNK = 64
-WORK_PER_PART = 1 << 21      # examples per part: bounds one group's memory and time
+WORK_PER_PART = 1 << 17      # examples per part: bounds a group's memory and time, and alone decides the split
 LOG_TS = "%d-%m-%Y %H:%M:%S"
 
 
@@ -303,15 +303,6 @@ class PartitionRunner:
         return self.in_rows, self.loss, self.examples
 
 
-def run_partition(rows: pd.DataFrame, w_in, w_out, table, cfg: Config, epoch: int, alpha: float,
-                  update: bool = True):
-    r = PartitionRunner(w_in, w_out, table, cfg, epoch, alpha, update)
-    r.feed(rows)
-    return r.finish()
-
-
-# ------------------------------------------------------------------ model files
-
 def _local(path: str) -> str:
     return path[5:] if path.startswith("file:") else path
 
@@ -475,7 +466,7 @@ def combine_block(pdf: pd.DataFrame) -> pd.DataFrame:
     vecs = list(S)
     if layer == "in":
         n = np.linalg.norm(S, axis=1)
-        vecs = [row / nn if nn > 0 else None for row, nn in zip(S, n)]
+        vecs = [row / nn if nn > 0 else row for row, nn in zip(S, n)]      # a zero row has no direction and stays
     words = pdf.loc[is_base, ["idx", "word"]].drop_duplicates("idx").set_index("idx")["word"]
     return pd.DataFrame({"layer": layer, "idx": uniq, "word": words.reindex(uniq).to_numpy(),
                          "vec": vecs, "loss": 0.0})
@@ -555,14 +546,11 @@ class SGNSTrainer:
         self.v = vocab.count()
         self.h = cfg.hidden
         self.dir = model_dir or scratch_path(self.spark, "model")
-        p = partitions or cfg.train_partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # the number of parts follows from the examples alone, so a run does not depend
+        # on the session's shuffle partitions or on the memory limit
+        p = partitions or cfg.train_partitions or 1
         self.partitions = p
-        work = WORK_PER_PART
-        if not self.fits_task() and cfg.large_model == "targeted":
-            # a part's delivered rows (≤ samples per example) must fit the limit
-            work = cfg.targeted_work_per_part or max(
-                1000, cfg.model_broadcast_limit // (cfg.samples * self.h * 8 * 2))
-        ex, self.parts = example_table(targets, cfg, p, work)
+        ex, self.parts = example_table(targets, cfg, p, cfg.targeted_work_per_part or WORK_PER_PART)
         self.examples = self._bucketed(ex)
         tab = materialize(sampler_table(vocab, cfg, self.v), self.spark, "sampler")
         self.tab_path = self._file_path(tab)

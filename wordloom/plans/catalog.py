@@ -491,11 +491,12 @@ def q_context_predict(spark, d):
 SELECT count(*) AS evaluated, CAST(coalesce(sum(CAST(ok AS BIGINT)), 0) AS BIGINT) AS hits,
        round(100.0 * sum(CAST(ok AS BIGINT)) / nullif(count(*), 0), 6) AS precision,
        coalesce(100.0 * sum(CAST(ok AS BIGINT)) / nullif(count(*), 0) > 50.0, false) AS passed
-FROM predk WHERE rank = 1""", QWORDS_SQL + "," + _PREDICT_SQL))
+FROM (SELECT * FROM qstatus WHERE status = 'ok') q JOIN predk p ON p.qid = q.idx WHERE p.rank = 1""", QWORDS_SQL + "," + _PREDICT_SQL))
 def q_precision_at_1(spark, d):
     vb, mi, mo = corpus_model(spark, d)
     p = SR.context_predict(mi, mo, valid_qids(spark, d, vb), vb.targets, CFG.predictions)
-    return SR.precision_at_1(p).withColumn("precision", r6(F.col("precision")))
+    lines = query_status(spark, d, vb).where(F.col("status") == "ok")
+    return SR.precision_at_1(p, lines).withColumn("precision", r6(F.col("precision")))
 
 
 @query("orthant_counts", r"""
@@ -767,7 +768,7 @@ def q_whitespace_tokens(spark, d):
         .select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "token")
 
 
-@query("encode_questions", S.with_corpus(r"""
+_ENCODED_SQL = r"""
 SELECT q.conv_id, q.turn, q.question, q.answer,
        list_transform(e.s, lambda x: round(x / sqrt(list_dot_product(e.s, e.s)), 6)) AS vec
 FROM qas q JOIN (
@@ -779,13 +780,18 @@ FROM qas q JOIN (
       JOIN (SELECT word, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS vec FROM model_in) m
         ON m.word = t.word) GROUP BY conv_id, turn, j) GROUP BY conv_id, turn) e
   ON e.conv_id = q.conv_id AND e.turn = q.turn
-WHERE list_bool_or(list_transform(e.s, lambda x: x <> 0))""", MODEL_SQL, pre=S.QA_CTES.strip(), table="qdocs"))
+WHERE list_bool_or(list_transform(e.s, lambda x: x <> 0))"""
+
+
+@query("encode_questions", S.with_corpus(_ENCODED_SQL, MODEL_SQL, pre=S.QA_CTES.strip(), table="qdocs"))
 def q_encode_questions(spark, d):
     enc, vocab, mi = QA.qa_pipeline(table(spark, d, "conversations"), CFG, STOPS, epochs=0)
     return enc.select("conv_id", "turn", "question", "answer", V.round_vec(F.col("vec")).alias("vec"))
 
 
-@query("write_qa_encoded", None)
+@query("write_qa_encoded", S.with_corpus(r"""
+SELECT conv_id, turn, trim(question) || ' [' || array_to_string(list_transform(vec, lambda x: printf('%.6f', x + 0.0::DOUBLE)), ', ')
+       || '] =~=~> ' || trim(answer) AS line FROM (""" + _ENCODED_SQL + ")", MODEL_SQL, pre=S.QA_CTES.strip(), table="qdocs"))
 def q_write_qa_encoded(spark, d):
     enc, vocab, mi = QA.qa_pipeline(table(spark, d, "conversations"), CFG, STOPS, epochs=0)
     return QA.qa_encoded_lines(enc, ["conv_id", "turn"])
@@ -802,8 +808,8 @@ def q_export_bundle(spark, d):
 
 @query("qa_pipeline", None)
 def q_qa_pipeline(spark, d):
-    """P3 with 2 training epochs on the questions before encoding."""
-    enc, vocab, mi = QA.qa_pipeline(table(spark, d, "conversations"), CFG, STOPS, epochs=2)
+    """Training on the questions, then their encoding."""
+    enc, vocab, mi = QA.qa_pipeline(table(spark, d, "conversations"), CFG, STOPS, epochs=CFG.epochs)
     return enc
 
 
@@ -930,51 +936,56 @@ def q_train(spark, d):
 
 @query("loss_report", None)
 def q_loss_report(spark, d):
-    """Loss curves of the two samplers side by side (3 epochs each)."""
+    """Loss curves of the two samplers side by side."""
     out = None
     for sampler in ("unigram", "tdnd"):
         vb, tr = trainer(spark, d, CFG.with_(sampler=sampler))
-        tr.train(3)
+        tr.train()
         r = tr.loss_report()
         out = r if out is None else out.unionByName(r)
     return out
 
 
-@query("checkpoint_epoch", None)
+@query("checkpoint_epoch", S.with_corpus(r"""
+SELECT CAST(e AS INTEGER) AS epoch, layer, (SELECT count(*) FROM vocab) AS rows
+FROM (SELECT unnest(range(0, 11)) AS e), (SELECT unnest(['in', 'out']) AS layer)"""))
 def q_checkpoint_epoch(spark, d):
-    """The per-epoch model tables written by 2 epochs: (epoch, layer, rows)."""
+    """The per-epoch model tables of a run: (epoch, layer, rows)."""
     vb, tr = trainer(spark, d)
-    tr.train(2)
+    tr.train()
     rows = [(ep, layer, spark.read.parquet(f"{tr.dir}/epoch={ep}/layer={layer}").count())
-            for ep in range(3) for layer in ("in", "out")]
+            for ep in range(CFG.epochs + 1) for layer in ("in", "out")]
     return spark.createDataFrame(rows, "epoch int, layer string, rows long")
 
 
 @query("parse_loss_log", None)
 def q_parse_loss_log(spark, d):
-    """The textual loss log of a 3-epoch run parsed back into (epoch, loss, pct)."""
+    """The textual loss log of a run parsed back into (epoch, loss, pct)."""
     vb, tr = trainer(spark, d)
-    tr.train(3)
+    tr.train()
     lines = spark.createDataFrame(list(enumerate(tr.log_lines)), "line_no int, line string")
     return TR.parse_loss_log(lines)
 
 
-def _actions(spark, d, actions, epochs):
+def _actions(spark, d, actions, epochs, saved=None):
     qw = query_words(spark, d).select("word")
-    p = Pipeline(docs(spark, d), qw, CFG.with_(epochs=epochs), STOPS)
+    p = Pipeline(docs(spark, d), qw, CFG.with_(epochs=epochs), STOPS, save_dir=saved)
     return p.run(actions)
 
 
 @query("evaluate", None)
 def q_evaluate(spark, d):
-    """P4 after 3 epochs: context predictions of every valid query word."""
-    return _actions(spark, d, "TRAIN,TEST", 3)["context"]
+    """P4 after training: context predictions of every valid query word."""
+    return _actions(spark, d, "TRAIN,TEST", CFG.epochs)["context"]
 
 
 @query("run_actions", None)
 def q_run_actions(spark, d):
-    """TRAIN,SAVE,LOAD,TEST (3 epochs) → precision@1 of the reloaded model."""
-    return _actions(spark, d, "TRAIN,SAVE,LOAD,TEST", 3)["precision"]
+    """TRAIN,SAVE in one session, LOAD,TEST in a second → precision@1 of the reloaded model."""
+    from wordloom.session import scratch_path
+    saved = scratch_path(spark, "saved-model")
+    _actions(spark, d, "TRAIN,SAVE", CFG.epochs, saved)
+    return _actions(spark, d, "LOAD,TEST", CFG.epochs, saved)["precision"]
 
 
 # ================================================================ stemming

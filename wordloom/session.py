@@ -37,14 +37,17 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and model tables.
 
-    Uses the cluster's ``spark.checkpoint.dir``; only when it is unset (local
-    tests) a fresh scratch folder is created and registered.
+    Uses the cluster's ``spark.checkpoint.dir``.  Only a local master without it
+    (tests) gets a fresh scratch folder; on a cluster executors do not see the
+    driver's folders, so there it must be set.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         opt = sc._jsc.sc().getCheckpointDir()
         d = opt.get() if opt.isDefined() else None
+    if not d and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         sc.setCheckpointDir(d)
@@ -76,8 +79,7 @@ _SHIPPED: set = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``wordloom`` importable in Python workers (as ``--py-files`` does).
 
-    Zips the package once per SparkContext into the shared folder and
-    registers it with ``addPyFile``.
+    Zips the package once per SparkContext and ships it with ``addPyFile``.
     """
     sc = spark.sparkContext
     key = sc.applicationId
