@@ -56,3 +56,19 @@ def test_empty_table_and_bad_threshold(spark):
     assert licenses.scan(docs(spark, [])).collect() == []
     with pytest.raises(ValueError):
         licenses.scan(docs(spark, ROWS), 0)
+
+
+def test_paragraphs_inside_other_text(spark):
+    rows, want = [], []
+    for i, (name, own) in enumerate(licenses.TEXTS.items()):
+        for j, text in enumerate(x for x in own if "\n\n" in x):
+            parts = ["\n".join(re.findall(r"\S.{0,60}(?:\s|$)", p)) for p in text.split("\n\n")]
+            rows.append((10 * i + j, "\n\n".join(["A library for many things.\nIt does them all."] + parts + ["See the manual.\nIt is long."] * 9)))
+            want.append((10 * i + j, name))
+    got = {}
+    for r in licenses.scan(docs(spark, rows)).collect():
+        got.setdefault(r["id"], []).append((r["place"], r["license"], r["dice"]))
+    assert len(rows) > 10
+    for i, name in want:
+        assert got.get(i) and all(name in x.split(" OR ") for _, x, d in got[i] if d == 1), (i, name, got.get(i))
+        assert any(x == name for _, x, _ in got[i]), (name, got[i])
