@@ -94,3 +94,9 @@ def test_components_of_chains_and_stars(spark):
         root[max(a, b)] = min(a, b)
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
+
+
+def test_keep_one_takes_rows_not_ids(spark):
+    a, b, c = (prose(60 + i, 80, 10**6) for i in range(3))
+    got = jaccard.keep_one(docs(spark, [(3, a), (3, b), (None, a), (None, c), (None, c), (4, a), (3, b)])).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("3", a), ("3", b), ("None", c)])

@@ -110,3 +110,12 @@ def test_empty_table_and_bad_parameters(spark):
     assert lines.report(docs(spark, [])).collect() == []
     with pytest.raises(ValueError):
         lines.duplicates(docs(spark, []), tau=2, least=3)
+
+
+def test_rows_without_or_with_one_id_are_documents_of_their_own(spark):
+    line, clean = "the quick brown fox jumps over it", "kappa lambda mu nu xi omicron pi rho\none two three four five six seven"
+    rows = [(None, line + "\nalpha beta gamma delta epsilon zeta"), (None, clean), (None, line + "\nsigma tau upsilon phi chi psi omega"),
+            (7, line), (7, "other words that nobody else has here")]
+    got = lines.remove_lines(docs(spark, rows)).collect()
+    assert sorted(r["text"] for r in got) == sorted([rows[0][1], clean, "sigma tau upsilon phi chi psi omega", rows[4][1]])
+    assert sorted(tuple(r)[:4] for r in lines.report(docs(spark, rows)).collect() if r["id"]) == [(7, 0, None, 0)]

@@ -4,7 +4,7 @@ import hashlib
 from collections import Counter
 
 import pytest
-from tables import docs, messy, words
+from tables import docs, messy, prose, words
 
 from wordloom.llm import substrings
 
@@ -40,3 +40,12 @@ def test_empty_table(spark):
 def test_prefix_must_fit(spark):
     with pytest.raises(ValueError):
         substrings.repeats(docs(spark, []), n=5, k=6)
+
+
+def test_rows_without_or_with_one_id_are_documents_of_their_own(spark):
+    passage = prose(50, 40, 10**6)
+    rows = [(None, passage + " " + prose(51, 30, 10**6)), (None, prose(52, 90, 10**6)), (None, prose(53, 20, 10**6) + " " + passage), (7, passage),
+            (7, prose(54, 70, 10**6))]
+    got = substrings.remove_repeats(docs(spark, rows)).collect()
+    assert sorted((str(r["id"]), r["n_words"], r["n_removed"]) for r in got) == [
+        ("7", 40, 40), ("7", 70, 0), ("None", 60, 40), ("None", 70, 40), ("None", 90, 0)]

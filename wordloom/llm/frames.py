@@ -31,6 +31,11 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return t.select(F.coalesce("id", F.lit(NULL_ID)).alias("id"), "text")
 
 
+def with_row(docs: DataFrame, name: str = "row") -> DataFrame:
+    """The table with a key of its own for every row, written once so that the keys stay."""
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), docs.sparkSession, "rows")
+
+
 def unkey(name: str = "id") -> Column:
     """The id that :func:`keyed` replaced."""
     return F.nullif(F.col(name), F.lit(NULL_ID))
@@ -82,4 +87,4 @@ def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     return joined.drop("_key")
 
 
-__all__ = ["NULL_ID", "arrow_map", "hash_share", "keep_rows", "keyed", "materialize", "read", "remainder", "split_join", "texts", "unkey"]
+__all__ = ["NULL_ID", "arrow_map", "hash_share", "keep_rows", "keyed", "materialize", "read", "remainder", "split_join", "texts", "unkey", "with_row"]

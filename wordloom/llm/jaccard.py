@@ -42,7 +42,7 @@ from pyspark.sql.window import Window
 
 from wordloom.llm.arrays import FOLD, Words, mix, pieces, signed
 from wordloom.llm.components import components
-from wordloom.llm.frames import arrow_map, keyed, materialize, split_join, unkey
+from wordloom.llm.frames import arrow_map, keyed, materialize, split_join, unkey, with_row
 from wordloom.session import ship_package
 
 SHINGLE = 5
@@ -408,9 +408,13 @@ def groups(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOLD, id_col
 
 
 def keep_one(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of each component's smallest id, columns as they are; one of rows repeating that id; rows without id stay."""
-    found = groups(docs, n, threshold, id_col, text_col)
-    keep = materialize(found.where("id = component_id").select("id").distinct(), docs.sparkSession, "kept")
-    own = F.col(f"`{id_col}`").cast("long")
-    with_id = docs.where(own.isNotNull()).join(keep, own == keep["id"], "left_semi").dropDuplicates([id_col])
-    return with_id.unionByName(docs.where(own.isNull()))
+    """One row of each component, columns as they are: that of the smallest id, the first of rows that share it.
+
+    Every row is a document of its own; those without id come after all others.
+    """
+    rows = with_row(docs, "_row")
+    own = rows.select(F.col("_row").alias("id"), F.col(f"`{id_col}`").cast("long").alias("doc"))
+    found = groups(rows, n, threshold, "_row", text_col).join(own, "id")
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "id"))
+    keep = materialize(found.groupBy("component_id").agg(first.alias("first")).select(F.col("first.id").alias("_row")), docs.sparkSession, "kept")
+    return rows.join(keep, "_row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -1,7 +1,7 @@
 """Removal of repeated and nearly repeated lines by a segment-partition edit join.
 
 A line of at least ``least`` characters (trimmed) goes if an equal line, or one
-within ``tau`` edits, comes before it; before means a smaller (id, line number)
+within ``tau`` edits, comes before it; before means a smaller (id, line number, row)
 of the lines' first occurrences.  Shorter lines stay.
 
 * **Exact copies** are grouped by two 64-bit hashes of the line.
@@ -20,9 +20,10 @@ of the lines' first occurrences.  Shorter lines stay.
 Everything is DataFrame functions.  Texts move only for lines that are
 candidates.
 
-Defined cases: null and empty texts have no lines; a null id is an id, smaller
-than all; rows that repeat an id share their lines' places, so their lines stay
-or go together.
+Every row has a key of its own; ids only order lines and name them.
+
+Defined cases: null and empty texts have no lines; null ids are smaller than all
+others; rows that repeat an id, or have none, are documents of their own.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.frames import keyed, materialize, unkey
+from wordloom.llm.frames import NULL_ID, keyed, materialize, unkey, with_row
 
 TAU = 2
 LEAST = 20
@@ -38,9 +39,9 @@ BUCKET_BITS = 20
 
 
 def lines(docs: DataFrame, least: int) -> DataFrame:
-    """``(id, line_no, line, n)``: the trimmed lines of at least ``least`` characters of ``(id, text)``."""
-    t = docs.select("id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return t.select("id", "line_no", F.trim("line").alias("line")).withColumn("n", F.char_length("line")).where(F.col("n") >= least)
+    """``(row, id, line_no, line, n)``: the trimmed lines of at least ``least`` characters of ``(row, id, text)``."""
+    t = docs.select("row", "id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return t.select("row", "id", "line_no", F.trim("line").alias("line")).withColumn("n", F.char_length("line")).where(F.col("n") >= least)
 
 
 def _key(line: Column, start: Column, size: Column, i: int, length: Column) -> Column:
@@ -146,13 +147,13 @@ def candidates(own: DataFrame, repeated: DataFrame, tau: int) -> DataFrame:
 
 
 def duplicates(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
-    """``(id, line_no, of_id, of_line_no, distance)`` of every line of ``(id, text)`` that goes, and the line it repeats."""
+    """``(row, id, line_no, of_id, of_line_no, distance)`` of every line of ``(row, id, text)`` that goes, and the line it repeats."""
     if tau < 1 or least < 2 * (tau + 1):
         raise ValueError("tau must be at least 1, and lines long enough for segments of two characters")
     spark = docs.sparkSession
     own = lines(docs, least).withColumn("h", F.xxhash64("line"))
-    places = own.select("id", "line_no", "h", F.xxhash64("line", F.lit(1)).alias("g"))
-    first = materialize(places.groupBy("h", "g").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count(F.lit(1)).alias("copies")), spark, "firsts")
+    places = own.select("row", "id", "line_no", "h", F.xxhash64("line", F.lit(1)).alias("g"))
+    first = materialize(places.groupBy("h", "g").agg(F.min(F.struct("id", "line_no", "row")).alias("first"), F.count(F.lit(1)).alias("copies")), spark, "firsts")
 
     pairs = materialize(candidates(own, first.where("copies > 1"), tau), spark, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
@@ -173,14 +174,14 @@ def duplicates(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame
         .where("of < first").groupBy(F.col("a").alias("h")).agg(F.min(F.struct("of", "distance")).alias("near"))
     known = first.join(earlier, "h", "left").where("copies > 1 OR near IS NOT NULL").select("h", F.col("g").alias("g0"), "first", "near")
     gone = places.join(_buckets(known), _bucket() == F.col("bucket"), "left_semi").join(known, "h").where("g = g0") \
-        .where(F.col("near").isNotNull() | (F.struct("id", "line_no") != F.col("first")))
+        .where(F.col("near").isNotNull() | (F.struct("id", "line_no", "row") != F.col("first")))
     of = F.coalesce(F.col("near.of"), F.col("first"))
-    return gone.select("id", "line_no", of["id"].alias("of_id"), of["line_no"].alias("of_line_no"), F.coalesce("near.distance", F.lit(0)).alias("distance"))
+    return gone.select("row", "id", "line_no", of["id"].alias("of_id"), of["line_no"].alias("of_line_no"), F.coalesce("near.distance", F.lit(0)).alias("distance"))
 
 
 def report(docs: DataFrame, tau: int = TAU, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """:func:`duplicates` of a table, with its ids."""
-    found = duplicates(keyed(docs, id_col, text_col), tau, least)
+    found = duplicates(with_row(keyed(docs, id_col, text_col)), tau, least).drop("row")
     return found.withColumn("id", unkey()).withColumn("of_id", unkey("of_id"))
 
 
@@ -190,11 +191,12 @@ def remove_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, id_col: st
 
     ``size_col``, if the table has it, becomes the new number of characters.
     """
-    gone = duplicates(keyed(docs, id_col, text_col), tau, least).groupBy("id").agg(F.collect_set("line_no").alias("_gone")) \
-        .withColumnRenamed("id", "_id")
-    own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))
+    rows = with_row(docs, "_row")
+    own = rows.select(F.col("_row").alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"),
+                      F.col(f"`{text_col}`").cast("string").alias("text"))
+    gone = duplicates(own, tau, least).groupBy(F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
     kept = F.filter(F.split(F.col(f"`{text_col}`"), "\n", -1), lambda _, i: ~F.array_contains(F.col("_gone"), i))
-    both = docs.join(gone, own == gone["_id"], "left").withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
+    both = rows.join(gone, "_row", "left").withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
     text = F.when(F.col("_gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join("_kept", "\n"))
     changed = F.col("_gone").isNotNull()
     out = {text_col: text}

@@ -24,12 +24,13 @@ that path ends in or above an internal node.
 
 Words are compared by 64-bit hashes, inside groups that share a 64-bit prefix hash.
 
-Texts are dealt by id once, and the joins on ids share that exchange.
+Every row has a key of its own, ``id`` below, by which its text is joined; the
+table's ids are only put out.
 
 Defined cases: null, empty and wordless texts have no words; texts with fewer
 than ``n`` words have no windows and stay whole; repeated rows are copies of
-each other, so their windows repeat; a null id is an id like any other.  An id
-stands for one text.
+each other, so their windows repeat; rows that repeat an id, or have none, are
+documents of their own.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.arrays import Words, mix, pieces, signed
-from wordloom.llm.frames import arrow_map, keyed, materialize, split_join, unkey
+from wordloom.llm.frames import arrow_map, materialize, split_join, texts, with_row
 from wordloom.session import ship_package
 
 WINDOW = 35
@@ -255,8 +256,8 @@ def repeats(docs: DataFrame, n: int = WINDOW, k: int = PREFIX, group: int = GROU
 def remove_repeats(docs: DataFrame, n: int = WINDOW, k: int = PREFIX, group: int = GROUP, id_col: str = "doc_id",
                    text_col: str = "text", with_text: bool = True) -> DataFrame:
     """``id, n_words, n_removed, kept_sha256`` and the kept ``text`` of every row, kept words joined by one space."""
-    t = keyed(docs, id_col, text_col)
-    spans = repeats(t, n, k, group).groupBy("id").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    t = with_row(texts(docs, id_col, text_col).withColumnRenamed("id", "doc"), "id")
+    spans = repeats(t.select("id", "text"), n, k, group).groupBy("id").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
     def gone(w: Words, spans: list) -> np.ndarray:
         """Mask of a piece's words that repeats cover: those in the spans, and windows a row has more than once."""
@@ -299,5 +300,4 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, k: int = PREFIX, group: int
             cols.append(pa.array(kept, pa.binary()).cast(pa.string()))
         return pa.record_batch(cols, names=["id", "n_words", "n_removed", "kept_sha256", *["text"] * with_text])
 
-    out = arrow_map(t.join(spans, "id", "left"), fn, "id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
-    return out.withColumn("id", unkey())
+    return arrow_map(t.join(spans, "id", "left").select("doc", "text", "spans"), fn, "id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
