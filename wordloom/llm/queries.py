@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import decontaminate, jaccard, langid, lexical, licenses, lines, packing, pst, quality, substrings, toxicity
+from wordloom.llm import conversations, decontaminate, jaccard, langid, lexical, licenses, lines, packing, pst, quality, substrings, toxicity, warc
 from wordloom.llm.frames import read, remainder
+from wordloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -183,3 +184,24 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item."""
     found = lexical.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("item", "item_id").withColumnRenamed("id", "doc_id")
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after the damage rule."""
+    rows = conversations.rows_of(read(spark, sf_dir, "conversations"), damaged=True)
+    return conversations.report(rows).withColumnRenamed("conv", "conv_id")
+
+
+@query("op13_warc", r"""
+WITH p AS (SELECT page_id, sha1(encode(coalesce(html, ''))) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+     g AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM p LEFT JOIN g USING (d)""")
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages written as WARC records and read back: payload digests, record types and what revisits refer to."""
+    path = scratch_path(spark, "archive")
+    warc.write_archive(read(spark, sf_dir, "pages"), path)
+    return warc.digest_report(spark, path)
