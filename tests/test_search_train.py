@@ -43,30 +43,6 @@ def test_training_is_deterministic_and_learns(spark, docs1):
     assert losses[0][2] < losses[0][1] < losses[0][0]
 
 
-def test_targeted_delivery_equals_whole_model(spark, docs1):
-    """Above the size limit each part gets only the rows it touches — same result."""
-    vb = build_vocabulary(docs1, Config(), None)
-    runs = []
-    for cfg in (Config(), Config(model_broadcast_limit=0, targeted_work_per_part=10 ** 9)):
-        tr = SGNSTrainer(vb.vocab, vb.targets, cfg, partitions=4)
-        st = tr.train(2)
-        runs.append(([x["loss"] for x in tr.losses], {r.idx: r.vec for r in st.model_in.collect()}))
-    assert tr.parts == 4 and not tr.fits_task()
-    assert runs[0][0] == runs[1][0]
-    assert all(np.allclose(runs[0][1][k], runs[1][1][k], atol=1e-12) for k in runs[0][1])
-
-
-def test_join_form_epoch_runs(spark, docs1):
-    cfg = Config(model_broadcast_limit=0, large_model="join")      # force the join-form path
-    vb = build_vocabulary(docs1, cfg, None)
-    tr = SGNSTrainer(vb.vocab, vb.targets, cfg, partitions=4)
-    assert not tr.fits_task()
-    st = tr.train(3)
-    assert st.model_in.count() == vb.vocab.count()
-    # each epoch reports the loss at its start weights
-    assert tr.losses[3]["loss"] < tr.losses[2]["loss"] < tr.losses[1]["loss"]
-
-
 def test_single_partition_equals_sequential_reference(spark, docs1):
     """With one partition the kernel follows the plain sequential update order."""
     import pandas as pd
@@ -105,24 +81,3 @@ def test_single_partition_equals_sequential_reference(spark, docs1):
     assert np.allclose(a_out, b_out)
     for p in ref_in:
         assert np.allclose(in_rows[p][1], ref_in[p])
-
-
-def test_lane_mode_is_deterministic_and_learns(spark, docs1):
-    cfg = Config(sampler="unigram_literal", lanes=8)
-    vb = build_vocabulary(docs1, cfg, None)
-    runs = []
-    for _ in range(2):
-        tr = SGNSTrainer(vb.vocab, vb.targets, cfg, partitions=4)
-        tr.train(2)
-        runs.append([round(x["loss"], 6) for x in tr.losses])
-    assert runs[0] == runs[1]
-    assert runs[0][2] < runs[0][1] < runs[0][0]
-
-
-def test_mean_combine_runs(spark, docs1):
-    cfg = Config(combine="mean")
-    vb = build_vocabulary(docs1, cfg, None)
-    tr = SGNSTrainer(vb.vocab, vb.targets, cfg, partitions=4)
-    st = tr.train(2)
-    assert st.model_in.count() == vb.vocab.count()
-    assert tr.losses[2]["loss"] < tr.losses[1]["loss"]

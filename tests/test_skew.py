@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from wordloom.config import Config
-from wordloom.operators import train as TR
+from wordloom.operators import samples as SM
 from wordloom.operators import vocab as VC
 
 
@@ -12,17 +12,15 @@ def test_hot_center_is_split_evenly(spark):
     hot = [(0, c, 40) for c in range(1, 401)]                  # 16,000 examples
     cold = [(p, (p % 50) + 1, 4) for p in range(1, 8001)]      # 32,000 examples
     targets = spark.createDataFrame(hot + cold, "center_idx long, context_idx long, freq long")
-    ex, parts = TR.example_table(targets, Config(), 8)
-    work = {r.part: r.w for r in ex.groupBy("part").agg(F.sum("nrep").alias("w")).collect()}
-    total = sum(work.values())
-    assert total == 48000 and len(work) == parts == 8
-    assert max(work.values()) <= total / parts + TR.REP_CHUNK
-    hot_parts = ex.where("center_idx = 0").select("part").distinct().count()
-    assert hot_parts >= 2                      # the hot center spans several parts
-    # labels send part i to bucket / partition i
-    lab = TR.partition_labels(spark, parts)
-    b = lab.select("part", F.pmod(F.hash("pl"), F.lit(parts)).alias("b")).collect()
-    assert all(r.part == r.b for r in b)
+    vocab = spark.createDataFrame([(i, f"w{i:05d}", 1) for i in range(8001)], "idx long, word string, freq long")
+    space = SM.slots(vocab, Config(), blocks=4)
+    ex, parts, total = SM.example_table(targets, space, 8)
+    work = {r.part: r.w for r in ex.groupBy(F.floor(F.col("cell") / 4).alias("part")).agg(F.sum("nrep").alias("w")).collect()}
+    assert total == sum(work.values()) == 48000 and len(work) == parts == 8
+    assert max(work.values()) <= total / parts + SM.REP_CHUNK
+    hot = ex.where("center_idx = 0").select("cell").distinct().count()
+    assert hot >= 2                            # the hot center spans several cells
+    assert ex.where("cell % 4 <> cblk or center_idx % 4 <> cblk").count() == 0
 
 
 def test_hot_word_counts_combine_map_side(spark):

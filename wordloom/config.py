@@ -48,22 +48,19 @@ class Config:
     sampler: str = "unigram"         # one of SAMPLERS
     # execution
     seed: int = 0
-    lanes: int = 1                   # center streams per part advanced in lock-step (1 = exact order)
-    combine: str = "sum"             # how partition deltas of w_ho combine: sum | mean
+    batch: int = 64                  # examples of a center whose gradients are taken at once; 1 is the original's order
     train_partitions: int = 0        # least number of parts; 0 = as many as the examples ask for
-    model_broadcast_limit: int = 512 * 1024 * 1024   # bytes of both layers read whole per task
-    large_model: str = "targeted"    # above the limit: "targeted" row delivery or "join" step
-    targeted_work_per_part: int = 0  # examples per part (0 = the default)
+    blocks: int = 0                  # blocks per layer; 0 = as many as the model's size asks for (4 at least)
+    block_bytes: int = 32 * 1024 * 1024              # bytes of one layer's block, at most
+    model_broadcast_limit: int = 512 * 1024 * 1024   # bytes of model tables that scorers and encoders read whole per task
 
     def __post_init__(self):
         if self.sampler not in SAMPLERS:
             raise ValueError(f"sampler must be one of {SAMPLERS}, got {self.sampler!r}")
         if self.window < 2:
             raise ValueError("window must be >= 2")
-        if self.large_model not in ("targeted", "join"):
-            raise ValueError("large_model must be 'targeted' or 'join'")
-        if self.combine not in ("sum", "mean"):
-            raise ValueError("combine must be 'sum' or 'mean'")
+        if self.batch < 1:
+            raise ValueError("batch must be >= 1")
 
     @property
     def context(self) -> int:

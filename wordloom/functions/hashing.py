@@ -8,6 +8,7 @@ uniforms for one key from SHA-256 digests, five 48-bit values per digest.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,3 +67,108 @@ def sql_uniform_vector(seed, stream: str, n: int, *keys: str) -> str:
     return (f"list_transform(range(0, {n}), lambda j: "
             f"('0x' || substr(({digests})[j // {PER_DIGEST} + 1], (j % {PER_DIGEST}) * 12 + 1, 12))::BIGINT::DOUBLE"
             f" / 281474976710656.0)")
+
+
+# --- counter-based draws: one integer formula for numpy, Spark columns and DuckDB ----------
+#
+# Two 32-bit lanes; every product stays below 2^62, so signed 64-bit arithmetic never overflows.
+# A lane's key is mixed from (seed, stream) and whole numbers of at most 63 bits; draw number j of
+# a key is one more mixing round per lane; 32 + 20 bits of the two lanes make a uniform in [0, 1).
+
+MASK32 = (1 << 32) - 1
+MIX_1, MIX_2 = 0x21F0AAAD, 0x735A2D97           # a published two-round 32-bit finaliser
+LANES = ((0x6A09E667, 0x9E3779B1), (0xBB67AE85, 0x85EBCA77))       # (start, step) per lane
+TWO52 = float(1 << 52)
+STREAMS = {"unigram": 1, "tdnd1": 2, "tdnd2": 3, "tdnd3": 4}
+
+
+def _start(lane: int, seed: int, stream: int) -> int:
+    return LANES[lane][0] ^ ((seed * 64 + stream) & MASK32)
+
+
+def mix32(x):
+    """32-bit finaliser of uint64 arrays below 2^32."""
+    x = x ^ (x >> np.uint64(16))
+    x = (x * np.uint64(MIX_1)) & np.uint64(MASK32)
+    x = x ^ (x >> np.uint64(15))
+    x = (x * np.uint64(MIX_2)) & np.uint64(MASK32)
+    return x ^ (x >> np.uint64(15))
+
+
+def draw_keys(seed: int, stream: int, *keys) -> tuple[np.ndarray, np.ndarray]:
+    """Both lanes' keys of whole-number arrays (which broadcast)."""
+    out = []
+    for lane in (0, 1):
+        h = mix32(np.asarray(_start(lane, seed, stream), dtype=np.uint64))
+        for k in keys:
+            k = np.asarray(k).astype(np.uint64)
+            h = mix32(((h ^ (k & np.uint64(MASK32))) + (k >> np.uint64(32))) & np.uint64(MASK32))
+        out.append(h)
+    return out[0], out[1]
+
+
+def draw_bits(keys: tuple[np.ndarray, np.ndarray], number) -> np.ndarray:
+    """52 random bits of draw ``number`` of each key."""
+    n = np.asarray(number).astype(np.uint64)
+    a, b = (mix32((h + n * np.uint64(step)) & np.uint64(MASK32)) for h, (_, step) in zip(keys, LANES))
+    return (a << np.uint64(20)) | (b >> np.uint64(12))
+
+
+def draw_u(keys, number) -> np.ndarray:
+    """Uniforms in [0, 1)."""
+    return draw_bits(keys, number).astype(np.float64) / TWO52
+
+
+def draw_u_open0(keys, number) -> np.ndarray:
+    """Uniforms in (0, 1]."""
+    return (draw_bits(keys, number) + np.uint64(1)).astype(np.float64) / TWO52
+
+
+def draw_column(seed: int, stream: str, *keys: Column, number: Column, open0: bool = False) -> Column:
+    """The same draw as a column expression; keys and ``number`` are whole numbers."""
+    lanes = []
+    for lane, (_, step) in enumerate(LANES):
+        # each round's input is bound once by a one-element transform: substituting it would double the expression
+        h = F.array(F.lit(int(mix32(np.asarray(_start(lane, seed, STREAMS[stream]), dtype=np.uint64)))).cast("bigint"))
+        for k in keys:
+            k = k.cast("bigint")
+            h = _mixed(_folded(h, k))
+        lanes.append(_mixed(_stepped(h, number, step))[0])
+    bits = F.shiftleft(lanes[0], 20).bitwiseOR(F.shiftright(lanes[1], 12))
+    return (bits + F.lit(int(open0))).cast("double") / F.lit(TWO52)
+
+
+def _folded(h: Column, k: Column) -> Column:
+    return F.transform(h, lambda x: (x.bitwiseXOR(k.bitwiseAND(F.lit(MASK32))) + F.shiftright(k, 32)).bitwiseAND(F.lit(MASK32)))
+
+
+def _stepped(h: Column, number: Column, step: int) -> Column:
+    return F.transform(h, lambda x: (x + number.cast("bigint") * F.lit(step)).bitwiseAND(F.lit(MASK32)))
+
+
+def _round(h: Column, shift: int, factor: int) -> Column:
+    return F.transform(h, lambda x: (x.bitwiseXOR(F.shiftright(x, shift)) * F.lit(factor)).bitwiseAND(F.lit(MASK32)))
+
+
+def _mixed(h: Column) -> Column:
+    h = _round(_round(h, 16, MIX_1), 15, MIX_2)
+    return F.transform(h, lambda x: x.bitwiseXOR(F.shiftright(x, 15)))
+
+
+def sql_draw(seed: int, stream: str, *keys: str, number: str, open0: bool = False) -> str:
+    """DuckDB twin of :func:`draw_column`."""
+    def bind(body: str, x: str) -> str:
+        return f"list_transform({x}, lambda x: {body})"
+
+    def mixed(x: str) -> str:
+        for shift, factor in ((16, MIX_1), (15, MIX_2)):
+            x = bind(f"(xor(x, x >> {shift}) * {factor}) & {MASK32}", x)
+        return bind("xor(x, x >> 15)", x)
+
+    lanes = []
+    for lane, (_, step) in enumerate(LANES):
+        h = f"[{int(mix32(np.asarray(_start(lane, seed, STREAMS[stream]), dtype=np.uint64)))}::BIGINT]"
+        for k in keys:
+            h = mixed(bind(f"(xor(x, ({k})::BIGINT & {MASK32}) + (({k})::BIGINT >> 32)) & {MASK32}", h))
+        lanes.append(mixed(bind(f"(x + ({number})::BIGINT * {step}) & {MASK32}", h)) + "[1]")
+    return f"((({lanes[0]} << 20) | ({lanes[1]} >> 12)) + {int(open0)})::DOUBLE / 4503599627370496.0::DOUBLE"

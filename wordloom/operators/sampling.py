@@ -1,7 +1,6 @@
 """Negative-sampling tables, draws and the initial loss.
 
-Every random number is a hash-uniform of (seed, stream, epoch, center,
-context, repetition, sample) — a retried task draws the same values.
+Draws themselves are arrays in tasks (:mod:`wordloom.operators.samples`).
 """
 
 from __future__ import annotations
@@ -12,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.config import Config
-from wordloom.functions import vectors as V
 from wordloom.functions.hashing import uniform, uniform_open0
 from wordloom.operators.ranking import prefix_sum
 from wordloom.operators.vocab import freq_rank
@@ -55,69 +53,18 @@ def tdnd_resample(raw, u3, a, b):
     return F.when((raw < a) | (raw > b), res).otherwise(raw)
 
 
-def example_draws(targets: DataFrame, cfg: Config = Config(), epoch: int = 0) -> DataFrame:
-    """All (center_idx, context_idx, tf, ck) sample rows of one epoch; ck = 0 is the positive."""
-    ex = targets.select("center_idx", "context_idx", F.explode(F.sequence(F.lit(0), F.col("freq") - 1)).alias("tf"))
-    return ex.select("center_idx", "context_idx", "tf",
-                     F.explode(F.sequence(F.lit(0), F.lit(cfg.samples - 1))).alias("ck"))
+def sgns_loss(targets: DataFrame, vocab: DataFrame, model_in: DataFrame, model_out: DataFrame, cfg: Config = Config(), rnd: int = 0) -> DataFrame:
+    """(examples, loss) = Σ −ln σ(±w_ih[p]·w_ho[k]) over one round's samples (+ the context, − its negatives).
 
-
-def _bucketed_range_join(draws: DataFrame, ranges: DataFrame, total: int, v: int) -> DataFrame:
-    """slot → idx with lo ≤ slot < hi as an equi-join on slot buckets (no nested loop)."""
-    width = max(1, total // max(1, v))
-    rb = ranges.select("idx", "lo", "hi", F.explode(F.sequence(
-        F.floor(F.col("lo") / width).cast("bigint"), F.floor((F.col("hi") - 1) / width).cast("bigint"))).alias("_b"))
-    d = draws.withColumn("_b", F.floor(F.col("slot") / width).cast("bigint"))
-    j = d.join(rb, "_b").where((F.col("slot") >= F.col("lo")) & (F.col("slot") < F.col("hi")))
-    return j.drop("_b", "lo", "hi")
-
-
-def negatives(targets: DataFrame, vocab: DataFrame, cfg: Config = Config(), epoch: int = 0,
-              v: int | None = None, total: int | None = None) -> DataFrame:
-    """(center_idx, context_idx, tf, ck, k) for ck ≥ 1 under ``cfg.sampler``."""
-    if v is None:
-        v = vocab.count()
-    keys = [F.lit(epoch), F.col("center_idx"), F.col("context_idx"), F.col("tf"), F.col("ck")]
-    d = example_draws(targets, cfg, epoch).where(F.col("ck") > 0)
-    s = cfg.seed
-    if cfg.sampler == "unigram":
-        if total is None:
-            total = vocab.agg(F.sum("freq")).first()[0]
-        d = d.withColumn("slot", F.floor(uniform(s, "neg", *keys) * F.lit(float(total))).cast("bigint"))
-        out = _bucketed_range_join(d, unigram_table(vocab), total, v).withColumnRenamed("idx", "k")
-    elif cfg.sampler == "unigram_literal":
-        d = d.withColumn("slot", F.floor(uniform(s, "neg", *keys) * F.lit(float(v - 1))).cast("bigint"))
-        out = d.join(unigram_literal_table(vocab, v), "slot")
-    else:
-        raw = tdnd_raw(uniform_open0(s, "tdnd1", *keys), uniform(s, "tdnd2", *keys), 0, v - 1)
-        d = d.withColumn("slot", tdnd_resample(raw, uniform(s, "tdnd3", *keys), 0, v - 1))
-        table = center_out_reorder(vocab)
-        if cfg.sampler == "tdnd":
-            out = d.join(table.select("slot", F.col("idx").alias("k")), "slot")
-        else:
-            mx = vocab.agg(F.max("freq")).first()[0]
-            if mx >= v:
-                raise ValueError(f"tdnd_literal: max freq {mx} is not a valid index (V={v})")
-            out = d.join(table.select("slot", F.col("freq").alias("k")), "slot")
-    return out.select("center_idx", "context_idx", "tf", "ck", F.col("k").cast("bigint").alias("k"))
-
-
-def sample_rows(targets: DataFrame, vocab: DataFrame, cfg: Config = Config(), epoch: int = 0,
-                v: int | None = None, total: int | None = None) -> DataFrame:
-    """Positive rows (k = context, label 1) plus negative rows (label 0)."""
-    pos = targets.select("center_idx", "context_idx", F.explode(F.sequence(F.lit(0), F.col("freq") - 1)).alias("tf")) \
-        .select("center_idx", "context_idx", "tf", F.lit(0).alias("ck"), F.col("context_idx").alias("k"))
-    neg = negatives(targets, vocab, cfg, epoch, v, total)
-    return pos.unionByName(neg)
-
-
-def sgns_loss(rows: DataFrame, model_in: DataFrame, model_out: DataFrame) -> DataFrame:
-    """Σ −ln σ(±w_ih[p]·w_ho[k]) over sample rows (+ for ck = 0, − for negatives)."""
-    from wordloom.operators.scoring import pair_scores
-    e = pair_scores(rows.select("center_idx", "k", "ck"), model_in, model_out, "center_idx", "k", "dot")
-    term = V.log_sigmoid_neg(F.when(F.col("ck") == 0, F.col("score")).otherwise(-F.col("score")))
-    return e.agg(F.sum(F.when(F.col("ck") == 0, 1).otherwise(0)).cast("bigint").alias("examples"),
-                 F.sum(term).alias("loss"))
+    Every cell of the examples meets the rows of its centers and one output
+    block at a time; only partial losses are shuffled.
+    """
+    from wordloom.operators import samples as SM
+    from wordloom.operators.train import cells_loss
+    space = SM.slots(vocab, cfg)
+    examples, _, _ = SM.example_table(targets, space)
+    out = model_out.select("idx", "vec").join(space.rows, "idx")
+    return cells_loss(examples, space, cfg, rnd, SM.packed(model_in.select("idx", "vec")), SM.packed(out))
 
 
 def sampler_vs_vocab(vocab: DataFrame, cfg: Config = Config()) -> DataFrame:

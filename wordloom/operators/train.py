@@ -1,350 +1,163 @@
-"""Skip-gram with negative sampling as Spark supersteps.
-
-Per epoch:
-
-1. The example table (center, context, repetition chunk) is cut once into
-   ``part``s of equal work along the (center_idx, context_idx) order and kept
-   as parquet: each part owns a contiguous run of centers, like the
-   original's threads own index ranges, and a center with a huge context list
-   is split over several parts (its updates then merge as deltas, step 3).
-   Large target frequencies are cut into chunks of ``REP_CHUNK`` repetitions
-   so no row carries unbounded work.  The split is computed from ranks and a
-   prefix sum, so it is the same on every run.
-2. ``groupBy(part).applyInPandas`` runs the original update order inside each part with
-   numpy: per center normalise w_ih[p]; per (context, repetition) draw 24
-   negatives, compute g = α(σ(e) − label), accumulate δ_ih, update w_ho rows,
-   then w_ih[p] −= δ_ih / context_max.  The output layer is read whole by each
-   task from the epoch's parquet table in the shared folder (never through the
-   driver), only below ``Config.model_broadcast_limit``; above it
-   :func:`sgns_epoch_join` does the epoch as joins and aggregations instead.
-3. Deltas are summed per index with an aggregation (``combine="mean"``
-   divides by the number of partitions that touched a row), w_ih is
-   re-normalised (as the original does at every save), and both tables are
-   written to ``<dir>/epoch=<n>`` — the per-epoch checkpoint that also cuts
-   lineage.
-
-Negatives come from a counter-based hash of (seed, epoch, center, context,
-repetition, sample), so a retried task draws exactly the same numbers.
-With one part this is the original single-thread order.
+"""Skip-gram with negative sampling as supersteps over blocks.
+
+Centers and output words are cut into B blocks each (B follows from the size of
+the model).  An epoch draws every example's negatives once and writes them as
+packed arrays per (segment, output block) (:mod:`wordloom.operators.samples`);
+then come B supersteps.  In superstep s the centers of block i meet the output
+words of block (i + s) mod B, so the pairs of a superstep touch disjoint rows
+of both layers and run at the same time without conflicts.
+
+A pair's work is cut into cells of bounded size.  Each cell gets its samples,
+its centers' vectors and its output block by a cogroup, and runs the update
+order of the original over them: per center, per segment (``Config.batch``
+examples of one center; 1 is the original's order), g = α(σ(e) − label) at the
+segment's start, w_out[k] −= g·w_in[p], w_in[p] −= Σ g·w_out[k] / contexts of p.
+A cell returns the change of its rows; changes are added to the model by one
+aggregation, whose partial sums run before the shuffle.  A pair of one cell
+is updated exactly in order; a center so frequent that it fills several cells
+has their changes added up.
+
+A task holds two blocks and one cell's samples, whatever the size of the model
+and of the vocabulary: there is one algorithm, and nothing in it depends on
+memory limits or on the session's number of shuffle partitions.
+
+The input layer is unit length at the start and at the end of every epoch, as
+in every file that the original writes.  Each epoch is written to
+``<dir>/epoch=<n>`` (the checkpoint that also cuts lineage); its samples and
+supersteps are dropped then.
 """
 
 from __future__ import annotations
 
-import math
-import os
 import time
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.config import Config
-from wordloom.functions import vectors as V
-from wordloom.session import materialize, scratch_path, ship_package
+from wordloom.functions import hashing as H
+from wordloom.operators import samples as SM
+from wordloom.session import delete_path, scratch_path, ship_package
 
-REP_CHUNK = 64
-WORK_PER_PART = 1 << 17      # examples per part: bounds a group's memory and time, and alone decides the split
 LOG_TS = "%d-%m-%Y %H:%M:%S"
+LOSS_CHUNK = 1 << 17
 
 
 # ------------------------------------------------------------------ numpy side
 
-_M1 = np.uint64(0xBF58476D1CE4E5B9)
-_M2 = np.uint64(0x94D049BB133111EB)
-_G = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(x):
-    """splitmix64 finaliser on uint64 arrays (wrap-around arithmetic)."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * _M1
-        x = (x ^ (x >> np.uint64(27))) * _M2
-        return x ^ (x >> np.uint64(31))
-
-
-def hash_key(seed, stream, *keys):
-    """uint64 key mixed from integer keys (numpy arrays broadcast)."""
-    with np.errstate(over="ignore"):
-        h = _mix(np.uint64(seed) * _G + np.uint64(stream))
-        for k in keys:
-            h = _mix(h ^ (np.asarray(k).astype(np.uint64) + _G))
-    return h
+def hash_u(seed, stream, *keys):
+    """Counter-based uniforms in [0, 1) of integer keys (numpy arrays broadcast)."""
+    return H.draw_u(H.draw_keys(seed, stream, *keys[:-1]), keys[-1])
 
 
-def hash_u(seed, stream, *keys):
-    """Counter-based uniform in [0, 1) from integer keys (numpy arrays broadcast)."""
-    h = hash_key(seed, stream, *keys)
-    return (h >> np.uint64(11)).astype(np.float64) * (1.0 / 9007199254740992.0)
+def draw_negatives(sampler: str, table: np.ndarray, v: int, seed: int, epoch: int, p, c, tf, ck) -> np.ndarray:
+    """Output words of the negatives ``ck`` of examples; ``table`` has every word's last slot + 1 (unigram) or the word of every slot."""
+    keys = (epoch + 1, p, c, tf)
+    if sampler == "unigram":
+        return np.searchsorted(table, SM.draw(sampler, seed, int(table[-1]), v, keys, ck), side="right").astype(np.int64)
+    slot = SM.draw(sampler, seed, v, v, keys, ck, table if sampler.endswith("literal") else None)
+    return slot if sampler.endswith("literal") else table[slot]
 
 
-def _u_from(base, ck):
-    """Uniforms for sample numbers ``ck`` of examples whose key is ``base``."""
-    with np.errstate(over="ignore"):
-        h = _mix(base ^ (np.asarray(ck).astype(np.uint64) * _G))
-    return (h >> np.uint64(11)).astype(np.float64) * (1.0 / 9007199254740992.0)
+def softplus(x: np.ndarray) -> np.ndarray:
+    """−ln σ(−x), stable."""
+    return np.logaddexp(0.0, x)
 
 
-def draw_negatives(sampler: str, table: np.ndarray, v: int, seed: int, epoch: int,
-                   p, c, tf, ck) -> np.ndarray:
-    """Vectorised N2/N4/N5 draws; ``table`` is the sampler's lookup array.
+def run_cell(w_in, w_out, center, cm, seg, k, positive, alpha: float, exact: bool = False, update: bool = True) -> float:
+    """Updates both matrices by the samples (sorted by segment) and returns their loss.
 
-    Each example (epoch, center, context, repetition) is hashed once; every
-    sample number ``ck`` then costs one more mixing round.
+    ``center`` and ``cm`` belong to segments, ``seg``, ``k`` and ``positive`` to
+    samples.  A segment's equal words are one row with counts; with ``exact``,
+    a segment that repeats a word is run sample by sample.
     """
-    if sampler == "unigram":
-        total = int(table[-1])
-        slot = np.floor(_u_from(hash_key(seed, 1, epoch, p, c, tf), ck) * total).astype(np.int64)
-        return np.searchsorted(table, slot, side="right").astype(np.int64)
-    if sampler == "unigram_literal":
-        slot = np.floor(_u_from(hash_key(seed, 1, epoch, p, c, tf), ck) * (v - 1)).astype(np.int64)
-        return table[slot]
-    u1 = 1.0 - _u_from(hash_key(seed, 2, epoch, p, c, tf), ck)       # (0, 1]
-    u2 = _u_from(hash_key(seed, 3, epoch, p, c, tf), ck)
-    u3 = _u_from(hash_key(seed, 4, epoch, p, c, tf), ck)
-    y = np.sqrt(-2.0 * np.log(u1)) * np.cos(2.0 * math.pi * u2)
-    x = 0.0 + (1.0 + y * 0.25) * 0.5 * (v - 1)
-    raw = np.sign(x) * np.floor(np.abs(x) + 0.5)            # C round(): half away from zero
-    slot = np.where((raw < 0) | (raw > v - 1), np.floor(u3 * (v - 1)), raw).astype(np.int64)
-    return table[slot]
-
-
-def _log_sig_neg(x):
-    """−ln σ(x), stable."""
-    return np.logaddexp(0.0, -x)
+    if not len(seg):
+        return 0.0
+    key = seg * len(w_out) + k
+    order = np.argsort(key, kind="stable")
+    sorted_key = key[order]
+    first = np.flatnonzero(np.append(True, sorted_key[1:] != sorted_key[:-1]))
+    n = np.diff(np.append(first, len(key))).astype(np.float64)
+    pos = np.add.reduceat(positive[order].astype(np.float64), first)
+    word, own = k[order][first], seg[order][first]
+    e = np.empty(len(word))
+    extra = 0.0
+    if not update:
+        for at in range(0, len(word), LOSS_CHUNK):
+            part = slice(at, at + LOSS_CHUNK)
+            e[part] = np.einsum("ij,ij->i", w_in[center[own[part]]], w_out[word[part]])
+    else:
+        edge = np.searchsorted(own, np.arange(len(center) + 1))
+        raw = np.searchsorted(seg, np.arange(len(center) + 1)) if exact else None
+        step, pull = alpha * n, alpha * pos
+        with np.errstate(over="ignore"):
+            for i in range(len(center)):
+                a, b = edge[i], edge[i + 1]
+                c = center[i]
+                w = w_in[c].copy()
+                if exact and b - a < raw[i + 1] - raw[i]:
+                    extra += _one_by_one(w_in, w_out, c, w, cm[i], k[raw[i]:raw[i + 1]], positive[raw[i]:raw[i + 1]], alpha)
+                    n[a:b] = pos[a:b] = e[a:b] = 0.0
+                    continue
+                ks = word[a:b]
+                rows = w_out[ks]
+                x = rows @ w
+                e[a:b] = x
+                g = step[a:b] / (1.0 + np.exp(-x)) - pull[a:b]
+                w_in[c] = w - (g @ rows) / cm[i]
+                rows -= g[:, None] * w
+                w_out[ks] = rows
+    return float((pos * softplus(-e) + (n - pos) * softplus(e)).sum()) + extra
+
+
+def _one_by_one(w_in, w_out, c, w, cm, ks, positive, alpha) -> float:
+    """A segment in which words repeat, sample by sample; returns its loss."""
+    delta, loss = np.zeros(len(w)), 0.0
+    for k, label in zip(ks, positive):
+        x = float(w_out[k] @ w)
+        loss += float(softplus(np.array(-x if label else x)))
+        g = alpha * (1.0 / (1.0 + np.exp(-x)) - float(label))
+        delta += g * w_out[k]
+        w_out[k] -= g * w
+    w_in[c] = w - delta / cm
+    return loss
 
 
 class PartitionRunner:
-    """The original update order over one partition's sorted example rows.
+    """The original's order over example rows in one process: the definition that cells are tested against.
 
-    Fed batch by batch (a center may continue into the next batch).  Rows:
-    center_idx, context_idx, tf0, nrep, context_max.  Mutates ``w_out`` (a
-    task-local copy); ``in_rows`` maps center → (normalised start, final).
+    Rows: center_idx, context_idx, tf0, nrep, context_max.  Mutates ``w_out``;
+    ``in_rows`` maps center → (normalised start, final).
     """
 
-    def __init__(self, w_in, w_out, table, cfg: Config, epoch: int, alpha: float, update: bool = True,
-                 in_ids=None, out_ids=None, v: int | None = None):
-        self.w_in, self.w_out, self.table = w_in, w_out, table
-        # targeted mode: w_in / w_out hold only the rows with these sorted global ids
-        self.in_ids, self.out_ids = in_ids, out_ids
-        self.v = v if v is not None else w_out.shape[0]
-        self.cfg, self.epoch, self.alpha, self.update = cfg, epoch, alpha, update
-        ns = cfg.samples
-        self.label = np.zeros(ns)
-        self.label[0] = 1.0
-        self.sign = np.where(self.label > 0, 1.0, -1.0)
-        self.loss = 0.0
-        self.examples = 0
-        self.in_rows = {}
-        self.cur = -1
-        self.w0 = self.w = None
-
-    def _close(self):
-        if self.cur >= 0:
-            self.in_rows[self.cur] = (self.w0, self.w)
-
-    def _in_row(self, p):
-        """Input vector of global center ``p`` (local row in targeted mode)."""
-        if self.in_ids is None:
-            return self.w_in[p]
-        return self.w_in[int(np.searchsorted(self.in_ids, p))]
+    def __init__(self, w_in, w_out, table, cfg: Config, epoch: int, alpha: float, update: bool = True):
+        self.w_in, self.w_out, self.table, self.cfg = w_in, w_out, table, cfg
+        self.epoch, self.alpha, self.update = epoch, alpha, update
+        self.start = w_in / np.linalg.norm(w_in, axis=1, keepdims=True)
+        self.now = self.start.copy()
+        self.loss, self.examples, self.centers = 0.0, 0, []
 
     def feed(self, rows: pd.DataFrame):
-        cfg, w_out, alpha = self.cfg, self.w_out, self.alpha
-        h = w_out.shape[1]
-        v = self.v
-        ns = cfg.samples
-        R = rows["nrep"].to_numpy(np.int64)
-        if len(R) == 0:
-            return
-        # expand (row, repetition) → examples and draw every negative of the batch at once
-        rep_row = np.repeat(np.arange(len(R)), R)
-        start = np.repeat(np.cumsum(R) - R, R)
-        P = rows["center_idx"].to_numpy(np.int64)[rep_row]
-        C = rows["context_idx"].to_numpy(np.int64)[rep_row]
-        TF = rows["tf0"].to_numpy(np.int64)[rep_row] + (np.arange(len(rep_row)) - start)
-        CM = rows["context_max"].to_numpy(np.float64)[rep_row]
-        ck = np.arange(1, ns)[None, :]
-        KS = np.empty((len(P), ns), dtype=np.int64)
-        KS[:, 0] = C
-        KS[:, 1:] = draw_negatives(cfg.sampler, self.table, v, cfg.seed, self.epoch,
-                                   P[:, None], C[:, None], TF[:, None], ck)
-        if self.out_ids is not None:        # global → local rows (same order, same duplicates)
-            KS = np.searchsorted(self.out_ids, KS)
-        srt = np.sort(KS, axis=1)
-        dup = np.any(srt[:, 1:] == srt[:, :-1], axis=1)
-        self.examples += len(P)
-        label = self.label
-        if self.update and cfg.lanes > 1 and len(P) > 1:
-            self._feed_lanes(P, KS, CM, dup)
+        p, c, tf0, nrep, cm = (rows[x].to_numpy(np.int64) for x in ("center_idx", "context_idx", "tf0", "nrep", "context_max"))
+        if not len(p):
             return
-        if not self.update:
-            for i in range(len(P)):
-                p = int(P[i])
-                if p != self.cur:
-                    self._close()
-                    self.cur = p
-                    wp = self._in_row(p)
-                    self.w0 = wp / np.sqrt(np.dot(wp, wp))
-                    self.w = self.w0
-                e = w_out[KS[i]] @ self.w
-                self.loss += float(np.logaddexp(0.0, -self.sign * e).sum())
-            return
-        # logits are kept and the loss is summed once per batch, off the hot loop
-        E = np.empty((len(P), ns))
-        w = self.w
-        for i in range(len(P)):
-            p = P[i]
-            if p != self.cur:
-                self.w = w
-                self._close()
-                self.cur = p
-                wp = self._in_row(p)
-                self.w0 = wp / np.sqrt(np.dot(wp, wp))
-                w = self.w0.copy()
-            ks = KS[i]
-            if not dup[i]:
-                Wk = w_out[ks]
-                e = Wk @ w
-                E[i] = e
-                g = 1.0 / (1.0 + np.exp(-e))
-                g -= label
-                g *= alpha
-                delta = g @ Wk
-                Wk -= np.outer(g, w)
-                w_out[ks] = Wk
-            else:       # a repeated index: keep the strictly sequential order
-                delta = np.zeros(h)
-                for j in range(ns):
-                    k = ks[j]
-                    e = float(w_out[k] @ w)
-                    E[i, j] = e
-                    g = alpha * (1.0 / (1.0 + math.exp(-e)) - label[j])
-                    delta += g * w_out[k]
-                    w_out[k] -= g * w
-            w = w - delta / CM[i]
-        self.w = w
-        self.loss += float(np.logaddexp(0.0, -self.sign * E).sum())
-
-    def _feed_lanes(self, P, KS, CM, dup):
-        """L contiguous center ranges advanced in lock-step, like lock-free threads
-        over static index ranges: one batched step handles one example per lane;
-        output-layer updates of all lanes are scatter-added (colliding rows get
-        every lane's update), each lane keeps its own input vector."""
-        cfg, w_out, alpha, label = self.cfg, self.w_out, self.alpha, self.label
-        n, ns = KS.shape
-        h = w_out.shape[1]
-        L = min(cfg.lanes, n)
-        cuts = [0]
-        for l in range(1, L):
-            c = max(int(l * n / L), cuts[-1] + 1)
-            while c < n and P[c] == P[c - 1]:
-                c += 1
-            if c < n:
-                cuts.append(c)
-        starts = np.asarray(cuts)
-        lens = np.diff(np.append(starts, n))
-        L = len(starts)
-        # the first lane continues the center the previous batch ended with
-        W = np.zeros((L, h))
-        W0 = np.zeros((L, h))
-        cur = np.full(L, -1, dtype=np.int64)
-        if self.cur >= 0 and P[0] == self.cur:
-            W[0], W0[0], cur[0] = self.w, self.w0, self.cur
-        elif self.cur >= 0:
-            self._close()
-        self.cur = -1
-        E = np.empty((n, ns))
-        w_in = self.w_in
-        for t in range(int(lens.max())):
-            act = np.nonzero(lens > t)[0]
-            rows = starts[act] + t
-            p = P[rows]
-            sw = np.nonzero(p != cur[act])[0]
-            for j in sw:                       # lanes moving to a new center
-                l = act[j]
-                if cur[l] >= 0:
-                    self.in_rows[int(cur[l])] = (W0[l].copy(), W[l].copy())
-                q = int(p[j])
-                wq = self._in_row(q)
-                W0[l] = wq / np.sqrt(np.dot(wq, wq))
-                W[l] = W0[l]
-                cur[l] = q
-            ks = KS[rows]
-            Wk = w_out[ks]                               # (A, ns, h)
-            w = W[act]
-            e = np.matmul(Wk, w[:, :, None])[:, :, 0]
-            E[rows] = e
-            g = 1.0 / (1.0 + np.exp(-e))
-            g -= label
-            g *= alpha
-            delta = np.matmul(g[:, None, :], Wk)[:, 0, :]
-            upd = (g[:, :, None] * w[:, None, :]).reshape(-1, h)
-            flat = ks.ravel()
-            order = np.argsort(flat, kind="stable")
-            sk = flat[order]
-            first = np.empty(len(sk), dtype=bool)
-            first[0] = True
-            np.not_equal(sk[1:], sk[:-1], out=first[1:])
-            if first.all():
-                w_out[flat] -= upd                       # every row once: plain update
-            else:                                        # colliding rows: sum their updates
-                starts_u = np.flatnonzero(first)
-                w_out[sk[starts_u]] -= np.add.reduceat(upd[order], starts_u, axis=0)
-            W[act] = w - delta / CM[rows][:, None]
-        for l in range(L):
-            if cur[l] >= 0:
-                self.in_rows[int(cur[l])] = (W0[l].copy(), W[l].copy())
-        self.loss += float(np.logaddexp(0.0, -self.sign * E).sum())
+        row, pp, cc, _, tf, _ = SM.expand(p, c, p, tf0, nrep, tf0)
+        neg = draw_negatives(self.cfg.sampler, self.table, len(self.w_out), self.cfg.seed, self.epoch, pp[:, None], cc[:, None], tf[:, None],
+                             np.arange(1, self.cfg.samples)[None, :])
+        k = np.concatenate([cc[:, None], neg], axis=1)
+        positive = np.zeros(k.shape, dtype=bool)
+        positive[:, 0] = True
+        seg = np.repeat(np.arange(len(pp)), k.shape[1])
+        self.loss += run_cell(self.now, self.w_out, pp, cm[row].astype(np.float64), seg, k.ravel(), positive.ravel(), self.alpha, True, self.update)
+        self.examples += len(pp)
+        self.centers += list(dict.fromkeys(p.tolist()))
 
     def finish(self):
-        self._close()
-        return self.in_rows, self.loss, self.examples
-
-
-def _local(path: str) -> str:
-    return path[5:] if path.startswith("file:") else path
-
-
-def read_matrix(path: str, v: int, h: int) -> np.ndarray:
-    """A model table (idx, vec) read whole into a V×H array (worker side)."""
-    import pyarrow.dataset as ds
-    import pyarrow.fs as pafs
-    try:
-        fs, rel = pafs.FileSystem.from_uri(path)
-    except Exception:
-        fs, rel = pafs.LocalFileSystem(), _local(path)
-    t = ds.dataset(rel, filesystem=fs, format="parquet").to_table(columns=["idx", "vec"])
-    idx = t.column("idx").to_numpy()
-    flat = t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    out = np.zeros((v, h))
-    out[idx] = flat.reshape(len(idx), h)
-    return out
-
-
-def read_vector(path: str, col: str, n: int) -> np.ndarray:
-    import pyarrow.dataset as ds
-    import pyarrow.fs as pafs
-    try:
-        fs, rel = pafs.FileSystem.from_uri(path)
-    except Exception:
-        fs, rel = pafs.LocalFileSystem(), _local(path)
-    t = ds.dataset(rel, filesystem=fs, format="parquet").to_table(columns=["i", col])
-    out = np.zeros(n, dtype=np.int64)
-    out[t.column("i").to_numpy()] = t.column(col).to_numpy()
-    return out
-
-
-_CACHE: dict = {}
-
-
-def _cached(key, loader):
-    if key not in _CACHE:
-        if len(_CACHE) > 4:
-            _CACHE.clear()
-        _CACHE[key] = loader()
-    return _CACHE[key]
+        return {p: (self.start[p], self.now[p]) for p in self.centers}, self.loss, self.examples
 
 
 # ------------------------------------------------------------------ Spark side
@@ -358,229 +171,80 @@ class TrainState:
 
 def load_state(spark, path: str) -> TrainState:
     """A saved epoch: (idx, word, vec) per layer."""
-    return TrainState(path, spark.read.parquet(f"{path}/layer=in"), spark.read.parquet(f"{path}/layer=out"))
-
-
-def example_table(targets: DataFrame, cfg: Config, partitions: int,
-                  work_per_part: int = WORK_PER_PART) -> DataFrame:
-    """(center_idx, context_idx, tf0, nrep, context_max, part).
-
-    ``part`` cuts the (center, context, repetition) order into ``partitions``
-    runs of equal work (Σ nrep): a deterministic, balanced split in which a
-    center with a huge context list spans several parts.
-    """
-    from wordloom.operators.ranking import dense_index, prefix_sum
-    cm = targets.groupBy("center_idx").agg(F.count(F.lit(1)).alias("context_max"))
-    t = targets.select("center_idx", "context_idx", "freq").join(cm, "center_idx")
-    chunks = F.sequence(F.lit(0), F.floor((F.col("freq") - 1) / REP_CHUNK).cast("int"))
-    t = t.select("center_idx", "context_idx", "freq", "context_max", F.explode(chunks).alias("_c"))
-    t = t.select("center_idx", "context_idx", (F.col("_c") * REP_CHUNK).cast("bigint").alias("tf0"),
-                 F.least(F.lit(REP_CHUNK), F.col("freq") - F.col("_c") * REP_CHUNK).cast("bigint").alias("nrep"),
-                 F.col("context_max").cast("bigint").alias("context_max"))
-    ranked = dense_index(t, [F.col("center_idx"), F.col("context_idx"), F.col("tf0")], "_r")
-    cum = prefix_sum(ranked, "_r", "nrep", "_w")
-    total = t.agg(F.sum("nrep")).first()[0] or 1
-    partitions = max(partitions, math.ceil(total / work_per_part))
-    part = F.least(F.floor(F.col("_w") * F.lit(partitions) / F.lit(total)), F.lit(partitions - 1)).cast("int")
-    labels = partition_labels(targets.sparkSession, partitions)
-    out = cum.withColumn("part", part).drop("_r", "_w").join(F.broadcast(labels), "part")
-    return out, partitions
-
-
-def partition_labels(spark, n: int) -> DataFrame:
-    """(part, pl): an int label per part such that ``repartition(n, "pl")`` sends
-    part i to partition i (Spark's own Murmur3 hash, as the exchange uses it)."""
-    for span in (64, 1024, 16384):
-        c = F.col("id").cast("int")
-        m = spark.range(n * span).select(c.alias("pl"), F.pmod(F.hash(c), F.lit(n)).alias("part")) \
-            .groupBy("part").agg(F.min("pl").alias("pl"))
-        if m.count() == n:
-            return m.select(F.col("part").cast("int").alias("part"), "pl")
-    raise RuntimeError("no hash label found for every partition")
-
-
-def sampler_table(vocab: DataFrame, cfg: Config, v: int) -> DataFrame:
-    """(i, val): the lookup array a task needs to map uniforms to word indices."""
-    from wordloom.operators import sampling as SP
-    if cfg.sampler == "unigram":
-        return SP.unigram_table(vocab).select(F.col("idx").alias("i"), F.col("hi").alias("val"))
-    if cfg.sampler == "unigram_literal":
-        return SP.unigram_literal_table(vocab, v).select(F.col("slot").alias("i"), F.col("k").alias("val"))
-    r = SP.center_out_reorder(vocab)
-    if cfg.sampler == "tdnd":
-        return r.select(F.col("slot").alias("i"), F.col("idx").alias("val"))
-    mx = vocab.agg(F.max("freq")).first()[0]
-    if mx >= v:
-        raise ValueError(f"tdnd_literal: max freq {mx} is not a valid index (V={v})")
-    return r.select(F.col("slot").alias("i"), F.col("freq").alias("val"))
-
-
-def _kernel(path_in, path_out, path_tab, v, h, n_tab, cfg, epoch, alpha, update):
-    def fn(part: pd.DataFrame) -> pd.DataFrame:
-        w_in = _cached(("in", path_in), lambda: read_matrix(path_in, v, h))
-        start_out = _cached(("out", path_out), lambda: read_matrix(path_out, v, h))
-        table = _cached(("tab", path_tab), lambda: read_vector(path_tab, "val", n_tab))
-        w_out = start_out.copy()
-        part = part.sort_values(["center_idx", "context_idx", "tf0"], kind="stable")
-        runner = PartitionRunner(w_in, w_out, table, cfg, epoch, alpha, update)
-        runner.feed(part)
-        in_rows, loss, ex = runner.finish()
-        out_kind, out_idx, out_vec = ["loss"], [-1], [np.zeros(1)]
-        out_loss, out_n = [loss], [ex]
-        if update:
-            for p, (w0, w1) in in_rows.items():
-                out_kind.append("in"); out_idx.append(p); out_vec.append(w1 - w0)
-                out_loss.append(0.0); out_n.append(0)
-            touched = np.nonzero(np.any(w_out != start_out, axis=1))[0]
-            for k in touched:
-                out_kind.append("out"); out_idx.append(int(k)); out_vec.append(w_out[k] - start_out[k])
-                out_loss.append(0.0); out_n.append(0)
-        return pd.DataFrame({"kind": out_kind, "idx": np.asarray(out_idx, dtype=np.int64),
-                             "vec": out_vec, "loss": out_loss, "n": np.asarray(out_n, dtype=np.int64)})
+    rows = [spark.read.parquet(f"{path}/layer={layer}").select("idx", "word", "vec") for layer in ("in", "out")]
+    return TrainState(path, *rows)
+
+
+def cell_kernel(dtype: str, alpha: float, exact: bool, update: bool):
+    """A cell's loss row, and the changes of its rows, as ``SM.STEP``."""
+    def table(layer: int, ids: np.ndarray, cell: int, change: np.ndarray) -> pa.Table:
+        n = len(ids)
+        return pa.table([pa.array(np.full(n, layer, dtype=np.int32)), pa.array(ids), pa.array(np.full(n, -1)), pa.array(np.full(n, -1, dtype=np.int32)),
+                         pa.array(np.full(n, cell)), SM.packed_rows(change)], names=SM.STEP_NAMES)
+
+    def fn(samples: pa.Table, rows: pa.Table) -> pa.Table:
+        if not samples.num_rows:
+            return SM.empty(SM.STEP)
+        c = SM.cell_arrays(samples, rows, dtype)
+        w_in, w_out = (c.w_in.copy(), c.w_out.copy()) if update else (c.w_in, c.w_out)
+        loss = run_cell(w_in, w_out, c.center, c.cm, c.seg, c.k, c.positive, alpha, exact, update)
+        cell = samples["cell"][0].as_py()
+        sums = np.zeros((1, max(2, w_out.shape[1])))
+        sums[0, :2] = loss, c.positive.sum()
+        parts = [table(SM.LOSS, np.array([-1]), cell, sums)]
+        for layer, ids, new, old in ((SM.INPUT, c.in_ids, w_in, c.w_in), (SM.OUTPUT, c.out_ids, w_out, c.w_out)) if update else ():
+            at = np.flatnonzero((new != old).any(axis=1))
+            parts.append(table(layer, ids[at], cell, new[at] - old[at]))
+        return pa.concat_tables(parts)
     return fn
 
 
-COMBINE_ROWS = 1 << 20       # rows one combine group may hold (start rows + deltas of all parts)
-
-
-def combine_block_width(parts: int) -> int:
-    """Indices per combine group so that (parts + 1) rows per index stay ≤ COMBINE_ROWS."""
-    return max(1, min(2048, COMBINE_ROWS // (parts + 1)))
-
-
-def combine_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sum epoch-start rows and delta rows of one block of indices (numpy)."""
-    layer = pdf["layer"].iloc[0]
-    if layer == "loss":
-        return pd.DataFrame({"layer": ["loss"], "idx": [-1], "word": [None], "vec": [[0.0]],
-                             "loss": [float(pdf["loss"].sum())]})
-    idx = pdf["idx"].to_numpy(np.int64)
-    uniq, inv = np.unique(idx, return_inverse=True)
-    M = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-    is_base = pdf["base"].to_numpy(bool)
-    if layer == "in":                         # deltas apply to the normalised start row
-        n = np.linalg.norm(M[is_base], axis=1, keepdims=True)
-        M[is_base] = M[is_base] / np.where(n > 0, n, 1.0)
-    S = np.zeros((len(uniq), M.shape[1]))
-    np.add.at(S, inv, M)
-    vecs = list(S)
-    if layer == "in":
-        n = np.linalg.norm(S, axis=1)
-        vecs = [row / nn if nn > 0 else row for row, nn in zip(S, n)]      # a zero row has no direction and stays
-    words = pdf.loc[is_base, ["idx", "word"]].drop_duplicates("idx").set_index("idx")["word"]
-    return pd.DataFrame({"layer": layer, "idx": uniq, "word": words.reindex(uniq).to_numpy(),
-                         "vec": vecs, "loss": 0.0})
-
-
-def _expand(rows: pd.DataFrame):
-    """(center, context, repetition) per example of a part's sorted rows."""
-    R = rows["nrep"].to_numpy(np.int64)
-    rep_row = np.repeat(np.arange(len(R)), R)
-    start = np.repeat(np.cumsum(R) - R, R)
-    P = rows["center_idx"].to_numpy(np.int64)[rep_row]
-    C = rows["context_idx"].to_numpy(np.int64)[rep_row]
-    TF = rows["tf0"].to_numpy(np.int64)[rep_row] + (np.arange(len(rep_row)) - start)
-    return P, C, TF
-
-
-def _needs(path_tab, v, n_tab, cfg, epoch):
-    """Targeted mode, pass 1: the input rows (centers) and output rows (contexts and
-    every negative the kernel will draw) one part touches."""
-    def fn(part: pd.DataFrame) -> pd.DataFrame:
-        table = _cached(("tab", path_tab), lambda: read_vector(path_tab, "val", n_tab))
-        P, C, TF = _expand(part)
-        neg = draw_negatives(cfg.sampler, table, v, cfg.seed, epoch, P[:, None], C[:, None], TF[:, None],
-                             np.arange(1, cfg.samples)[None, :])
-        cs = np.unique(P)
-        ks = np.unique(np.concatenate([C, neg.ravel()]))
-        pl = int(part["pl"].iloc[0])
-        return pd.DataFrame({"pl": np.full(len(cs) + len(ks), pl, dtype=np.int32),
-                             "layer": ["in"] * len(cs) + ["out"] * len(ks),
-                             "idx": np.concatenate([cs, ks]).astype(np.int64)})
-    return fn
+def unpacked(rows: DataFrame) -> DataFrame:
+    """``(layer, idx, vec)`` of superstep rows, as an epoch is saved: layers in, out and loss, input rows of unit length."""
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                layer, m = np.asarray(b.column(0)), SM.matrix(pa.chunked_array([b.column(5)])).copy()
+                m[layer == SM.INPUT] = SM.unit_rows(m[layer == SM.INPUT])
+                vec = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+                yield pa.record_batch([pa.array(np.array(["in", "out", "loss"])[layer], pa.string()), b.column(1), vec], names=["layer", "idx", "vec"])
 
+    return rows.mapInArrow(run, "layer string, idx long, vec array<double>")
 
-def _kernel_targeted(path_tab, v, h, n_tab, cfg, epoch, alpha, update=True):
-    """Targeted mode, pass 2: the kernel on the part's delivered rows only."""
-    def fn(ex: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"kind": pd.Series([], dtype=str), "idx": pd.Series([], dtype="int64"),
-                              "vec": pd.Series([], dtype=object), "loss": pd.Series([], dtype=float),
-                              "n": pd.Series([], dtype="int64")})
-        if len(ex) == 0:
-            return empty
-        table = _cached(("tab", path_tab), lambda: read_vector(path_tab, "val", n_tab))
-        ex = ex.sort_values(["center_idx", "context_idx", "tf0"], kind="stable")
-        rin = rows[rows["layer"] == "in"].sort_values("idx")
-        rout = rows[rows["layer"] == "out"].sort_values("idx")
-        in_ids = rin["idx"].to_numpy(np.int64)
-        out_ids = rout["idx"].to_numpy(np.int64)
-        w_in = np.stack(rin["vec"].to_numpy()).astype(np.float64)
-        start = np.stack(rout["vec"].to_numpy()).astype(np.float64)
-        w_out = start.copy()
-        runner = PartitionRunner(w_in, w_out, table, cfg, epoch, alpha, update, in_ids, out_ids, v)
-        runner.feed(ex)
-        in_rows, loss, n = runner.finish()
-        kind, idx, vec, ls, ns_ = ["loss"], [-1], [np.zeros(1)], [loss], [n]
-        for p, (w0, w1) in (in_rows.items() if update else ()):
-            kind.append("in"); idx.append(int(p)); vec.append(w1 - w0); ls.append(0.0); ns_.append(0)
-        for k in (np.nonzero(np.any(w_out != start, axis=1))[0] if update else ()):
-            kind.append("out"); idx.append(int(out_ids[k])); vec.append(w_out[k] - start[k])
-            ls.append(0.0); ns_.append(0)
-        return pd.DataFrame({"kind": kind, "idx": np.asarray(idx, dtype=np.int64), "vec": vec,
-                             "loss": ls, "n": np.asarray(ns_, dtype=np.int64)})
-    return fn
 
+def cells_loss(examples: DataFrame, space: SM.Slots, cfg: Config, rnd: int, model_in: DataFrame, model_out: DataFrame) -> DataFrame:
+    """(examples, loss) of one round's samples at fixed packed weights; only partial losses are shuffled."""
+    kernel, schema = cell_kernel(space.dtype, 0.0, False, False), "loss double, n long"
+
+    def fn(samples: pa.Table, rows: pa.Table) -> pa.Table:
+        got = SM.matrix(kernel(samples, rows)["vec"])
+        return pa.table({"loss": got[:, 0], "n": got[:, 1].astype(np.int64)}) if len(got) else SM.empty(schema)
 
-KERNEL_SCHEMA = "kind string, idx long, vec array<double>, loss double, n long"
+    samples = SM.sample_table(examples, space, cfg, rnd, 1 << 40)
+    got = SM.meet(samples, SM.deliver(examples, space, model_in, model_out, None), fn, schema)
+    return got.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("examples"), F.sum("loss").alias("loss"))
 
 
 class SGNSTrainer:
-    """train(): epochs of supersteps; ``losses`` holds E9 rows."""
+    """train(): epochs of supersteps; ``losses`` holds E9 rows.
+
+    ``partitions`` is the least number of parts that the examples are cut into.
+    """
 
     def __init__(self, vocab: DataFrame, targets: DataFrame, cfg: Config = Config(),
                  model_dir: str | None = None, partitions: int | None = None):
         self.spark = vocab.sparkSession
         ship_package(self.spark)
-        self.cfg = cfg
-        self.vocab = vocab
+        self.cfg, self.vocab, self.h = cfg, vocab, cfg.hidden
         self.v = vocab.count()
-        self.h = cfg.hidden
         self.dir = model_dir or scratch_path(self.spark, "model")
-        # the number of parts follows from the examples alone, so a run does not depend
-        # on the session's shuffle partitions or on the memory limit
-        p = partitions or cfg.train_partitions or 1
-        self.partitions = p
-        ex, self.parts = example_table(targets, cfg, p, cfg.targeted_work_per_part or WORK_PER_PART)
-        self.examples = self._bucketed(ex)
-        tab = materialize(sampler_table(vocab, cfg, self.v), self.spark, "sampler")
-        self.tab_path = self._file_path(tab)
-        self.n_tab = tab.count()
+        self.space = SM.slots(vocab, cfg, self.v)
+        self.examples, self.parts, self.n_examples = SM.example_table(targets, self.space, partitions or cfg.train_partitions or 1)
+        self.groups = max(8, -(-2 * self.v * self.h * 8 // cfg.block_bytes))    # hash groups of a merge: bounded rows each
         self.losses: list[dict] = []
         self.log_lines: list[str] = []
         self.init_loss = None
 
-    def _bucketed(self, ex: DataFrame) -> DataFrame:
-        """Write the example table bucketed by part label (one bucket per part) in
-        the shared folder: every epoch then groups co-located rows, no shuffle."""
-        import uuid
-        name = f"wordloom_examples_{uuid.uuid4().hex[:12]}"
-        ex.write.bucketBy(self.parts, "pl").sortBy("center_idx", "context_idx", "tf0") \
-            .option("path", scratch_path(self.spark, "examples")).saveAsTable(name)
-        self.examples_table = name
-        return self.spark.table(name)
-
-    @staticmethod
-    def _file_path(df: DataFrame) -> str:
-        files = df.inputFiles()
-        return os.path.dirname(files[0])
-
-    def model_bytes(self) -> int:
-        return self.v * self.h * 8
-
-    def fits_task(self) -> bool:
-        n_tab = getattr(self, "n_tab", self.v)
-        return 2 * self.model_bytes() + n_tab * 8 <= self.cfg.model_broadcast_limit
-
     def init(self) -> TrainState:
         from wordloom.operators.model import init_weights
         mi, mo = init_weights(self.vocab, self.cfg, self.v)
@@ -594,85 +258,41 @@ class SGNSTrainer:
         both.write.mode("overwrite").partitionBy("layer").parquet(path)
         return load_state(self.spark, path)
 
-    def _pass(self, st: TrainState, epoch: int, alpha: float, update: bool) -> DataFrame:
-        fn = _kernel(self._file_path(st.model_in), self._file_path(st.model_out), self.tab_path,
-                     self.v, self.h, self.n_tab, self.cfg, epoch, alpha, update)
-        # one part per task: the table is bucketed on labels that hash to distinct
-        # buckets, so the groupBy reads co-located buckets without an exchange
-        return self.examples.groupBy("pl").applyInPandas(fn, KERNEL_SCHEMA)
-
-    def _pass_targeted(self, st: TrainState, epoch: int, alpha: float, update: bool = True) -> DataFrame:
-        """Deliver to each part only the rows it touches, then run the kernel on them."""
-        needs = self.examples.groupBy("pl").applyInPandas(
-            _needs(self.tab_path, self.v, self.n_tab, self.cfg, epoch), "pl int, layer string, idx long")
-        model = st.model_in.select(F.lit("in").alias("layer"), "idx", "vec").unionByName(
-            st.model_out.select(F.lit("out").alias("layer"), "idx", "vec"))
-        rows = needs.join(model, ["layer", "idx"])
-        fn = _kernel_targeted(self.tab_path, self.v, self.h, self.n_tab, self.cfg, epoch, alpha, update)
-        return self.examples.groupBy("pl").cogroup(rows.groupBy("pl")).applyInPandas(fn, KERNEL_SCHEMA)
+    def _start(self, st: TrainState) -> tuple[DataFrame, DataFrame]:
+        """Rows of both layers as the supersteps keep them: unit input rows, output rows with slot and block."""
+        return SM.packed(st.model_in.select("idx", "vec"), unit=True), SM.packed(st.model_out.select("idx", "vec").join(self.space.rows, "idx"))
 
     def loss(self, st: TrainState, epoch: int = -1) -> tuple[float, int]:
-        """E6 with the task kernel (no updates): (loss, examples)."""
-        passed = self._pass(st, epoch, 0.0, False) if self.fits_task() else \
-            self._pass_targeted(st, epoch, 0.0, False)
-        r = passed.where("kind = 'loss'").agg(
-            F.sum("loss").alias("l"), F.sum("n").alias("n")).first()
-        return float(r["l"] or 0.0), int(r["n"] or 0)
+        """E6 with the kernel of the cells (no updates): (loss, examples)."""
+        r = cells_loss(self.examples, self.space, self.cfg, epoch + 1, *self._start(st)).first()
+        return float(r["loss"] or 0.0), int(r["examples"] or 0)
 
     def epoch(self, st: TrainState, epoch: int) -> TrainState:
         """E7 + E10: one epoch, written to ``epoch=<n+1>``."""
-        alpha = self.cfg.learning_rate(epoch)
-        if self.cfg.combine == "sum" and (self.fits_task() or self.cfg.large_model == "targeted"):
-            return self._epoch_one_job(st, epoch, alpha)
-        if self.fits_task():
-            out = self._pass(st, epoch, alpha, True)
-            d = out.groupBy("kind", "idx").agg(
-                V.sum_vectors(F.col("vec")).alias("d"), F.count(F.lit(1)).alias("parts"),
-                F.sum("loss").alias("loss"))
-            d = materialize(d, self.spark, "deltas")
-            loss = float(d.where("kind = 'loss'").agg(F.sum("loss")).first()[0] or 0.0)
-            d = d.where("kind <> 'loss'")
-            d = d.withColumn("d", F.transform("d", lambda x: x / F.col("parts")))
-        else:
-            d, loss = sgns_epoch_join(self, st, epoch, alpha)
-        din = d.where("kind = 'in'").select("idx", F.col("d").alias("din"))
-        dout = d.where("kind = 'out'").select("idx", F.col("d").alias("dout"))
-        base_in = st.model_in.select("idx", "word", V.l2_normalize(F.col("vec")).alias("vec"))
-        new_in = base_in.join(din, "idx", "left").select(
-            "idx", "word", V.l2_normalize(F.when(F.col("din").isNull(), F.col("vec")).otherwise(
-                F.zip_with("vec", "din", lambda a, b: a + b))).alias("vec"))
-        new_out = st.model_out.join(dout, "idx", "left").select(
-            "idx", "word", F.when(F.col("dout").isNull(), F.col("vec")).otherwise(
-                F.zip_with("vec", "dout", lambda a, b: a + b)).alias("vec"))
-        nst = self._write(epoch + 1, new_in, new_out)
-        self._record(epoch + 1, loss)
-        return nst
-
-    def _epoch_one_job(self, st: TrainState, epoch: int, alpha: float) -> TrainState:
-        """Kernel, delta sum and model write as one job: epoch-start rows and the
-        kernel's delta rows are grouped by (layer, block of indices; at most
-        COMBINE_ROWS rows per group whatever the part count),
-        summed with numpy (input layer: normalised start + Σ deltas, normalised
-        again, as every save does); the loss is its own group; the result is
-        written once, partitioned by layer."""
-        passed = self._pass(st, epoch, alpha, True) if self.fits_task() else self._pass_targeted(st, epoch, alpha)
-        out = passed.select(
-            F.col("kind").alias("layer"), "idx", F.lit(None).cast("string").alias("word"), "vec", "loss",
-            F.lit(False).alias("base"))
-        base = st.model_in.select(F.lit("in").alias("layer"), "idx", "word", "vec", F.lit(0.0).alias("loss"),
-                                  F.lit(True).alias("base")) \
-            .unionByName(st.model_out.select(F.lit("out").alias("layer"), "idx", "word", "vec",
-                                             F.lit(0.0).alias("loss"), F.lit(True).alias("base")))
-        rows = base.unionByName(out).withColumn(
-            "blk", F.floor(F.col("idx") / combine_block_width(self.parts)))
-        agg = rows.groupBy("layer", "blk").applyInPandas(
-            combine_block, "layer string, idx long, word string, vec array<double>, loss double")
+        alpha, batch = self.cfg.learning_rate(epoch), self.cfg.batch
+        work = f"{self.dir}/work-epoch={epoch}"
+        samples = SM.sample_table(self.examples, self.space, self.cfg, epoch + 1, batch)
+        samples.write.mode("overwrite").partitionBy("s").parquet(f"{work}/samples")
+        drawn = self.spark.read.schema(SM.SAMPLES).parquet(f"{work}/samples")
+        kernel = cell_kernel(self.space.dtype, alpha, batch == 1, True)
+        mi, mo = self._start(st)
+        none, own = F.lit(-1).cast("long"), F.lit(-1).cast("long").alias("src")
+        before = mi.select(F.lit(SM.INPUT).alias("layer"), "idx", none.alias("lo"), none.cast("int").alias("blk"), own, "vec").unionByName(
+            mo.select(F.lit(SM.OUTPUT).alias("layer"), "idx", "lo", "blk", own, "vec"))
+        for s in range(self.space.blocks):
+            rows = SM.deliver(self.examples, self.space, before.where(F.col("layer") == SM.INPUT), before.where(F.col("layer") == SM.OUTPUT), s)
+            changes = SM.meet(drawn.where(F.col("s") == s), rows, kernel, SM.STEP, ("cell",))
+            after = SM.merge(before.unionByName(changes), self.groups)
+            if s + 1 < self.space.blocks:
+                after.write.mode("overwrite").parquet(f"{work}/step={s}")
+                before = self.spark.read.schema(SM.STEP).parquet(f"{work}/step={s}")
         path = f"{self.dir}/epoch={epoch + 1}"
-        agg.write.mode("overwrite").partitionBy("layer").parquet(path)
-        loss = float(self.spark.read.parquet(f"{path}/layer=loss").agg(F.sum("loss")).first()[0] or 0.0)
-        nst = load_state(self.spark, path)
-        self._record(epoch + 1, loss)
-        return nst
+        after = unpacked(after).join(self.vocab.select("idx", "word"), "idx", "left")
+        after.select("layer", "idx", "word", "vec").write.mode("overwrite").partitionBy("layer").parquet(path)
+        delete_path(self.spark, work)
+        loss = self.spark.read.parquet(f"{path}/layer=loss").first()["vec"][0] if self.n_examples else 0.0
+        self._record(epoch + 1, float(loss))
+        return load_state(self.spark, path)
 
     def _record(self, epoch: int, loss: float):
         pct = 100.0 if self.init_loss in (None, 0) else loss / self.init_loss * 100
@@ -696,36 +316,6 @@ class SGNSTrainer:
         return self.spark.createDataFrame(rows, "model string, epoch int, alpha double, loss double, pct double")
 
 
-def sgns_epoch_join(tr: SGNSTrainer, st: TrainState, epoch: int, alpha: float):
-    """Epoch for models above the per-task limit: every sample row joins its two
-    vectors, gradients are computed as column expressions from the epoch-start
-    weights (a synchronous step) and averaged per index.  The reported loss is
-    measured at the epoch-start weights."""
-    from wordloom.operators import sampling as SP
-    ex = tr.examples.select("center_idx", "context_idx", (F.col("tf0") + F.col("nrep")).alias("freq"),
-                            "context_max").groupBy("center_idx", "context_idx", "context_max").agg(
-        F.max("freq").alias("freq"))
-    rows = SP.sample_rows(ex.select("center_idx", "context_idx", "freq"), tr.vocab, tr.cfg, epoch, tr.v)
-    rows = rows.join(ex.select("center_idx", "context_idx", "context_max"), ["center_idx", "context_idx"])
-    wi = st.model_in.select(F.col("idx").alias("center_idx"), V.l2_normalize(F.col("vec")).alias("vi"))
-    wo = st.model_out.select(F.col("idx").alias("k"), F.col("vec").alias("vo"))
-    j = rows.join(wi, "center_idx").join(wo, "k").withColumn("e", V.dot(F.col("vi"), F.col("vo")))
-    lab = F.when(F.col("ck") == 0, 1.0).otherwise(0.0)
-    j = j.withColumn("g", F.lit(alpha) * (V.sigmoid(F.col("e")) - lab)).withColumn(
-        "l", V.log_sigmoid_neg(F.when(F.col("ck") == 0, F.col("e")).otherwise(-F.col("e"))))
-    j = materialize(j.select("center_idx", "k", "context_max", "g", "l", "vi", "vo"), tr.spark, "joinstep")
-    loss = float(j.agg(F.sum("l")).first()[0] or 0.0)
-    din = j.select(F.lit("in").alias("kind"), F.col("center_idx").alias("idx"),
-                   F.transform("vo", lambda x: -x * F.col("g") / F.col("context_max")).alias("vec"))
-    dout = j.select(F.lit("out").alias("kind"), F.col("k").alias("idx"),
-                    F.transform("vi", lambda x: -x * F.col("g")).alias("vec"))
-    # a synchronous step: each row moves by the mean of its single-example updates
-    d = din.unionByName(dout).groupBy("kind", "idx").agg(
-        V.sum_vectors(F.col("vec")).alias("s"), F.count(F.lit(1)).alias("cnt"))
-    d = d.select("kind", "idx", F.transform("s", lambda x: x / F.col("cnt")).alias("d"))
-    return d, loss
-
-
 def parse_loss_log(lines: DataFrame, col: str = "line", model_col: str | None = None) -> DataFrame:
     """Per log line, the last ``\\d+.\\d+`` match is the percent; epoch = line number."""
     from pyspark.sql import Window

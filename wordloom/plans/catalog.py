@@ -329,6 +329,7 @@ def q_training_examples(spark, d):
 
 from wordloom.functions import vectors as V  # noqa: E402
 from wordloom.operators import model as MD  # noqa: E402
+from wordloom.operators import samples as SM  # noqa: E402
 from wordloom.operators import sampling as SP  # noqa: E402
 from wordloom.operators import search as SR  # noqa: E402
 
@@ -563,12 +564,11 @@ def q_unigram_literal(spark, d):
 
 @query("unigram_draw", S.with_corpus(r"""
 SELECT r.idx AS k, count(*) AS draws
-FROM (SELECT CAST(floor(""" + S.u("neg", "0", "center_idx", "context_idx", "tf", "ck") + r""" * (SELECT total FROM tot)) AS BIGINT) AS slot FROM negs) d
+FROM (SELECT CAST(floor(""" + S.draw("unigram", "0", "center_idx", "context_idx", "tf", number="ck") + r""" * (SELECT total FROM tot)) AS BIGINT) AS slot FROM negs) d
 JOIN ranges r ON d.slot >= r.lo AND d.slot < r.hi GROUP BY r.idx""", _RANGES_SQL))
 def q_unigram_draw(spark, d):
     vb = build_vocabulary(docs(spark, d), CFG, STOPS)
-    n = SP.negatives(vb.targets, vb.vocab, CFG.with_(sampler="unigram"))
-    return n.groupBy("k").agg(F.count(F.lit(1)).alias("draws"))
+    return SM.draw_counts(vb.targets, vb.vocab, CFG.with_(sampler="unigram"))
 
 
 _REORDER_SQL = r"""
@@ -586,13 +586,13 @@ def q_center_out_reorder(spark, d):
 
 
 def _tdnd_sql(resample: bool) -> str:
-    keys = ("0", "center_idx", "context_idx", "tf", "ck")
-    raw = (f"CAST(round(0.0::DOUBLE + (1.0::DOUBLE + sqrt(-2.0::DOUBLE * ln({S.u('tdnd1', *keys, open0=True)})) * "
-           f"cos({2.0 * 3.141592653589793!r}::DOUBLE * {S.u('tdnd2', *keys)}) * 0.25::DOUBLE) * 0.5::DOUBLE * "
+    keys = ("0", "center_idx", "context_idx", "tf")
+    raw = (f"CAST(round(0.0::DOUBLE + (1.0::DOUBLE + sqrt(-2.0::DOUBLE * ln({S.draw('tdnd1', *keys, number='ck', open0=True)})) * "
+           f"cos({2.0 * 3.141592653589793!r}::DOUBLE * {S.draw('tdnd2', *keys, number='ck')}) * 0.25::DOUBLE) * 0.5::DOUBLE * "
            f"CAST((SELECT n FROM tot) - 1 AS DOUBLE)) AS BIGINT)")
     if not resample:
         return f"SELECT {raw} AS value FROM negs"
-    res = f"CAST(floor({S.u('tdnd3', *keys)} * CAST((SELECT n FROM tot) - 1 AS DOUBLE) + 0.0::DOUBLE) AS BIGINT)"
+    res = f"CAST(floor({S.draw('tdnd3', *keys, number='ck')} * CAST((SELECT n FROM tot) - 1 AS DOUBLE) + 0.0::DOUBLE) AS BIGINT)"
     return (f"SELECT CASE WHEN v < 0 OR v > (SELECT n FROM tot) - 1 THEN {res} ELSE v END AS slot "
             f"FROM (SELECT *, {raw} AS v FROM negs)")
 
@@ -601,12 +601,7 @@ def _tdnd_sql(resample: bool) -> str:
                                   _RANGES_SQL))
 def q_tdnd_draw(spark, d):
     vb = build_vocabulary(docs(spark, d), CFG, STOPS)
-    v = vb.vocab.count()
-    keys = [F.lit(0), F.col("center_idx"), F.col("context_idx"), F.col("tf"), F.col("ck")]
-    from wordloom.functions.hashing import uniform, uniform_open0
-    dr = SP.example_draws(vb.targets, CFG).where(F.col("ck") > 0)
-    raw = SP.tdnd_raw(uniform_open0(CFG.seed, "tdnd1", *keys), uniform(CFG.seed, "tdnd2", *keys), 0, v - 1)
-    return dr.select(raw.alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("draws"))
+    return SM.tdnd_value_counts(vb.targets, vb.vocab, CFG)
 
 
 @query("tdnd_resample", S.with_corpus(
@@ -614,8 +609,7 @@ def q_tdnd_draw(spark, d):
     _RANGES_SQL + "," + _REORDER_SQL))
 def q_tdnd_resample(spark, d):
     vb = build_vocabulary(docs(spark, d), CFG, STOPS)
-    n = SP.negatives(vb.targets, vb.vocab, CFG.with_(sampler="tdnd"))
-    return n.groupBy("k").agg(F.count(F.lit(1)).alias("draws"))
+    return SM.draw_counts(vb.targets, vb.vocab, CFG.with_(sampler="tdnd"))
 
 
 @query("sgns_loss", S.with_corpus(r"""
@@ -626,14 +620,13 @@ FROM (SELECT ck, CASE WHEN ck = 0 THEN e ELSE -e END AS x FROM (
   FROM (SELECT center_idx, context_idx AS k, 0 AS ck FROM (SELECT center_idx, context_idx, unnest(range(freq)) AS tf FROM targets)
         UNION ALL
         SELECT d.center_idx, r.idx AS k, 1 AS ck FROM (
-          SELECT center_idx, CAST(floor(""" + S.u("neg", "0", "center_idx", "context_idx", "tf", "ck") + r""" * (SELECT total FROM tot)) AS BIGINT) AS slot FROM negs) d
+          SELECT center_idx, CAST(floor(""" + S.draw("unigram", "0", "center_idx", "context_idx", "tf", number="ck") + r""" * (SELECT total FROM tot)) AS BIGINT) AS slot FROM negs) d
         JOIN ranges r ON d.slot >= r.lo AND d.slot < r.hi) s
   JOIN model_in a ON a.idx = s.center_idx JOIN model_out b ON b.idx = s.k))""",
     _RANGES_SQL + ",\n" + MODEL_SQL))
 def q_sgns_loss(spark, d):
     vb, mi, mo = corpus_model(spark, d)
-    rows = SP.sample_rows(vb.targets, vb.vocab, CFG.with_(sampler="unigram"))
-    return SP.sgns_loss(rows, mi, mo).select("examples", F.round("loss", 4).alias("loss"))
+    return SP.sgns_loss(vb.targets, vb.vocab, mi, mo, CFG.with_(sampler="unigram")).select("examples", F.round("loss", 4).alias("loss"))
 
 
 def _n10_sql() -> str:

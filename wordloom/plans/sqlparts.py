@@ -90,6 +90,11 @@ def u(stream: str, *keys: str, seed: int = 0, open0: bool = False) -> str:
     return sql_uniform(seed, stream, *keys, open0=open0)
 
 
+def draw(stream: str, *keys: str, number: str, seed: int = 0, open0: bool = False) -> str:
+    from wordloom.functions.hashing import sql_draw
+    return sql_draw(seed, stream, *keys, number=number, open0=open0)
+
+
 def model_ctes(hidden: int = 50, seed: int = 0) -> str:
     """model_in / model_out: hash-seeded Xavier rows over ``vocab``."""
     from wordloom.functions.hashing import sql_uniform_vector

@@ -62,6 +62,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Drops a folder of the shared storage that this library wrote and no longer reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df, spark: SparkSession, name: str):
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
