@@ -28,6 +28,7 @@ def test_hot_word_counts_combine_map_side(spark):
     words = ["hot"] * 5000 + [f"w{i % 997}x" for i in range(10000)]
     sents = spark.createDataFrame([(i, 0, words[i * 50:(i + 1) * 50]) for i in range(300)],
                                   "doc_id long, sid int, words array<string>")
+    sents = sents.selectExpr("*", "0 as start", "array() as halo")
     wf = VC.word_freq(sents)
     plan = wf._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan

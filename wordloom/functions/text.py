@@ -54,14 +54,23 @@ SENTENCE_SPLIT = "(?<=\\n)|(?<=[.?!\\r])(?=" + DELIM_CLASS + ")"
 SHAPE_RE = "^[a-z-]{3,}\\z"
 
 
+PIECE_CHARS = 1 << 16        # longer texts are cut into pieces of about this size, after a delimiter or a line end
+
+
+def pieces(text_bytes: Column, size: int = PIECE_CHARS) -> Column:
+    """A (byte-view, newline-terminated) text as pieces that cut no token; a token longer than ``size`` stays whole."""
+    cut = "(?<=" + DELIM_CLASS[:-1] + "\\n])"
+    return F.regexp_extract_all(text_bytes, F.lit("(?s).{1,%d}%s|.+?(?:%s|\\z)" % (size, cut, cut)), F.lit(0))
+
+
 def byte_view(text: Column) -> Column:
     """UTF-8 bytes of ``text`` as ISO-8859-1 characters (one char per byte)."""
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
 def utf8_view(text: Column) -> Column:
-    """Inverse of :func:`byte_view`."""
-    return F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")
+    """Inverse of :func:`byte_view`; bytes of a character that a delimiter byte cut become U+FFFD."""
+    return F.make_valid_utf8(F.encode(text, "ISO-8859-1").cast("string"))
 
 
 def as_lines(text: Column) -> Column:
@@ -117,19 +126,28 @@ def not_stop(word: Column, stops: list[str] | None) -> Column:
     return ~word.isin(*sorted(set(stops)))
 
 
-def window_pairs(words: Column, context: int = 4) -> Column:
+def window_pairs(words: Column, context: int = 4, halo: Column | None = None, start: Column | None = None) -> Column:
     """C1 in-row: each token with each of its ``context`` previous tokens whose word differs.
 
+    ``halo`` holds the words right before ``words`` in the same sentence (only
+    ``words`` are centers), ``start`` the position of the first of ``words``.
     Returns array<struct<pos:int, dist:int, center:string, ctx:string>>.
     """
-    n = F.size(words)
-    pairs = F.flatten(F.transform(
-        F.sequence(F.lit(1), n - 1),
-        lambda i: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(context), i)),
-            lambda d: F.struct(i.alias("pos"), d.alias("dist"),
-                               words[i].alias("center"), words[i - d].alias("ctx")))))
-    return F.when(n >= 2, F.filter(pairs, lambda p: p["center"] != p["ctx"])).otherwise(
+    before = F.lit(0) if halo is None else F.size(halo)
+    shift = F.lit(0) if start is None else start - before
+    first = F.greatest(before, F.lit(1))
+
+    def pairs(ext: Column) -> Column:
+        return F.flatten(F.transform(
+            F.sequence(first, F.size(ext) - 1),
+            lambda i: F.transform(
+                F.sequence(F.lit(1), F.least(F.lit(context), i)),
+                lambda d: F.struct((i + shift).cast("int").alias("pos"), d.alias("dist"),
+                                   ext[i].alias("center"), ext[i - d].alias("ctx")))))
+
+    # bound once by a one-element transform: a concatenation inside the lambdas would be built again for every word
+    found = pairs(words) if halo is None else F.flatten(F.transform(F.array(F.concat(halo, words)), pairs))
+    return F.when(F.size(words) + before > first, F.filter(found, lambda p: p["center"] != p["ctx"])).otherwise(
         F.array().cast("array<struct<pos:int,dist:int,center:string,ctx:string>>"))
 
 

@@ -1,9 +1,10 @@
 """Window co-occurrence over kept tokens.
 
 In-row form (default): pairs are built inside each sentence row with
-higher-order functions, so the only shuffle is the pair count.
+higher-order functions, so the only shuffle is the pair count; a long
+sentence's fragments bring the words before them (``halo``) along.
 Window form (cross-check): ``collect_list`` over ROWS 4 PRECEDING..1
-PRECEDING per sentence.
+PRECEDING per stretch of a sentence, each stretch with the 4 words before it.
 """
 
 from __future__ import annotations
@@ -15,17 +16,27 @@ from wordloom.config import Config
 from wordloom.functions import text as T
 
 
+STRETCH = 1 << 14            # positions per stretch of the window form
+
+
+def _pairs(cfg: Config):
+    return T.window_pairs(F.col("words"), cfg.context, F.col("halo"), F.col("start"))
+
+
 def cooccurrence_pairs(sents: DataFrame, cfg: Config = Config()) -> DataFrame:
     """(doc_id, sid, pos, dist, center, context) — one row per counted pair."""
-    p = sents.select("doc_id", "sid", F.explode(T.window_pairs(F.col("words"), cfg.context)).alias("p"))
+    p = sents.select("doc_id", "sid", F.explode(_pairs(cfg)).alias("p"))
     return p.select("doc_id", "sid", F.col("p.pos").alias("pos"), F.col("p.dist").alias("dist"),
                     F.col("p.center").alias("center"), F.col("p.ctx").alias("context"))
 
 
-def window_self_join(tokens: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """J8 / C1 window form over (doc_id, sid, pos, word) kept tokens."""
-    w = Window.partitionBy("doc_id", "sid").orderBy("pos").rowsBetween(-cfg.context, -1)
-    prev = tokens.withColumn("_prev", F.collect_list(F.struct("pos", "word")).over(w))
+def window_self_join(tokens: DataFrame, cfg: Config = Config(), stretch: int = STRETCH) -> DataFrame:
+    """J8 / C1 window form over (doc_id, sid, pos, word) kept tokens; a stretch's last words go to the next one, too."""
+    own = F.floor(F.col("pos") / stretch)
+    late = F.col("pos") % stretch >= stretch - cfg.context
+    t = tokens.select("*", own.alias("own"), F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))).alias("part"))
+    w = Window.partitionBy("doc_id", "sid", "part").orderBy("pos").rowsBetween(-cfg.context, -1)
+    prev = t.withColumn("_prev", F.collect_list(F.struct("pos", "word")).over(w)).where(F.col("own") == F.col("part"))
     e = prev.select("doc_id", "sid", "pos", "word", F.explode("_prev").alias("q"))
     return e.where(F.col("q.word") != F.col("word")).select(
         "doc_id", "sid", "pos", (F.col("pos") - F.col("q.pos")).cast("int").alias("dist"),
@@ -34,7 +45,7 @@ def window_self_join(tokens: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 def undirected_counts(sents: DataFrame, cfg: Config = Config()) -> DataFrame:
     """(a, b, freq) with a < b — each unordered pair once; halves the shuffle."""
-    p = sents.select(F.explode(T.window_pairs(F.col("words"), cfg.context)).alias("p"))
+    p = sents.select(F.explode(_pairs(cfg)).alias("p"))
     a = F.least(F.col("p.center"), F.col("p.ctx"))
     b = F.greatest(F.col("p.center"), F.col("p.ctx"))
     return p.select(a.alias("a"), b.alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("freq"))
@@ -47,7 +58,7 @@ def fused_counts(sents: DataFrame, cfg: Config = Config()) -> DataFrame:
     a < b.  One scan, one tokenisation, one map-side-combined shuffle.
     """
     words = F.transform(F.col("words"), lambda w: F.struct(w.alias("a"), F.lit(None).cast("string").alias("b")))
-    pairs = F.transform(T.window_pairs(F.col("words"), cfg.context), lambda p: F.struct(
+    pairs = F.transform(_pairs(cfg), lambda p: F.struct(
         F.least(p["center"], p["ctx"]).alias("a"), F.greatest(p["center"], p["ctx"]).alias("b")))
     return sents.select(F.explode(F.concat(words, pairs)).alias("r")).select("r.a", "r.b") \
         .groupBy("a", "b").agg(F.count(F.lit(1)).alias("freq"))

@@ -1,87 +1,156 @@
-"""Documents → sentences of kept tokens, entirely in-row.
+"""Documents → sentences of kept tokens.
 
 A document row is split into sentence chunks, each chunk into tokens, then
 cleaned and filtered with higher-order functions.  No shuffle: sentence ids
 and positions come from array positions, not from a window over the corpus.
+
+A text beyond ``piece`` characters is cut into pieces first (after a delimiter
+or a line end, so no token is cut), and the pieces are dealt to all tasks: a
+text without sentence ends is then as many rows as it has pieces.  A sentence
+over several pieces becomes fragments, each with the position of its first word
+and a halo, the kept words right before it; sentence ids and positions go on
+from piece to piece by running sums over the pieces' counts, not their words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.config import Config
 from wordloom.functions import text as T
+from wordloom.session import materialize
 
 
-def _chunks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-            lower: bool = False) -> DataFrame:
-    """(doc_id, sid, chunk) — chunk in byte view; sid counts every sentence end.
+def _short(docs: DataFrame, text_col: str, piece: int) -> DataFrame:
+    return docs.where(F.coalesce(F.length(text_col) <= piece, F.lit(True)))
 
-    ``lower=True`` lowercases (ASCII) the whole text first: case never
-    affects delimiters or sentence bytes, so each token is then clean-ready.
-    """
-    from wordloom.sources.tables import spread
-    docs = spread(docs, id_col)
-    t = T.byte_view(F.col(text_col))
-    if lower:
-        t = T.word_lower(t)
-    return docs.select(F.col(id_col).alias("doc_id"),
-                       F.posexplode(T.split_sentences(T.as_lines(t))).alias("sid", "chunk"))
 
+def _long_pieces(docs: DataFrame, text_col: str, id_col: str, piece: int, lower: bool) -> DataFrame:
+    """(row, doc_id, piece, body): the long texts' pieces, dealt to all tasks; ``row`` is a key per document row."""
+    t = T.as_lines(T.byte_view(F.col(text_col)))
+    body = T.pieces(T.word_lower(t) if lower else t, piece)
+    rows = docs.where(F.length(text_col) > piece).withColumn("row", F.monotonically_increasing_id())    # before the rows multiply
+    return rows.select("row", F.col(id_col).alias("doc_id"), F.posexplode(body).alias("piece", "body")).repartition("row", "piece")
 
-def sentences(docs: DataFrame, cfg: Config = Config(), stops: list[str] | None = None,
-              text_col: str = "text", id_col: str = "doc_id", keep_empty: bool = False) -> DataFrame:
-    """(doc_id, sid, n_raw, words) — kept words of each sentence, in order.
 
-    ``sid`` increments after every token whose last byte ends a sentence,
-    also when that token itself is dropped (T7).  Sentences never cross
-    documents.  With ``cfg.stem`` the Porter stem replaces each cleaned token
-    before the shape and stop checks (:mod:`wordloom.operators.stem`).
-    """
-    ch = _chunks(docs, text_col, id_col, lower=True)
-    toks = T.tokenize(F.col("chunk"))
+def _piece_key() -> Column:
+    """One value per piece: joins by it are dealt by pieces, even where a side is dealt by ``row`` already."""
+    return F.concat_ws(":", "row", "piece").alias("at")
+
+
+def _before(order: Window, n: int | None = None) -> Window:
+    """The rows before the current one: all, or the last ``n``."""
+    return order.rowsBetween(Window.unboundedPreceding if n is None else -n, -1)
+
+
+def _kept(tokens: Column, cfg: Config, stops: list[str] | None) -> Column:
+    """T5, T6 over an array of cleaned tokens."""
+    shaped = F.filter(tokens, lambda w: T.word_shape_ok(w))
+    return F.filter(shaped, lambda w: T.not_stop(w, stops)) if cfg.stop and stops else shaped
+
+
+def _cleaned(df: DataFrame, keys: list[str], chunk: Column, cfg: Config) -> DataFrame:
+    """(keys…, n_raw, cleaned) of (lowercased) sentence chunks, stemmed if ``cfg.stem``."""
+    toks = T.tokenize(chunk)
     cleaned = F.transform(toks, lambda t: T.word_clean(t, cfg.strip_all, lowered=True))
-    out = ch.select("doc_id", "sid", F.size(toks).alias("n_raw"), cleaned.alias("cleaned"))
+    out = df.select(*keys, F.size(toks).alias("n_raw"), cleaned.alias("cleaned"))
     if cfg.stem:
         from wordloom.operators.stem import apply_stems
         out = apply_stems(out, "cleaned")
-    stop_list = stops if cfg.stop else None
-    shaped = F.filter(F.col("cleaned"), lambda w: T.word_shape_ok(w))
-    if stop_list:
-        kept = F.filter(shaped, lambda w: T.not_stop(w, stop_list))
-    else:
-        kept = shaped
-    out = out.select("doc_id", "sid", "n_raw", kept.alias("words"))
-    if not keep_empty:
-        out = out.where(F.size("words") > 0)
     return out
 
 
-def _doc_tokens(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+SENTENCE = ["doc_id", "sid", "n_raw", "words", "start", "halo"]
+
+
+def sentences(docs: DataFrame, cfg: Config = Config(), stops: list[str] | None = None,
+              text_col: str = "text", id_col: str = "doc_id", keep_empty: bool = False,
+              piece: int = T.PIECE_CHARS) -> DataFrame:
+    """(doc_id, sid, n_raw, words, start, halo) — kept words of each sentence, in order.
+
+    ``sid`` increments after every token whose last byte ends a sentence,
+    also when that token itself is dropped (T7).  Sentences never cross
+    documents.  With ``cfg.stem`` the Porter stem replaces each cleaned token
+    before the shape and stop checks (:mod:`wordloom.operators.stem`).
+
+    A sentence is one row (``start`` 0, no ``halo``), or, in texts beyond
+    ``piece`` characters, one row per fragment: ``start`` is the position of
+    the fragment's first kept word and ``halo`` the window's kept words before it.
+    """
+    from wordloom.sources.tables import spread
+    chunks = T.split_sentences(T.as_lines(T.word_lower(T.byte_view(F.col(text_col)))))
+    short = spread(_short(docs, text_col, piece), id_col).select(F.col(id_col).alias("doc_id"), F.posexplode(chunks).alias("sid", "chunk"))
+    short = _cleaned(short, ["doc_id", "sid"], F.col("chunk"), cfg)
+    short = short.select("doc_id", "sid", "n_raw", _kept(F.col("cleaned"), cfg, stops).alias("words"), F.lit(0).alias("start"),
+                         F.array().cast("array<string>").alias("halo"))
+    out = short.unionByName(_fragments(docs, cfg, stops, text_col, id_col, piece))
+    return out if keep_empty else out.where(F.size("words") > 0)
+
+
+def _fragments(docs: DataFrame, cfg: Config, stops: list[str] | None, text_col: str, id_col: str, piece: int) -> DataFrame:
+    """The long texts' sentences, a row per (sentence, piece)."""
+    parts = _long_pieces(docs, text_col, id_col, piece, lower=True)
+    parts = parts.select("row", "doc_id", "piece", F.posexplode(T.split_sentences(F.col("body"))).alias("k", "chunk"))
+    parts = _cleaned(parts, ["row", "doc_id", "piece", "k"], F.col("chunk"), cfg)
+    parts = materialize(parts.select("row", "doc_id", "piece", "k", "n_raw", _kept(F.col("cleaned"), cfg, stops).alias("words")),
+                        docs.sparkSession, "fragments")
+    by_piece = Window.partitionBy("row").orderBy("piece")
+    ends = parts.groupBy("row", "piece").agg(F.max("k").alias("ends"))
+    first = ends.select(_piece_key(), "ends", F.coalesce(F.sum("ends").over(_before(by_piece)), F.lit(0)).alias("first"))
+    numbered = parts.select("*", _piece_key()).join(first, "at").withColumn("sid", (F.col("first") + F.col("k")).cast("int"))
+    # only a piece's first and last sentence can go on beyond it
+    edge = numbered.where(((F.col("k") == 0) | (F.col("k") == F.col("ends"))) & (F.size("words") > 0)).select(
+        "row", "sid", "piece", F.size("words").alias("n"), F.slice("words", -F.least(F.lit(cfg.context), F.size("words")), cfg.context).alias("tail"))
+    in_sentence = Window.partitionBy("row", "sid").orderBy("piece")
+    tails = F.flatten(F.collect_list("tail").over(_before(in_sentence, cfg.context)))
+    edge = edge.select(_piece_key(), "sid", F.coalesce(F.sum("n").over(_before(in_sentence)), F.lit(0)).cast("int").alias("start"),
+                       F.when(F.size(tails) <= cfg.context, tails).otherwise(F.slice(tails, -cfg.context, cfg.context)).alias("halo"))
+    out = numbered.join(edge, ["at", "sid"], "left")
+    return out.select("doc_id", "sid", "n_raw", "words", F.coalesce("start", F.lit(0)).alias("start"),
+                      F.coalesce("halo", F.array().cast("array<string>")).alias("halo"))
+
+
+def sentence_counts(sents: DataFrame) -> DataFrame:
+    """(doc_id, sid, n_raw, n_kept) per sentence, fragments added up."""
+    return sents.groupBy("doc_id", "sid").agg(F.sum("n_raw").cast("bigint").alias("n_raw"), F.sum(F.size("words")).cast("bigint").alias("n_kept"))
+
+
+def _doc_tokens(docs: DataFrame, text_col: str, id_col: str, piece: int = T.PIECE_CHARS) -> DataFrame:
     """(doc_id, pos, sid, tok) — every raw token (byte view) with its sentence id."""
     from wordloom.sources.tables import spread
-    docs = spread(docs, id_col)
-    chunks = T.split_sentences(T.as_lines(T.byte_view(F.col(text_col))))
-    arr = F.flatten(F.transform(chunks, lambda c, i: F.transform(
-        T.tokenize(c), lambda t: F.struct(i.alias("sid"), t.alias("tok")))))
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(arr).alias("pos", "t")) \
-        .select("doc_id", "pos", F.col("t.sid").alias("sid"), F.col("t.tok").alias("tok"))
 
+    def numbered(body: Column) -> Column:
+        return F.flatten(F.transform(T.split_sentences(body), lambda c, i: F.transform(
+            T.tokenize(c), lambda t: F.struct(i.alias("sid"), t.alias("tok")))))
 
-def raw_tokens(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    whole = numbered(T.as_lines(T.byte_view(F.col(text_col))))
+    short = spread(_short(docs, text_col, piece), id_col).select(F.col(id_col).alias("doc_id"), F.posexplode(whole).alias("pos", "t")) \
+        .select("doc_id", "pos", F.col("t.sid").alias("sid"), F.col("t.tok").alias("tok"))
+    parts = _long_pieces(docs, text_col, id_col, piece, lower=False)
+    parts = parts.select("row", "doc_id", "piece", numbered(F.col("body")).alias("toks"), (F.size(T.split_sentences(F.col("body"))) - 1).alias("ends"))
+    parts = materialize(parts, docs.sparkSession, "pieces")
+    order = _before(Window.partitionBy("row").orderBy("piece"))
+    counts = parts.select("row", "piece", "ends", F.size("toks").alias("n"))
+    counts = counts.select(_piece_key(), *(F.coalesce(F.sum(c).over(order), F.lit(0)).alias(f"{c}_before") for c in ("ends", "n")))
+    long = parts.select("*", _piece_key()).join(counts, "at").select("doc_id", "ends_before", "n_before", F.posexplode("toks").alias("p", "t"))
+    return short.unionByName(long.select("doc_id", (F.col("p") + F.col("n_before")).cast("int").alias("pos"),
+                                         (F.col("t.sid") + F.col("ends_before")).cast("int").alias("sid"), F.col("t.tok").alias("tok")))
+
+
+def raw_tokens(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", piece: int = T.PIECE_CHARS) -> DataFrame:
     """(doc_id, pos, token) — every raw token of a document, pos 0-based.
 
     A line's last token keeps its newline, as a line-by-line reader sees it.
     """
-    return _doc_tokens(docs, text_col, id_col).select(
+    return _doc_tokens(docs, text_col, id_col, piece).select(
         "doc_id", "pos", T.utf8_view(F.col("tok")).alias("token"))
 
 
 def cleaned_tokens(docs: DataFrame, cfg: Config = Config(), text_col: str = "text",
-                   id_col: str = "doc_id") -> DataFrame:
+                   id_col: str = "doc_id", piece: int = T.PIECE_CHARS) -> DataFrame:
     """T3/T5 per raw token: (doc_id, pos, sid, word, sent_end, shape_ok)."""
-    t = _doc_tokens(docs, text_col, id_col)
+    t = _doc_tokens(docs, text_col, id_col, piece)
     w = T.word_clean(F.col("tok"), cfg.strip_all)
     return t.select("doc_id", "pos", "sid", T.utf8_view(w).alias("word"),
                     T.sentence_end(F.col("tok")).alias("sent_end"),
@@ -90,4 +159,5 @@ def cleaned_tokens(docs: DataFrame, cfg: Config = Config(), text_col: str = "tex
 
 def kept_tokens(sents: DataFrame) -> DataFrame:
     """(doc_id, sid, pos, word) — pos counts kept tokens within the sentence."""
-    return sents.select("doc_id", "sid", F.posexplode("words").alias("pos", "word"))
+    return sents.select("doc_id", "sid", "start", F.posexplode("words").alias("p", "word")).select(
+        "doc_id", "sid", (F.col("start") + F.col("p")).alias("pos"), "word")

@@ -179,8 +179,8 @@ def q_stopword_filter(spark, d):
 @query("segment_sentences", S.with_corpus(
     "SELECT doc_id, sid, n_raw, CAST(len(words) AS BIGINT) AS n_kept FROM sents WHERE n_raw > 0"))
 def q_segment_sentences(spark, d):
-    s = sents(spark, d, keep_empty=True).where(F.col("n_raw") > 0)
-    return s.select("doc_id", *bigint("sid", "n_raw"), F.size("words").cast("bigint").alias("n_kept"))
+    s = TK.sentence_counts(sents(spark, d, keep_empty=True)).where(F.col("n_raw") > 0)
+    return s.select("doc_id", *bigint("sid", "n_raw", "n_kept"))
 
 
 @query("kept_tokens", S.with_corpus("SELECT doc_id, sid, pos, word FROM kept"))
