@@ -9,11 +9,16 @@ PRECEDING per stretch of a sentence, each stretch with the 4 words before it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.config import Config
 from wordloom.functions import text as T
+from wordloom.session import ship_package
 
 
 STRETCH = 1 << 14            # positions per stretch of the window form
@@ -85,20 +90,105 @@ def context_degree(counts: DataFrame) -> DataFrame:
     return counts.groupBy(F.col("center").alias("word")).agg(F.count(F.lit(1)).alias("context_max"))
 
 
-def vocab_targets(und: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(center_idx, center, context_idx, context, freq) over kept words only.
+BITS = 27                    # the filter of kept words: 2^27 bits, 16 MB at any vocabulary
+PAIRS_HELD = 1 << 22         # pairs a task counts before it hands them on
+
+
+def word_key(word, seed: int):
+    """64-bit id of a word; see :func:`key_seed`."""
+    return F.xxhash64(F.lit(seed), word)
+
+
+def key_seed(wf: DataFrame) -> int:
+    """The least seed for which all words of ``wf`` (kept or not) have different ids."""
+    seed = 0
+    while wf.groupBy(word_key(F.col("word"), seed).alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        seed += 1
+    return seed
+
+
+def word_filter(keys: DataFrame, bits: int = BITS) -> np.ndarray:
+    """Bits set at the top ``bits`` bits of the ids ``h``, as 64-bit words; its size does not depend on the words."""
+    at = F.shiftrightunsigned("h", 64 - bits)
+    got = keys.select(F.shiftright(at, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int")).alias("bit")) \
+        .groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[np.asarray(got["at"])] = np.asarray(got["bits"]).astype(np.int64).view(np.uint64)
+    return out
+
+
+def count_pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal pairs as one, their counts added."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, dtype=np.int64)
+    return a[first], b[first], np.add.reduceat(n[order], first) if len(a) else n
+
+
+def kept_pairs(sents: DataFrame, vocab: DataFrame, seed: int, cfg: Config = Config(), bits: int = BITS) -> DataFrame:
+    """(a, b, freq): ids of the unordered pairs of kept words, each once, and a row (NULL, NULL, number of all counted pairs).
 
-    Drops pairs with a removed word on the undirected table (before
-    mirroring) so only kept pairs are mirrored and written.
+    Sentences become arrays of word ids; a task forms its windows' pairs, drops
+    those with a word that the filter of kept words rules out, counts equal
+    pairs, and only then shuffles.  Of the words that the filter lets through by
+    chance, the join with the vocabulary gets rid.
     """
-    va = vocab.select(F.col("word").alias("a"), F.col("idx").alias("a_idx"))
-    vb = vocab.select(F.col("word").alias("b"), F.col("idx").alias("b_idx"))
-    kept = und.join(va, "a").join(vb, "b")
+    spark = sents.sparkSession
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(word_filter(vocab.select(word_key(F.col("word"), seed).alias("h")), bits))
+    context = cfg.context
+
+    def windows(v: np.ndarray, row: np.ndarray, center: np.ndarray, kept: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for d in range(1, min(context, len(v) - 1) + 1):
+            now, before = v[d:], v[:-d]
+            pair = (row[d:] == row[:-d]) & center[d:] & (now != before)
+            live = pair & kept[d:] & kept[:-d]
+            yield int(pair.sum()), now[live], before[live]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, total = [], 0, 0
+
+        def out() -> pa.RecordBatch:
+            a, b, n = count_pairs(*(np.concatenate(x) for x in zip(*held)))
+            return pa.record_batch([pa.array(a), pa.array(b), pa.array(n)], names=["a", "b", "freq"])
+
+        for batch in batches:
+            words, halo = batch.column(0), np.asarray(batch.column(1))
+            v = np.asarray(words.flatten()).astype(np.int64)
+            if not len(v):
+                continue
+            offsets = np.asarray(words.offsets)
+            length = np.diff(offsets)
+            row = np.repeat(np.arange(len(length)), length)
+            center = np.arange(len(v)) - np.repeat(offsets[:-1] - offsets[0], length) >= halo[row]
+            at = v.view(np.uint64) >> np.uint64(64 - bits)
+            kept = (shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+            for all_pairs, x, y in windows(v, row, center, kept):
+                total += all_pairs
+                held.append((np.minimum(x, y), np.maximum(x, y), np.ones(len(x), dtype=np.int64)))
+                size += len(x)
+            if size > PAIRS_HELD:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+        yield pa.record_batch([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([total])], names=["a", "b", "freq"])
+
+    ids = F.transform(F.concat("halo", "words"), lambda w: word_key(w, seed))
+    found = sents.select(ids.alias("ids"), F.size("halo").alias("n")).mapInArrow(run, "a long, b long, freq long")
+    return found.groupBy("a", "b").agg(F.sum("freq").alias("freq"))
+
+
+def vocab_targets(pairs: DataFrame, vocab: DataFrame, seed: int) -> DataFrame:
+    """(center_idx, center, context_idx, context, freq) over kept words only, from :func:`kept_pairs`."""
+    words = vocab.select(word_key(F.col("word"), seed).alias("h"), "idx", "word")
+    side = lambda x: words.select(F.col("h").alias(x), F.col("idx").alias(f"{x}_idx"), F.col("word").alias(f"{x}_word"))
+    kept = pairs.where(F.col("a").isNotNull()).join(side("a"), "a").join(side("b"), "b")
     both = F.explode(F.array(
-        F.struct(F.col("a_idx").alias("center_idx"), F.col("a").alias("center"),
-                 F.col("b_idx").alias("context_idx"), F.col("b").alias("context")),
-        F.struct(F.col("b_idx").alias("center_idx"), F.col("b").alias("center"),
-                 F.col("a_idx").alias("context_idx"), F.col("a").alias("context"))))
+        F.struct(F.col("a_idx").alias("center_idx"), F.col("a_word").alias("center"),
+                 F.col("b_idx").alias("context_idx"), F.col("b_word").alias("context")),
+        F.struct(F.col("b_idx").alias("center_idx"), F.col("b_word").alias("center"),
+                 F.col("a_idx").alias("context_idx"), F.col("a_word").alias("context"))))
     return kept.select(both.alias("t"), "freq").select("t.*", "freq")
 
 

@@ -230,12 +230,8 @@ def q_vocab_freq_sum_max(spark, d):
     "SELECT (SELECT CAST(sum(freq) AS BIGINT) FROM und) AS pair_count, (SELECT count(*) FROM wf) AS vocab_size, "
     "round((SELECT sum(freq) FROM und) / (SELECT count(*) FROM wf), 6) AS pairs_per_word"))
 def q_corpus_stats(spark, d):
-    from wordloom.session import materialize
-    counts = materialize(CO.fused_counts(sents(spark, d), CFG), spark, "counts")   # one corpus pass
-    r = counts.agg(F.sum(F.when(F.col("b").isNotNull(), F.col("freq"))).alias("pc"),
-                   F.sum(F.when(F.col("b").isNull(), 1)).alias("v")).first()
-    return VC.corpus_stats(spark, int(r["pc"] or 0), int(r["v"] or 0)).withColumn(
-        "pairs_per_word", F.round("pairs_per_word", 6))
+    vb = build_vocabulary(docs(spark, d), CFG, STOPS)
+    return VC.corpus_stats(spark, vb.pair_count, vb.v_raw).withColumn("pairs_per_word", F.round("pairs_per_word", 6))
 
 
 @query("freq_distribution", S.with_corpus(r"""

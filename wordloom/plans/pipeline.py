@@ -27,23 +27,24 @@ class VocabBuild:
     v_raw: int
     removed: DataFrame
     vocab: DataFrame
-    und: DataFrame | None = None
+    und: DataFrame | None = None           # counts of all unordered pairs, of removed words too (not computed unless used)
     targets: DataFrame | None = None
+    pair_count: int | None = None          # Σ of ``und``: counted while the targets' pairs were
 
 
 def build_vocabulary(docs: DataFrame, cfg: Config = Config(), stops: list[str] | None = None,
                      with_targets: bool = True, text_col: str = "text",
                      id_col: str = "doc_id") -> VocabBuild:
-    """Corpus → kept tokens → counts → filters → indexed vocabulary (+ targets)."""
+    """Corpus → kept tokens → counts → filters → indexed vocabulary (+ targets).
+
+    With targets the tokenised sentences are written once: words are counted
+    first, then pairs, and only pairs of kept words are shuffled.
+    """
     spark = docs.sparkSession
     sents = TK.sentences(docs, cfg, stops, text_col=text_col, id_col=id_col)
     if with_targets:
-        # one pass over the corpus for both word and pair counts
-        counts = materialize(CO.fused_counts(sents, cfg), spark, "counts")
-        wf = counts.where(F.col("b").isNull()).select(F.col("a").alias("word"), "freq")
-        und = counts.where(F.col("b").isNotNull())
-    else:
-        wf = materialize(VC.word_freq(sents), spark, "word_freq")
+        sents = materialize(sents, spark, "sentences")
+    wf = materialize(VC.word_freq(sents), spark, "word_freq")
     v_raw = wf.count()
     kept, removed = VC.vocab_filter(wf, cfg, v_raw)
     # both derive from written tables only (word counts, frozen rank tables), so
@@ -51,6 +52,9 @@ def build_vocabulary(docs: DataFrame, cfg: Config = Config(), stops: list[str] |
     vocab = VC.vocab_index(kept)
     vb = VocabBuild(sents, wf, v_raw, removed, vocab)
     if with_targets:
-        vb.und = und
-        vb.targets = CO.vocab_targets(und, vocab)
+        seed = CO.key_seed(wf)
+        pairs = materialize(CO.kept_pairs(sents, vocab, seed, cfg), spark, "pairs")
+        vb.und = CO.undirected_counts(sents, cfg)
+        vb.targets = CO.vocab_targets(pairs, vocab, seed)
+        vb.pair_count = int(pairs.where(F.col("a").isNull()).agg(F.sum("freq")).first()[0] or 0)
     return vb
