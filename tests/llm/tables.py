@@ -12,7 +12,7 @@ SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
     # extra columns with names that operators use inside
-    *(T.StructField(c, T.StringType()) for c in ("id", "h", "k", "row", "key", "first", "size", "learned", "_key", "words", "hits"))])
+    *(T.StructField(c, T.StringType()) for c in ("id", "h", "k", "row", "key", "first", "size", "learned", "_key", "words", "hits", "_row", "_gone", "_kept"))])
 
 
 def words(text):
@@ -24,7 +24,7 @@ def docs(spark, rows):
     full = []
     for r in rows:
         i, text, lang = (*r, "en")[:3]
-        full.append((i, text, lang, "s", len(text or ""), *["x"] * 11))
+        full.append((i, text, lang, "s", len(text or ""), *["x"] * 14))
     return spark.createDataFrame(full, SCHEMA)
 
 

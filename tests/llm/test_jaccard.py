@@ -1,5 +1,7 @@
 """N-gram Jaccard join against brute force; connected components against union-find."""
 
+import pytest
+
 import random
 
 from tables import FOLD, docs, messy, prose, words
@@ -100,3 +102,20 @@ def test_keep_one_takes_rows_not_ids(spark):
     a, b, c = (prose(60 + i, 80, 10**6) for i in range(3))
     got = jaccard.keep_one(docs(spark, [(3, a), (3, b), (None, a), (None, c), (None, c), (4, a), (3, b)])).collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("3", a), ("3", b), ("None", c)])
+
+
+@pytest.mark.parametrize("diagonal", [True, False])
+def test_blocks_of_one_kind_only(spark, diagonal):
+    """Batches in which all rows are of one block, or all of pairs of different blocks."""
+    sketch = bytes(8 * jaccard.SKETCH_WORDS)
+    rows = [(7, 0, 0 if diagonal else 1, 0 if diagonal else half, k, 10, 1, k, bytearray(sketch), [7] + [jaccard.NO_LIST] * (jaccard.LOW_LISTS - 1))
+            for k, half in ((1, 0), (2, 0), (3, 1))]
+    lists = spark.createDataFrame(rows, "h long, i int, j int, half int, k long, n long, l int, root long, sketch binary, low array<long>")
+    want = {(1, 2), (1, 3), (2, 3)} if diagonal else {(1, 3), (2, 3)}
+    assert {tuple(r) for r in jaccard._across(lists, 80).collect()} == want
+
+
+def test_clashing_columns_stay(spark):
+    d = docs(spark, messy())
+    got = jaccard.keep_one(d)
+    assert got.columns == d.columns and {r["_row"] for r in got.collect()} == {"x"}

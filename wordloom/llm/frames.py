@@ -36,6 +36,14 @@ def with_row(docs: DataFrame, name: str = "row") -> DataFrame:
     return materialize(docs.withColumn(name, F.monotonically_increasing_id()), docs.sparkSession, "rows")
 
 
+def fresh(name: str, docs: DataFrame) -> str:
+    """``name``, with underscores added until no column of the table is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def unkey(name: str = "id") -> Column:
     """The id that :func:`keyed` replaced."""
     return F.nullif(F.col(name), F.lit(NULL_ID))
@@ -87,4 +95,4 @@ def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     return joined.drop("_key")
 
 
-__all__ = ["NULL_ID", "arrow_map", "hash_share", "keep_rows", "keyed", "materialize", "read", "remainder", "split_join", "texts", "unkey", "with_row"]
+__all__ = ["NULL_ID", "arrow_map", "fresh", "hash_share", "keep_rows", "keyed", "materialize", "read", "remainder", "split_join", "texts", "unkey", "with_row"]

@@ -42,7 +42,7 @@ from pyspark.sql.window import Window
 
 from wordloom.llm.arrays import FOLD, Words, mix, pieces, signed
 from wordloom.llm.components import components
-from wordloom.llm.frames import arrow_map, keyed, materialize, split_join, unkey, with_row
+from wordloom.llm.frames import arrow_map, fresh, keyed, materialize, split_join, unkey, with_row
 from wordloom.session import ship_package
 
 SHINGLE = 5
@@ -300,8 +300,8 @@ def _across(lists: DataFrame, threshold: int) -> DataFrame:
     def arrays(t: pa.Table):
         t = t.combine_chunks()
         k, n, l, root = (np.asarray(t[c].combine_chunks()) for c in ("k", "n", "l", "root"))
-        marks = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint64).reshape(len(k), -1)
-        low = np.asarray(t["low"].combine_chunks().flatten()).reshape(len(k), -1)
+        marks = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint64).reshape(len(k), SKETCH_WORDS)
+        low = np.asarray(t["low"].combine_chunks().flatten()).reshape(len(k), LOW_LISTS)
         return k, n.astype(np.int64), l, root, marks, low, np.asarray(t["h"].combine_chunks())
 
     def likely(x: np.ndarray, y: np.ndarray, k, n, l, root, marks, low, h):
@@ -342,7 +342,7 @@ def _across(lists: DataFrame, threshold: int) -> DataFrame:
             new[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])
             block = np.cumsum(new)
             one = key[1] == key[2]
-            parts = [inside(t.filter(pa.array(one)), block[one])]
+            parts = [inside(t.filter(pa.array(one)), block[one])] if one.any() else []
             parts += [between(t.filter(pa.array(block == b))) for b in np.unique(block[~one])]
             for part in parts:
                 for a, b in part:
@@ -412,9 +412,10 @@ def keep_one(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOLD, id_c
 
     Every row is a document of its own; those without id come after all others.
     """
-    rows = with_row(docs, "_row")
-    own = rows.select(F.col("_row").alias("id"), F.col(f"`{id_col}`").cast("long").alias("doc"))
-    found = groups(rows, n, threshold, "_row", text_col).join(own, "id")
+    row = fresh("_row", docs)
+    rows = with_row(docs, row)
+    own = rows.select(F.col(row).alias("id"), F.col(f"`{id_col}`").cast("long").alias("doc"))
+    found = groups(rows, n, threshold, row, text_col).join(own, "id")
     first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "id"))
-    keep = materialize(found.groupBy("component_id").agg(first.alias("first")).select(F.col("first.id").alias("_row")), docs.sparkSession, "kept")
-    return rows.join(keep, "_row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    keep = materialize(found.groupBy("component_id").agg(first.alias("first")).select(F.col("first.id").alias(row)), docs.sparkSession, "kept")
+    return rows.join(keep, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.frames import NULL_ID, keyed, materialize, unkey, with_row
+from wordloom.llm.frames import NULL_ID, fresh, keyed, materialize, unkey, with_row
 
 TAU = 2
 LEAST = 20
@@ -191,16 +191,17 @@ def remove_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST, id_col: st
 
     ``size_col``, if the table has it, becomes the new number of characters.
     """
-    rows = with_row(docs, "_row")
-    own = rows.select(F.col("_row").alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"),
+    row, lines_gone, left = (fresh(c, docs) for c in ("_row", "_gone", "_kept"))
+    rows = with_row(docs, row)
+    own = rows.select(F.col(row).alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("id"),
                       F.col(f"`{text_col}`").cast("string").alias("text"))
-    gone = duplicates(own, tau, least).groupBy(F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
-    kept = F.filter(F.split(F.col(f"`{text_col}`"), "\n", -1), lambda _, i: ~F.array_contains(F.col("_gone"), i))
-    both = rows.join(gone, "_row", "left").withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    text = F.when(F.col("_gone").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join("_kept", "\n"))
-    changed = F.col("_gone").isNotNull()
+    gone = duplicates(own, tau, least).groupBy(F.col("row").alias(row)).agg(F.collect_set("line_no").alias(lines_gone))
+    kept = F.filter(F.split(F.col(f"`{text_col}`"), "\n", -1), lambda _, i: ~F.array_contains(F.col(lines_gone), i))
+    changed = F.col(lines_gone).isNotNull()
+    both = rows.join(gone, row, "left").withColumn(left, F.when(changed, kept))
+    text = F.when(changed, F.array_join(left, "\n")).otherwise(F.col(f"`{text_col}`"))
     out = {text_col: text}
     if size_col in docs.columns:
         out[size_col] = F.when(changed, F.char_length(text)).otherwise(F.col(f"`{size_col}`")).cast(docs.schema[size_col].dataType)
-    some_left = ~changed | F.exists("_kept", lambda x: F.trim(x) != "")
+    some_left = ~changed | F.exists(left, lambda x: F.trim(x) != "")
     return both.where(some_left).select(*(out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns))
