@@ -144,7 +144,7 @@ def example_table(targets: DataFrame, space: Slots, partitions: int = 1, work_pe
     examples and the vocabulary alone.
     """
     from wordloom.operators.ranking import dense_index, prefix_sum
-    work = work_per_part or max(WORK_PER_PART, 8 * space.v)
+    work = work_per_part or max(WORK_PER_PART, 4 * space.v)
     n = space.blocks
     degree = targets.groupBy("center_idx").agg(F.count(F.lit(1)).alias("context_max"))
     t = targets.select("center_idx", "context_idx", "freq").join(degree, "center_idx")
@@ -354,11 +354,19 @@ def merge(rows: DataFrame, groups: int) -> DataFrame:
     return part.groupBy(by).applyInArrow(lambda t: add_up(t.select(STEP_NAMES)), STEP)
 
 
-def meet(samples: DataFrame, rows: DataFrame, fn, schema: str, keys: tuple[str, ...] = ("s", "cell")) -> DataFrame:
-    """``fn(samples, rows)`` per cell (and superstep), both as Arrow tables; cells without samples give nothing."""
+def meet(samples: DataFrame, rows: DataFrame, fn, schema: str, keys: tuple[str, ...] = ("s", "cell"), cells: int = 0) -> DataFrame:
+    """``fn(samples, rows)`` per cell (and superstep), both as Arrow tables; cells without samples give nothing.
+
+    With the number of ``cells``, both sides are dealt to so many partitions
+    that few cells share one: cells are large, and a task with two of them
+    would hold up the superstep.
+    """
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return fn(left, right)
 
+    if cells:
+        n = cells * (4 if cells < 1000 else 1)
+        samples, rows = samples.repartition(n, *keys), rows.repartition(n, *keys)
     return samples.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(run, schema)
 
 

@@ -281,7 +281,7 @@ class SGNSTrainer:
             mo.select(F.lit(SM.OUTPUT).alias("layer"), "idx", "lo", "blk", own, "vec"))
         for s in range(self.space.blocks):
             rows = SM.deliver(self.examples, self.space, before.where(F.col("layer") == SM.INPUT), before.where(F.col("layer") == SM.OUTPUT), s)
-            changes = SM.meet(drawn.where(F.col("s") == s), rows, kernel, SM.STEP, ("cell",))
+            changes = SM.meet(drawn.where(F.col("s") == s), rows, kernel, SM.STEP, ("cell",), self.parts + self.space.blocks)
             after = SM.merge(before.unionByName(changes), self.groups)
             if s + 1 < self.space.blocks:
                 after.write.mode("overwrite").parquet(f"{work}/step={s}")
