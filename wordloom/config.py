@@ -73,3 +73,8 @@ class Config:
     def learning_rate(self, epoch: int) -> float:
         """alpha(epoch) = max(lr_min, lr_max * (1 - epoch / epochs))."""
         return max(self.lr_min, self.lr_max * (1 - epoch / self.epochs))
+
+    def learning_rate_column(self, epoch):
+        """The same of an epoch column."""
+        from pyspark.sql import functions as F
+        return F.greatest(F.lit(self.lr_min), F.lit(self.lr_max) * (F.lit(1.0) - epoch / F.lit(float(self.epochs))))

@@ -46,9 +46,7 @@ def load_weights(spark: SparkSession, path: str):
 
 def load_weights_tsv(spark: SparkSession, path: str, vocab: DataFrame) -> DataFrame:
     """S7 text form: TSV rows joined to the vocabulary by row number (J5: shorter side wins)."""
-    from wordloom.operators.ranking import dense_index
-    lines = spark.read.text(path).withColumn("_f", F.input_file_name()).withColumn(
-        "_o", F.monotonically_increasing_id())
-    rows = dense_index(lines, [F.col("_f"), F.col("_o")], "idx").select(
-        "idx", F.transform(F.split("value", "\t"), lambda x: x.cast("double")).alias("vec"))
+    from wordloom.sources.corpus import read_text_lines
+    rows = read_text_lines(spark, path).select(
+        F.col("line_no").alias("idx"), F.transform(F.split("line", "\t"), lambda x: x.cast("double")).alias("vec"))
     return vocab.select("idx", "word").join(rows, "idx")

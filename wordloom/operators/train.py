@@ -316,6 +316,20 @@ class SGNSTrainer:
         return self.spark.createDataFrame(rows, "model string, epoch int, alpha double, loss double, pct double")
 
 
+def render_loss_log(rows: DataFrame, model_col: str = "model") -> DataFrame:
+    """E9 as text: (model, line_no, line) of (model, epoch, ts, loss); the percentage is of the model's first loss."""
+    from pyspark.sql import Window
+    first = F.first("loss").over(Window.partitionBy(model_col).orderBy("epoch"))
+    ts = F.date_format("ts", "dd-MM-yyyy HH:mm:ss.SSS")
+    line = F.format_string("[%s] INFO: Loss %.6f (%.1f%%)", ts, F.col("loss"), F.col("loss") / first * 100.0)
+    return rows.select(model_col, F.col("epoch").alias("line_no"), line.alias("line"))
+
+
+def compare_models(parsed: DataFrame, models: list[str], model_col: str = "model") -> DataFrame:
+    """The percentages of several models side by side: (epoch, one column per model)."""
+    return parsed.groupBy("epoch").pivot(model_col, models).agg(F.first("pct"))
+
+
 def parse_loss_log(lines: DataFrame, col: str = "line", model_col: str | None = None) -> DataFrame:
     """Per log line, the last ``\\d+.\\d+`` match is the percent; epoch = line number."""
     from pyspark.sql import Window

@@ -608,18 +608,24 @@ def q_tdnd_resample(spark, d):
     return SM.draw_counts(vb.targets, vb.vocab, CFG.with_(sampler="tdnd"))
 
 
-@query("sgns_loss", S.with_corpus(r"""
+def _loss_sql(score: str, digits: int) -> str:
+    return r"""
 SELECT CAST(sum(CASE WHEN ck = 0 THEN 1 ELSE 0 END) AS BIGINT) AS examples,
-       round(sum(CASE WHEN x >= 0 THEN ln(1 + exp(-x)) ELSE -x + ln(1 + exp(x)) END), 4) AS loss
+       round(sum(CASE WHEN x >= 0 THEN ln(1 + exp(-x)) ELSE -x + ln(1 + exp(x)) END), """ + str(digits) + r""") AS loss
 FROM (SELECT ck, CASE WHEN ck = 0 THEN e ELSE -e END AS x FROM (
-  SELECT s.ck, list_dot_product(a.vec, b.vec) AS e
+  SELECT s.ck, """ + score + r""" AS e
   FROM (SELECT center_idx, context_idx AS k, 0 AS ck FROM (SELECT center_idx, context_idx, unnest(range(freq)) AS tf FROM targets)
         UNION ALL
         SELECT d.center_idx, r.idx AS k, 1 AS ck FROM (
           SELECT center_idx, CAST(floor(""" + S.draw("unigram", "0", "center_idx", "context_idx", "tf", number="ck") + r""" * (SELECT total FROM tot)) AS BIGINT) AS slot FROM negs) d
         JOIN ranges r ON d.slot >= r.lo AND d.slot < r.hi) s
-  JOIN model_in a ON a.idx = s.center_idx JOIN model_out b ON b.idx = s.k))""",
-    _RANGES_SQL + ",\n" + MODEL_SQL))
+  JOIN model_in a ON a.idx = s.center_idx JOIN model_out b ON b.idx = s.k))"""
+
+
+_INITIAL_LOSS_SQL = _loss_sql("list_dot_product(a.vec, b.vec) / sqrt(list_dot_product(a.vec, a.vec))", 3)
+
+
+@query("sgns_loss", S.with_corpus(_loss_sql("list_dot_product(a.vec, b.vec)", 4), _RANGES_SQL + ",\n" + MODEL_SQL))
 def q_sgns_loss(spark, d):
     vb, mi, mo = corpus_model(spark, d)
     return SP.sgns_loss(vb.targets, vb.vocab, mi, mo, CFG.with_(sampler="unigram")).select("examples", F.round("loss", 4).alias("loss"))
@@ -790,7 +796,7 @@ def q_write_qa_encoded(spark, d):
 def q_export_bundle(spark, d):
     from wordloom.session import scratch_path
     path = scratch_path(spark, "bundle")
-    QA.qa_pipeline(table(spark, d, "conversations"), CFG, STOPS, epochs=0, bundle_path=path)
+    QA.qa_pipeline(table(spark, d, "conversations"), CFG, STOPS, epochs=CFG.epochs, bundle_path=path)
     rows = [(p, spark.read.parquet(f"{path}/{p}").count()) for p in ("corpus_enc", "vocab", "embed")]
     return spark.createDataFrame(rows, "part string, rows long")
 
@@ -810,6 +816,16 @@ def q_write_vocab(spark, d):
     return vocab_tsv_lines(build_vocabulary(docs(spark, d), CFG, STOPS, with_targets=False).vocab)
 
 
+@query("read_vocab", S.with_corpus("SELECT idx, word, freq FROM vocab"))
+def q_read_vocab(spark, d):
+    """S4 read back: the vocabulary written as a text file without header, read with its schema and numbered again."""
+    from wordloom.session import scratch_path
+    from wordloom.sources.io import read_vocab, write_vocab
+    path = scratch_path(spark, "vocab")
+    write_vocab(build_vocabulary(docs(spark, d), CFG, STOPS, with_targets=False).vocab, path)
+    return read_vocab(spark, f"{path}/vocab.tsv")
+
+
 @query("write_filtered", S.with_corpus(r"""
 SELECT CAST(row_number() OVER (ORDER BY CASE WHEN reason = 'high' THEN 0 ELSE 1 END, freq, word) - 1 AS BIGINT) AS pos,
        word || chr(9) || CAST(freq AS VARCHAR) AS line FROM removed"""))
@@ -947,13 +963,50 @@ def q_checkpoint_epoch(spark, d):
     return spark.createDataFrame(rows, "epoch int, layer string, rows long")
 
 
-@query("parse_loss_log", None)
+_LOG_SQL = r"""
+ev AS (SELECT event_type AS model, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS INTEGER) AS epoch, abs(value) + 1.0 AS loss
+       FROM events WHERE value IS NOT NULL),
+parsed AS (SELECT model, epoch, round(loss, 6) AS loss,
+                  round(loss / first_value(loss) OVER (PARTITION BY model ORDER BY epoch) * 100.0, 1) AS pct FROM ev)"""
+
+
+def event_log(spark, d):
+    """Log lines rendered from ``events``: one run per event type, its losses the events' values in order."""
+    from pyspark.sql import Window
+    e = table(spark, d, "events").where("value is not null")
+    epoch = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
+    return TR.render_loss_log(e.select(F.col("event_type").alias("model"), epoch.alias("epoch"), "ts", (F.abs("value") + 1.0).alias("loss")))
+
+
+@query("parse_loss_log", "WITH " + _LOG_SQL + "\nSELECT model, epoch, loss, pct FROM parsed")
 def q_parse_loss_log(spark, d):
-    """The textual loss log of a run parsed back into (epoch, loss, pct)."""
+    """The textual loss logs of several runs parsed back into (model, epoch, loss, pct)."""
+    return TR.parse_loss_log(event_log(spark, d), model_col="model")
+
+
+@query("compare_loss_logs", "WITH " + _LOG_SQL + r"""
+SELECT epoch, max(pct) FILTER (model = 'click') AS click, max(pct) FILTER (model = 'error') AS error, max(pct) FILTER (model = 'purchase') AS purchase,
+       max(pct) FILTER (model = 'signup') AS signup, max(pct) FILTER (model = 'view') AS view FROM parsed GROUP BY epoch""")
+def q_compare_loss_logs(spark, d):
+    """The parsed percentages of the runs side by side."""
+    return TR.compare_models(TR.parse_loss_log(event_log(spark, d), model_col="model"), ["click", "error", "purchase", "signup", "view"])
+
+
+@query("learning_rate", r"""
+SELECT CAST(l_linenumber AS BIGINT) AS epoch, greatest(0.0001::DOUBLE, 0.05::DOUBLE * (1.0::DOUBLE - l_linenumber / 10.0::DOUBLE)) AS alpha, count(*) AS n
+FROM lineitem GROUP BY l_linenumber""")
+def q_learning_rate(spark, d):
+    """E5 as a column: the rate of every line number of ``lineitem`` read as an epoch."""
+    t = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").cast("bigint").alias("epoch")).agg(F.count(F.lit(1)).alias("n"))
+    return t.select("epoch", CFG.learning_rate_column(F.col("epoch")).alias("alpha"), "n")
+
+
+@query("initial_loss", S.with_corpus(_INITIAL_LOSS_SQL, _RANGES_SQL + ",\n" + MODEL_SQL))
+def q_initial_loss(spark, d):
+    """E8 before its first epoch: the trainer's loss at the initial weights, input rows of unit length."""
     vb, tr = trainer(spark, d)
-    tr.train()
-    lines = spark.createDataFrame(list(enumerate(tr.log_lines)), "line_no int, line string")
-    return TR.parse_loss_log(lines)
+    loss, examples = tr.loss(tr.init(), -1)
+    return spark.createDataFrame([(examples, round(loss, 3))], "examples long, loss double")
 
 
 def _actions(spark, d, actions, epochs, saved=None):

@@ -31,9 +31,15 @@ def read_corpus(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Plain text file(s) → (line_no, line); any Spark codec (gzip/bz2/zstd) is decoded."""
-    df = spark.read.text(path)
-    return df.select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    """Plain text file(s) → (line_no, line); any Spark codec (gzip/bz2/zstd) is decoded.
+
+    Lines are numbered 0, 1, 2, … through all files in the order of their paths:
+    by file, start of the split and place in the split.
+    """
+    from wordloom.operators.ranking import dense_index
+    df = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"),
+                                      F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    return dense_index(df, [F.col("_file"), F.col("_start"), F.col("_at")], "line_no").select("line_no", "line")
 
 
 def read_stopwords(lines: DataFrame, col: str = "line") -> DataFrame:
@@ -52,10 +58,17 @@ def default_stopwords() -> list[str]:
     return sorted({re.sub("[^a-z]", "", w) for w in NLTK_ENGLISH_STOPWORDS} - {""})
 
 
-def read_query_words(lines: DataFrame, col: str = "line", strip_all: bool = False) -> DataFrame:
-    """S3: one query word per line, cleaned by T2/T3; empty lines skipped."""
+def read_query_words(lines: DataFrame, col: str = "line", strip_all: bool = False, stem: bool = False) -> DataFrame:
+    """S3: one query word per line, cleaned by T2/T3 (and stemmed, as the vocabulary's words are); empty lines skipped."""
     w = T.word_clean(T.byte_view(F.col(col)), strip_all)
-    return lines.where(F.col(col) != "").withColumn("word", T.utf8_view(w))
+    out = lines.where(F.col(col) != "").withColumn("word", T.utf8_view(w))
+    return stemmed(out, "word") if stem else out
+
+
+def stemmed(words: DataFrame, col: str = "word") -> DataFrame:
+    """A column of cleaned words, stemmed as the tokeniser stems."""
+    from wordloom.operators.stem import apply_stems
+    return apply_stems(words.withColumn(col, F.array(col)), col).withColumn(col, F.col(col)[0])
 
 
 def read_qa_corpus(spark: SparkSession, path: str) -> DataFrame:
