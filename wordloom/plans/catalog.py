@@ -561,7 +561,7 @@ def q_unigram_literal(spark, d):
 @query("unigram_draw", S.with_corpus(r"""
 SELECT r.idx AS k, count(*) AS draws
 FROM (SELECT CAST(floor(""" + S.draw("unigram", "0", "center_idx", "context_idx", "tf", number="ck") + r""" * (SELECT total FROM tot)) AS BIGINT) AS slot FROM negs) d
-JOIN ranges r ON d.slot >= r.lo AND d.slot < r.hi GROUP BY r.idx""", _RANGES_SQL))
+ASOF JOIN ranges r ON d.slot >= r.lo GROUP BY r.idx""", _RANGES_SQL))
 def q_unigram_draw(spark, d):
     vb = build_vocabulary(docs(spark, d), CFG, STOPS)
     return SM.draw_counts(vb.targets, vb.vocab, CFG.with_(sampler="unigram"))
@@ -618,7 +618,7 @@ FROM (SELECT ck, CASE WHEN ck = 0 THEN e ELSE -e END AS x FROM (
         UNION ALL
         SELECT d.center_idx, r.idx AS k, 1 AS ck FROM (
           SELECT center_idx, CAST(floor(""" + S.draw("unigram", "0", "center_idx", "context_idx", "tf", number="ck") + r""" * (SELECT total FROM tot)) AS BIGINT) AS slot FROM negs) d
-        JOIN ranges r ON d.slot >= r.lo AND d.slot < r.hi) s
+        ASOF JOIN ranges r ON d.slot >= r.lo) s
   JOIN model_in a ON a.idx = s.center_idx JOIN model_out b ON b.idx = s.k))"""
 
 
