@@ -201,6 +201,6 @@ def test_cells_get_their_block_only(spark):
     vocab, targets, _ = small(spark)
     space = SM.slots(vocab, Config(), blocks=4)
     examples, _, _ = SM.example_table(targets, space, 5)
-    rows = SM.deliver(examples, space, None, space.rows.withColumn("vec", F.lit(None).cast("binary")), 2)
+    rows = SM.deliver(SM.members(examples), space, None, space.rows.withColumn("vec", F.lit(None).cast("binary")), 2)
     per_cell = [r.n for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()]
     assert max(per_cell) <= 6 and space.dtype == "<u4"

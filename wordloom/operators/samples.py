@@ -268,20 +268,25 @@ def packed_rows(m: np.ndarray) -> pa.Array:
     return _packed(m.ravel(), np.arange(len(m) + 1) * (m.shape[1] if len(m) else 0))
 
 
-def deliver(examples: DataFrame, space: Slots, model_in: DataFrame | None, model_out: DataFrame, s: int | None) -> DataFrame:
-    """``(s, cell, layer, idx, lo, vec)``: the rows that the cells need in superstep ``s`` (None: in all).
+def members(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cells with their center blocks (cell, cblk), and the cells' centers (cell, idx)."""
+    return examples.select("cell", "cblk").distinct(), examples.select("cell", F.col("center_idx").alias("idx")).distinct()
+
+
+def deliver(cells: tuple[DataFrame, DataFrame], space: Slots, model_in: DataFrame | None, model_out: DataFrame, s: int | None) -> DataFrame:
+    """``(s, cell, layer, idx, lo, vec)``: the rows that the cells (:func:`members`) need in superstep ``s`` (None: in all).
 
     A cell gets the vectors of its own centers (``model_in``: idx, vec) and the
     whole output block that it meets (``model_out``: idx, lo, blk, vec).
     """
     n = space.blocks
     steps = F.lit(s).cast("int") if s is not None else F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    cells = examples.select("cell", "cblk").distinct().select("cell", "cblk", steps.alias("s")).select(
-        "s", "cell", ((F.col("cblk") + F.col("s")) % n).cast("int").alias("blk"))
-    rows = model_out.join(cells, "blk").select("s", "cell", F.lit(OUTPUT).alias("layer"), "idx", "lo", "vec")
+    blocks, own = cells
+    blocks = blocks.select("cell", "cblk", steps.alias("s")).select("s", "cell", ((F.col("cblk") + F.col("s")) % n).cast("int").alias("blk"))
+    rows = model_out.join(blocks, "blk").select("s", "cell", F.lit(OUTPUT).alias("layer"), "idx", "lo", "vec")
     if model_in is None:
         return rows
-    own = examples.select("cell", F.col("center_idx").alias("idx")).distinct().select("cell", "idx", steps.alias("s"))
+    own = own.select("cell", "idx", steps.alias("s"))
     return rows.unionByName(model_in.join(own, "idx").select("s", "cell", F.lit(INPUT).alias("layer"), "idx",
                                                              F.lit(None).cast("long").alias("lo"), "vec"))
 
@@ -383,7 +388,7 @@ def draw_counts(targets: DataFrame, vocab: DataFrame, cfg: Config = Config(), rn
     space = slots(vocab, cfg)
     examples, _, _ = example_table(targets, space)
     samples = sample_table(examples, space, cfg, rnd, 1 << 40)
-    rows = deliver(examples, space, None, space.rows.withColumn("vec", F.lit(None).cast("binary")), None)
+    rows = deliver(members(examples), space, None, space.rows.withColumn("vec", F.lit(None).cast("binary")), None)
     schema, dtype = "k long, draws long", space.dtype
 
     def fn(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -64,7 +64,7 @@ def sgns_loss(targets: DataFrame, vocab: DataFrame, model_in: DataFrame, model_o
     space = SM.slots(vocab, cfg)
     examples, _, _ = SM.example_table(targets, space)
     out = model_out.select("idx", "vec").join(space.rows, "idx")
-    return cells_loss(examples, space, cfg, rnd, SM.packed(model_in.select("idx", "vec")), SM.packed(out))
+    return cells_loss(examples, SM.members(examples), space, cfg, rnd, SM.packed(model_in.select("idx", "vec")), SM.packed(out))
 
 
 def sampler_vs_vocab(vocab: DataFrame, cfg: Config = Config()) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from wordloom.config import Config
 from wordloom.functions import hashing as H
 from wordloom.operators import samples as SM
-from wordloom.session import delete_path, scratch_path, ship_package
+from wordloom.session import delete_path, materialize, scratch_path, ship_package
 
 LOG_TS = "%d-%m-%Y %H:%M:%S"
 LOSS_CHUNK = 1 << 17
@@ -212,7 +212,8 @@ def unpacked(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "layer string, idx long, vec array<double>")
 
 
-def cells_loss(examples: DataFrame, space: SM.Slots, cfg: Config, rnd: int, model_in: DataFrame, model_out: DataFrame) -> DataFrame:
+def cells_loss(examples: DataFrame, cells: tuple[DataFrame, DataFrame], space: SM.Slots, cfg: Config, rnd: int,
+               model_in: DataFrame, model_out: DataFrame) -> DataFrame:
     """(examples, loss) of one round's samples at fixed packed weights; only partial losses are shuffled."""
     kernel, schema = cell_kernel(space.dtype, 0.0, False, False), "loss double, n long"
 
@@ -221,7 +222,7 @@ def cells_loss(examples: DataFrame, space: SM.Slots, cfg: Config, rnd: int, mode
         return pa.table({"loss": got[:, 0], "n": got[:, 1].astype(np.int64)}) if len(got) else SM.empty(schema)
 
     samples = SM.sample_table(examples, space, cfg, rnd, 1 << 40)
-    got = SM.meet(samples, SM.deliver(examples, space, model_in, model_out, None), fn, schema)
+    got = SM.meet(samples, SM.deliver(cells, space, model_in, model_out, None), fn, schema)
     return got.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("examples"), F.sum("loss").alias("loss"))
 
 
@@ -240,6 +241,7 @@ class SGNSTrainer:
         self.dir = model_dir or scratch_path(self.spark, "model")
         self.space = SM.slots(vocab, cfg, self.v)
         self.examples, self.parts, self.n_examples = SM.example_table(targets, self.space, partitions or cfg.train_partitions or 1)
+        self.cells = tuple(materialize(x, self.spark, "cells") for x in SM.members(self.examples))
         self.groups = max(8, -(-2 * self.v * self.h * 8 // cfg.block_bytes))    # hash groups of a merge: bounded rows each
         self.losses: list[dict] = []
         self.log_lines: list[str] = []
@@ -264,7 +266,7 @@ class SGNSTrainer:
 
     def loss(self, st: TrainState, epoch: int = -1) -> tuple[float, int]:
         """E6 with the kernel of the cells (no updates): (loss, examples)."""
-        r = cells_loss(self.examples, self.space, self.cfg, epoch + 1, *self._start(st)).first()
+        r = cells_loss(self.examples, self.cells, self.space, self.cfg, epoch + 1, *self._start(st)).first()
         return float(r["loss"] or 0.0), int(r["examples"] or 0)
 
     def epoch(self, st: TrainState, epoch: int) -> TrainState:
@@ -280,7 +282,7 @@ class SGNSTrainer:
         before = mi.select(F.lit(SM.INPUT).alias("layer"), "idx", none.alias("lo"), none.cast("int").alias("blk"), own, "vec").unionByName(
             mo.select(F.lit(SM.OUTPUT).alias("layer"), "idx", "lo", "blk", own, "vec"))
         for s in range(self.space.blocks):
-            rows = SM.deliver(self.examples, self.space, before.where(F.col("layer") == SM.INPUT), before.where(F.col("layer") == SM.OUTPUT), s)
+            rows = SM.deliver(self.cells, self.space, before.where(F.col("layer") == SM.INPUT), before.where(F.col("layer") == SM.OUTPUT), s)
             changes = SM.meet(drawn.where(F.col("s") == s), rows, kernel, SM.STEP, ("cell",), self.parts + self.space.blocks)
             after = SM.merge(before.unionByName(changes), self.groups)
             if s + 1 < self.space.blocks:
