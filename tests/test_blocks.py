@@ -142,6 +142,13 @@ def test_no_examples(spark):
     assert [x["loss"] for x in tr.losses] == [0.0, 0.0] and st.model_in.count() == 23
 
 
+def test_no_words(spark):
+    vocab, targets, _ = small(spark)
+    tr = SGNSTrainer(vocab.limit(0), targets.limit(0), Config(hidden=4))
+    st = tr.train(1)
+    assert st.model_in.count() == st.model_out.count() == 0
+
+
 def test_cell_updates_equal_plain_loops():
     r = np.random.default_rng(3)
     w_in, w_out = r.normal(size=(4, 5)), r.normal(size=(7, 5))

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from wordloom.config import Config
 from wordloom.functions import hashing as H
 from wordloom.operators import samples as SM
-from wordloom.session import delete_path, materialize, scratch_path, ship_package
+from wordloom.session import delete_path, materialize, path_exists, scratch_path, ship_package
 
 LOG_TS = "%d-%m-%Y %H:%M:%S"
 LOSS_CHUNK = 1 << 17
@@ -170,8 +170,12 @@ class TrainState:
 
 
 def load_state(spark, path: str) -> TrainState:
-    """A saved epoch: (idx, word, vec) per layer."""
-    rows = [spark.read.parquet(f"{path}/layer={layer}").select("idx", "word", "vec") for layer in ("in", "out")]
+    """A saved epoch: (idx, word, vec) per layer; a layer without rows has no folder."""
+    schema = "idx long, word string, vec array<double>"
+    if not path_exists(spark, path):
+        raise FileNotFoundError(f"no model in {path}")
+    found = [f"{path}/layer={layer}" for layer in ("in", "out")]
+    rows = [spark.read.parquet(p).select("idx", "word", "vec") if path_exists(spark, p) else spark.createDataFrame([], schema) for p in found]
     return TrainState(path, *rows)
 
 
