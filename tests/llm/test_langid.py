@@ -80,6 +80,41 @@ def test_keep_identified(spark):
     assert len(only) == 9 and {r["lang"] for r in only} == {"de"}
 
 
-def test_model_of_one_language_has_scores():
-    best, score = langid.Model({"a": b"abc abc "}).predict(pa.array(["abc", None, ""]))
-    assert best.tolist() == [0, -1, -1] and np.isfinite(score).all() and (score >= 0).all()
+def test_model_of_one_language_has_bits():
+    best, first, second, free = langid.Model({"a": b"abc abc "}).parse(pa.array(["abc", None, ""]))
+    assert best.tolist() == [0, -1, -1] and first[0] == 1 and np.isinf(second).all() and free[0] == 0
+
+
+def test_sample_takes_passages_of_whole_texts(spark):
+    header = "copyright header of every page "
+    rows = [(i, header * 100 + f"ending{'abcdefghijkl'[i]} " * 300, "en") for i in range(12)]
+    sample = langid.samples(docs(spark, rows), F.lit(True))["en"]
+    assert len(sample) == langid.SAMPLE_CHARS
+    assert sum(f"ending{c}".encode() in sample for c in "abcdefghijkl") == 12
+    assert 0.3 < sample.count(b"header") * len(header) / len(sample) < 0.8
+
+
+def test_shared_header_does_not_decide(spark):
+    header = "the page header that every document of the source starts with " * 60
+    rows = [(i, header + "le chat dort sur le tapis avec les autres chats " * 80, "fr") for i in range(8)]
+    rows += [(20 + i, "the cat sat on the mat with the other cats of that house " * 80, "en") for i in range(8)]
+    got = {r["id"]: r["lang_pred"] for r in langid.identify(docs(spark, rows + [(50, "les autres chats dort", None), (51, "the other cats sat", None)]), F.lit(True)).collect()}
+    assert got[50] == "fr" and got[51] == "en"
+
+
+def test_every_language_is_learned_in_blocks(spark):
+    letters = "abcdefghijklmnopqrst"
+    rows = [(100 * i + j, f"{a}{b}{a} {b}{b}{a} " * 12, f"{a}{b}") for i, (a, b) in enumerate((a, b) for a in letters for b in letters if a < b) for j in range(2)]
+    d = docs(spark, rows)
+    whole = {(r["id"], r["lang_pred"], round(r["score"], 9)) for r in langid.identify(d, F.lit(True), sample_chars=256).collect()}
+    split = {(r["id"], r["lang_pred"], round(r["score"], 9)) for r in langid.identify(d, F.lit(True), sample_chars=256, total_chars=20_000).collect()}
+    assert whole == split and len({x[1] for x in split}) == 190
+    assert all(lang == {r[0]: r[2] for r in rows}[i] for i, lang, _ in split)
+
+
+def test_parse_rejects_unknown_scripts(spark):
+    d = docs(spark, [*((i, "the cat sat on the mat with the other cats", "en") for i in range(8)), (20, "кошка сидит на коврике с другими кошками", None), (21, "the mats", None)])
+    assert {r["doc_id"] for r in langid.keep_identified(d, F.lit(True)).collect()} == {*range(8), 21}
+    assert langid.keep_identified(docs(spark, []), F.lit(True)).collect() == []
+    odd = d.withColumnRenamed("source", "_best") if "source" in d.columns else d.withColumn("_best", F.lit(1))
+    assert langid.keep_identified(odd, F.lit(True)).columns == odd.columns

@@ -13,15 +13,23 @@ symbols (a phrase ends with its block), and all blocks of an Arrow batch move
 through the automata in lock-step: one table look-up gives the next state and
 whether a phrase ended.
 
-Samples are bounded: the ``MOST_LANGUAGES`` languages with most labelled
-documents, about ``PER_LANGUAGE`` documents of each by id hash, at most
-``SAMPLE_CHARS`` characters of a language and ``TOTAL_CHARS`` of all; so are the
-automata broadcast (fewer than two states per symbol).
+Samples are bounded: about ``PER_LANGUAGE`` labelled documents of each language by
+id hash, and of their whole texts passages of ``PASSAGE`` characters by a hash of
+id and place, at most ``SAMPLE_CHARS`` symbols of a language.  Every labelled
+language is learned: languages are dealt into blocks of at most ``TOTAL_CHARS``
+symbols (at least ``PASSAGE`` of each language); one block's automata (fewer than
+two states per symbol) are broadcast at a time, and the parses go through the
+blocks one after the other, keeping the two best.
+
+:func:`keep_identified` rejects by the parse: a text goes if even its best language
+needs more than ``MOST_BITS`` bits per symbol, two phrases free of charge (random
+letters need about 4.8, an unknown script about 15).
 
 Defined cases: null, empty and letterless texts give ``und`` and score 0, as
-does everything if no labelled text exists; null ids are kept and never learned
-from; ties go to the language with more labelled documents, then first by name;
-repeated rows give one row each.
+does everything if no labelled text exists (then nothing is kept); null ids are
+kept and never learned from; very long texts are parsed whole; ties go to the
+language with more labelled documents, then first by name; repeated rows give
+one row each; empty tables give no rows; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -32,12 +40,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.arrays import pieces, text_buffers
-from wordloom.llm.frames import arrow_map, hash_share, keep_rows
+from wordloom.llm.frames import arrow_map, fresh, hash_share, materialize
 
 SAMPLE_CHARS = 32_768
 TOTAL_CHARS = 262_144
 PER_LANGUAGE = 64
-MOST_LANGUAGES = 256
+PASSAGE = 256
+MOST_BITS = 6.0
 BLOCK = 1024
 UNKNOWN = "und"
 
@@ -139,73 +148,115 @@ class Model:
                 out[lang] += np.bincount(t, weights=ended[lang], minlength=n_texts)
         return out
 
-    def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(language number, score) per text; -1 and 0 for texts without symbols."""
-        best, score = np.full(len(column), -1), np.zeros(len(column))
-        if not self.names:
-            return best, score
-        for p in pieces(column):
+    def parse(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per text: language number, bits per symbol in it and in the second best, and bits with two phrases free.
+
+        Texts without symbols, and all texts without languages, give -1 and infinities.
+        """
+        best, bits = np.full(len(column), -1), np.full((3, len(column)), np.inf)
+        for p in pieces(column) if self.names else ():
             data, offsets = symbols(p.data[:-8], p.offsets)
-            bits = self.phrases(data, offsets) * self.log_size[:, None] / np.maximum(1, np.diff(offsets))
-            order = np.argsort(bits, axis=0, kind="stable")
-            first = np.take_along_axis(bits, order[:1], axis=0)[0]
-            second = np.take_along_axis(bits, order[1:2], axis=0)[0] if len(self.names) > 1 else np.full(p.rows, np.inf)
+            size = np.maximum(1, np.diff(offsets))
+            phrases = self.phrases(data, offsets)
+            own = phrases * self.log_size[:, None] / size
+            order = np.argsort(own, axis=0, kind="stable")
             some = np.diff(offsets) > 0
             best[p.lo:p.hi] = np.where(some, order[0], -1)
-            score[p.lo:p.hi] = np.where(some, 1 - first / np.maximum(second, 1e-12), 0)
-        return best, np.clip(score, 0, 1)
+            free = (np.maximum(phrases - 2, 0) * self.log_size[:, None] / size).min(axis=0)
+            second = np.take_along_axis(own, order[1:2], axis=0)[0] if len(self.names) > 1 else np.inf
+            for to, value in zip(bits, (np.take_along_axis(own, order[:1], axis=0)[0], second, free)):
+                to[p.lo:p.hi] = np.where(some, value, np.inf)
+        return best, *bits
 
 
 def samples(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
             per_language: int = PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS) -> dict[str, bytes]:
     """Bounded training text per language, most frequent first, from the rows where ``learn`` holds."""
-    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"),
                       F.col(f"`{lang_col}`").cast("string").alias("lang"), learn.alias("learn")) \
         .where("learn AND lang IS NOT NULL AND id IS NOT NULL")
-    found = own.groupBy("lang").agg(F.countDistinct("id").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    rows = found.collect()
-    chars = max(256, min(sample_chars, total_chars // max(1, len(rows))))
-    shares = F.broadcast(found.select("lang", F.least(F.lit(1.0), per_language / F.col("n")).alias("share")))
-    got = own.join(shares, "lang").where(hash_share("id", F.col("share"))) \
-        .select("lang", "id", F.lower(F.substring("text", 1, max(256, 4 * chars // per_language))).alias("text")) \
-        .dropDuplicates(["lang", "id"]).toArrow().sort_by([("lang", "ascending"), ("id", "ascending")])
+    found = materialize(own.groupBy("lang").agg(F.countDistinct("id").alias("n")), docs.sparkSession, "languages")
+    chars = max(PASSAGE, min(sample_chars, total_chars // max(1, found.count())))
+    share = F.least(F.lit(1.0), per_language / F.col("n"))
+    some = own.join(found, "lang").where(hash_share("id", share)).dropDuplicates(["lang", "id"])
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.char_length("text") - 1) / PASSAGE)))
+    passages = some.select("lang", "n", "id", "text", F.explode(places).alias("place")) \
+        .select("lang", "n", F.xxhash64("id", "place").alias("h"), "id", "place",
+                F.lower(F.substring("text", F.col("place").cast("int") * PASSAGE + 1, F.lit(PASSAGE))).alias("text"))
+    passages = materialize(passages, docs.sparkSession, "passages")
+    # a share by hash leaves about twice the passages that fill the sample; the least hashes are taken
+    size = passages.groupBy("lang").agg(F.sum(F.char_length("text")).alias("size"))
+    spread = F.pmod(F.xxhash64("h", F.lit("passage")), F.lit(1 << 30)) / float(1 << 30)
+    got = passages.join(size, "lang").where((spread * F.col("size") < 2.0 * chars) | (F.col("size") < 16 * PASSAGE)) \
+        .select("lang", "n", "h", "id", "place", "text").toArrow() \
+        .sort_by([("n", "descending"), ("lang", "ascending"), ("h", "ascending"), ("id", "ascending"), ("place", "ascending")])
     out: dict[str, bytes] = {}
     for lang, text in zip(got["lang"].to_pylist(), got["text"].to_pylist()):
-        if text:
+        if text and len(out.get(lang, b"")) < chars:
             data, offsets = text_buffers(pa.array([text]))
             out[lang] = (out.get(lang, b"") + symbols(data, offsets)[0].tobytes() + b" ")[:chars]
-    return {r["lang"]: out[r["lang"]] for r in rows if r["lang"] in out}
+    return out
 
 
-def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-             **bounds: int) -> DataFrame:
-    """``id, lang_pred, score`` for every row; ``learn`` marks the rows whose labels may be used."""
-    model = docs.sparkSession.sparkContext.broadcast(Model(samples(docs, learn, id_col, text_col, lang_col, **bounds)))
+def blocks(texts: dict[str, bytes], total_chars: int = TOTAL_CHARS) -> list[dict[str, bytes]]:
+    """The languages in blocks of at most ``total_chars`` symbols, or one language."""
+    out: list[dict[str, bytes]] = []
+    size = 0
+    for name, text in texts.items():
+        if not out or size + len(text) > total_chars:
+            out.append({})
+            size = 0
+        out[-1][name] = text
+        size += len(text)
+    return out
 
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        best, score = model.value.predict(batch.column(1))
-        names = pa.array([*model.value.names, UNKNOWN])
-        return pa.record_batch([batch.column(0), names.take(pa.array(best % len(names))), pa.array(score), batch.column(2)],
-                               names=["id", "lang_pred", "score", "letters"])
 
-    t = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.lower(F.col(f"`{text_col}`").cast("string")).alias("text"))
-    out = arrow_map(t.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))), fn,
-                    "id long, lang_pred string, score double, letters boolean")
-    return out.select("id", F.when(F.col("letters"), F.col("lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
-                      F.when(F.col("letters"), F.col("score")).otherwise(0.0).alias("score"))
+def parsed(docs: DataFrame, text_col: str, texts: dict[str, bytes], total_chars: int = TOTAL_CHARS) -> tuple[DataFrame, list[str]]:
+    """The rows with four more columns, and their names: best language, bits in it, in the second best, bits for the rejection."""
+    spark = docs.sparkSession
+    names = [fresh(c, docs) for c in ("_best", "_bits", "_next", "_free")]
+    nothing = [F.lit(None).cast("string"), *(F.lit(float("inf")) for _ in range(3))]
+    out = docs.select("*", *(c.alias(n) for n, c in zip(names, nothing)))
+    at, own = docs.columns.index(text_col), blocks(texts, total_chars)
+    for number, block in enumerate(own):
+        shared = spark.sparkContext.broadcast(Model(block))
 
+        def fn(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+            import pyarrow.compute as pc
 
-def keep_identified(docs: DataFrame, learn: Column, languages: set[str] | None = None, id_col: str = "doc_id", text_col: str = "text",
-                    lang_col: str = "lang", **bounds: int) -> DataFrame:
-    """The rows, columns as they are, whose language is found (and among ``languages``, if given)."""
-    model = docs.sparkSession.sparkContext.broadcast(Model(samples(docs, learn, id_col, text_col, lang_col, **bounds)))
+            *rest, had_name, had_first, had_second, had_free = batch.columns
+            best, first, second, free = shared.value.parse(pc.utf8_lower(rest[at]))
+            before, after = np.asarray(had_first), np.asarray(had_second)
+            better = first < before                     # ties stay with the earlier language
+            named = pa.array(shared.value.names, pa.string()).take(pa.array(best, mask=best < 0))
+            runner = np.where(better, np.minimum(before, second), np.minimum(after, first))
+            found = [pc.if_else(pa.array(better), named, had_name), pa.array(np.minimum(first, before)), pa.array(runner),
+                     pa.array(np.minimum(free, np.asarray(had_free)))]
+            return pa.record_batch([*rest, *found], names=batch.schema.names)
 
-    def decide(column):
-        import pyarrow.compute as pc
+        out = arrow_map(out, fn, out.schema)
+        if number + 1 < len(own):
+            out = materialize(out, spark, "parsed")
+    return out, names
 
-        best, _ = model.value.predict(pc.utf8_lower(column))
-        letters = np.asarray(pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False))
-        allowed = np.array([languages is None or n in languages for n in model.value.names] + [False])
-        return letters & allowed[best]
 
-    return keep_rows(docs, decide, text_col)
+def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+             **bounds: int) -> DataFrame:
+    """``id, lang_pred, score`` for every row; ``learn`` marks the rows whose labels may be used."""
+    texts = samples(docs, learn, id_col, text_col, lang_col, **bounds)
+    t = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    out, (best, bits, after, _) = parsed(t, "text", texts, bounds.get("total_chars", TOTAL_CHARS))
+    told = F.col(best).isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    # 1 when no second language exists (its bits are infinite)
+    score = F.greatest(F.lit(0.0), 1 - F.col(bits) / F.greatest(F.col(after), F.lit(1e-12)))
+    return out.select("id", F.when(told, F.col(best)).otherwise(UNKNOWN).alias("lang_pred"), F.when(told, score).otherwise(0.0).alias("score"))
+
+
+def keep_identified(docs: DataFrame, learn: Column, languages: set[str] | None = None, id_col: str = "doc_id", text_col: str = "text",
+                    lang_col: str = "lang", most_bits: float = MOST_BITS, **bounds: int) -> DataFrame:
+    """The rows, columns as they are, whose language is found within ``most_bits`` (and among ``languages``, if given)."""
+    texts = samples(docs, learn, id_col, text_col, lang_col, **bounds)
+    out, (best, _, _, free) = parsed(docs, text_col, texts, bounds.get("total_chars", TOTAL_CHARS))
+    told = F.col(best).isNotNull() & F.coalesce(F.col(f"`{text_col}`").cast("string").rlike(r"\p{L}"), F.lit(False))
+    allowed = F.lit(True) if languages is None else F.col(best).isin(sorted(languages))
+    return out.where(told & (F.col(free) <= most_bits) & allowed).select(*(f"`{c}`" for c in docs.columns))
