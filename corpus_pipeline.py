@@ -18,7 +18,7 @@ from wordloom.llm.frames import materialize, read
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told (no letters); learns from all labelled documents."""
+    """Drops documents without letters or that no language explains (bits per symbol of the parse); learns from all labelled documents."""
     return langid.keep_identified(docs, F.col("lang").isNotNull())
 
 
