@@ -52,7 +52,6 @@ class Config:
     train_partitions: int = 0        # least number of parts; 0 = as many as the examples ask for
     blocks: int = 0                  # blocks per layer; 0 = as many as the model's size asks for (4 at least)
     block_bytes: int = 32 * 1024 * 1024              # bytes of one layer's block, at most
-    model_broadcast_limit: int = 512 * 1024 * 1024   # bytes of model tables that scorers and encoders read whole per task
 
     def __post_init__(self):
         if self.sampler not in SAMPLERS:
