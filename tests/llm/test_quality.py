@@ -29,14 +29,12 @@ def test_statistics(spark):
     assert all(not (r["base_failed"] and r["kept"]) for r in got)
 
 
-def brute_model(texts, order, share):
+def brute_model(texts, order):
     fold = lambda t: re.sub(rb"[0-9]", b"0", re.sub(rb"[ \t\n\r\x0b\x0c]", b" ", t.encode()))
     texts = [fold(t) for t in texts]
-    raw, have = Counter(), {k: Counter() for k in range(1, order + 1)}
+    raw = Counter()
     for t in texts:
         raw.update(t[i:i + order] for i in range(len(t) - order + 1))
-        for k in have:
-            have[k].update({t[i:i + k] for i in range(len(t) - k + 1)})
     counts, levels = dict(raw), {}
     for k in range(order, 0, -1):
         n = Counter(counts.values())
@@ -47,9 +45,8 @@ def brute_model(texts, order, share):
             total[g[:-1]] += c
         rest = {}
         for g, c in counts.items():
-            if have[k][g] >= share * len(texts):
-                terms[g] = max(c - d[min(c, 3) - 1], 0) / total[g[:-1]]
-                rest[g[:-1]] = rest.get(g[:-1], 1.0) - terms[g]
+            terms[g] = max(c - d[min(c, 3) - 1], 0) / total[g[:-1]]
+            rest[g[:-1]] = rest.get(g[:-1], 1.0) - terms[g]
         levels[k] = (terms, rest)
         below = Counter()
         for g in counts:
@@ -73,23 +70,25 @@ def clean(n, seed):
 
 
 def test_bits_match_brute_force(spark):
-    rows = clean(30, 1) + [(100, "ab"), (101, "zq9 " * 60)]
-    fair = [t for _, t in rows if not statistics(t)[-1]]
-    bits = brute_model(fair, quality.ORDER, quality.SHARE)
-    for r in quality.judge(docs(spark, rows)).collect():
-        text = dict(rows)[r["id"]]
-        if len(text) < quality.ORDER:
-            assert r["bits"] is None
-        else:
-            assert abs(r["bits"] - bits(text)) < 1e-4
+    rows = clean(30, 1) + [(100, "ab"), (101, "zq9 " * 60), (102, clean(1, 1)[0][1])]
+    d = docs(spark, rows)
+    fold = {r["doc_id"]: r["f"] for r in d.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(2)).alias("f")).collect()}
+    bits = {f: brute_model([t for i, t in rows if fold[i] != f and not statistics(t)[-1]], quality.ORDER) for f in (0, 1)}
+    for size in (quality.MODEL_ROWS, 700):          # in one block, in several
+        for r in quality.judge(d, model_rows=size).collect():
+            text = dict(rows)[r["id"]]
+            if len(text) < quality.ORDER:
+                assert r["bits"] is None
+            else:
+                assert abs(r["bits"] - bits[fold[r["id"]]](text)) < 1e-4
 
 
 def test_contexts_sum_to_one(spark):
-    t = docs(spark, clean(30, 1)).select(F.col("doc_id").alias("id"), "text", F.lit("=en").alias("lang"))
-    m = quality.train_model(t, 3, 0.1)
+    t = docs(spark, clean(30, 1)).select(F.col("doc_id").alias("id"), "text", F.lit("en").alias("lang"))
+    (m,) = quality.models(quality.train(t, 3), 3)
     for history in (b"th", b"at", b"zz", b"  "):
         codes = np.array([(history[0] << 16) | (history[1] << 8) | b for b in range(256)], dtype=np.uint64)
-        assert abs((2.0 ** -m.bits(np.zeros(256, np.int64), codes)).sum() - 1) < 1e-4
+        assert abs((2.0 ** -m.bits(np.full(256, m.known[0]), codes)).sum() - 1) < 1e-4
 
 
 def test_junk_goes_and_prose_stays(spark):
