@@ -4,6 +4,8 @@ import pytest
 
 import random
 
+import numpy as np
+
 from tables import FOLD, docs, messy, prose, words
 
 from wordloom.llm import jaccard
@@ -119,3 +121,32 @@ def test_clashing_columns_stay(spark):
     d = docs(spark, messy())
     got = jaccard.keep_one(d)
     assert got.columns == d.columns and {r["_row"] for r in got.collect()} == {"x"}
+
+
+def test_nearest_pairs_of_each_node():
+    a, b, gap = np.array([1, 1, 1, 2, 3]), np.array([2, 3, 4, 3, 4]), np.array([5, 1, 2, 9, 7])
+    assert jaccard.nearest_of(a, b, gap, 1).tolist() == [0, 1, 2]
+    assert jaccard.nearest_of(a, b, gap, 9).tolist() == [0, 1, 2, 3, 4]
+    assert not len(jaccard.nearest_of(a[:0], b[:0], gap[:0], 1))
+
+
+def test_pairs_of_a_group_grow_with_its_nodes(spark, monkeypatch):
+    """Near copies that stars leave apart are joined by few pairs each, not by all pairs across components."""
+    r = random.Random(3)
+    base = [f"w{r.randint(0, 4000)}" for _ in range(300)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for at in r.sample(range(300), 3):
+            own[at] = f"n{r.randint(0, 10 ** 9)}"
+        rows.append((i, " ".join(own)))
+    checked, verified = [], jaccard._verified
+
+    def counted(pairs, *more):
+        checked.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    got = {x["id"]: x["component_id"] for x in jaccard.groups(docs(spark, rows)).collect()}
+    assert set(got.values()) == {0}
+    assert sum(checked) <= 12 * len(rows), checked

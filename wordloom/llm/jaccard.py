@@ -16,7 +16,11 @@ sequence as one).  Two documents link when ``100 |A & B| >= threshold |A | B|``.
   ``min(l, l')`` common prefix shingles before it is verified.
 * **Stars first.**  Every posting list first proposes only its nodes against
   one of them, the list's pivot; verified links give components.
-* **The rest.**  Lists that still hold several components then propose every
+* **Nearest next.**  Lists that still hold several components propose, per node,
+  the few nodes of other components whose sketches are nearest.  In a group of
+  near copies these link, so the group becomes one component by a number of
+  pairs in proportion to its nodes.
+* **The rest.**  Lists that even then hold several components propose every
   pair across components, in blocks, so that no link is lost.
 * **Bounds before sets.**  A node's sketch is the parity, per hashed bit, of its
   shingles.  The bits in which two sketches differ bound the symmetric difference
@@ -36,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -51,6 +55,8 @@ BUCKET_BITS = 18
 SKETCH_WORDS = 16
 MOST = 12                  # the longest multi-match
 VERIFY_COST = 20           # cost of a candidate, in postings
+STARS = 3                  # pivots, and then nearest nodes, that a node is verified against before the rest
+PAIRS_HELD = 1 << 19       # pairs of a task among which a node's nearest are chosen
 LIST_BLOCK = 1024          # nodes of a posting list compared at once
 BITMAP_BITS = 21
 LOW_LISTS = 8
@@ -171,9 +177,10 @@ def _postings(docs: DataFrame, n: int, threshold: int, counts: np.ndarray) -> Da
 def _shared_lists(postings: DataFrame) -> DataFrame:
     """The postings of shingles that two or more nodes post, with a pivot per list: ``h, k, n, l, pk, pn, pl``.
 
-    The pivot is the list's node of least mixed key, so different lists of one
-    group choose different pivots.  Lists are read as sorted runs; only a run's
-    first rows are held from one batch to the next.
+    The pivot is the list's node of least mixed key, in one order for all lists:
+    the lists of a group agree on a pivot, so a node's lists with it tell how many
+    prefix shingles the two have in common.  Lists are read as sorted runs; only a
+    run's first rows are held from one batch to the next.
     """
     names = ["h", "k", "n", "l", "pk", "pn", "pl"]
 
@@ -216,7 +223,7 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
             pivot = (pk[tail], pn[tail], pl[tail]) if many[-1] else None
         return
 
-    sortable = postings.withColumn("o", F.xxhash64("k", "h"))
+    sortable = postings.withColumn("o", F.xxhash64("k"))
     return sortable.repartition("h").sortWithinPartitions("h", "o", "k").select("h", "k", "n", "l") \
         .mapInArrow(run, "h long, k long, n int, l int, pk long, pn int, pl int")
 
@@ -226,6 +233,23 @@ def _near(n: str, m: str, threshold: int):
     return (F.col(n) * 100 >= F.col(m) * threshold) & (F.col(m) * 100 >= F.col(n) * threshold)
 
 
+def _star_pairs(rows: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
+    """The likeliest pairs ``(a, b)`` of a node and a pivot of its lists: ``rows`` has ``k, n, l, pk, pn, pl``."""
+    stars = rows.where(_near("n", "pn", threshold)).groupBy(F.col("k").alias("a"), F.col("pk").alias("b")).agg(
+        F.count(F.lit(1)).alias("common"), F.min("n").alias("na"), F.min("pn").alias("nb"))
+    closest = Window.partitionBy("a").orderBy(F.desc("common"), "b")
+    stars = stars.withColumn("place", F.row_number().over(closest)).where(F.col("place") <= STARS).select("a", "b", "na", "nb")
+    return _sketched(stars, sketches, threshold).select("a", "b")
+
+
+def _rooted(lists: DataFrame, links: DataFrame, spark: SparkSession) -> DataFrame:
+    """The lists that hold several components of ``links``: ``h, k, n, l, root, size``."""
+    held = lists.join(components(links).withColumnRenamed("node", "k"), "k", "left").select("h", "k", "n", "l", F.coalesce("root", "k").alias("root"))
+    held = materialize(held, spark, "held")
+    mixed = held.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+    return materialize(held.join(mixed.select("h", "size"), "h"), spark, "mixed")
+
+
 def _sketched(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
     """The pairs whose sketches allow a link: ``a, b, gap``."""
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -288,8 +312,38 @@ def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, n: int, thres
     return arrow_map(with_both.select("a", "b", "sa", "sb"), fn, "a long, b long")
 
 
-def _across(lists: DataFrame, threshold: int) -> DataFrame:
-    """Pairs across components within posting lists, sizes and sketches allowing: ``a, b``.
+def _dealt(held: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The rows of ``held`` in pairs of blocks of their lists, as :func:`_across` reads them."""
+    parts = held.withColumn("blocks", F.ceil(F.col("size") / LIST_BLOCK).cast("int")) \
+        .withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return parts.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("half"),
+                        "k", "n", "l", "root").join(sketches, "k").select("h", "i", "j", "half", "k", "n", "l", "root", "sketch", "low")
+
+
+def nearest_of(a: np.ndarray, b: np.ndarray, gap: np.ndarray, most: int) -> np.ndarray:
+    """Numbers of the pairs that are among the ``most`` of least gap of one of their nodes."""
+    node, other = np.concatenate([a, b]), np.concatenate([b, a])
+    order = np.lexsort((other, np.tile(gap, 2), node))
+    new = np.append(True, node[order][1:] != node[order][:-1])[:len(order)]
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return np.unique(order[place < most] % max(len(a), 1))
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """``(a, b)``: every node's nearest of the pairs ``(a, b, gap)``."""
+    pairs = pairs.distinct()
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap"))
+    closest = Window.partitionBy("a").orderBy("gap", "b")
+    return both.withColumn("place", F.row_number().over(closest)).where(F.col("place") <= STARS) \
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _across(lists: DataFrame, threshold: int, most: int | None = None) -> DataFrame:
+    """Pairs across components within posting lists, sizes and sketches allowing: ``a, b, gap``.
+
+    With ``most``, only pairs among the so many of least gap of one of their nodes,
+    from block to block.
 
     ``lists`` has ``h, i, j, half, k, n, l, root, sketch, low``: the rows of the
     blocks ``i <= j`` of list ``h``; at most two blocks are held.  ``low`` are the
@@ -308,14 +362,15 @@ def _across(lists: DataFrame, threshold: int) -> DataFrame:
         """The pairs of rows ``x, y`` across components that sizes and sketches allow and no lesser list of both has."""
         ok = (root[x] != root[y]) & (n[x] * 100 >= n[y] * threshold) & (n[y] * 100 >= n[x] * threshold)
         x, y = x[ok], y[ok]
-        ok = np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1).astype(np.int64) * (100 + threshold) <= (n[x] + n[y]) * (100 - threshold)
-        x, y = x[ok], y[ok]
+        gap = np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1).astype(np.int64)
+        ok = gap * (100 + threshold) <= (n[x] + n[y]) * (100 - threshold)
+        x, y, gap = x[ok], y[ok], gap[ok]
         both = (low[x][:, :, None] == low[y][:, None, :]) & (low[x] < NO_LIST)[:, :, None]
         lesser = (both & (low[x] < h[x][:, None])[:, :, None]).any(axis=(1, 2))
         known = (low[x][:, -1] == NO_LIST) & (low[y][:, -1] == NO_LIST)      # all lists of both nodes
         few = known & (both.sum(axis=(1, 2)) < np.minimum(l[x], l[y]))
-        x, y = x[~lesser & ~few], y[~lesser & ~few]
-        return np.minimum(k[x], k[y]), np.maximum(k[x], k[y])
+        x, y, gap = (v[~lesser & ~few] for v in (x, y, gap))
+        return np.minimum(k[x], k[y]), np.maximum(k[x], k[y]), gap
 
     def inside(t: pa.Table, block: np.ndarray):
         """Pairs within blocks, for all blocks of a batch together: rows 1, 2, ... apart."""
@@ -335,6 +390,21 @@ def _across(lists: DataFrame, threshold: int) -> DataFrame:
         for x in np.flatnonzero(half == 0):
             yield likely(np.full(len(right), x), right, *cols)
 
+    def fewest(part):
+        """The nearest of a part's pairs; a bounded number of pairs is held."""
+        own, size = [], 0
+        for pairs in part:
+            own.append(pairs)
+            size += len(pairs[0])
+            if size > PAIRS_HELD:
+                cols = [np.concatenate(x) for x in zip(*own)]
+                at = nearest_of(*cols, most)
+                own, size = [], 0
+                yield [x[at] for x in cols]
+        cols = [np.concatenate(x) for x in zip(*own)] if own else [np.zeros(0, np.int64)] * 3
+        at = nearest_of(*cols, most)
+        yield [x[at] for x in cols]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
             key = [np.asarray(t[c].combine_chunks()) for c in ("h", "i", "j")]
@@ -345,9 +415,9 @@ def _across(lists: DataFrame, threshold: int) -> DataFrame:
             parts = [inside(t.filter(pa.array(one)), block[one])] if one.any() else []
             parts += [between(t.filter(pa.array(block == b))) for b in np.unique(block[~one])]
             for part in parts:
-                for a, b in part:
-                    if len(a):
-                        yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+                for pairs in part if most is None else fewest(part):
+                    if len(pairs[0]):
+                        yield pa.record_batch([pa.array(x) for x in pairs], names=["a", "b", "gap"])
 
         rest: list[pa.RecordBatch] = []
         for batch in batches:
@@ -363,7 +433,7 @@ def _across(lists: DataFrame, threshold: int) -> DataFrame:
         if rest:
             yield from solve(pa.Table.from_batches(rest))
 
-    return lists.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "half", "k").mapInArrow(run, "a long, b long")
+    return lists.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "half", "k").mapInArrow(run, "a long, b long, gap long")
 
 
 def groups(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -380,24 +450,17 @@ def groups(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOLD, id_col
     sketches = materialize(nodes.dropDuplicates(["k"]), spark, "sketches")
 
     # stars: every node against the pivots of its lists, and the likeliest of them verified
-    stars = lists.where("k <> pk").where(_near("n", "pn", threshold)).groupBy(F.col("k").alias("a"), F.col("pk").alias("b")).agg(
-        F.count(F.lit(1)).alias("common"), F.min(F.least("l", "pl")).alias("l"), F.min("n").alias("na"), F.min("pn").alias("nb"))
-    stars = _sketched(stars.where("common >= l"), sketches, threshold)
-    likeliest = Window.partitionBy("a").orderBy("gap", "b")
-    first = stars.withColumn("place", F.row_number().over(likeliest)).where("place <= 3").select("a", "b")
+    first = _star_pairs(lists.where("k <> pk"), sketches, threshold)
     links = materialize(_verified(first, t, sizes, n, threshold), spark, "links")
-    roots = components(links)
+    held = _rooted(lists, links, spark)
 
-    # the rest: all pairs across components in lists that hold several of them
-    held = materialize(lists.join(roots.withColumnRenamed("node", "k"), "k", "left").select(
-        "h", "k", "n", "l", F.coalesce("root", "k").alias("root")), spark, "held")
-    mixed = held.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-    parts = held.join(mixed.select("h", "size"), "h").withColumn("blocks", F.ceil(F.col("size") / LIST_BLOCK).cast("int")) \
-        .withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = parts.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("half"),
-                         "k", "n", "l", "root").join(sketches, "k").select("h", "i", "j", "half", "k", "n", "l", "root", "sketch", "low")
-    rest = _across(dealt, threshold).distinct()
+    # nearest: what a group's stars left apart, every node against the likeliest of other components
+    near = _nearest(_across(_dealt(held, sketches), threshold, STARS))
+    links = links.unionByName(materialize(_verified(near, t, sizes, n, threshold), spark, "links"))
+    held = _rooted(held.select("h", "k", "n", "l"), links, spark)
+
+    # the rest: all pairs across components in lists that still hold several of them
+    rest = _across(_dealt(held, sketches), threshold).select("a", "b").distinct()
     more = materialize(_verified(rest, t, sizes, n, threshold), spark, "links")
     roots = materialize(components(links.unionByName(more)), spark, "roots")
 
