@@ -340,10 +340,10 @@ def _nearest(pairs: DataFrame) -> DataFrame:
 
 
 def _across(lists: DataFrame, threshold: int, most: int | None = None) -> DataFrame:
-    """Pairs across components within posting lists, sizes and sketches allowing: ``a, b, gap``.
+    """Pairs across components within posting lists, sizes and sketches allowing: ``a, b``.
 
-    With ``most``, only pairs among the so many of least gap of one of their nodes,
-    from block to block.
+    With ``most``, ``a, b, gap`` of the pairs among the so many of least gap of one
+    of their nodes, from block to block.
 
     ``lists`` has ``h, i, j, half, k, n, l, root, sketch, low``: the rows of the
     blocks ``i <= j`` of list ``h``; at most two blocks are held.  ``low`` are the
@@ -433,7 +433,8 @@ def _across(lists: DataFrame, threshold: int, most: int | None = None) -> DataFr
         if rest:
             yield from solve(pa.Table.from_batches(rest))
 
-    return lists.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "half", "k").mapInArrow(run, "a long, b long, gap long")
+    pairs = lists.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "half", "k").mapInArrow(run, "a long, b long, gap long")
+    return pairs if most else pairs.select("a", "b")
 
 
 def groups(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -460,7 +461,7 @@ def groups(docs: DataFrame, n: int = SHINGLE, threshold: int = THRESHOLD, id_col
     held = _rooted(held.select("h", "k", "n", "l"), links, spark)
 
     # the rest: all pairs across components in lists that still hold several of them
-    rest = _across(_dealt(held, sketches), threshold).select("a", "b").distinct()
+    rest = _across(_dealt(held, sketches), threshold).distinct()
     more = materialize(_verified(rest, t, sizes, n, threshold), spark, "links")
     roots = materialize(components(links.unionByName(more)), spark, "roots")
 
