@@ -1,11 +1,13 @@
 """Training cells: order of a segment's samples, one partition per cell, and what a join may send to the driver."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from wordloom.config import Config
 from wordloom.operators import samples as SM
-from wordloom.operators.train import run_cell, softplus
+from wordloom.operators.train import SGNSTrainer, run_cell, softplus
 
 
 def targets(spark, v=40, seed=4):
@@ -69,3 +71,20 @@ def test_loss_of_great_scores():
     w_in, w_out = np.array([[800.0, 0.0]]), np.array([[1.0, 0.0], [-1.0, 0.0]])
     loss = run_cell(w_in, w_out, np.array([0]), np.array([1.0]), np.array([0, 0, 0]), np.array([0, 1, 1]), np.array([True, True, False]), 0.1)
     assert abs(loss - 800.0) < 1e-9
+
+
+def test_steps_do_not_multiply_what_a_join_may_broadcast(spark):
+    """The cells' centers are few bytes as a file: repeated for every superstep below the join, they went to the driver all the same."""
+    vocab, t = targets(spark)
+    tr = SGNSTrainer(vocab, t, Config(hidden=4, blocks=3))
+    rows = SM.deliver(tr.cells, tr.space, *tr._start(tr.init()), None)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    seen = 0
+    for i, line in enumerate(plan):
+        if re.search(r"Join Inner, \(idx#", line):
+            below = [x for x in plan[i + 1:next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))]]
+            assert not any("Generate" in x for x in below)
+            seen += 1
+    assert seen == 2
+    assert rows.where(F.col("layer") == SM.INPUT).count() == 3 * tr.cells[1].count()
